@@ -51,7 +51,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def input_bytes(df: DataFrame) -> int:
     """What the optimizer knows of the size of ``df`` (file sizes for a scan), without a job."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def partitions_for(df: DataFrame, bytes_each: int) -> int:
