@@ -116,10 +116,10 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, width: int = 4) -> list[n
             if b - a >= width:
                 out.append(np.unique(s[a : b - width + 1]))
             elif b > a:
-                x = U64(b - a)
-                for w in h[a:b]:
-                    x = mix64(np.array([x], U64))[0] + w * MIX[2]
-                out.append(mix64(np.array([x], U64)))
+                x = np.array([b - a], U64)
+                for k in range(a, b):
+                    x = mix64(x) + h[k : k + 1] * MIX[2]
+                out.append(mix64(x))
             else:
                 out.append(np.zeros(0, U64))
     return out
