@@ -41,7 +41,7 @@ SPAN = LENGTH - GRAM  # an anchor lies 0..SPAN bytes after its window's start
 WORDS = 7  # of 8 bytes: LENGTH bytes of suffix, padded
 FINGER_BITS = 48
 GROUP_BYTES = 2 << 20  # of stored input a group
-CHUNK = 1 << 18
+CHUNK = 1 << 17
 NO_ID = np.iinfo(np.int64).max
 BASE_LENGTH = U64(pow(int(BASE), LENGTH, 2**64))
 BYTE_CODE_2 = mix64(BYTE_CODE)
