@@ -1,10 +1,9 @@
 """Toxicity: Levenshtein automata intersected with a lexicon trie, and context windows.
 
 The lexicon is learned from labelled documents: whole words, and beginnings of words for languages that
-compound, that toxic documents hold and others do not.  It is kept as a trie.  A word is looked up by
-walking the trie with a Levenshtein automaton: the state is the row of edit distances so far, and a
-branch ends where no cell of the row is within the limit, so a misspelled term is found in one walk
-and without listing its variants.  Around each hit a window is scored: quotation marks and words of
+compound, that toxic documents hold and others do not.  It is kept as a trie.  A word is looked up in
+the product of that trie and the Levenshtein automaton, so a misspelled term is found in one walk over
+its letters and without listing its variants.  Around each hit a window is scored: quotation marks and words of
 reporting speak for quotation, address in the second person and further hits for abuse.  The score is
 a logistic model over hits (exact, by beginning, misspelled), their density and these windows.
 
@@ -20,7 +19,6 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled rows that lexicon and weights are fitted on, about; all where there are fewer.
-SAMPLE_DOCS = 12_000
+SAMPLE_DOCS = 8_000
 THRESHOLD = 0.3
 WORD = re.compile(r"[^\W_]+")
 BEGINNINGS = (4, 5, 6)
@@ -46,54 +44,98 @@ def budget(term: str) -> int:
     return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
 
 
-@dataclass
-class Trie:
-    next: dict[str, Trie] = field(default_factory=dict)
-    term: str | None = None
-    limit: int = 0  # the largest budget below
-
-    def add(self, term: str, limit: int) -> None:
-        node = self
-        node.limit = max(node.limit, limit)
-        for c in term:
-            node = node.next.setdefault(c, Trie())
-            node.limit = max(node.limit, limit)
-        node.term = term
-
-
-def walk(trie: Trie, word: str) -> tuple[str, int] | None:
-    """The nearest term of the trie within its budget of edits of ``word``, and the edits."""
-    best: tuple[int, str] | None = None
-    stack = [(trie, tuple(range(len(word) + 1)))]
-    while stack:
-        node, row = stack.pop()
-        if node.term is not None and row[-1] <= budget(node.term) and (best is None or (row[-1], node.term) < best):
-            best = (row[-1], node.term)
-        for c, child in node.next.items():
-            new = [row[0] + 1]
-            for j, w in enumerate(word):
-                new.append(min(new[j] + 1, row[j + 1] + 1, row[j] + (w != c)))
-            if min(new) <= child.limit:
-                stack.append((child, tuple(new)))
-    return (best[1], best[0]) if best else None
+class Automaton:
+    """The product of a lexicon trie and the Levenshtein automaton, made deterministic as it is used.
+
+    A state is a set of (trie node, edits so far), with the least edits of each node.  Transitions are
+    kept by (state, letter), all letters outside the lexicon being one, so that a word costs a look-up
+    for each letter once its states are known.
+    """
+
+    STATES = 50_000
+
+    def __init__(self, terms: dict[str, float]):
+        self.next: list[dict[str, int]] = [{}]
+        self.term: list[str | None] = [None]
+        self.limit = [0]  # the largest budget below a node
+        for term in terms:
+            node, path = 0, [0]
+            for c in term:
+                if c not in self.next[node]:
+                    self.next[node][c] = len(self.next)
+                    self.next.append({})
+                    self.term.append(None)
+                    self.limit.append(0)
+                node = self.next[node][c]
+                path.append(node)
+            self.term[node] = term
+            for n in path:
+                self.limit[n] = max(self.limit[n], budget(term))
+        self.letters = {c for by in self.next for c in by}
+        self._reset()
+
+    def _reset(self) -> None:
+        self.numbers: dict[tuple, int] = {}
+        self.states: list[tuple] = []
+        self.found: list[tuple[int, str] | None] = []
+        self.moves: list[dict[str, int]] = []
+        self._number({0: 0})
+
+    def _number(self, reached: dict[int, int]) -> int:
+        work = list(reached.items())
+        for node, e in work:  # letters of the term that the word leaves out
+            for child in self.next[node].values():
+                if e + 1 <= self.limit[child] and reached.get(child, 99) > e + 1:
+                    reached[child] = e + 1
+                    work.append((child, e + 1))
+        key = tuple(sorted(reached.items()))
+        if key not in self.numbers:
+            self.numbers[key] = len(self.states)
+            self.states.append(key)
+            self.moves.append({})
+            self.found.append(min(((e, t) for n, e in key if (t := self.term[n]) is not None and e <= budget(t)), default=None))
+        return self.numbers[key]
+
+    def _move(self, state: int, c: str) -> int:
+        reached: dict[int, int] = {}
+
+        def reach(node: int, e: int) -> None:
+            if e <= self.limit[node] and reached.get(node, 99) > e:
+                reached[node] = e
+
+        for node, e in self.states[state]:
+            reach(node, e + 1)
+            for letter, child in self.next[node].items():
+                reach(child, e + (letter != c))
+        self.moves[state][c] = self._number(reached)
+        return self.moves[state][c]
+
+    def look(self, word: str) -> tuple[str, int] | None:
+        """The nearest term within its budget of edits of the word, and the edits."""
+        if len(self.states) > self.STATES:
+            self._reset()
+        state = 0
+        for c in word:
+            c = c if c in self.letters else ""
+            new = self.moves[state].get(c)
+            state = self._move(state, c) if new is None else new
+            if not self.states[state]:
+                return None
+        got = self.found[state]
+        return (got[1], got[0]) if got else None
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k in ("next", "term", "limit", "letters")}
+
+    def __setstate__(self, kept: dict) -> None:
+        self.__dict__.update(kept)
+        self._reset()
 
 
 class Lexicon:
     def __init__(self, words: dict[str, float], beginnings: dict[str, float]):
         self.words, self.beginnings = words, beginnings
-        self.trie = Trie()
-        #: By length of the word looked up and by offset and width: pieces one of which is whole
-        #: there in any misspelling (a term is cut in one piece more than it may have edits).
-        pieces: dict[int, dict[tuple[int, int], set[str]]] = {}
-        for w in words:
-            k = budget(w)
-            self.trie.add(w, k)
-            cuts = [round(i * len(w) / (k + 1)) for i in range(k + 2)]
-            for a, b in zip(cuts, cuts[1:], strict=False) if k else ():
-                for size in range(len(w) - k, len(w) + k + 1):
-                    for at in range(max(0, a - k), a + k + 1):
-                        pieces.setdefault(size, {}).setdefault((at, b - a), set()).add(w[a:b])
-        self.pieces = {n: [(at, at + width, p) for (at, width), p in by.items()] for n, by in pieces.items()}
+        self.automaton = Automaton(words)
         self.clean: set[str] = set()
 
     def look(self, word: str) -> tuple[int, float] | None:
@@ -104,11 +146,8 @@ class Lexicon:
             for n in BEGINNINGS:
                 if word[:n] in self.beginnings:
                     return 1, self.beginnings[word[:n]]
-            for a, b, parts in self.pieces.get(len(word), ()):
-                if word[a:b] in parts:
-                    if found := walk(self.trie, word):
-                        return 2, self.words[found[0]]
-                    break
+            if found := self.automaton.look(word):
+                return 2, self.words[found[0]]
         if len(self.clean) > CACHE_WORDS:
             self.clean.clear()
         self.clean.add(word)
