@@ -41,8 +41,9 @@ def candidates(bags_: DataFrame, share: float = 0.5) -> DataFrame:
     # logs of 0! .. n!, n the largest number of callers of one anchor
     logs = bags_.groupBy("callee").count().agg(F.coalesce(F.max("count"), F.lit(1)).alias("n")).select(F.expr("aggregate(sequence(1L, n), array(0D), (s, i) -> concat(s, array(element_at(s, -1) + ln(cast(i as double)))))").alias("lf"))
     tail = "transform(sequence(cast(together as int), cast(callers as int)), j -> lf[cast(callers as int)] - lf[j] - lf[cast(callers as int) - j] + j * ln(rate) + (callers - j) * ln(1 - rate))"
-    scored = rules.join(rates, "other").join(F.broadcast(logs)).withColumn("terms", F.expr(f"case when rate < 1 then {tail} end"))  # logs: one row
-    scored = scored.withColumn("top", F.array_max("terms")).withColumn("enrichment", F.expr("case when rate >= 1 then 0D else greatest(0D, -(top + ln(aggregate(terms, 0D, (s, t) -> s + exp(t - top)))) / ln(10D)) end"))
+    # one-element arrays bind a value, which would else be worked out anew for each term
+    summed = f"transform(transform(array({tail}), ts -> struct(ts, array_max(ts) as top)), b -> b.top + ln(aggregate(b.ts, 0D, (s, t) -> s + exp(t - b.top))))[0]"
+    scored = rules.join(rates, "other").join(F.broadcast(logs)).withColumn("enrichment", F.expr(f"case when rate >= 1 then 0D else greatest(0D, -({summed}) / ln(10D)) end"))  # logs: one row
     return scored.selectExpr("anchor", "other", "together", "callers", "rate", "enrichment", "enrichment * -log10((callers - together) / (callers + 1)) as strength")
 
 
