@@ -217,9 +217,9 @@ def divergence_candidates(spark, d):
     return _rounded(consensus.candidates(usage(spark, d)))
 
 
-@query(_bag_sql(BY_STATUS) + AUDIT.replace("callers * 0.5", "callers * 0.0") + " SELECT anchor, other, together, callers, round(enrichment, 5) AS enrichment, round(strength, 5) AS strength FROM a")
+@query(_bag_sql(BY_STATUS) + AUDIT + " SELECT anchor, other, together, callers, round(enrichment, 5) AS enrichment, round(strength, 5) AS strength FROM a")
 def divergence_audit(spark, d):
-    return _rounded(consensus.audit(consensus.candidates(usage(spark, d, True), share=0.0)))
+    return _rounded(consensus.audit(consensus.candidates(usage(spark, d, True))))
 
 
 @query(_bag_sql(BY_STATUS) + RULES.replace("callers * 0.5", "callers * 0.0") + ", h AS (SELECT * FROM s WHERE enrichment >= 3) SELECT b.cid AS site, h.anchor, h.other AS missing, h.together, h.callers, round(h.strength, 5) AS strength FROM h JOIN b ON b.callee = h.anchor WHERE NOT EXISTS (SELECT 1 FROM b z WHERE z.cid = b.cid AND z.callee = h.other) AND b.cid LIKE '%:O'")
@@ -479,7 +479,7 @@ def stream_memory_ttl(spark, d):
 
 @query("SELECT event_type, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS hour, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def stream_hourly(spark, d):
-    return memory.hourly(spark, f"{d}/events.parquet")
+    return memory.hourly(spark, read_table(spark, d, "events"))
 
 
 @query("""WITH o AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS head FROM events),

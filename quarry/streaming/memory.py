@@ -52,13 +52,13 @@ def replay_versions(spark: SparkSession, turns: DataFrame) -> DataFrame:
     return drain(label_versions(spark.readStream.schema(scans.schema).parquet(root)), "scan-labels")
 
 
-def hourly(spark: SparkSession, path: str) -> DataFrame:
+def hourly(spark: SparkSession, events: DataFrame) -> DataFrame:
     """Tumbling event-time windows over a feed of events, folded incrementally; late rows past the
     watermark would be dropped, and the last state is the table."""
-    schema = spark.read.parquet(path).schema
-    feed = spark.readStream.schema(schema).parquet(path).withColumn("t", F.col("ts").cast("timestamp")).withWatermark("t", "1 hour")
-    counts = feed.groupBy("event_type", F.window("t", "1 hour").alias("w")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
     root = fresh_path(spark, "hourly")
+    events.write.parquet(f"{root}/in")
+    feed = spark.readStream.schema(events.schema).parquet(f"{root}/in").withColumn("t", F.col("ts").cast("timestamp")).withWatermark("t", "1 hour")
+    counts = feed.groupBy("event_type", F.window("t", "1 hour").alias("w")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
     def save(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/out")
