@@ -42,6 +42,8 @@ WORDS = 7  # of 8 bytes: LENGTH bytes of suffix, padded
 FINGER_BITS = 48
 GROUP_BYTES = 2 << 20  # of stored input a group
 CHUNK = 1 << 17
+#: Rows whose windows are compared, and hashed, at once.
+BLOCK_ROWS, STEP_ROWS = 24_000, 4_000
 NO_ID = np.iinfo(np.int64).max
 BASE_LENGTH = U64(pow(int(BASE), LENGTH, 2**64))
 BYTE_CODE_2 = mix64(BYTE_CODE)
@@ -357,30 +359,22 @@ def _covered(runs: list[Run]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     new = np.concatenate([[True], (h1[by][1:] != h1[by][:-1]) | (h2[by][1:] != h2[by][:-1])])
     whole = np.zeros(len(pick), bool)
     whole[by] = key[by] > key[by][new][np.cumsum(new) - 1]
-    # of equal strings only the least document's rows are left; each of their windows on its own
+    # of equal strings only the least document's rows are left; each of their windows on its own, in
+    # blocks of whole parts, as equal windows share their gram
     rest = np.flatnonzero(~whole)
-    text = np.concatenate([left[rest], suffix[rest, :LENGTH]], axis=1)
-    sums = np.zeros((2, text.shape[1] + 1, len(rest)), U64)
-    for j in range(text.shape[1]):
-        sums[0, j + 1] = sums[0, j] * BASE + BYTE_CODE[text[:, j]]
-        sums[1, j + 1] = sums[1, j] * BASE + BYTE_CODE_2[text[:, j]]
-    hashes, items, offs = [], [], []
-    for o in range(SPAN + 1):
-        ok = np.flatnonzero((o <= lsize[rest]) & (o >= LENGTH - rsize[rest]))
-        hashes.append(sums[:, SPAN - o + LENGTH, ok] - sums[:, SPAN - o, ok] * BASE_LENGTH)
-        items.append(rest[ok])
-        offs.append(np.full(len(ok), o))
-    h, item, off = np.concatenate(hashes, axis=1), np.concatenate(items), np.concatenate(offs)
-    by = np.lexsort((h[1], h[0]))
-    h, item, off = h[:, by], item[by], off[by]
-    heads = np.flatnonzero(np.concatenate([[True], (h[0, 1:] != h[0, :-1]) | (h[1, 1:] != h[1, :-1])])) if len(item) else np.zeros(0, np.int64)
-    hit = np.zeros(len(item), bool)
-    if len(heads):
-        least = np.minimum.reduceat(key[item], heads)
-        hit = key[item] > np.repeat(least, np.diff(np.concatenate([heads, [len(item)]])))
-    run_of = np.concatenate([which[whole], which[item[hit]]])
-    begin = np.concatenate([at[whole] - lsize[whole], at[item[hit]] - off[hit]])
-    finish = np.concatenate([at[whole] + rsize[whole], at[item[hit]] - off[hit] + LENGTH])
+    parts = part[pick][rest]
+    edges = np.flatnonzero(np.concatenate([[True], parts[1:] != parts[:-1], [True]])) if len(rest) else np.zeros(1, np.int64)
+    items, offs, i = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    while i < len(rest):
+        j = int(edges[max(np.searchsorted(edges, i, "right"), np.searchsorted(edges, i + BLOCK_ROWS, "right") - 1)])
+        item, off = _covered_windows(left, suffix, lsize, rsize, key, rest[i:j])
+        items.append(item)
+        offs.append(off)
+        i = j
+    item, off = np.concatenate(items), np.concatenate(offs)
+    run_of = np.concatenate([which[whole], which[item]])
+    begin = np.concatenate([at[whole] - lsize[whole], at[item] - off])
+    finish = np.concatenate([at[whole] + rsize[whole], at[item] - off + LENGTH])
     by = np.lexsort((begin, run_of))
     run_of, begin, finish = run_of[by], begin[by], finish[by]
     found = {}
@@ -390,6 +384,32 @@ def _covered(runs: list[Run]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return found
 
 
+def _covered_windows(left: np.ndarray, suffix: np.ndarray, lsize: np.ndarray, rsize: np.ndarray, key: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, offset of its anchor) of the windows of ``rows`` that a row of smaller key holds."""
+    hashes, items, offs = [], [], []
+    for i in range(0, len(rows), STEP_ROWS):
+        some = rows[i : i + STEP_ROWS]
+        text = np.concatenate([left[some], suffix[some, :LENGTH]], axis=1)
+        sums = np.zeros((2, text.shape[1] + 1, len(some)), U64)
+        for j in range(text.shape[1]):
+            sums[0, j + 1] = sums[0, j] * BASE + BYTE_CODE[text[:, j]]
+            sums[1, j + 1] = sums[1, j] * BASE + BYTE_CODE_2[text[:, j]]
+        for o in range(SPAN + 1):
+            ok = np.flatnonzero((o <= lsize[some]) & (o >= LENGTH - rsize[some]))
+            hashes.append(sums[:, SPAN - o + LENGTH, ok] - sums[:, SPAN - o, ok] * BASE_LENGTH)
+            items.append(some[ok].astype(np.int32))
+            offs.append(np.full(len(ok), o, np.int8))
+    h, item, off = np.concatenate(hashes, axis=1), np.concatenate(items), np.concatenate(offs)
+    by = np.lexsort((h[1], h[0]))
+    h, item, off = h[:, by], item[by], off[by]
+    if not len(item):
+        return item.astype(np.int64), off.astype(np.int64)
+    heads = np.flatnonzero(np.concatenate([[True], (h[0, 1:] != h[0, :-1]) | (h[1, 1:] != h[1, :-1])]))
+    least = np.minimum.reduceat(key[item], heads)
+    hit = key[item] > np.repeat(least, np.diff(np.concatenate([heads, [len(item)]])))
+    return item[hit].astype(np.int64), off[hit].astype(np.int64)
+
+
 def _union(begin: np.ndarray, finish: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Spans in order of their start, those that meet made one."""
     reach = np.maximum.accumulate(finish)
