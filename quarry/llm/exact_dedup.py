@@ -70,22 +70,26 @@ class DedupStream:
             query = state.writeStream.outputMode("complete").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).foreachBatch(save).start()
             query.awaitTermination()
         if not last:  # nothing had arrived at all, or nothing new
-            done = spark.read.format("binaryFile").load(f"{root}/state/*/_SUCCESS").select("path").collect() if self._exists(f"{root}/state") else []
+            done = self._batches()
             if not done:
                 return spark.createDataFrame([], "digest string, keep_id long, group_size long, locator string")
-            last = [max((r["path"].rsplit("/", 1)[0] for r in done), key=lambda p: int(p.rsplit("=", 1)[1]))]
+            last = [f"{root}/state/batch={max(done)}"]
         return spark.read.parquet(last[0])
 
-    def _exists(self, path: str) -> bool:
-        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+    def _batches(self) -> list[int]:
+        """Numbers of the batches whose state was written to the end."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        top = path(f"{self.root}/state")
+        fs = top.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        names = [x.getPath().getName() for x in fs.listStatus(top)] if fs.exists(top) else []
+        return [int(n[6:]) for n in names if n.startswith("batch=") and fs.exists(path(f"{self.root}/state/{n}/_SUCCESS"))]
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, locator."""
     spark = docs.sparkSession
     root = fresh_path(spark, "exact-dedup")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.expr(NORMAL).alias("body"), F.expr("concat(input_file_name(), '#', coalesce(doc_id, 'null'))").alias("locator")).withColumn("digest", F.sha2("body", 256))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.expr(NORMAL).alias("body"), F.expr("concat(input_file_name(), '#', coalesce(cast(doc_id as string), 'null'))").alias("locator")).withColumn("digest", F.sha2("body", 256))
     rows.select("digest", "doc_id", "locator").write.parquet(f"{root}/arrivals")
     state = DedupStream(spark, f"{root}/arrivals", root).advance()
     arrived = spark.read.parquet(f"{root}/arrivals")

@@ -458,7 +458,7 @@ def _remains(left: pa.Table, right: pa.Table) -> pa.Table:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    parts = partitions_for(docs, GROUP_BYTES)
+    parts = partitions_for(docs, GROUP_BYTES, "text")
     packed = docs.select(F.expr(f"pmod(xxhash64(doc_id), {parts})").alias("grp"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_packer, "grp long, doc_id long, packed binary").repartition(parts, "grp")
     groups = packed.groupBy("grp")
     fingers = groups.applyInArrow(_fingerprints(parts), "bucket long, grp long, n long, blob binary")
