@@ -12,6 +12,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -54,8 +55,12 @@ def input_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
-def partitions_for(df: DataFrame, bytes_each: int) -> int:
-    """Enough partitions for ``bytes_each`` of input each, and no fewer than the session's."""
-    spark = df.sparkSession
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, min(1_000_000, -(-input_bytes(df) // bytes_each)))
+def partitions_for(df: DataFrame, bytes_each: int, column: str) -> int:
+    """Enough partitions for ``bytes_each`` of input each, and no fewer than the session's.
+
+    Where the optimizer knows no size (a table made from local rows), ``column`` is measured.
+    """
+    least, size = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), input_bytes(df)
+    if size >= 1 << 55:
+        size = df.select(F.sum(F.octet_length(column))).first()[0] or 0
+    return max(least, -(-size // bytes_each))
