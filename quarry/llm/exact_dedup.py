@@ -31,6 +31,8 @@ STATE = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+    # each store would set megabytes aside for its logs, however little it holds
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
