@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import scoring
-from quarry.operators import changes, consensus, graphs, health, markup, paths, ranking, text
+from quarry.operators import changes, condense, consensus, graphs, health, imports, markup, paths, ranking, text, views
 from quarry.scratch import read_table
 from quarry.streaming import memory
 
@@ -486,3 +486,62 @@ def stream_hourly(spark, d):
 s AS (SELECT user_id, ts, sum(head) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM o) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k""")
 def session_activity(spark, d):
     return read_table(spark, d, "events").groupBy("user_id", F.session_window(F.col("ts").cast("timestamp"), "30 minutes").alias("w")).agg(F.count("*").alias("n")).selectExpr("user_id", "cast(w.start as timestamp_ntz) as start", "n")
+
+
+# --- condensed forms, focus, import targets, views --------------------------------------------
+
+SKELETON = "WITH s AS (SELECT l_orderkey AS path, l_linenumber AS line_no, repeat(' ', CAST(floor(min(l_quantity)) AS INT) % 5) || min(l_returnflag) AS text, CAST(floor(min(l_quantity)) AS INT) % 5 AS width FROM lineitem GROUP BY 1, 2)"
+
+
+@query(SKELETON + """, r AS (SELECT *, dense_rank() OVER (PARTITION BY path ORDER BY width) > 2 AS cut FROM s),
+m AS (SELECT *, coalesce(lag(cut) OVER (PARTITION BY path ORDER BY line_no), false) AS before FROM r)
+SELECT path, line_no, CASE WHEN cut THEN '  …' ELSE text END AS text FROM m WHERE NOT (cut AND before)""")
+def depth_limit(spark, d):
+    rows = read_table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("path"), F.col("l_linenumber").alias("line_no")).agg(F.min("l_quantity").alias("q"), F.min("l_returnflag").alias("flag"))
+    return condense.depth_limit(rows.selectExpr("path", "line_no", "concat(repeat(' ', cast(floor(q) as int) % 5), flag) as text"), 2)
+
+
+@query("SELECT doc_id AS path, line_no, rtrim(text, ' ' || chr(9) || chr(13)) AS text FROM (SELECT doc_id, unnest(generate_series(1, len(string_split(text, chr(10))))) AS line_no, unnest(string_split(text, chr(10))) AS text FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL) WHERE NOT regexp_matches(text, '^[\\s{}()\\[\\];,]*$')")
+def compact_lines(spark, d):
+    return condense.compact(text.lines(doc_files(spark, d)).selectExpr("*", "'text' as language")).selectExpr("path", "line_no", "text")
+
+
+FOCUS = ["NATION_1", "REGION_1.NATION_1", "ASIA.CHINA", "asia", "CHINA", "_1", "an"]
+
+
+@query(f"""WITH n AS (SELECT r_name AS path, CAST(r_regionkey AS BIGINT) * 1000 AS node_id, r_name AS name, NULL AS parent FROM region UNION ALL SELECT r_name, CAST(r_regionkey AS BIGINT) * 1000 + 1 + n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey),
+f AS (SELECT *, unnest({FOCUS!r}) AS focus FROM n), t AS (SELECT *, CASE WHEN name = focus THEN 1 WHEN name = split_part(focus, '.', 2) AND parent = split_part(focus, '.', 1) THEN 2 WHEN contains(lower(name), lower(focus)) THEN 3 END AS tier FROM f)
+SELECT focus, path, node_id, name, tier FROM t WHERE tier IS NOT NULL QUALIFY tier = min(tier) OVER (PARTITION BY focus, path)""")
+def focus_nodes(spark, d):
+    r, n = read_table(spark, d, "region"), read_table(spark, d, "nation")
+    tops = r.selectExpr("r_name as path", "r_regionkey * 1000L as node_id", "r_name as name", "cast(array() as array<string>) as ancestors")
+    below = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).selectExpr("r_name as path", "r_regionkey * 1000L + 1 + n_nationkey as node_id", "n_name as name", "array(r_name) as ancestors")
+    return condense.focus(tops.unionByName(below), FOCUS)
+
+
+@query("""WITH f AS (SELECT DISTINCT p_brand || '/' || p_size || '.h' AS path FROM part), i AS (SELECT DISTINCT p_brand || '/' || p_size || '.h' AS src, p_brand AS dir, (p_size + 1) || '.h' AS name FROM part)
+SELECT src, dir || '/' || name AS dst FROM i JOIN f ON f.path = dir || '/' || name""")
+def import_targets(spark, d):
+    files = read_table(spark, d, "part").selectExpr("concat(p_brand, '/', p_size, '.h') as path", "concat('../', p_brand, '/./', p_size + 1, '.h') as name").distinct()
+    return graphs.import_edges(imports.candidates(files.selectExpr("path", "'cpp' as language", "name")), files.select("path").distinct())
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN s < 1024 THEN CASE WHEN s >= 10 THEN printf('%.1fB', s::DOUBLE) ELSE printf('%.0fB', s::DOUBLE) END
+WHEN s < 1048576 THEN CASE WHEN s / 1024 >= 10 THEN printf('%.1fKB', s / 1024::DOUBLE) ELSE printf('%.0fKB', s / 1024::DOUBLE) END
+WHEN s < 1073741824 THEN CASE WHEN s / 1048576 >= 10 THEN printf('%.1fMB', s / 1048576::DOUBLE) ELSE printf('%.0fMB', s / 1048576::DOUBLE) END
+ELSE CASE WHEN s / 1073741824 >= 10 THEN printf('%.1fGB', s / 1073741824::DOUBLE) ELSE printf('%.0fGB', s / 1073741824::DOUBLE) END END AS label
+FROM (SELECT l_orderkey, l_linenumber, CAST(floor(l_quantity) AS BIGINT) * CAST(floor(l_quantity) AS BIGINT) * (CAST(floor(l_extendedprice) AS BIGINT) % 977) * l_linenumber AS s FROM lineitem)""")
+def size_labels(spark, d):
+    s = "cast(floor(l_quantity) as bigint) * cast(floor(l_quantity) as bigint) * (cast(floor(l_extendedprice) as bigint) % 977) * l_linenumber as s"
+    return read_table(spark, d, "lineitem").selectExpr("l_orderkey", "l_linenumber", s).selectExpr("l_orderkey", "l_linenumber", f"{views.size_label('s')} as label")
+
+
+@query("SELECT l_orderkey, l_linenumber, concat_ws(' ', CASE WHEN l > 100 THEN 'L' || l END, CASE WHEN dp > 5 THEN 'D' || dp END, CASE WHEN b > 10 THEN 'B' || b END) AS label FROM (SELECT l_orderkey, l_linenumber, CAST(floor(l_quantity) AS BIGINT) * 5 AS l, l_partkey % 11 AS dp, l_suppkey % 23 AS b FROM lineitem)")
+def complexity_labels(spark, d):
+    rows = read_table(spark, d, "lineitem").selectExpr("l_orderkey", "l_linenumber", "cast(floor(l_quantity) as bigint) * 5 as l", "l_partkey % 11 as dp", "l_suppkey % 23 as b")
+    return rows.selectExpr("l_orderkey", "l_linenumber", f"{views.complexity_label('l', 'dp', 'b')} as label")
+
+
+@query("WITH r AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders) SELECT o_custkey, string_agg('o' || o_orderkey, ', ' ORDER BY o_orderkey) || CASE WHEN max(n) > 5 THEN ', ... (' || max(n) || ' total)' ELSE '' END AS line FROM r WHERE k <= 5 GROUP BY o_custkey")
+def compact_files(spark, d):
+    return views.compact_line(read_table(spark, d, "orders").selectExpr("o_custkey", "o_orderkey", "concat('o', o_orderkey) as name"), "o_custkey", "name", "o_orderkey")
