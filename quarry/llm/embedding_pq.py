@@ -1,7 +1,8 @@
 """Near-duplicate embeddings by product quantisation.
 
 Equal vectors under one label are one class.  Classes are normalised and filed in coarse inverted
-lists; the residual to the list's centre is coded by subspaces.  A class probes its nearest lists; in
+lists; the residual to the list's centre is coded by subspaces.  A class probes every list that can hold
+a link of it (``Quantiser.reached``), however many these are, so that no link is lost between lists; in
 each, distances to the stored codes are summed from per-subspace tables, and a class is a candidate
 when that distance is within the link distance plus the stored vector's own coding error, so that the
 codes themselves lose nothing (triangle inequality).  Candidates are ranked by their exact cosine in
@@ -29,7 +30,7 @@ COSINE = 0.93
 SUBSPACES, CODES = 8, 64
 #: Classes that centres and codebooks are fitted on, and coarse lists, at most.
 SAMPLE, LISTS = 16_384, 1024
-PROBES, BLOCK = 16, 1024
+BLOCK = 1024
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -69,6 +70,23 @@ class Quantiser:
         coded = np.concatenate([b[codes[:, k]] for k, b in enumerate(self.books)], axis=1)
         return codes.astype(np.uint8), np.sqrt(((rest - coded) ** 2).sum(axis=1))
 
+    def reached(self, x: np.ndarray, at: np.ndarray, reach: float) -> list[np.ndarray]:
+        """For each row of list ``at`` the lists, from its own on, that can hold a vector within ``reach``.
+
+        A vector of list c lies on c's side of the plane halfway between c and the row's own centre, so a
+        row farther than ``reach`` from that side has nothing there.  This holds from both ends of a link;
+        the end in the list of the lower number asks.
+        """
+        out, numbers = [], np.arange(len(self.centres))
+        square = (self.centres**2).sum(axis=1)
+        for i in range(0, len(x), 1024):
+            own = at[i : i + 1024]
+            d = square - 2 * x[i : i + 1024] @ self.centres.T
+            wide = np.sqrt(np.maximum(0.0, square[own][:, None] + square - 2 * self.centres[own] @ self.centres.T))
+            can = (d - d[np.arange(len(own)), own][:, None] <= 2 * wide * reach + 1e-6) & (numbers >= own[:, None])
+            out += [np.flatnonzero(row) for row in can]
+        return out
+
     def tables(self, x: np.ndarray, at: int) -> np.ndarray:
         """For each row and subspace the squared distance to every code of list ``at``."""
         rest = x - self.centres[at]
@@ -78,8 +96,9 @@ class Quantiser:
         return out
 
 
-def _filer(handle, probes: int):
-    """A class once as stored row (role 0) and once for each list that it probes (role 1)."""
+def _filer(handle, cosine: float):
+    """A class with its list, its codes and the lists that it probes."""
+    reach = np.sqrt(2 - 2 * cosine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = handle.value
@@ -88,17 +107,11 @@ def _filer(handle, probes: int):
             if not len(raw):
                 continue
             x = raw / np.linalg.norm(raw, axis=1, keepdims=True)
-            near = _nearest(x, q.centres, probes)
-            codes, error = q.encode(x, near[:, 0])
-            n, k = len(x), near.shape[1]
-            rows = np.concatenate([np.arange(n), np.repeat(np.arange(n), k)])
-            role = np.concatenate([np.zeros(n, np.int32), np.ones(n * k, np.int32)])
-            cell = np.concatenate([near[:, 0], near.reshape(-1)])
-            take = pa.array(rows)
-            packed = [c.tobytes() for c in codes]
+            cell = _nearest(x, q.centres, 1)[:, 0]
+            codes, error = q.encode(x, cell)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("rep").take(take), batch.column("label").take(take), pa.array(cell, pa.int64()), pa.array(role), batch.column("embedding").take(take), pa.array([packed[i] if r == 0 else None for i, r in zip(rows, role, strict=True)], pa.binary()), pa.array(np.where(role == 0, error[rows], 0.0))],
-                names=["rep", "label", "cell", "role", "embedding", "codes", "error"],
+                [batch.column("rep"), batch.column("label"), pa.array(cell, pa.int64()), batch.column("embedding"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), pa.array(q.reached(x, cell, reach), pa.list_(pa.int64()))],
+                names=["rep", "label", "cell", "embedding", "codes", "error", "probes"],
             )
 
     return run
@@ -129,7 +142,7 @@ def _searcher(handle, cosine: float):
     return run
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = COSINE, probes: int = PROBES) -> DataFrame:
+def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """One row per row of ``vectors`` (vec_id, embedding, label): vec_id, n_links, component_id, kept."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), "label")
@@ -146,12 +159,13 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, probes: int = PR
     share = int(1_000_000 * min(1.0, SAMPLE / max(1, n)))
     sample = np.array([r["embedding"] for r in classes.where(F.expr(f"pmod(xxhash64(rep), 1000000) <= {share}")).select("embedding").limit(2 * SAMPLE).collect()], np.float64)
     handle = spark.sparkContext.broadcast(Quantiser(sample / np.linalg.norm(sample, axis=1, keepdims=True), min(LISTS, max(1, int(np.sqrt(n) / 4)))))
-    filed = staged(classes.select("rep", "label", "embedding").mapInArrow(_filer(handle, probes), f"rep long, label {dict(rows.dtypes)['label']}, cell long, role int, embedding array<double>, codes binary, error double"), "pq-filed")
-    blocks = filed.groupBy("label", "cell").agg(F.expr(f"cast(ceil(sum(1 - role) / {BLOCK}) as int)").alias("db"), F.expr(f"cast(ceil(sum(role) / {4 * BLOCK}) as int)").alias("qb"))
-    dealt = filed.join(blocks, ["label", "cell"])
+    filed = staged(classes.select("rep", "label", "embedding").mapInArrow(_filer(handle, cosine), f"rep long, label {dict(rows.dtypes)['label']}, cell long, embedding array<double>, codes binary, error double, probes array<long>"), "pq-filed")
+    asking = filed.select("rep", "label", F.explode("probes").alias("cell"), "embedding")
+    held = filed.groupBy("label", "cell").agg(F.expr(f"cast(ceil(count(*) / {BLOCK}) as int)").alias("db"))
+    blocks = held.join(asking.groupBy("label", "cell").agg(F.expr(f"cast(ceil(count(*) / {4 * BLOCK}) as int)").alias("qb")), ["label", "cell"])
     own = "cast(pmod(xxhash64(rep), {}) as int)"
-    stored = dealt.where("role = 0 and qb > 0").select("*", F.expr(own.format("db")).alias("d"), F.explode(F.expr("sequence(0, qb - 1)")).alias("q"))
-    asked = dealt.where("role = 1 and db > 0").select("*", F.expr(own.format("qb")).alias("q"), F.explode(F.expr("sequence(0, db - 1)")).alias("d"))
+    stored = filed.drop("probes").join(blocks, ["label", "cell"]).select("*", F.expr(own.format("db")).alias("d"), F.explode(F.expr("sequence(0, qb - 1)")).alias("q"))
+    asked = asking.join(blocks, ["label", "cell"]).select("*", F.expr(own.format("qb")).alias("q"), F.explode(F.expr("sequence(0, db - 1)")).alias("d"))
     stored, asked = stored.toDF(*stored.columns), asked.toDF(*asked.columns)
     key = ["label", "cell", "d", "q"]
     pairs = stored.groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(_searcher(handle, cosine), "u long, v long")

@@ -109,6 +109,21 @@ def test_op3_equals_brute_force(spark):
     assert got[105]["component_id"] == 0 and not got[105]["kept"]
 
 
+def test_op3_finds_links_of_a_dense_group_over_many_lists(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    heart = rng.normal(size=12)
+    spread = rng.normal(size=(800, 12))
+    dense = heart / np.linalg.norm(heart) + rng.normal(size=(1600, 12)) * 0.045
+    x = np.concatenate([spread, dense])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    made = []
+    monkeypatch.setattr(embedding_pq.Quantiser, "__init__", lambda q, sample, lists, make=embedding_pq.Quantiser.__init__: made.append(q) or make(q, sample, 60))
+    got = {r["vec_id"]: r["n_links"] for r in embedding_pq.near_duplicates(spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")).collect()}
+    near = x @ x.T >= 0.93
+    assert len(made[0].centres) == 60 and near[800:, 800:].mean() > 0.9
+    assert [got[i] for i in range(len(x))] == (near.sum(axis=1) - 1).tolist()
+
+
 def test_op4_learns_words_and_misspellings(spark):
     terms = ["idiot", "disgusting", "pathetic", "worthless"]
     docs = [(i, f"plain text number {i} about things" if i % 5 else f"you {terms[i % 4]} and {terms[(i // 5) % 4]} about things {i}") for i in range(400)]
