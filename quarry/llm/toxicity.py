@@ -3,7 +3,9 @@
 The lexicon is learned from labelled documents: whole words, and beginnings of words for languages that
 compound, that toxic documents hold and others do not.  It is kept as a trie.  A word is looked up in
 the product of that trie and the Levenshtein automaton, so a misspelled term is found in one walk over
-its letters and without listing its variants.  Around each hit a window is scored: quotation marks and words of
+its letters and without listing its variants.  Beginnings stand in the same trie, and so do the forms in
+which they were learned, as longer beginnings: after one within its budget of edits any rest is accepted.
+Words that clean documents hold are no misspellings of them.  Around each hit a window is scored: quotation marks and words of
 reporting speak for quotation, address in the second person and further hits for abuse.  The score is
 a logistic model over hits (exact, by beginning, misspelled), their density and these windows.
 
@@ -18,7 +20,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,35 +42,38 @@ CACHE_WORDS = 200_000
 
 
 def budget(term: str) -> int:
-    """Edits within which a whole-word term is met: none in short ones, two in long ones."""
+    """Edits within which a term is met, be it a word or a beginning: none in short ones, two in long ones."""
     return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
 
 
 class Automaton:
     """The product of a lexicon trie and the Levenshtein automaton, made deterministic as it is used.
 
-    A state is a set of (trie node, edits so far), with the least edits of each node.  Transitions are
+    A state is a set of (trie node, edits so far), with the least edits of each node, and the best beginning
+    met so far, which any rest leaves standing.  Transitions are
     kept by (state, letter), all letters outside the lexicon being one, so that a word costs a look-up
     for each letter once its states are known.
     """
 
     STATES = 50_000
 
-    def __init__(self, terms: dict[str, float]):
+    def __init__(self, terms: Iterable[str], beginnings: Iterable[str] = ()):
         self.next: list[dict[str, int]] = [{}]
         self.term: list[str | None] = [None]
+        self.start: list[str | None] = [None]
         self.limit = [0]  # the largest budget below a node
-        for term in terms:
+        for term, ends in [*((t, self.term) for t in terms), *((t, self.start) for t in beginnings)]:
             node, path = 0, [0]
             for c in term:
                 if c not in self.next[node]:
                     self.next[node][c] = len(self.next)
                     self.next.append({})
                     self.term.append(None)
+                    self.start.append(None)
                     self.limit.append(0)
                 node = self.next[node][c]
                 path.append(node)
-            self.term[node] = term
+            ends[node] = term
             for n in path:
                 self.limit[n] = max(self.limit[n], budget(term))
         self.letters = {c for by in self.next for c in by}
@@ -79,21 +84,24 @@ class Automaton:
         self.states: list[tuple] = []
         self.found: list[tuple[int, str] | None] = []
         self.moves: list[dict[str, int]] = []
-        self._number({0: 0})
+        self._number({0: 0}, None)
 
-    def _number(self, reached: dict[int, int]) -> int:
+    def _number(self, reached: dict[int, int], begun: tuple[int, str] | None) -> int:
         work = list(reached.items())
         for node, e in work:  # letters of the term that the word leaves out
             for child in self.next[node].values():
                 if e + 1 <= self.limit[child] and reached.get(child, 99) > e + 1:
                     reached[child] = e + 1
                     work.append((child, e + 1))
-        key = tuple(sorted(reached.items()))
+        met = [(e, t) for n, e in reached.items() if (t := self.start[n]) is not None and e <= budget(t)]
+        begun = min(met + [begun] if begun else met, default=None)
+        key = tuple(sorted(reached.items())), begun
         if key not in self.numbers:
             self.numbers[key] = len(self.states)
             self.states.append(key)
             self.moves.append({})
-            self.found.append(min(((e, t) for n, e in key if (t := self.term[n]) is not None and e <= budget(t)), default=None))
+            whole = [(e, t) for n, e in reached.items() if (t := self.term[n]) is not None and e <= budget(t)]
+            self.found.append(min(whole + [begun] if begun else whole, default=None))
         return self.numbers[key]
 
     def _move(self, state: int, c: str) -> int:
@@ -103,11 +111,12 @@ class Automaton:
             if e <= self.limit[node] and reached.get(node, 99) > e:
                 reached[node] = e
 
-        for node, e in self.states[state]:
+        nodes, begun = self.states[state]
+        for node, e in nodes:
             reach(node, e + 1)
             for letter, child in self.next[node].items():
                 reach(child, e + (letter != c))
-        self.moves[state][c] = self._number(reached)
+        self.moves[state][c] = self._number(reached, begun)
         return self.moves[state][c]
 
     def look(self, word: str) -> tuple[str, int] | None:
@@ -119,13 +128,13 @@ class Automaton:
             c = c if c in self.letters else ""
             new = self.moves[state].get(c)
             state = self._move(state, c) if new is None else new
-            if not self.states[state]:
-                return None
+            if not self.states[state][0]:
+                break
         got = self.found[state]
         return (got[1], got[0]) if got else None
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k in ("next", "term", "limit", "letters")}
+        return {k: v for k, v in self.__dict__.items() if k in ("next", "term", "start", "limit", "letters")}
 
     def __setstate__(self, kept: dict) -> None:
         self.__dict__.update(kept)
@@ -133,9 +142,12 @@ class Automaton:
 
 
 class Lexicon:
-    def __init__(self, words: dict[str, float], beginnings: dict[str, float]):
-        self.words, self.beginnings = words, beginnings
-        self.automaton = Automaton(words)
+    """``forms`` are words by which beginnings were learned; ``known`` are words that are no misspellings."""
+
+    def __init__(self, words: dict[str, float], beginnings: dict[str, float], forms: dict[str, float] | None = None, known: frozenset[str] = frozenset()):
+        self.words, self.beginnings, self.known = words, beginnings, known
+        self.misspelled = {**(forms or {}), **beginnings, **words}
+        self.automaton = Automaton(words, {**beginnings, **(forms or {})})
         self.clean: set[str] = set()
 
     def look(self, word: str) -> tuple[int, float] | None:
@@ -146,8 +158,8 @@ class Lexicon:
             for n in BEGINNINGS:
                 if word[:n] in self.beginnings:
                     return 1, self.beginnings[word[:n]]
-            if found := self.automaton.look(word):
-                return 2, self.words[found[0]]
+            if word not in self.known and (found := self.automaton.look(word)):
+                return 2, self.misspelled[found[0]]
         if len(self.clean) > CACHE_WORDS:
             self.clean.clear()
         self.clean.add(word)
@@ -216,7 +228,12 @@ def learn_lexicon(texts: list[str], toxic: np.ndarray) -> Lexicon:
             where = {t: x for t, x in where.items() if not t.startswith(term[:-1])}
         else:  # beginnings that hold little else are no news either
             where = {t: x for t, x in where.items() if not (t.endswith("*") and term.startswith(t[:-1]) and len(x) <= 1.25 * len(at))}
-    return Lexicon(words, starts)
+    forms = {w: starts[w[:n]] for bag, y in zip(bags, toxic, strict=True) if y for w in bag for n in reversed(BEGINNINGS) if len(w) > n and w[:n] in starts}
+    lexicon, whole = Lexicon(words, starts, forms), Automaton(words)
+    # a word that clean documents hold, by the rule for terms, is no misspelling of a beginning
+    fuzzy = {w for w in set().union(*bags) if (hit := lexicon.look(w)) and hit[0] == 2 and not whole.look(w)}
+    toxic_n, clean_n = (Counter(w for bag, y in zip(bags, toxic, strict=True) if bool(y) == side for w in bag & fuzzy) for side in (True, False))
+    return Lexicon(words, starts, forms, frozenset(w for w in fuzzy if clean_n[w] * len(held) > 0.02 * toxic_n[w] * n_clean))
 
 
 def learn_weights(x: np.ndarray, y: np.ndarray, rounds: int = 400) -> np.ndarray:

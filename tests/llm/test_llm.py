@@ -154,6 +154,36 @@ def test_op4_automaton_is_the_edit_distance(word):
     assert toxicity.Automaton(terms).look(word) == (want and (want[1], want[0]))
 
 
+def test_op4_meets_misspellings_of_beginnings(spark):
+    forms = ["idiot", "idiots", "idiotic", "idiotism"]
+    docs = [(i, f"plain text number {i} about things" if i % 5 else f"you {forms[i // 5 % 4]} of things {i}") for i in range(400)]
+    labels = [(i, 1, int(i % 5 == 0)) for i in range(400)]
+    odd = [(900, "you idi0t of things"), (901, "you idi0tisch of things"), (902, "you idjotic of things"), (903, "you idle of things"), (904, "you riot of things")]
+    lexicon = toxicity.learn_lexicon([t for _, t in docs], np.array([y for *_, y in labels]))
+    assert lexicon.words == {} and list(lexicon.beginnings) == ["idio"]
+    d = spark.createDataFrame(docs + odd, "doc_id long, text string")
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score(d, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    assert [got[i] for i, _ in odd] == [1, 1, 1, 0, 0]
+    assert all(got[i] == int(i % 5 == 0) for i in range(400))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("abcdeo", min_size=1, max_size=9))
+def test_op4_automaton_accepts_any_rest_after_a_beginning(word):
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(row[-1] + 1, last[j] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    whole, begin = ["decade", "bead"], ["abode", "abcdeabcd", "deco"]
+    near = [(distance(word, t), t) for t in whole] + [(min(distance(word[:k], t) for k in range(len(word) + 1)), t) for t in begin]
+    near = [(e, t) for e, t in near if e <= toxicity.budget(t)]
+    assert toxicity.Automaton(whole, begin).look(word) == ((min(near)[1], min(near)[0]) if near else None)
+
+
 def shingles(t, w=4):
     ws = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     return {tuple(ws[i : i + w]) for i in range(len(ws) - w + 1)} or ({tuple(ws)} if ws else set())
