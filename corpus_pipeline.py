@@ -25,8 +25,12 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = minhash_forest.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    # a doc_id may be repeated, so a row is named by it and its text
+    text = "unhex(sha2(coalesce(text, ''), 256))"
+    rows = minhash_forest.grouped(docs, key=text).where("comp is not null and doc_id is not null")
+    first = rows.groupBy("comp").agg(F.min(F.struct("doc_id", "key")).alias("first"))
+    gone = rows.join(first, "comp").where("doc_id <> first.doc_id or key <> first.key").select("doc_id", F.col("key").alias("__key")).distinct()
+    return docs.withColumn("__key", F.expr(text)).join(gone, ["doc_id", "__key"], "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

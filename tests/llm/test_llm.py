@@ -357,3 +357,16 @@ def test_pipeline_keeps_and_drops(spark, tmp_path):
     assert sorted(r["doc_id"] for r in d.collect()) == list(range(4, 40))
     packed = corpus_pipeline.run(spark, str(tmp_path))
     assert packed.agg({"length": "sum"}).first()[0] > 0
+
+
+def test_pipeline_near_copies_with_repeated_doc_ids(spark):
+    import corpus_pipeline
+
+    words = [[f"{x}{i}" for i in range(40)] for x in "abc"]
+    texts = [" ".join(w) for w in words]
+    near = [" ".join([*w[:-1], "end"]) for w in words]
+    # 2 is a near copy of 1 and an own text; both of 3 are near copies of each other; the null id is kept
+    table = [(1, texts[0]), (2, near[0]), (2, texts[1]), (3, texts[2]), (3, near[2]), (4, None), (None, near[1])]
+    kept = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(table, "doc_id long, text string"), "")
+    first = min(texts[2], near[2], key=lambda t: hashlib.sha256(t.encode()).digest())
+    assert rows(kept) == sorted([(1, texts[0]), (2, texts[1]), (3, first), (4, None), (None, near[1])], key=repr)
