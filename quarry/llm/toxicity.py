@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -192,8 +193,8 @@ class Lexicon:
 
 def learn_lexicon(texts: list[str], toxic: np.ndarray) -> Lexicon:
     """Greedy cover: the term that most toxic texts with fewer than COVER terms hold, clean ones do not."""
-    bags = [set(WORD.findall((t or "").lower())) for t in texts]
-    held = [{w for w in bag if len(w) >= 4} | {w[:n] + "*" for w in bag for n in BEGINNINGS if len(w) > n} for bag, y in zip(bags, toxic, strict=True) if y]
+    bags = [set(map(sys.intern, WORD.findall((t or "").lower()))) for t in texts]  # one copy of a word
+    held = [{w for w in bag if len(w) >= 4} | {sys.intern(w[:n] + "*") for w in bag for n in BEGINNINGS if len(w) > n} for bag, y in zip(bags, toxic, strict=True) if y]
     least = max(3, 0.004 * len(held))
     often = {t: n for t, n in Counter(t for got in held for t in got).items() if n >= least}
     starts = {t[:-1] for t in often if t.endswith("*")}
@@ -231,7 +232,7 @@ def learn_lexicon(texts: list[str], toxic: np.ndarray) -> Lexicon:
     forms = {w: starts[w[:n]] for bag, y in zip(bags, toxic, strict=True) if y for w in bag for n in reversed(BEGINNINGS) if len(w) > n and w[:n] in starts}
     lexicon, whole = Lexicon(words, starts, forms), Automaton(words)
     # a word that clean documents hold, by the rule for terms, is no misspelling of a beginning
-    fuzzy = {w for w in set().union(*bags) if (hit := lexicon.look(w)) and hit[0] == 2 and not whole.look(w)}
+    fuzzy = {w for w in set().union(*bags) if not whole.look(w) and (hit := lexicon.look(w)) and hit[0] == 2}
     toxic_n, clean_n = (Counter(w for bag, y in zip(bags, toxic, strict=True) if bool(y) == side for w in bag & fuzzy) for side in (True, False))
     return Lexicon(words, starts, forms, frozenset(w for w in fuzzy if clean_n[w] * len(held) > 0.02 * toxic_n[w] * n_clean))
 
