@@ -370,3 +370,44 @@ def test_pipeline_near_copies_with_repeated_doc_ids(spark):
     kept = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(table, "doc_id long, text string"), "")
     first = min(texts[2], near[2], key=lambda t: hashlib.sha256(t.encode()).digest())
     assert rows(kept) == sorted([(1, texts[0]), (2, texts[1]), (3, first), (4, None), (None, near[1])], key=repr)
+
+
+def test_pipeline_run_equals_brute_force(spark, tmp_path):
+    import corpus_pipeline
+
+    insults = ["idiot", "disgusting", "pathetic", "worthless"]
+    table = []
+    for i in range(400):
+        if i % 5 == 0:
+            text = f"you {insults[i // 5 % 4]} and {insults[i // 25 % 4]} about things {i}"
+        else:
+            text = {1: BASE, 2: BASE.upper(), 3: BASE.replace("term59", "other")}.get(i, f"plain text number {i} about things")
+        table.append((i, text, "en", f"s{i % 3}", 1))
+    spark.createDataFrame(table, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(400)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    clean = [r for r in table if r[0] % 5]
+    largest = {r[1].lower(): r for r in clean}  # ascending, so the largest doc_id stays
+    left = sorted(largest.values())
+    comps = components([shingles(r[1]) for r in left])
+    kept = [r for k, r in enumerate(left) if comps.index(comps[k]) == k]
+    size, weight = Counter(), {"s0": 5, "s1": 2, "s2": 1}
+    for _, text, _, source, _ in kept:
+        size[source] += len(shwords(text))
+    total, capped = 1.5 * sum(size.values()), set()
+    while True:
+        free = [s for s in size if s not in capped]
+        rest = total - sum(2.0 * size[s] for s in capped)
+        target = {s: rest * weight[s] / sum(weight[f] for f in free) for s in free} | {s: 2.0 * size[s] for s in capped}
+        if not (over := {s for s in free if target[s] > 2 * size[s] + 1e-9}):
+            break
+        capped |= over
+    tok, want = bpe.loaded(bpe.default_path()).whole, Counter()
+    for i, text, _, source, _ in kept:
+        rate = target[source] / size[source]
+        draw = int(hashlib.sha256(f"{i}:mix-1".encode()).hexdigest()[:13], 16) / 2**52
+        ids = np.array(tok.encode(text, add_special_tokens=False).ids + [1], "<u4")
+        want[i, 0, len(ids), zlib.crc32(ids.tobytes()), len(ids)] += int(rate) + (draw < rate - int(rate))
+    got = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
+    assert Counter((int(r.doc_id), r.start, r.length, r.ids_crc32, r.doc_tokens) for r in got.itertuples()) == +want
+    for _, s in got.sort_values("offset").groupby("sequence_id"):
+        assert list(s["offset"]) == [0, *np.cumsum(s["length"])[:-1]] and s["length"].sum() <= 2048
