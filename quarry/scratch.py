@@ -2,7 +2,9 @@
 
 Lineage is cut by writing a table to ``spark.checkpoint.dir`` and reading it back, so a lost
 executor costs a re-read and not a recomputation.  The setting is taken from the session; only
-where a session has none (tests, notebooks) a folder of this user's own is set.
+where a session on one machine has none (tests, notebooks) a folder of this user's own is set, and a
+cluster without the setting is an error.  All tables of an application lie in one folder (``clear``),
+and those made inside a ``scope`` are deleted at its end.
 """
 
 from __future__ import annotations
@@ -10,15 +12,22 @@ from __future__ import annotations
 import getpass
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Paths made by each open scope.
+_scopes: list[list[str]] = []
+
 
 def shared_root(spark: SparkSession) -> str:
     """The shared folder, as a URL that Spark can read and write."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = f"file://{tempfile.gettempdir()}/quarry-{getpass.getuser()}"
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -26,7 +35,35 @@ def shared_root(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path under the shared folder that no other run uses."""
-    return f"{shared_root(spark)}/quarry/{name}-{uuid.uuid4().hex}"
+    path = f"{_own_root(spark)}/{name}-{uuid.uuid4().hex}"
+    for made in _scopes[-1:]:
+        made.append(path)
+    return path
+
+
+def _own_root(spark: SparkSession) -> str:
+    return f"{shared_root(spark)}/quarry/{spark.sparkContext.applicationId}"
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that this application has staged; no DataFrame that reads one may be used again."""
+    delete(spark, _own_root(spark))
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables staged inside are deleted at the end, when what was made from them has been written."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            delete(spark, path)
 
 
 def staged(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
@@ -39,10 +76,8 @@ def staged(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
 
 def discard(spark: SparkSession, df: DataFrame) -> None:
     """Delete the files of a staged table that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
     for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(parent)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        delete(spark, parent)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,3 +99,9 @@ def partitions_for(df: DataFrame, bytes_each: int, column: str) -> int:
     if size >= 1 << 55:
         size = df.select(F.sum(F.octet_length(column))).first()[0] or 0
     return max(least, -(-size // bytes_each))
+
+
+def joined(large: DataFrame, small: DataFrame, on: list[str], how: str, most: int) -> DataFrame:
+    """A join that leaves ``large`` where it lies if ``small``, a staged table, is counted to ``most`` rows at
+    most; beyond that both sides are dealt by the key."""
+    return large.join(F.broadcast(small) if small.count() <= most else small, on, how)
