@@ -1,7 +1,7 @@
 """Near-duplicate embeddings by product quantisation.
 
 Equal vectors under one label are one class.  Classes are normalised and filed in coarse inverted
-lists; the residual to the list's centre is coded by subspaces.  A class probes every list that can hold
+lists, about as many as the square root of the classes; the residual to the list's centre is coded by subspaces.  A class probes every list that can hold
 a link of it (``Quantiser.reached``), however many these are, so that no link is lost between lists; in
 each, distances to the stored codes are summed from per-subspace tables, and a class is a candidate
 when that distance is within the link distance plus the stored vector's own coding error, so that the
@@ -9,9 +9,17 @@ codes themselves lose nothing (triangle inequality).  Candidates are ranked by t
 double precision.  Centres and codebooks are fitted on a bounded sample; every class is filed.
 
 Lists that hold much are cut into blocks, and the probing classes too, so that a task holds a block of
-each.  Defined results: a vector that is null, zero, of another dimension than the most common one, or
-holds null or non-finite components links with nothing, and so does one without a label; repeated rows
-are vectors of their own that link with one another; further columns are ignored.
+each.  A task does not hand on pairs: it counts the links of each class on either side, and hands on a
+spanning set of them, so what it gives is no more than what it was given.
+
+Centres and codebooks live in the space of the most common dimension; a vector of another dimension is
+filed by its leading coordinates (or zeros after them), which brings vectors nearer together, never
+farther apart, so the bounds above still lose nothing.  It is compared with vectors of its own dimension.
+
+Defined results: a vector that is null, zero, or holds null or non-finite components links with nothing,
+and so does one without a label; a cosine of exactly the bound is a link; repeated rows are vectors of
+their own that link with one another; a null vec_id takes part and never names a component; an empty
+table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,12 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.graph import components
+from quarry.llm.sampling import sampled
 from quarry.scratch import staged
 
 COSINE = 0.93
 SUBSPACES, CODES = 8, 64
-#: Classes that centres and codebooks are fitted on, and coarse lists, at most.
-SAMPLE, LISTS = 16_384, 1024
+#: Coarse lists at most (what a worker holds of them is 8 bytes for each and dimension), and classes that
+#: centres and codebooks are fitted on: so many at least, and so many for each list.
+LISTS, SAMPLE, SAMPLE_A_LIST = 1 << 14, 16_384, 16
 BLOCK = 1024
 
 
@@ -96,86 +106,148 @@ class Quantiser:
         return out
 
 
+def _normal(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one dimension as rows of length 1, in double precision."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _fitted(x: np.ndarray, width: int) -> np.ndarray:
+    """The leading ``width`` coordinates, zeros where there are fewer."""
+    return x[:, :width] if x.shape[1] >= width else np.pad(x, ((0, 0), (0, width - x.shape[1])))
+
+
 def _filer(handle, cosine: float):
     """A class with its list, its codes and the lists that it probes."""
     reach = np.sqrt(2 - 2 * cosine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = handle.value
-        for batch in batches:
-            raw = np.array(batch.column("embedding").to_pylist(), np.float64)
-            if not len(raw):
-                continue
-            x = raw / np.linalg.norm(raw, axis=1, keepdims=True)
-            cell = _nearest(x, q.centres, 1)[:, 0]
-            codes, error = q.encode(x, cell)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("rep"), batch.column("label"), pa.array(cell, pa.int64()), batch.column("embedding"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), pa.array(q.reached(x, cell, reach), pa.list_(pa.int64()))],
-                names=["rep", "label", "cell", "embedding", "codes", "error", "probes"],
-            )
+        for whole in batches:
+            dims = whole.column("dim").to_numpy(zero_copy_only=False)
+            for dim in np.unique(dims):
+                batch = whole.filter(pa.array(dims == dim))
+                x = _fitted(_normal(batch.column("embedding")), q.centres.shape[1])
+                cell = _nearest(x, q.centres, 1)[:, 0]
+                codes, error = q.encode(x, cell)
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns, pa.array(cell, pa.int64()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), pa.array(q.reached(x, cell, reach), pa.list_(pa.int64()))],
+                    names=[*batch.schema.names, "cell", "codes", "error", "probes"],
+                )
 
     return run
 
 
+def _spanning(n: int, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the links (u, v) among ``n`` rows that a forest keeps."""
+    root = np.arange(n)
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    keep = np.zeros(len(u), bool)
+    for k in range(len(u)):
+        a, b = find(u[k]), find(v[k])
+        if a != b:
+            root[b] = a
+            keep[k] = True
+    return u[keep], v[keep]
+
+
 def _searcher(handle, cosine: float):
+    """For a block of a list and a block of classes that probe it: (u, v, n) where v is null: n vectors that u
+    links with here; else a link of the spanning set."""
     reach = np.sqrt(2 - 2 * cosine)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        us, vs = [], []
+        u, v, n = [], [], []
         if left.num_rows and right.num_rows:
             q, at = handle.value, left.column("cell")[0].as_py()
-            stored, asked = (np.array(t.column("embedding").to_pylist(), np.float64) for t in (left, right))
-            stored, asked = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (stored, asked))
-            sid, aid = (t.column("rep").to_numpy() for t in (left, right))
+            stored, asked = _normal(left.column("embedding")), _normal(right.column("embedding"))
+            short = _fitted(asked, q.centres.shape[1])
+            sid, aid = (t.column("rep").to_pylist() for t in (left, right))
+            held = {r: k for k, r in enumerate(sid)}
+            own = np.array([held.get(r, -1) for r in aid])  # the same class on both sides
+            inside = right.column("home").to_numpy() == at  # such pairs are met from either end
+            ws, wa = (t.column("weight").to_numpy() for t in (left, right))
             codes = np.stack([np.frombuffer(c, np.uint8) for c in left.column("codes").to_pylist()])
             limit = (reach + left.column("error").to_numpy() + 1e-6) ** 2
+            links_a, links_s = np.zeros(len(asked), np.int64), np.zeros(len(stored), np.int64)
+            ties: list[tuple[np.ndarray, np.ndarray]] = []
             for i in range(0, len(asked), 256):
-                tables = q.tables(asked[i : i + 256], at)
+                tables = q.tables(short[i : i + 256], at)
                 d = sum(tables[:, k, codes[:, k]] for k in range(codes.shape[1]))
-                a, s = np.nonzero((d <= limit[None]) & (aid[i : i + 256, None] != sid[None]))
-                exact = (asked[i + a] * stored[s]).sum(axis=1) >= cosine
-                us.append(aid[i + a[exact]])
-                vs.append(sid[s[exact]])
-        u, v = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (us, vs))
-        return pa.table({"u": np.minimum(u, v), "v": np.maximum(u, v)})
+                a, s = np.nonzero((d <= limit[None]) & (own[i : i + 256, None] != np.arange(len(stored))[None]))
+                exact = np.concatenate([(asked[i + a[j : j + 65536]] * stored[s[j : j + 65536]]).sum(axis=1) >= cosine for j in range(0, len(a), 65536)]) if len(a) else np.zeros(0, bool)
+                a, s = i + a[exact], s[exact]
+                np.add.at(links_a, a, ws[s])
+                np.add.at(links_s, s[~inside[a]], wa[a[~inside[a]]])
+                if len(a):  # the first link of each row, then what these leave apart
+                    ties.append((a, s))
+                    if sum(len(x) for x, _ in ties) > 4 * (len(asked) + len(stored)):
+                        ties = [_thinned(len(asked), len(stored), ties)]
+            for ids, links in ((aid, links_a), (sid, links_s)):
+                for k in np.flatnonzero(links):
+                    u.append(ids[k])
+                    v.append(None)
+                    n.append(int(links[k]))
+            if ties:
+                for a, s in zip(*_thinned(len(asked), len(stored), ties), strict=True):
+                    u.append(aid[a])
+                    v.append(sid[s])
+                    n.append(0)
+        return pa.table([pa.array(u, pa.binary()), pa.array(v, pa.binary()), pa.array(n, pa.int64())], names=["u", "v", "n"])
 
     return run
 
 
+def _thinned(n: int, m: int, ties: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of links between ``n`` asking and ``m`` stored rows."""
+    a, s = (np.concatenate(x) for x in zip(*ties, strict=True))
+    u, v = _spanning(n + m, a, n + s)
+    return u, v - n
+
+
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """One row per row of ``vectors`` (vec_id, embedding, label): vec_id, n_links, component_id, kept."""
     spark = vectors.sparkSession
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), "label")
-    finite = "forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(embedding, x -> x <> 0)"
-    dims = rows.where(f"embedding is not null and label is not null and {finite}").groupBy(F.size("embedding").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
-    if not dims:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    fit = f"coalesce(embedding is not null and label is not null and size(embedding) = {dims[0]['dim']} and {finite}, false)"
-    rows = rows.withColumn("fit", F.expr(fit))
-    # a class is named by a number of its own, not by a vec_id, which may be null or repeated
-    classes = rows.where("fit").groupBy("label", "embedding").agg(F.count("*").alias("weight")).withColumn("rep", F.xxhash64("label", "embedding"))
+    # single precision is kept as it is: half the bytes, the same numbers
+    kind = "array<float>" if dict(vectors.dtypes)["embedding"] == "array<float>" else "array<double>"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding"), "label")
+    fit = "coalesce(label is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(embedding, x -> x <> 0), false)"
+    # a class is named by 128 bits of its own, not by a vec_id, which may be null or repeated
+    name = "unhex(concat(lpad(hex(xxhash64(label, embedding)), 16, '0'), lpad(hex(xxhash64('class', label, embedding)), 16, '0')))"
+    rows = rows.withColumn("rep", F.expr(f"case when {fit} then {name} end"))
+    classes = rows.where("rep is not null").groupBy("rep").agg(F.first("label").alias("label"), F.first("embedding").alias("embedding"), F.count("*").alias("weight")).withColumn("dim", F.size("embedding"))
     classes = staged(classes, "pq-classes")
     n = classes.count()
-    share = int(1_000_000 * min(1.0, SAMPLE / max(1, n)))
-    sample = np.array([r["embedding"] for r in classes.where(F.expr(f"pmod(xxhash64(rep), 1000000) <= {share}")).select("embedding").limit(2 * SAMPLE).collect()], np.float64)
-    handle = spark.sparkContext.broadcast(Quantiser(sample / np.linalg.norm(sample, axis=1, keepdims=True), min(LISTS, max(1, int(np.sqrt(n) / 4)))))
-    filed = staged(classes.select("rep", "label", "embedding").mapInArrow(_filer(handle, cosine), f"rep long, label {dict(rows.dtypes)['label']}, cell long, embedding array<double>, codes binary, error double, probes array<long>"), "pq-filed")
-    asking = filed.select("rep", "label", F.explode("probes").alias("cell"), "embedding")
-    held = filed.groupBy("label", "cell").agg(F.expr(f"cast(ceil(count(*) / {BLOCK}) as int)").alias("db"))
-    blocks = held.join(asking.groupBy("label", "cell").agg(F.expr(f"cast(ceil(count(*) / {4 * BLOCK}) as int)").alias("qb")), ["label", "cell"])
+    if not n:
+        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    common = classes.groupBy("dim").count().orderBy(F.desc("count"), "dim").first()
+    lists = min(LISTS, max(1, int(np.sqrt(n))))
+    fitting = sampled(classes.where(F.col("dim") == common["dim"]), "rep", "quantiser", max(SAMPLE, SAMPLE_A_LIST * lists), common["count"]).orderBy("rep").select("embedding").toArrow()
+    handle = spark.sparkContext.broadcast(Quantiser(_normal(fitting.column("embedding")), lists))
+    label = f"label {dict(rows.dtypes)['label']}"
+    filed = staged(classes.select("rep", "label", "dim", "weight", "embedding").mapInArrow(_filer(handle, cosine), f"rep binary, {label}, dim int, weight long, embedding {kind}, cell long, codes binary, error double, probes array<long>"), "pq-filed")
+    asking = filed.selectExpr("rep", "label", "dim", "weight", "embedding", "cell as home", "explode(probes) as cell")
+    place = ["label", "dim", "cell"]
+    held = filed.groupBy(*place).agg(F.expr(f"cast(ceil(count(*) / {BLOCK}) as int)").alias("db"))
+    blocks = held.join(asking.groupBy(*place).agg(F.expr(f"cast(ceil(count(*) / {4 * BLOCK}) as int)").alias("qb")), place)
     own = "cast(pmod(xxhash64(rep), {}) as int)"
-    stored = filed.drop("probes").join(blocks, ["label", "cell"]).select("*", F.expr(own.format("db")).alias("d"), F.explode(F.expr("sequence(0, qb - 1)")).alias("q"))
-    asked = asking.join(blocks, ["label", "cell"]).select("*", F.expr(own.format("qb")).alias("q"), F.explode(F.expr("sequence(0, db - 1)")).alias("d"))
+    stored = filed.drop("probes").join(blocks, place).select("*", F.expr(own.format("db")).alias("d"), F.explode(F.expr("sequence(0, qb - 1)")).alias("q"))
+    asked = asking.join(blocks, place).select("*", F.expr(own.format("qb")).alias("q"), F.explode(F.expr("sequence(0, db - 1)")).alias("d"))
     stored, asked = stored.toDF(*stored.columns), asked.toDF(*asked.columns)
-    key = ["label", "cell", "d", "q"]
-    pairs = stored.groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(_searcher(handle, cosine), "u long, v long")
-    links = staged(pairs.distinct(), "pq-links")
-    weights = classes.select("rep", "weight")
-    ends = links.select("u", "v").union(links.select("v", "u"))
-    around = ends.join(weights.select(F.col("rep").alias("v"), "weight"), "v").groupBy(F.col("u").alias("rep")).agg(F.sum("weight").alias("others"))
-    comps = components(links, "pq").select(F.col("node").alias("rep"), "comp")
-    table = weights.join(around, "rep", "left").join(comps, "rep", "left").select("rep", F.expr("weight - 1 + coalesce(others, 0)").alias("n_links"), F.expr("coalesce(comp, rep)").alias("comp"))
-    named = rows.select("vec_id", F.expr("case when fit then xxhash64(label, embedding) end").alias("rep")).join(table, "rep", "left")
+    key = [*place, "d", "q"]
+    found = staged(stored.groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(_searcher(handle, cosine), "u binary, v binary, n long"), "pq-links")
+    around = found.where("v is null").groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("others"))
+    comps = components(found.where("v is not null").selectExpr("least(u, v) as u", "greatest(u, v) as v").distinct(), "pq").select(F.col("node").alias("rep"), "comp")
+    table = classes.select("rep", "weight").join(around, "rep", "left").join(comps, "rep", "left").select("rep", F.expr("weight - 1 + coalesce(others, 0)").alias("n_links"), F.expr("coalesce(comp, rep)").alias("comp"))
+    named = rows.select("vec_id", "rep").join(table, "rep", "left")
     least = named.where("comp is not null").groupBy("comp").agg(F.min("vec_id").alias("least"))
     out = named.join(least, "comp", "left").select("vec_id", F.expr("coalesce(n_links, 0L)").alias("n_links"), F.expr("case when comp is null then vec_id else least end").alias("component_id"))
     return out.select("*", F.expr("vec_id <=> component_id").alias("kept"))

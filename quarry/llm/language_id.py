@@ -3,10 +3,13 @@
 Texts are lower-cased, what is no letter becomes a space, and n-grams of 1 to 3 characters are hashed
 to ``BUCKETS`` cells.  The counts of a sample of at most about ``SAMPLE_DOCS`` labelled documents give
 a matrix of log probabilities (cells by languages, its size fixed by the parameters), which each
-worker holds; a batch is scored in numpy by gathering rows of the matrix and summing them by document.
+worker holds; a batch is scored in numpy by gathering rows of the matrix and summing them by document
+onto the languages' log priors.
 
 Defined results: ``und`` with score 0 for a null text, a text without a letter, or where nothing could
-be learned; equal scores go to the first language by code point; further columns are ignored.
+be learned; equal scores go to the first language by code point; repeated rows get the same result; a
+text of any length is scored whole, in one step of its own; an empty table gives no rows; further
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.sampling import sampled
 from quarry.llm.textkernel import MIX, U64
 
 BUCKETS = 1 << 14
@@ -69,34 +73,38 @@ def grams(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.nd
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, cell, n): n-grams by cell, and documents with a letter under cell -1."""
     totals: dict[str, np.ndarray] = {}
     for batch in batches:
         langs = batch.column(1).to_pylist()
-        for i, j, _, cells, owners in grams(batch.column(0).to_pylist()):
+        for i, j, has, cells, owners in grams(batch.column(0).to_pylist()):
             for lang in set(langs[i:j]):
-                mine = np.array([x == lang for x in langs[i:j]])[owners]
-                totals.setdefault(lang, np.zeros(BUCKETS, np.int64))
-                totals[lang] += np.bincount(cells[mine], minlength=BUCKETS)
+                mine = np.array([x == lang for x in langs[i:j]])
+                n = totals.setdefault(lang, np.zeros(BUCKETS + 1, np.int64))
+                n[:-1] += np.bincount(cells[mine[owners]], minlength=BUCKETS)
+                n[-1] += np.count_nonzero(has & mine)
     for lang, n in totals.items():
         at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(n[at])], names=["lang", "cell", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(np.where(at == BUCKETS, -1, at)), pa.array(n[at])], names=["lang", "cell", "n"])
 
 
-def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[list[str], np.ndarray]:
-    """Languages and the log-probability matrix, from rows (doc_id, text, lang)."""
-    known = labelled.where("lang is not null and text is not null")
-    n = known.count()
-    share = int(1_000_000 * min(1.0, sample_docs / max(1, n)))
-    sample = known.where(F.expr(f"pmod(xxhash64(doc_id, 'language'), 1000000) < {share}")).select("text", "lang")
+def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Languages, the log-probability matrix and the log priors, from rows (doc_id, text, lang)."""
+    known = labelled.where("lang is not null")
+    sample = sampled(known, "doc_id", "language", sample_docs, known.count()).select("text", "lang")
     rows = sample.mapInArrow(_count, "lang string, cell long, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toArrow()
-    langs = sorted(set(rows.column("lang").to_pylist()))
-    counts = np.full((BUCKETS, len(langs)), 0.5)
+    cells, n, names = rows.column("cell").to_numpy(), rows.column("n").to_numpy(), rows.column("lang").to_pylist()
+    langs = sorted({x for x, c in zip(names, cells, strict=True) if c >= 0})
     where = {x: k for k, x in enumerate(langs)}
-    np.add.at(counts, (rows.column("cell").to_numpy(), np.array([where[x] for x in rows.column("lang").to_pylist()], np.int64)), rows.column("n").to_numpy())
-    return langs, np.log(counts / counts.sum(axis=0, keepdims=True)).astype(np.float32)
+    at = np.array([where.get(x, 0) for x in names], np.int64)
+    counts, docs = np.full((BUCKETS, len(langs)), 0.5), np.ones(len(langs))
+    gram = cells >= 0
+    np.add.at(counts, (cells[gram], at[gram]), n[gram])
+    np.add.at(docs, at[~gram], n[~gram])
+    return langs, np.log(counts / counts.sum(axis=0, keepdims=True)).astype(np.float32), np.log(docs / docs.sum())
 
 
-def _predictor(langs: list[str], handle):
+def _predictor(langs: list[str], prior: np.ndarray, handle):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matrix = handle.value
         for batch in batches:
@@ -106,7 +114,7 @@ def _predictor(langs: list[str], handle):
                 if not langs:
                     pred, score = pred + ["und"] * (j - i), score + [0.0] * (j - i)
                     continue
-                total = np.stack([np.bincount(owners, matrix[cells, k], minlength=j - i) for k in range(len(langs))], axis=1)
+                total = np.stack([np.bincount(owners, matrix[cells, k], minlength=j - i) for k in range(len(langs))], axis=1) + prior
                 best = total.argmax(axis=1)
                 share = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
                 pred += [langs[b] if h else "und" for b, h in zip(best, has, strict=True)]
@@ -120,6 +128,6 @@ def identify(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, lang_pred, score."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", F.expr("coalesce(pmod(crc32(cast(doc_id as string)), 3) = 1, false)").alias("held_out"))
-    langs, matrix = fit(docs.where("not held_out"), sample_docs)
+    langs, matrix, prior = fit(docs.where("not held_out"), sample_docs)
     handle = spark.sparkContext.broadcast(matrix)
-    return docs.select("doc_id", "held_out", "text").mapInArrow(_predictor(langs, handle), "doc_id long, held_out boolean, lang_pred string, score double")
+    return docs.select("doc_id", "held_out", "text").mapInArrow(_predictor(langs, prior, handle), "doc_id long, held_out boolean, lang_pred string, score double")

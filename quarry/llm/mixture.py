@@ -7,9 +7,12 @@ CAP * size / weight fill up one after the other, so running sums give L without
 of a source is target / size, and each document is emitted floor(rate) times, plus once more with the
 fraction as probability, decided by a hash of its doc_id and the seed.
 
-Only the table of sources passes through one task.  Defined results: a null text has size 0; a null
-source is one source, the last; sources of size 0 have target 0; documents without words are emitted
-by their source's rate and add nothing; repeated rows draw alike; a null doc_id draws as one id.
+Only the table of sources passes through one task (a row of a hundred bytes for each source name, so
+millions of names fit).  Defined results: a null text has size 0, a text of any length its number of
+words; a null source is one source, the last; sources of size 0 have target 0; documents without words
+are emitted by their source's rate and add nothing; sources that fill up at the same level are taken in
+order of their name; repeated rows draw alike; a null doc_id draws as one id; an empty table gives an
+empty mix; further columns may have any names.
 """
 
 from __future__ import annotations
@@ -17,8 +20,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.scratch import staged
+
 WEIGHTS = (5, 2, 1)
 SHARE, CAP, SEED = 1.5, 2.0, "mix-1"
+#: Sources up to which their table is sent to all executors.
+MOST_SENT = 100_000
 SIZE = r"cast(coalesce(regexp_count(text, '[^\\x20\\x09-\\x0D]+'), 0) as bigint)"
 
 
@@ -42,27 +49,31 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     return levels.selectExpr("source", "source_size", "least(most, coalesce(first.own * weight, most)) as target").selectExpr("*", "case when source_size > 0 then target / source_size else 0D end as rate")
 
 
-def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: str = SEED) -> DataFrame:
-    """``docs`` with size, source_size, target and copies."""
-    names = docs.columns
-    rows = docs.selectExpr("*", f"{SIZE} as __size")
-    # one row per source: as many rows as there are source names
-    table = source_targets(rows.selectExpr("source", "__size as size"), weights, share, cap).withColumnRenamed("source", "__name")
-    joined = rows.join(table, rows["source"].eqNullSafe(table["__name"]))
+def _drawn(rows: DataFrame, targets: DataFrame, seed: str) -> DataFrame:
+    """rows (doc_id, source, ...) with their source's figures and the number of copies."""
+    targets = targets.withColumnRenamed("source", "name")
+    # one row for each source; a join by hash where these are too many to be sent to all
+    placed = rows.join(F.broadcast(targets) if targets.count() <= MOST_SENT else targets, rows["source"].eqNullSafe(targets["name"]))
     copies = f"cast(floor(rate) as bigint) + case when {draw('doc_id', seed)} < rate - floor(rate) then 1 else 0 end"
-    return joined.select(*names, F.col("__size").alias("__mix_size"), F.col("source_size").alias("__mix_source_size"), F.col("target").alias("__mix_target"), F.expr(copies).alias("__mix_copies"))
+    return placed.withColumn("copies", F.expr(copies))
+
+
+def _sizes(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, size), staged: texts are read once."""
+    return staged(docs.selectExpr("doc_id", "source", f"{SIZE} as size"), "mixture-sizes")
 
 
-def report(docs: DataFrame, **settings) -> DataFrame:
+def report(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: str = SEED) -> DataFrame:
     """One row per row of ``docs``: doc_id, size, source_size, target, taken."""
-    # the texts themselves need not go through the join
-    slim = docs.selectExpr("doc_id", "source", f"{SIZE} as size")
-    table = source_targets(slim, *(settings[k] for k in ("weights", "share", "cap") if k in settings)).withColumnRenamed("source", "name")
-    copies = f"cast(floor(rate) as bigint) + case when {draw('doc_id', settings.get('seed', SEED))} < rate - floor(rate) then 1 else 0 end"
-    return slim.join(table, slim["source"].eqNullSafe(table["name"])).selectExpr("doc_id", "size", "source_size", "target", f"size * ({copies}) as taken")
+    slim = _sizes(docs)
+    targets = staged(source_targets(slim, weights, share, cap), "mixture-targets")
+    return _drawn(slim, targets, seed).selectExpr("doc_id", "size", "source_size", "target", "size * copies as taken")
 
 
-def emit(docs: DataFrame, **settings) -> DataFrame:
+def emit(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: str = SEED) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is drawn."""
-    rows = mixed(docs, **settings)
-    return rows.withColumn("__copy", F.explode(F.expr("case when __mix_copies > 0 then sequence(1L, __mix_copies) else array() end"))).select(*docs.columns)
+    targets = staged(source_targets(docs.selectExpr("source", f"{SIZE} as size"), weights, share, cap), "mixture-targets")
+    # a row travels as one struct, so that its columns may have any names
+    rows = docs.select("doc_id", "source", F.struct("*").alias("row"))
+    drawn = _drawn(rows, targets, seed).where("copies > 0").select("row", F.explode(F.expr("sequence(1L, copies)")))
+    return drawn.select("row.*")

@@ -9,10 +9,16 @@ Words that clean documents hold are no misspellings of them.  Around each hit a
 reporting speak for quotation, address in the second person and further hits for abuse.  The score is
 a logistic model over hits (exact, by beginning, misspelled), their density and these windows.
 
-Lexicon and weights are fitted on at most about ``SAMPLE_DOCS`` labelled rows outside the held-out
-quarter.  Defined results: null and empty texts get the model's score for no hits; with nothing to learn
-from every score is 0; several labels of one doc_id count as toxic if any is; repeated rows score
-alike; further columns are ignored.
+Lexicon and weights are fitted on at most about ``SAMPLE_DOCS`` labelled documents outside the held-out
+quarter.  Their texts stay on the executors, which count terms, note the candidate terms that each toxic
+document holds, and work out features; the driver gets numbers alone, whose amount the parameters below
+bound.  A term is learned from three toxic documents or more, so with fewer than some hundred toxic labels
+rare terms, and the documents that hold no others, are missed.
+
+Defined results: null and empty texts get the model's score for no hits; a text of any length is scored
+whole; with nothing to learn from every score is 0; several labels of one doc_id count as toxic if any
+is; repeated rows score alike; terms that cover as many documents are taken longest beginning first, then
+by code point; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +26,6 @@ from __future__ import annotations
 import math
 import re
 import sys
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -28,6 +33,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.sampling import sampled
+from quarry.scratch import staged
+
 #: Labelled rows that lexicon and weights are fitted on, about; all where there are fewer.
 SAMPLE_DOCS = 8_000
 THRESHOLD = 0.3
@@ -40,6 +48,10 @@ REPORTING = re.compile(r"\b(?:said|says|quote[ds]?|called|wrote|reported|sagte|d
 ADDRESS = re.compile(r"\b(?:you|your|youre|du|ihr|dich|tu|vous|toi|usted|tú)\b")
 FEATURES = 7
 CACHE_WORDS = 200_000
+#: What the driver takes at most while it learns: terms to choose from, words that begin like a term, and
+#: words that clean documents hold though they are like a term; the most frequent ones first.
+CANDIDATES, FORMS, KNOWN = 5_000, 20_000, 50_000
+FLUSH_TERMS = 200_000
 
 
 def budget(term: str) -> int:
@@ -191,29 +203,59 @@ class Lexicon:
         return [*(math.log1p(s) + 0.5 * min(d, 6) for s, d in zip(sums, distinct, strict=True)), math.log1p(100 * len(spots) / len(words)), math.log1p(quoted), math.log1p(abusive), float(len(hits) >= 2)]
 
 
-def learn_lexicon(texts: list[str], toxic: np.ndarray) -> Lexicon:
-    """Greedy cover: the term that most toxic texts with fewer than COVER terms hold, clean ones do not."""
-    bags = [set(map(sys.intern, WORD.findall((t or "").lower()))) for t in texts]  # one copy of a word
-    held = [{w for w in bag if len(w) >= 4} | {sys.intern(w[:n] + "*") for w in bag for n in BEGINNINGS if len(w) > n} for bag, y in zip(bags, toxic, strict=True) if y]
-    least = max(3, 0.004 * len(held))
-    often = {t: n for t, n in Counter(t for got in held for t in got).items() if n >= least}
-    starts = {t[:-1] for t in often if t.endswith("*")}
-    clean: Counter[str] = Counter()
-    for bag, y in zip(bags, toxic, strict=True):
-        if not y:
-            clean.update(w for w in bag if w in often)
-            clean.update({w[:n] + "*" for w in bag for n in BEGINNINGS if len(w) > n and w[:n] in starts})
-    n_clean = max(1, len(texts) - len(held))
-    ok = {t for t, n in often.items() if clean[t] * len(held) <= 0.02 * n * n_clean}
-    where: dict[str, list[int]] = {}
-    for i, got in enumerate(held):
-        for t in got & ok:
-            where.setdefault(t, []).append(i)
+def bag_of(text: str | None) -> set[str]:
+    """The words of a text of four letters or more, and their beginnings, marked by a star."""
+    words = {w for w in WORD.findall((text or "").lower()) if len(w) >= 4}
+    return words | {w[:n] + "*" for w in words for n in BEGINNINGS if len(w) > n}
+
+
+def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, toxic, clean): documents of either kind that hold a term."""
+    names = ["term", "toxic", "clean"]
+    counts: dict[str, list[int]] = {}
+
+    def taken() -> pa.RecordBatch:
+        got = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), *(pa.array([n[k] for n in counts.values()], pa.int64()) for k in (0, 1))], names=names)
+        counts.clear()
+        return got
+
+    for batch in batches:
+        for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            for term in bag_of(text.as_py()):
+                counts.setdefault(sys.intern(term), [0, 0])[not toxic] += 1
+            if len(counts) > FLUSH_TERMS:
+                yield taken()
+    yield taken()
+
+
+def _holders(terms: list[str]):
+    """Which of ``terms`` each text holds, as bits."""
+    number = {t: k for k, t in enumerate(terms)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = []
+            for text in batch.column(0):
+                mask = np.zeros(len(terms), bool)
+                mask[[number[t] for t in bag_of(text.as_py()) if t in number]] = True
+                bits.append(np.packbits(mask).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(bits, pa.binary())], names=["bits"])
+
+    return run
+
+
+def cover(terms: list[str], toxic: np.ndarray, clean: np.ndarray, held: np.ndarray, times: np.ndarray, n_toxic: int, n_clean: int, least: float) -> tuple[dict[str, float], dict[str, float]]:
+    """Words and beginnings with their weights: greedily the term that most toxic documents with fewer than
+    COVER terms hold.
+
+    held: for each pattern of held terms (documents by terms) a row, times: how many documents have it.
+    """
+    row = {t: k for k, t in enumerate(terms)}
+    where = {t: np.flatnonzero(held[:, k]) for t, k in row.items()}
     open_, words, starts = np.full(len(held), COVER), {}, {}
-    where = {t: np.array(at) for t, at in where.items()}
     while where and len(words) + len(starts) < LEXICON_SIZE:
-        live = open_ > 0
-        gain = {t: int(np.count_nonzero(live[at])) for t, at in where.items()}
+        live = np.where(open_ > 0, times, 0)
+        gain = {t: int(live[at].sum()) for t, at in where.items()}
         where = {t: at for t, at in where.items() if gain[t] >= least}  # gains only fall
         term = max(gain, key=lambda t: (gain[t], t.endswith("*"), -len(t), t))
         if gain[term] < least:
@@ -221,35 +263,75 @@ def learn_lexicon(texts: list[str], toxic: np.ndarray) -> Lexicon:
         if term.endswith("*"):  # one word that accounts for nearly all of it says more than its beginning
             whole = [t for t in gain if t.startswith(term[:-1]) and not t.endswith("*") and gain[t] >= 0.8 * gain[term]]
             term = max(whole, key=lambda t: (gain[t], t)) if whole else term
-        at = where.pop(term)
-        weight = math.log((len(at) + 0.5) / max(1, len(held))) - math.log((clean[term] + 0.5) / n_clean)
+        at, k = where.pop(term), row[term]
+        weight = math.log((toxic[k] + 0.5) / n_toxic) - math.log((clean[k] + 0.5) / n_clean)
         (starts if term.endswith("*") else words)[term.rstrip("*")] = max(weight, 0.1)
         open_[at] -= 1
         if term.endswith("*"):  # what the beginning covers is no news any more
             where = {t: x for t, x in where.items() if not t.startswith(term[:-1])}
         else:  # beginnings that hold little else are no news either
-            where = {t: x for t, x in where.items() if not (t.endswith("*") and term.startswith(t[:-1]) and len(x) <= 1.25 * len(at))}
-    forms = {w: starts[w[:n]] for bag, y in zip(bags, toxic, strict=True) if y for w in bag for n in reversed(BEGINNINGS) if len(w) > n and w[:n] in starts}
-    lexicon, whole = Lexicon(words, starts, forms), Automaton(words)
-    # a word that clean documents hold, by the rule for terms, is no misspelling of a beginning
-    fuzzy = {w for w in set().union(*bags) if not whole.look(w) and (hit := lexicon.look(w)) and hit[0] == 2}
-    toxic_n, clean_n = (Counter(w for bag, y in zip(bags, toxic, strict=True) if bool(y) == side for w in bag & fuzzy) for side in (True, False))
-    return Lexicon(words, starts, forms, frozenset(w for w in fuzzy if clean_n[w] * len(held) > 0.02 * toxic_n[w] * n_clean))
+            where = {t: x for t, x in where.items() if not (t.endswith("*") and term.startswith(t[:-1]) and toxic[row[t]] <= 1.25 * toxic[k])}
+    return words, starts
+
+
+def _alike(lexicon: Lexicon):
+    """Of the words of a count table those that the lexicon takes for misspellings."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = Automaton(lexicon.words)
+        for batch in batches:
+            yield batch.filter(pa.array([not whole.look(w) and (hit := lexicon.look(w)) is not None and hit[0] == 2 for w in batch.column(0).to_pylist()], pa.bool_()))
+
+    return run
 
 
-def learn_weights(x: np.ndarray, y: np.ndarray, rounds: int = 400) -> np.ndarray:
-    """Logistic regression with a small ridge, by Newton steps; the last weight is the bias."""
+def learn_lexicon(sample: DataFrame) -> Lexicon | None:
+    """The lexicon of a staged sample (text, toxic); None where one kind is missing."""
+    sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
+    if not n_toxic or not n_clean:
+        return None
+    least = max(3, 0.004 * n_toxic)
+    counts = staged(sample.mapInArrow(_term_counts, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "toxicity-terms")
+    rare = F.col("clean") * n_toxic <= F.col("toxic") * (0.02 * n_clean)
+    often = counts.where((F.col("toxic") >= least) & rare).orderBy(F.desc("toxic"), "term").limit(CANDIDATES).toArrow().sort_by("term")
+    terms, toxic, clean = often.column("term").to_pylist(), often.column("toxic").to_numpy(), often.column("clean").to_numpy()
+    patterns = sample.where("toxic = 1").select("text").mapInArrow(_holders(terms), "bits binary").groupBy("bits").agg(F.count("*").alias("n")).toArrow().sort_by("bits")
+    held = np.stack([np.unpackbits(np.frombuffer(b, np.uint8), count=len(terms)) for b in patterns.column("bits").to_pylist()]).astype(bool) if len(terms) else np.zeros((0, 0), bool)
+    words, starts = cover(terms, toxic, clean, held, patterns.column("n").to_numpy(), n_toxic, n_clean, least)
+    begun = F.lit(False)
+    for n in BEGINNINGS:
+        begun |= (F.length("term") > n) & F.substring("term", 1, n).isin([t for t in starts if len(t) == n])
+    plain = counts.where("term not like '%*'")
+    found = plain.where((F.col("toxic") > 0) & begun).orderBy(F.desc("toxic"), "term").limit(FORMS).select("term").collect() if starts else []
+    forms = {r["term"]: next(starts[r["term"][:n]] for n in BEGINNINGS if r["term"][:n] in starts) for r in found}
+    # a word that clean documents hold, by the rule for terms, is no misspelling
+    known = plain.where(~rare).mapInArrow(_alike(Lexicon(words, starts, forms)), counts.schema).orderBy(F.desc("clean"), "term").limit(KNOWN).select("term").collect()
+    return Lexicon(words, starts, forms, frozenset(r["term"] for r in known))
+
+
+def learn_weights(x: np.ndarray, y: np.ndarray, times: np.ndarray, rounds: int = 60) -> np.ndarray:
+    """Logistic regression over rows that occur ``times`` often, with a small ridge, by Newton steps; the
+    last weight is the bias."""
     x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
     w, ridge = np.zeros(x.shape[1]), np.diag([0.5] * (x.shape[1] - 1) + [0.01])
-    for _ in range(min(rounds, 60)):
+    for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + ridge, x.T @ (y - p) - ridge @ w)
+        step = np.linalg.solve(x.T @ (x * (times * p * (1 - p))[:, None]) + ridge, x.T @ (times * (y - p)) - ridge @ w)
         w += step
         if np.abs(step).max() < 1e-6:
             break
     return w
 
 
+def _featured(lexicon: Lexicon):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([lexicon.features(t.as_py()) for t in batch.column(0)], pa.list_(pa.float64())), batch.column(1)], names=["x", "toxic"])
+
+    return run
+
+
 def _scorer(lexicon: Lexicon | None, weights: np.ndarray | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -264,18 +346,16 @@ def _scorer(lexicon: Lexicon | None, weights: np.ndarray | None):
 
 def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[Lexicon | None, np.ndarray | None]:
     known = labels.where("doc_id is not null and toxic is not null and pmod(crc32(cast(doc_id as string)), 4) <> 2").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.expr("cast(toxic <> 0 as int)")).alias("toxic"))
-    share = int(1_000_000 * min(1.0, sample_docs / max(1, known.count())))
-    picked = known.where(F.expr(f"pmod(xxhash64(doc_id, 'toxicity'), 1000000) < {share}"))
     # about sample_docs rows of two numbers at most
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic").toArrow().sort_by("doc_id")
-    toxic = rows.column("toxic").to_numpy()
-    if not len(toxic) or toxic.min() == toxic.max():
+    picked = F.broadcast(sampled(known, "doc_id", "toxicity", sample_docs, known.count()))
+    sample = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(picked, "doc_id").select("text", "toxic"), "toxicity-sample")
+    lexicon = learn_lexicon(sample)
+    if lexicon is None:
         return None, None
-    texts = rows.column("text").to_pylist()
-    lexicon = learn_lexicon(texts, toxic)
-    weights = learn_weights(np.array([lexicon.features(t) for t in texts]), toxic)
-    lexicon.clean = set()
-    return lexicon, weights
+    rows = sample.mapInArrow(_featured(lexicon), "x array<double>, toxic int").groupBy("x", "toxic").agg(F.count("*").alias("n")).toArrow()
+    order = np.lexsort((rows.column("toxic").to_numpy(), *np.array(rows.column("x").to_pylist()).T))
+    x, y, n = (np.array(rows.column(c).to_pylist(), float)[order] for c in ("x", "toxic", "n"))
+    return lexicon, learn_weights(x, y, n)
 
 
 def score(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:

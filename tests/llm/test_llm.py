@@ -12,7 +12,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quarry.llm import bpe, embedding_pq, exact_dedup, language_id, minhash_forest, mixture, packing, personal_data, suffix_merge, token_ledger, toxicity
+from quarry.llm import bpe, embedding_pq, exact_dedup, language_id, minhash_forest, mixture, packing, personal_data, sampling, suffix_merge, token_ledger, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, digest string, node string, grp int"
 LONG = " ".join(f"word{i % 97}x{i}" for i in range(4000))
@@ -98,13 +98,16 @@ def test_op3_equals_brute_force(spark):
     x = np.concatenate([base, base[:20] + 0.05 * rng.normal(size=(20, 16)), base[:5], 3 * base[:2]])
     table = [(i, [float(np.float32(v)) for v in r], i % 2 if i < 40 else (i - 40) % 2 if i < 60 else (i - 60) % 2) for i, r in enumerate(x)]
     odd = [(100, None, 0), (101, [0.0] * 16, 0), (102, [float("nan")] + [1.0] * 15, 0), (103, [None] + [1.0] * 15, 0), (104, table[0][1], None), (105, table[0][1], 0), (105, table[0][1], 0), (106, [1.0], 0)]
+    # the dimensions of few vectors: shorter and longer ones link among themselves
+    odd += [(107, [1.0, 2.0], 0), (108, [2.0, 4.0], 0), (109, [1.0, 2.0], 1), (110, [1.0] * 40, 1), (111, [1.0] * 39 + [1.2], 1), (112, [], 0), (None, [1.0, 2.0], 0)]
     got = {}
     for r in embedding_pq.near_duplicates(spark.createDataFrame(table + odd, "vec_id long, embedding array<float>, label int")).collect():
         got.setdefault(r["vec_id"], r)
-    nodes = [(i, np.array(v) / np.linalg.norm(v), y, k) for k, (i, v, y) in enumerate(table + odd) if i < 100 or i == 105]
+    nodes = [(i, np.array(v) / np.linalg.norm(v), y, k) for k, (i, v, y) in enumerate(table + odd) if i is not None and (i < 100 or i == 105)]
     links = {k: [j for j in nodes if j[3] != k and j[2] == y and a @ j[1] >= 0.93] for _, a, y, k in nodes}
     for i, _, _, k in nodes:
         assert got[i]["n_links"] == len(links[k])
+    assert [(got[i]["n_links"], got[i]["component_id"]) for i in (107, 108, 109, 110, 111, 112, None)] == [(2, 107), (2, 107), (0, 109), (1, 110), (1, 110), (0, 112), (2, 107)]
     assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in (100, 101, 102, 103, 104, 106))
     assert got[105]["component_id"] == 0 and not got[105]["kept"]
 
@@ -159,7 +162,7 @@ def test_op4_meets_misspellings_of_beginnings(spark):
     docs = [(i, f"plain text number {i} about things" if i % 5 else f"you {forms[i // 5 % 4]} of things {i}") for i in range(400)]
     labels = [(i, 1, int(i % 5 == 0)) for i in range(400)]
     odd = [(900, "you idi0t of things"), (901, "you idi0tisch of things"), (902, "you idjotic of things"), (903, "you idle of things"), (904, "you riot of things")]
-    lexicon = toxicity.learn_lexicon([t for _, t in docs], np.array([y for *_, y in labels]))
+    lexicon, _ = toxicity.fit(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
     assert lexicon.words == {} and list(lexicon.beginnings) == ["idio"]
     d = spark.createDataFrame(docs + odd, "doc_id long, text string")
     got = {r["doc_id"]: r["predicted"] for r in toxicity.score(d, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
@@ -249,15 +252,27 @@ def test_op7_equals_brute_force(docs):
     assert rows(exact_dedup.deduplicate(docs).drop("locator")) == sorted(want, key=repr)
 
 
-def test_op7_state_goes_on(spark, tmp_path):
-    arrivals, root = f"{tmp_path}/arrivals", f"{tmp_path}/root"
-    stream = exact_dedup.DedupStream(spark, arrivals, root)
-    for k, batch in enumerate(([("a", 1, "x"), ("b", 2, "x")], [("a", 5, "y")], [("a", 3, "z"), ("c", 9, "z")])):
-        spark.createDataFrame(batch, "digest string, doc_id long, locator string").write.mode("append").parquet(arrivals)
-        state = {r["digest"]: tuple(r)[1:] for r in stream.advance().collect()}
-        assert state["a"] == [(1, 1, "x"), (5, 2, "y"), (5, 3, "y")][k]
-    assert state == {"a": (5, 3, "y"), "b": (2, 1, "x"), "c": (9, 1, "z")}
-    assert {r["digest"]: tuple(r)[1:] for r in stream.advance().collect()} == state
+def test_op7_settles_texts_that_share_a_digest(docs):
+    want = rows(exact_dedup.deduplicate(docs).drop("locator"))
+    assert rows(exact_dedup.deduplicate(docs, key="substring(sha, 1, 0)").drop("locator")) == want
+    kept = exact_dedup.distinct_rows(docs, key="substring(sha, 1, 0)")
+    assert kept.columns == docs.columns and rows(kept) == rows(exact_dedup.distinct_rows(docs))
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter(w[0] for w in {w[4]: w for w in want if w[3]}.values())
+
+
+def test_op7_state_goes_on(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "FOLD_AFTER", 2)
+    store, root = f"{tmp_path}/store", f"{tmp_path}/root"
+    stream = exact_dedup.DedupStream(spark, store, root)
+    seen = []
+    for batch in ([(1, "a"), (2, "b")], [(5, "A")], [(3, "a"), (9, "c")], [(4, "b")]):
+        exact_dedup.arrive(spark.createDataFrame(batch, "doc_id long, text string"), store)
+        seen.append({bytes(r["digest"]): (r["keep_id"], r["group_size"]) for r in stream.advance().collect()})
+    a, b, c = (hashlib.sha256(x).digest() for x in (b"a", b"b", b"c"))
+    assert [s[a] for s in seen] == [(1, 1), (5, 2), (5, 3), (5, 3)]
+    assert seen[-1] == {a: (5, 3), b: (4, 2), c: (9, 1)}
+    assert len(stream._written("state/batch=")) <= 2 and stream.clashes().count() == 0
+    assert {bytes(r["digest"]): (r["keep_id"], r["group_size"]) for r in stream.advance().collect()} == seen[-1]
 
 
 def test_op8_targets_fill_up(spark):
@@ -290,6 +305,18 @@ def test_op8_emits_what_it_reports(docs):
             assert r["taken"] == got[r["doc_id"]] * r["size"] and r["taken"] <= 2 * r["size"]
 
 
+def test_op8_takes_clashing_names(spark):
+    names = ["doc_id", "text", "source", "target", "rate", "source_size", "size", "copies", "row", "name", "weight"]
+    d = spark.createDataFrame([(i, "one two three", f"s{i % 2}", 1, 2, 3, 4, 5, 6, 7, 8) for i in range(20)], ", ".join(f"{n} {'string' if n in ('text', 'source') else 'long'}" for n in names))
+    assert mixture.emit(d).columns == names and mixture.emit(d, cap=1.5).count() == 30
+    assert {r["taken"] for r in mixture.report(d, cap=1.0).collect()} == {3}
+
+
+def test_samples_never_round_to_nothing():
+    for wanted, total in ((20_000, 5 * 10**10), (8_000, 10**15), (1, 3)):
+        assert (sampling.threshold(wanted, total) + 2**63) / 2**64 == pytest.approx(wanted / total)
+
+
 def test_op9_round_trip(docs):
     tok = bpe.loaded(bpe.default_path()).whole
     got = packing.pack(docs).toPandas()
