@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.graph import components
+from quarry.llm.graph import components, spanning
 from quarry.llm.sampling import sampled
 from quarry.scratch import staged
 
@@ -140,25 +140,6 @@ def _filer(handle, cosine: float):
     return run
 
 
-def _spanning(n: int, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Those of the links (u, v) among ``n`` rows that a forest keeps."""
-    root = np.arange(n)
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    keep = np.zeros(len(u), bool)
-    for k in range(len(u)):
-        a, b = find(u[k]), find(v[k])
-        if a != b:
-            root[b] = a
-            keep[k] = True
-    return u[keep], v[keep]
-
-
 def _searcher(handle, cosine: float):
     """For a block of a list and a block of classes that probe it: (u, v, n) where v is null: n vectors that u
     links with here; else a link of the spanning set."""
@@ -209,7 +190,7 @@ def _searcher(handle, cosine: float):
 def _thinned(n: int, m: int, ties: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of links between ``n`` asking and ``m`` stored rows."""
     a, s = (np.concatenate(x) for x in zip(*ties, strict=True))
-    u, v = _spanning(n + m, a, n + s)
+    u, v = spanning(n + m, a, n + s)
     return u, v - n
 
 

@@ -2,11 +2,12 @@
 
 Every round is two aggregations and two joins over edges; nothing is gathered on the driver, and
 a hub's edges are dealt by joins that adaptive execution can split.  Rounds are cut by staged
-tables in the shared folder.
+tables in the shared folder, and the edges are worked out once.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,9 +25,9 @@ def components(edges: DataFrame, name: str) -> DataFrame:
 
     Self-loops keep a node without edges in the result.  Null ends are dropped.
     """
-    edges = edges.where("u is not null and v is not null")
+    edges = staged(edges.where("u is not null and v is not null").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{name}-edges")
     nodes = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    now = staged(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{name}-edges")
+    now = edges.where("u <> v")
     last = None
     while True:
         both = now.union(now.select("v", "u"))
@@ -35,9 +36,29 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         step = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         new = staged(step, f"{name}-round")
         mark = new.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.count_distinct("u")).first()
-        discard(now.sparkSession, now)
+        if last is not None:
+            discard(now.sparkSession, now)
         now = new
         if mark == last or mark[0] == 0:
             break
         last = mark
     return nodes.join(now.withColumnRenamed("u", "node"), "node", "left").select("node", F.coalesce("v", "node").alias("comp"))
+
+
+def spanning(n: int, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the links (u, v) among rows 0..n-1 that a forest keeps."""
+    root = list(range(n))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    keep = np.zeros(len(u), bool)
+    for k, (x, y) in enumerate(zip(u.tolist(), v.tolist(), strict=True)):
+        a, b = find(x), find(y)
+        if a != b:
+            root[b] = a
+            keep[k] = True
+    return u[keep], v[keep]

@@ -5,21 +5,29 @@ the leftmost position of the least hash of ``GRAM`` bytes.  A window's anchor de
 alone, so equal windows have their anchors at the same place, and sorting the anchors' suffixes
 brings every pair of equal windows together with a small share of all suffixes.
 
-1. Documents are dealt into groups; a group is one run.  Fingerprints of its anchors' grams are
-   exchanged first, and only anchors whose gram occurs in two documents take part in the sort (the
-   prefix that tells a suffix from all others need not be exchanged any further).
+1. Texts are dealt into groups of about ``GROUP_BYTES``, whatever their ids, so that neither one doc_id nor one
+   text can fill a group; a group is one run.  Fingerprints of its anchors' grams are exchanged first,
+   and only anchors whose gram occurs in two documents take part in the sort (the prefix that tells a
+   suffix from all others need not be exchanged any further).
 2. Each run is sorted, front-coded (common prefix with the row before, then the rest) and exchanged
    by gram.  Strings that the run itself shows to be repeated are settled there.
 3. A bucket merges its runs with a loser tree over offset-value codes: a code holds the length of
    the known common prefix with the last winner and the value after it, so known prefixes are never
-   compared again.  Rows whose common prefix spans the gram stand side by side after the merge; their
-   windows are compared, and those that a document of smaller doc_id holds are covered.
+   compared again.  The codes of the merged order give each row's common prefix with the row before, and
+   these lengths decide what is covered: for each place of the anchor in a window, rows whose common
+   prefix spans the rest of it are one class of right sides; the left sides are sorted and classed in
+   the same way; rows alike in both hold the same window, and all but those of the least doc_id are
+   covered.  No hashes take part in this.
 4. Covered positions return to the groups, where the remaining bytes are hashed.
 
-Defined results: null text is empty; a document under 50 bytes is left whole; repeated rows with one
-doc_id do not cover one another; a null doc_id counts as larger than all others; further columns are
-ignored.  One string that stands in very many different contexts still meets in one bucket, as one
-row for each group and context.
+More than ``FAN_IN`` runs are merged in several rounds: sets of runs first, where a string that many runs hold
+becomes one row, then what these leave.  A bucket of a round gets as many rows of one string as it has
+sets of different context.  Groups and buckets grow with the input, and a group sends a block to each
+bucket that it has anchors for; larger groups (``group_bytes``) make fewer blocks and need more memory.
+
+Defined results: null text is empty; a document under 50 bytes is left whole; a text of any length is
+taken whole, in a group of its own if need be; repeated rows with one doc_id do not cover one another;
+a null doc_id counts as larger than all others; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,23 +38,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.textkernel import BASE, BYTE_CODE, MIX, U64, mix64
-from quarry.scratch import partitions_for
+from quarry.llm.textkernel import MIX, U64, mix64
+from quarry.scratch import staged
 
 LENGTH, GRAM = 50, 24
 SPAN = LENGTH - GRAM  # an anchor lies 0..SPAN bytes after its window's start
 WORDS = 7  # of 8 bytes: LENGTH bytes of suffix, padded
 FINGER_BITS = 48
-GROUP_BYTES = 2 << 20  # of stored input a group
+#: Bytes of text in a group, fingerprint buckets for each so many groups, runs that are merged at once.
+GROUP_BYTES, GROUPS_A_BUCKET, FAN_IN = 4 << 20, 4, 512
 CHUNK = 1 << 17
-#: Rows whose windows are compared, and hashed, at once.
-BLOCK_ROWS, STEP_ROWS = 24_000, 4_000
 NO_ID = np.iinfo(np.int64).max
-BASE_LENGTH = U64(pow(int(BASE), LENGTH, 2**64))
-BYTE_CODE_2 = mix64(BYTE_CODE)
+RUNS = "bucket long, src long, grp long, n long, tail long, meta binary, text binary"
 
 
 def _squeeze(*arrays: np.ndarray) -> bytes:
@@ -65,6 +72,12 @@ def _expand(blob: bytes, n: int, *kinds: str) -> list[np.ndarray]:
     return out
 
 
+def _stretches(x: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Begin and end of each stretch of equal values."""
+    edges = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1], [True]])).tolist() if len(x) else [0]
+    return zip(edges[:-1], edges[1:], strict=True)
+
+
 def words_at(raw: np.ndarray) -> np.ndarray:
     """The 8 bytes from each position as one big-endian number."""
     n = max(0, len(raw) - 7)
@@ -119,19 +132,34 @@ class Group:
         sizes = np.diff(self.offsets)
         with np.errstate(over="ignore"):
             self.at, self.first, self.last, grams = window_anchors(self.raw, np.repeat(self.offsets[1:], sizes))
-        self.finger = grams >> U64(64 - FINGER_BITS)
+            # anchors have small hashes; mixed once more they fill all buckets alike
+            self.finger = mix64(grams ^ MIX[4]) >> U64(64 - FINGER_BITS)
         self.key = self.keys[np.searchsorted(self.offsets, self.at, "right") - 1] if len(self.at) else np.zeros(0, np.int64)
 
 
 def bucket_of(finger: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each fingerprint; in order of the fingerprints, which ``_runs`` relies on."""
     return ((finger >> U64(FINGER_BITS - 32)) * U64(buckets) >> U64(32)).astype(np.int64)
 
 
-def _packer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    press = zstandard.ZstdCompressor(level=3)
-    for batch in batches:
-        texts = batch.column(2).cast(pa.large_binary())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((press.compress(t.as_buffer() if t.is_valid else b"") for t in texts), pa.binary())], names=["grp", "doc_id", "packed"])
+def _packer(group_bytes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press, part = zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId()
+        block = held = 0
+        for batch in batches:
+            texts = batch.column(1).cast(pa.large_binary())
+            grps, sizes, packed = [], [], []
+            for t in texts:
+                size = len(t.as_buffer()) if t.is_valid else 0
+                if held and held + size > group_bytes:
+                    block, held = block + 1, 0
+                held += size
+                grps.append((part << 32) | block)
+                sizes.append(size)
+                packed.append(press.compress(t.as_buffer() if t.is_valid else b""))
+            yield pa.RecordBatch.from_arrays([pa.array(grps, pa.int64()), batch.column(0), pa.array(sizes, pa.int64()), pa.array(packed, pa.binary())], names=["grp", "doc_id", "size", "packed"])
+
+    return run
 
 
 def _fingerprints(buckets: int):
@@ -142,13 +170,9 @@ def _fingerprints(buckets: int):
         head = np.flatnonzero(np.concatenate([[True], f[1:] != f[:-1]])) if len(f) else np.zeros(0, np.int64)
         last = np.concatenate([head[1:], [len(f)]])[: len(head)] - 1
         f, many = f[head], k[head] != k[last]
-        bounds = np.searchsorted(bucket_of(f, buckets), np.arange(buckets + 1))
-        rows = []
-        for b in range(buckets):
-            i, j = int(bounds[b]), int(bounds[b + 1])
-            if j > i:
-                rows.append((b, grp, j - i, _squeeze(np.diff(f[i:j], prepend=U64(0)), many[i:j].view(np.uint8))))
-        return pa.table([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else ([],) * 4, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["bucket", "grp", "n", "blob"])
+        home = bucket_of(f, buckets)
+        rows = [(int(home[i]), grp, j - i, _squeeze(np.diff(f[i:j], prepend=U64(0)), many[i:j].view(np.uint8))) for i, j in _stretches(home)]
+        return _table(rows, "bucket long, grp long, n long, blob binary")
 
     return run
 
@@ -185,18 +209,15 @@ def _lefts(raw: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
     return out
 
 
-def _content_hash(left: np.ndarray, suffix: np.ndarray, lsize: np.ndarray, rsize: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits of each row's whole string and the place of its anchor."""
-    a = mix64(lsize.astype(U64) * MIX[3] + rsize.astype(U64))
-    b = mix64(a + MIX[4])
-    for w in suffix.view(U64).T:
-        a, b = mix64(a ^ w), mix64(b + w * MIX[1])
-    for w in np.pad(left, ((0, 0), (0, -SPAN % 8))).view(U64).T:
-        a, b = mix64(a ^ w), mix64(b + w * MIX[1])
-    return a, b
+def _table(rows: list[tuple], kinds: str) -> pa.Table:
+    """Rows as a table of columns "name kind, ..."."""
+    fields = [x.split() for x in kinds.split(", ")]
+    types = {"long": pa.int64(), "binary": pa.binary(), "string": pa.string()}
+    columns = zip(*rows, strict=True) if rows else ([],) * len(fields)
+    return pa.table([pa.array(c, types[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
 
-def _runs(buckets: int):
+def _runs(fingers: int, buckets: int):
     """A group's sorted, front-coded run for each bucket, and the spans that it settles itself."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -204,54 +225,59 @@ def _runs(buckets: int):
         if left.num_rows:
             own = Group(left)
             bits = {b: np.unpackbits(np.frombuffer(x, np.uint8), count=n).astype(bool) for b, n, x in zip(right.column("bucket").to_pylist(), right.column("n").to_pylist(), right.column("bits").to_pylist(), strict=True)}
-            fingers, inverse = np.unique(own.finger, return_inverse=True)
+            known, inverse = np.unique(own.finger, return_inverse=True)
             live = np.concatenate([bits[b] for b in sorted(bits)]) if bits else np.zeros(0, bool)
-            pick = np.flatnonzero(live[inverse]) if len(fingers) else np.zeros(0, np.int64)
+            pick = np.flatnonzero(live[inverse]) if len(known) else np.zeros(0, np.int64)
             if len(pick):
                 rows = _front_coded(own, pick, left.column("grp")[0].as_py(), buckets)
-        return pa.table([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else ([],) * 6, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "grp", "n", "tail", "meta", "text"])
+        return _table(rows, RUNS)
 
     return run
 
 
+def _words(x: np.ndarray) -> np.ndarray:
+    """Rows of bytes as rows of big-endian numbers of 8 bytes, zeros after the last byte."""
+    return np.ascontiguousarray(np.pad(x, ((0, 0), (0, -x.shape[1] % 8)))).view(">u8").astype(U64)
+
+
 def _front_coded(own: Group, pick: np.ndarray, grp: int, buckets: int) -> list[tuple]:
     at, first, last, key, finger = own.at[pick], own.first[pick], own.last[pick], own.key[pick], own.finger[pick]
     lsize, rsize = at - first, last + LENGTH - at
     suffix, left = _suffixes(own.raw, at, rsize), _lefts(own.raw, at, lsize)
-    words = suffix.view(">u8").astype(U64)
-    h1, h2 = _content_hash(left, suffix, lsize, rsize)
-    order = np.lexsort((key, h2, h1, *words.T[::-1]))
-    h1, h2, key = h1[order], h2[order], key[order]
-    new = np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
-    least = key[new][np.cumsum(new) - 1]
-    settled = order[key > least]
+    every = np.concatenate([_words(suffix), _words(left), lsize[:, None].astype(U64), rsize[:, None].astype(U64)], axis=1)
+    order = np.lexsort((key, *every.T[::-1]))
+    new = np.concatenate([[True], (every[order][1:] != every[order][:-1]).any(axis=1)])
+    least = key[order][new][np.cumsum(new) - 1]
+    settled = order[key[order] > least]
     rows = []
     if len(settled):
-        rows.append((grp % buckets, grp, len(settled), 0, _squeeze(first[settled].astype(np.int32), (last[settled] + LENGTH).astype(np.int32)), None))
-    order = order[key == least]
+        rows.append((grp % buckets, grp, grp, len(settled), 0, _squeeze(first[settled].astype(np.int32), (last[settled] + LENGTH).astype(np.int32)), None))
+    order = order[key[order] == least]
     home = bucket_of(finger[order], buckets)
     by = np.argsort(home, kind="stable")
     order, home = order[by], home[by]
-    bounds = np.searchsorted(home, np.arange(buckets + 1))
-    for b in range(buckets):
-        o = order[bounds[b] : bounds[b + 1]]
-        if len(o):
-            s, l, ls, rs = suffix[o], left[o], lsize[o], rsize[o]
-            same = s[1:] == s[:-1]
-            common = np.concatenate([[0], np.where(same.all(axis=1), 8 * WORDS, same.argmin(axis=1))])
-            column = np.arange(8 * WORDS)[None]
-            tail = s[(column >= common[:, None]) & (column < rs[:, None])]
-            side = l[np.arange(SPAN)[None] >= SPAN - ls[:, None]]
-            meta = _squeeze(common.astype(np.uint8), ls.astype(np.uint8), rs.astype(np.uint8), at[o].astype(np.int32), own.key[pick][o])
-            rows.append((b, grp, len(o), len(tail), meta, zstandard.ZstdCompressor(level=3).compress(tail.tobytes() + side.tobytes())))
+    for i, j in _stretches(home):
+        o = order[i:j]
+        rows.append(_encoded(int(home[i]), grp, suffix[o], left[o], lsize[o], rsize[o], at[o], own.key[pick][o], np.full(len(o), grp, np.int64)))
     return rows
 
 
+def _encoded(bucket: int, src: int, s: np.ndarray, l: np.ndarray, ls: np.ndarray, rs: np.ndarray, at: np.ndarray, key: np.ndarray, grp: np.ndarray) -> tuple:  # noqa: E741
+    """A run in order of its suffixes, front-coded, as a row of RUNS."""
+    same = s[1:] == s[:-1]
+    common = np.concatenate([[0], np.where(same.all(axis=1), 8 * WORDS, same.argmin(axis=1))])
+    column = np.arange(8 * WORDS)[None]
+    tail = s[(column >= common[:, None]) & (column < rs[:, None])]
+    side = l[np.arange(SPAN)[None] >= SPAN - ls[:, None]]
+    meta = _squeeze(common.astype(np.uint8), ls.astype(np.uint8), rs.astype(np.uint8), at.astype(np.int32), key, grp)
+    return bucket, src, None, len(s), len(tail), meta, zstandard.ZstdCompressor(level=3).compress(tail.tobytes() + side.tobytes())
+
+
 class Run:
     """A decoded run: suffixes, left contexts and the offset-value code of each row to the one before."""
 
     def __init__(self, n: int, tail: int, meta: bytes, text: bytes):
-        self.common, self.lsize, self.rsize, self.at, self.key = _expand(meta, n, "u1", "u1", "u1", "i4", "i8")
+        self.common, self.lsize, self.rsize, self.at, self.key, self.grp = _expand(meta, n, "u1", "u1", "u1", "i4", "i8", "i8")
         raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(text), np.uint8)
         column = np.arange(8 * WORDS)[None]
         own = column >= self.common[:, None]
@@ -335,79 +361,86 @@ def merge_runs(codes: list[list[int]], texts: list[bytes]) -> tuple[list[int], l
     return out, marks
 
 
-def _covered(runs: list[Run]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Per run the spans of its windows that a smaller doc_id holds."""
-    out, marks = merge_runs([r.codes for r in runs], [r.bytes for r in runs])
-    which = np.array(out, np.int64)
-    order = np.empty(len(which), np.int64)
-    order[np.argsort(which, kind="stable")] = np.arange(len(which))
-    # rows part where fewer words than the gram's are common
-    limit = (WORDS - GRAM // 8 + 1) << 64
-    part = np.cumsum(np.fromiter((m >= limit for m in marks), bool, len(marks)))
-    every = {x: np.concatenate([getattr(r, x) for r in runs])[order] for x in ("at", "key", "lsize", "rsize")}
-    heads = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-    low, high = np.minimum.reduceat(every["key"], heads), np.maximum.reduceat(every["key"], heads)
-    pick = np.flatnonzero((low != high)[np.cumsum(np.concatenate([[True], part[1:] != part[:-1]])) - 1])
-    if not len(pick):
-        return {}
-    which, at, key = which[pick], every["at"][pick].astype(np.int64), every["key"][pick]
-    lsize, rsize = every["lsize"][pick].astype(np.int64), every["rsize"][pick].astype(np.int64)
-    suffix = np.concatenate([r.suffix for r in runs])[order[pick]]
-    left = np.concatenate([r.left for r in runs])[order[pick]]
-    h1, h2 = _content_hash(left, suffix, lsize, rsize)
-    by = np.lexsort((key, h2, h1))
-    new = np.concatenate([[True], (h1[by][1:] != h1[by][:-1]) | (h2[by][1:] != h2[by][:-1])])
-    whole = np.zeros(len(pick), bool)
-    whole[by] = key[by] > key[by][new][np.cumsum(new) - 1]
-    # of equal strings only the least document's rows are left; each of their windows on its own, in
-    # blocks of whole parts, as equal windows share their gram
-    rest = np.flatnonzero(~whole)
-    parts = part[pick][rest]
-    edges = np.flatnonzero(np.concatenate([[True], parts[1:] != parts[:-1], [True]])) if len(rest) else np.zeros(1, np.int64)
-    items, offs, i = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
-    while i < len(rest):
-        j = int(edges[max(np.searchsorted(edges, i, "right"), np.searchsorted(edges, i + BLOCK_ROWS, "right") - 1)])
-        item, off = _covered_windows(left, suffix, lsize, rsize, key, rest[i:j])
-        items.append(item)
-        offs.append(off)
-        i = j
-    item, off = np.concatenate(items), np.concatenate(offs)
-    run_of = np.concatenate([which[whole], which[item]])
-    begin = np.concatenate([at[whole] - lsize[whole], at[item] - off])
-    finish = np.concatenate([at[whole] + rsize[whole], at[item] - off + LENGTH])
-    by = np.lexsort((begin, run_of))
-    run_of, begin, finish = run_of[by], begin[by], finish[by]
-    found = {}
-    for r in np.unique(run_of):
-        i, j = np.searchsorted(run_of, [r, r + 1])
-        found[int(r)] = _union(begin[i:j], finish[i:j])
-    return found
+class Merged:
+    """Rows of all runs in merged order, each with its common prefix with the row before, as the codes tell it."""
+
+    def __init__(self, runs: list[Run]):
+        out, marks = merge_runs([r.codes for r in runs], [r.bytes for r in runs])
+        order = np.empty(len(out), np.int64)  # of the runs' rows, one run after the other
+        order[np.argsort(np.array(out, np.int64), kind="stable")] = np.arange(len(out))
+        self.suffix, self.left = (np.concatenate([getattr(r, x) for r in runs])[order] for x in ("suffix", "left"))
+        self.at, self.key, self.grp, self.lsize, self.rsize = (np.concatenate([getattr(r, x) for r in runs])[order].astype(np.int64) for x in ("at", "key", "grp", "lsize", "rsize"))
+        # a code of k words to come: the words before are common, and of the next one the leading bytes
+        known = np.array([WORDS - (m >> 64) if m else WORDS for m in marks], np.int64)
+        known[:1] = 0
+        words = self.suffix.view(">u8").astype(U64)
+        row, k = np.arange(len(known)), np.minimum(known, WORDS - 1)
+        differ = words[row, k] ^ words[np.maximum(row - 1, 0), k]
+        extra = np.zeros(len(known), np.int64)
+        for i in range(1, 8):
+            extra += differ < U64(1) << U64(64 - 8 * i)
+        self.common = np.where(known < WORDS, 8 * known + extra, 8 * WORDS)
+        self.common[:1] = 0
+
+    def take(self, rows: np.ndarray) -> None:
+        """Keep ``rows``, in order; a common prefix is the least of those passed over."""
+        self.common = np.minimum.reduceat(self.common[: rows[-1] + 1], np.concatenate([[0], rows[:-1] + 1])) if len(rows) else self.common[:0]
+        self.common[:1] = 0
+        for x in ("suffix", "left", "at", "key", "grp", "lsize", "rsize"):
+            setattr(self, x, getattr(self, x)[rows])
+
+
+def _least(label: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """For each row the least key among rows of its label."""
+    order = np.argsort(label, kind="stable")
+    heads = np.flatnonzero(np.concatenate([[True], label[order][1:] != label[order][:-1]]))
+    out = np.empty(len(label), np.int64)
+    out[order] = np.repeat(np.minimum.reduceat(key[order], heads), np.diff(np.concatenate([heads, [len(label)]])))
+    return out
 
 
-def _covered_windows(left: np.ndarray, suffix: np.ndarray, lsize: np.ndarray, rsize: np.ndarray, key: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, offset of its anchor) of the windows of ``rows`` that a row of smaller key holds."""
-    hashes, items, offs = [], [], []
-    for i in range(0, len(rows), STEP_ROWS):
-        some = rows[i : i + STEP_ROWS]
-        text = np.concatenate([left[some], suffix[some, :LENGTH]], axis=1)
-        sums = np.zeros((2, text.shape[1] + 1, len(some)), U64)
-        for j in range(text.shape[1]):
-            sums[0, j + 1] = sums[0, j] * BASE + BYTE_CODE[text[:, j]]
-            sums[1, j + 1] = sums[1, j] * BASE + BYTE_CODE_2[text[:, j]]
-        for o in range(SPAN + 1):
-            ok = np.flatnonzero((o <= lsize[some]) & (o >= LENGTH - rsize[some]))
-            hashes.append(sums[:, SPAN - o + LENGTH, ok] - sums[:, SPAN - o, ok] * BASE_LENGTH)
-            items.append(some[ok].astype(np.int32))
-            offs.append(np.full(len(ok), o, np.int8))
-    h, item, off = np.concatenate(hashes, axis=1), np.concatenate(items), np.concatenate(offs)
-    by = np.lexsort((h[1], h[0]))
-    h, item, off = h[:, by], item[by], off[by]
-    if not len(item):
-        return item.astype(np.int64), off.astype(np.int64)
-    heads = np.flatnonzero(np.concatenate([[True], (h[0, 1:] != h[0, :-1]) | (h[1, 1:] != h[1, :-1])]))
-    least = np.minimum.reduceat(key[item], heads)
-    hit = key[item] > np.repeat(least, np.diff(np.concatenate([heads, [len(item)]])))
-    return item[hit].astype(np.int64), off[hit].astype(np.int64)
+def _left_sides(left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of left sides read backwards from the anchor, and each one's common length with the one before."""
+    back = left[:, ::-1]
+    order = np.lexsort(_words(back).T[::-1])
+    same = back[order][1:] == back[order][:-1]
+    return order, np.concatenate([[0], np.where(same.all(axis=1), SPAN, same.argmin(axis=1))])
+
+
+def _classes(order: np.ndarray, common: np.ndarray, length: int) -> np.ndarray:
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(common < length)
+    return out
+
+
+def _covered(m: Merged, final: bool) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Spans (group, begin, end) of windows that a smaller doc_id holds; ``m`` keeps the rows that are left.
+
+    Before the last round only rows whose whole string another one holds are settled.
+    """
+    # grams that one document alone holds here
+    parts = np.cumsum(m.common < GRAM) if final else np.zeros(len(m.key), np.int64)
+    if final:
+        heads = np.flatnonzero(np.concatenate([[True], parts[1:] != parts[:-1]]))
+        m.take(np.flatnonzero((np.minimum.reduceat(m.key, heads) != np.maximum.reduceat(m.key, heads))[parts - parts[0]]))
+    if not len(m.key):
+        return []
+    found = []
+    order, common = _left_sides(m.left)
+    whole = ((np.cumsum(m.common < 8 * WORDS) * (len(order) + 1) + _classes(order, common, SPAN)) * (SPAN + 1) + m.lsize) * 128 + m.rsize
+    least = _least(whole, m.key)
+    gone = np.flatnonzero(m.key > least)
+    found.append((m.grp[gone], m.at[gone] - m.lsize[gone], m.at[gone] + m.rsize[gone]))
+    m.take(np.flatnonzero(m.key == least))
+    if final and len(m.key):
+        order, common = _left_sides(m.left)
+        for o in range(SPAN + 1):  # windows that begin o bytes before their anchor
+            ok = np.flatnonzero((m.lsize >= o) & (m.rsize >= LENGTH - o))
+            if len(ok):
+                label = (np.cumsum(m.common < LENGTH - o) * (len(order) + 1) + _classes(order, common, o))[ok]
+                hit = ok[m.key[ok] > _least(label, m.key[ok])]
+                found.append((m.grp[hit], m.at[hit] - o, m.at[hit] - o + LENGTH))
+    return found
 
 
 def _union(begin: np.ndarray, finish: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -417,19 +450,34 @@ def _union(begin: np.ndarray, finish: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return begin[new], np.concatenate([reach[:-1][new[1:]], reach[-1:]])
 
 
-def _merger(table: pa.Table) -> pa.Table:
-    rows, runs, groups = [], [], []
-    for grp, n, tail, meta, text in sorted(zip(*(table.column(c).to_pylist() for c in ("grp", "n", "tail", "meta", "text")), strict=True), key=lambda x: x[0]):
-        if text is None:
-            rows.append((grp, n, meta))
-        else:
-            runs.append(Run(n, tail, meta, text))
-            groups.append(grp)
-    if runs:
-        with np.errstate(over="ignore"):
-            for r, (begin, finish) in _covered(runs).items():
-                rows.append((groups[r], len(begin), _squeeze(begin.astype(np.int32), finish.astype(np.int32))))
-    return pa.table([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else ([],) * 3, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["grp", "n", "spans"])
+def _merger(final: bool):
+    """One round over a bucket, or a set of its runs: spans, and before the last round the merged run."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows, runs = [], []
+        for bucket, src, grp, n, tail, meta, text in sorted(zip(*(table.column(c).to_pylist() for c in ("bucket", "src", "grp", "n", "tail", "meta", "text")), strict=True), key=lambda x: (x[1], x[6] is None)):
+            if text is None:
+                rows.append((bucket, src, grp, n, 0, meta, None))
+            else:
+                runs.append(Run(n, tail, meta, text))
+        if runs:
+            bucket, src = table.column("bucket")[0].as_py(), table.column("src")[0].as_py()
+            m = Merged(runs)
+            runs.clear()
+            with np.errstate(over="ignore"):
+                found = _covered(m, final)
+            if found:
+                grp, begin, end = (np.concatenate(x) for x in zip(*found, strict=True))
+                order = np.lexsort((begin, grp))
+                grp, begin, end = grp[order], begin[order], end[order]
+                for i, j in _stretches(grp):
+                    b, e = _union(begin[i:j], end[i:j])
+                    rows.append((bucket, src, int(grp[i]), len(b), 0, _squeeze(b.astype(np.int32), e.astype(np.int32)), None))
+            if not final and len(m.key):
+                rows.append(_encoded(bucket, src, m.suffix, m.left, m.lsize, m.rsize, m.at, m.key, m.grp))
+        return _table(rows, RUNS)
+
+    return run
 
 
 def _remains(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -452,17 +500,22 @@ def _remains(left: pa.Table, right: pa.Table) -> pa.Table:
             kept = t if not removed else raw[i : i + len(t)][~g].tobytes()
             rows.append((None if missing else key, len(t), removed, spans, hashlib.sha256(kept).hexdigest()))
             i += len(t)
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
-    return pa.table([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else ([],) * 5, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+    return _table(rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, group_bytes: int = GROUP_BYTES, fan_in: int = FAN_IN) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    parts = partitions_for(docs, GROUP_BYTES, "text")
-    packed = docs.select(F.expr(f"pmod(xxhash64(doc_id), {parts})").alias("grp"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_packer, "grp long, doc_id long, packed binary").repartition(parts, "grp")
-    groups = packed.groupBy("grp")
-    fingers = groups.applyInArrow(_fingerprints(parts), "bucket long, grp long, n long, blob binary")
-    known = fingers.groupBy("bucket").applyInArrow(_repeated, "grp long, bucket long, n long, bits binary")
-    runs = groups.cogroup(known.groupBy("grp")).applyInArrow(_runs(parts), "bucket long, grp long, n long, tail long, meta binary, text binary")
-    spans = runs.groupBy("bucket").applyInArrow(_merger, "grp long, n long, spans binary")
+    # staged, so that a group holds the same texts whenever it is read
+    packed = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_packer(group_bytes), "grp long, doc_id long, size long, packed binary"), "suffix-groups", codec="uncompressed")
+    size, count = packed.agg(F.sum("size"), F.count_distinct("grp")).first()
+    buckets = max(1, -(-(size or 0) // group_bytes))
+    fingers = max(1, buckets // GROUPS_A_BUCKET)
+    groups = packed.drop("size").repartition(max(1, count), "grp").groupBy("grp")
+    prints = groups.applyInArrow(_fingerprints(fingers), "bucket long, grp long, n long, blob binary")
+    known = prints.repartition(fingers, "bucket").groupBy("bucket").applyInArrow(_repeated, "grp long, bucket long, n long, bits binary")
+    runs = groups.cogroup(known.groupBy("grp")).applyInArrow(_runs(fingers, buckets), RUNS)
+    while count > fan_in:
+        count = -(-count // fan_in)
+        runs = runs.withColumn("src", F.expr(f"pmod(xxhash64(src), {count})")).repartition(buckets, "bucket", "src").groupBy("bucket", "src").applyInArrow(_merger(False), RUNS)
+    spans = runs.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_merger(True), RUNS).select("grp", "n", F.col("meta").alias("spans"))
     return groups.cogroup(spans.groupBy("grp")).applyInArrow(_remains, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

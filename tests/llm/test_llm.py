@@ -55,6 +55,28 @@ def test_op1_equals_brute_force(docs):
         spans = sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone))
         want.append((i, len(b), sum(gone), spans, hashlib.sha256(bytes(c for c, g in zip(b, gone) if not g)).hexdigest()))
     assert rows(suffix_merge.remove_repeats(docs)) == sorted(want, key=repr)
+    # many groups and buckets, and runs that are merged in several rounds
+    assert rows(suffix_merge.remove_repeats(docs, group_bytes=300, fan_in=2)) == sorted(want, key=repr)
+
+
+def test_op1_shared_passages_in_many_contexts(spark):
+    rng = np.random.default_rng(8)
+    word = lambda n: "".join(rng.choice(list("ab"), n))
+    passages = [word(70) for _ in range(4)]
+    table = [(None if k % 9 == 0 else int(rng.integers(0, 60)), word(rng.integers(0, 40)) + passages[k % 4] + word(rng.integers(0, 40)) + passages[k % 3][: rng.integers(40, 70)]) for k in range(80)]
+    first: dict[str, tuple] = {}
+    rank = lambda i: (i is None, i or 0)
+    for i, t in sorted(table, key=lambda x: rank(x[0])):
+        for p in range(len(t) - 49):
+            first.setdefault(t[p : p + 50], rank(i))
+    want = []
+    for i, t in table:
+        gone = {x for p in range(len(t) - 49) if first[t[p : p + 50]] != rank(i) for x in range(p, p + 50)}
+        spans = sum(x - 1 not in gone for x in gone)
+        want.append((i, len(t), len(gone), spans, hashlib.sha256("".join(c for x, c in enumerate(t) if x not in gone).encode()).hexdigest()))
+    d = spark.createDataFrame(table, "doc_id long, text string").repartition(5)
+    for group_bytes, fan_in in ((4 << 20, 512), (700, 3)):
+        assert rows(suffix_merge.remove_repeats(d, group_bytes, fan_in)) == sorted(want, key=repr)
 
 
 @settings(max_examples=60, deadline=None)
@@ -214,6 +236,47 @@ def test_op5_equals_brute_force(docs):
     assert rows(minhash_forest.near_duplicates(docs)) == sorted(want, key=repr)
 
 
+def test_op5_crowded_regions_lose_no_planted_pair(spark):
+    rng = np.random.default_rng(11)
+    base = [f"common{i}" for i in range(400)]
+    texts = [" ".join(base + [f"own{k}x{i}" for i in range(90)]) for k in range(1200)]
+    # pairs at 0.80 to 0.85, all other texts share 0.69 of their shingles
+    pairs = [(k, " ".join([*texts[k].split()[: -n], *(f"new{k}x{i}" for i in range(n))])) for k, n in zip(range(0, 1200, 12), rng.integers(42, 54, 100), strict=True)]
+    table = [(k, t) for k, t in enumerate(texts)] + [(2000 + k, t) for k, t in pairs]
+    truth = {k for k, t in pairs if 100 * len((a := shingles(texts[k])) & (b := shingles(t))) >= 80 * len(a | b)}
+    assert len(truth) >= 80
+    d = spark.createDataFrame(table, "doc_id long, text string").repartition(4)
+    for crowded in (minhash_forest.CROWDED, 64):
+        got = {r["doc_id"]: r["component_id"] for r in minhash_forest.near_duplicates(d, crowded=crowded).collect()}
+        found = {k for k, _ in pairs if got[2000 + k] == k}
+        assert found <= truth and len(found) >= 0.97 * len(truth)
+        assert all(got[k] == k for k in range(1200))
+
+
+def test_op5_large_clusters_go_by_blocks(spark):
+    rng = np.random.default_rng(12)
+    base = [f"w{i}" for i in range(120)]
+    table = []
+    for k in range(400):  # near copies of one text, most pairs linked, and two chains with links from one to the next alone
+        words = list(base)
+        for x in rng.choice(120, 2 if k % 3 else 1, replace=False):
+            words[x] = f"v{k}x{x}"
+        table.append((k, " ".join(words)))
+    for start in (1000, 2000):
+        words = [f"c{start}x{i}" for i in range(100)]
+        for k in range(12):
+            words = [*words[10:], *(f"c{start}n{k}x{i}" for i in range(10))]
+            table.append((start + k, " ".join(words)))
+    sets = [shingles(t) for _, t in table]
+    root = components(sets)
+    want = {i: table[root[k]][0] for k, (i, _) in enumerate(table)}
+    d = spark.createDataFrame(table, "doc_id long, text string").repartition(4)
+    for block in (1500, 8000):
+        got = {r["doc_id"]: r["component_id"] for r in minhash_forest.near_duplicates(d, crowded=48, block=block).collect()}
+        assert sum(got[i] == want[i] for i in want) >= 0.98 * len(want)
+        assert all(want[i] == want[got[i]] for i in want)
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.sets(st.integers(0, 14), min_size=1), min_size=1, max_size=14))
 def test_op5_confirm_is_exact(sets):
