@@ -7,8 +7,10 @@ with a count, so the work does not depend on the number of pieces.  Patterns giv
 the pieces of one length its sequence and offset; ranks come from two-level counts, so a length that
 most pieces have is not ranked in one task.
 
-Defined results: a null text is empty and gives the end id alone; repeated rows are packed each on
-their own; further columns are ignored; an empty table gives no pieces.
+Defined results: a null text is empty and gives the end id alone; a text of any length is cut into as
+many pieces as it needs; repeated rows are packed each on their own, and equal pieces are alike, so that
+which of them gets which place does not matter; further columns are ignored; an empty table gives no
+pieces.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.bpe import default_path, loaded
+from quarry.llm.textkernel import releasing
 from quarry.scratch import staged
 
 LENGTH, END_ID = 2048, 1
@@ -44,7 +47,7 @@ def _pieces(path: str, length: int):
             columns = zip(*rows, strict=True) if rows else ([],) * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return run
+    return releasing(run)
 
 
 def shortest_pack_first(histogram: dict[int, int], length: int = LENGTH) -> list[tuple[tuple[int, ...], int]]:
@@ -79,9 +82,10 @@ def shortest_pack_first(histogram: dict[int, int], length: int = LENGTH) -> list
     return sorted(merged.items(), reverse=True)
 
 
-def padding(used: int, length: int = LENGTH) -> int:
-    """Padding that a sequence of ``used`` tokens gets: up to ``length``, none at a power of two."""
-    return 0 if used & (used - 1) == 0 else length - used
+def padding(packed: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(sequence_id, used, padding): padded up to ``length``, not at all where ``used`` is a power of two."""
+    used = packed.groupBy("sequence_id").agg(F.sum("length").alias("used"))
+    return used.selectExpr("sequence_id", "used", f"case when used & (used - 1) = 0 then 0L else {length} - used end as padding")
 
 
 def _places(patterns: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:

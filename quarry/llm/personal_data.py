@@ -2,8 +2,10 @@
 
 *Base* spans (email, ip, card, phone) are those of the patterns below; they are always found.  Further
 *candidates* (written-out email addresses, telephone numbers without a country code, identity numbers)
-are judged by labelers that vote for, against or not at all: the strict pattern, a gazetteer of
-domains, issuers and number forms, words in the context, the shape, and the edges.  The votes of all
+are judged by labelers that vote for, against or not at all: the strict pattern, gazetteers (top-level
+domains, the number ranges of card issuers with their lengths, country calling codes, the area and
+exchange codes of the North American plan, ranges never given out), words in the context, the shape, and
+the edges.  The votes of all
 candidates, base ones included, are counted by pattern (a table whose size the labelers fix), and
 expectation-maximisation over it estimates each labeler's reliability without any label.  The
 posteriors then train the final classifier of spans, a naive Bayes over features of span and context,
@@ -14,7 +16,9 @@ their lengths add up to the starts.  The patterns differ from the plain ones onl
 not begin inside a run that has been looked at already; the matches are the same and a run of any length is
 read once.
 
-Defined results: a null text has no spans; repeated rows have the same; further columns are ignored.
+Defined results: a null text has no spans; a text of any length is read whole; repeated rows have the
+same spans; spans of different kinds may overlap, an added one none of the base ones; without candidates
+nothing is learned or added; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -48,35 +52,75 @@ ORDER = ("email", "ip", "card", "phone", "id")
 CONTEXT = 40
 GOOD_WORDS = r"(?i)\b(?:e-?mail|mail|call|tel|telephone|phone|mobile|fax|contact|reach|ip|address|host|card|visa|account|iban|ssn|social security|id)\b"
 BAD_WORDS = r"(?i)\b(?:isbn|issn|doi|order|invoice|version|figure|fig|page|pages|part|ref|sku|item|model|ticket|build)\b"
-DOMAINS = r"(?i)(?:com|org|net|edu|gov|info|io|de|fr|es|uk|example)$"
+# Fixed values of the gazetteers.
+DOMAINS = r"(?i)[.](?:com|org|net|edu|gov|mil|int|info|biz|name|pro|aero|coop|museum|mobi|jobs|travel|tel|cat|asia|post|app|dev|page|blog|shop|store|online|site|tech|cloud|xyz|example|test|[a-z]{2})$"
+CALLING = r"^(?:1|7|2(?:[07]|[1-689][0-9])|3(?:[0-469]|[578][0-9])|4(?:[013-9]|2[0-9])|5(?:[1-8]|[09][0-9])|6(?:[0-6]|[789][0-9])|8(?:[1246]|[0578][0-9])|9(?:[0-58]|[679][0-9]))"
+NATIONAL = r"^[(]?[2-9](?!11)[0-8][0-9][)]?[ .-][2-9](?!11)[0-9]{2}[.-][0-9]{4}$"
+NEVER = r"^(?:000|666|9)|-00-|0000$"
+#: Leading digits of issuers, from and to, and the lengths of their numbers.
+ISSUERS = [
+    ("4", "4", (13, 16, 19)), ("51", "55", (16,)), ("2221", "2720", (16,)), ("34", "34", (15,)), ("37", "37", (15,)), ("300", "305", range(14, 20)), ("36", "36", range(14, 20)), ("38", "39", range(14, 20)),
+    ("6011", "6011", range(16, 20)), ("644", "649", range(16, 20)), ("65", "65", range(16, 20)), ("3528", "3589", range(16, 20)), ("62", "62", range(16, 20)), ("50", "50", range(13, 20)), ("56", "58", range(13, 20)), ("63", "63", range(13, 20)), ("67", "68", range(13, 20)),
+]
+
+
+def _digits(span: str) -> str:
+    return f"regexp_replace({span}, '[^0-9]', '')"
+
+
+def _issued(span: str) -> str:
+    """SQL of whether a card number lies in an issuer's range and has one of its lengths."""
+    return " or ".join(f"(left({_digits(span)}, {len(a)}) between '{a}' and '{b}' and length({_digits(span)}) in ({', '.join(map(str, sizes))}))" for a, b, sizes in ISSUERS)
+
+
 #: Votes: 0 none, 1 for, 2 against.
 LABELERS = {
     "strict": "case when x.base then 1 else 0 end",
-    "gazetteer": f"case x.kind when 'email' then case when rlike(x.t, '{DOMAINS}') then 1 else 0 end when 'card' then case when rlike(x.t, '^(?:4|5[1-5]|3[47]|6)') then 1 else 2 end when 'ip' then case when rlike(x.t, '^0') then 2 else 1 end when 'phone' then case when rlike(x.t, '[(]?[2-9][0-9]{{2}}[)]?[ .-][2-9][0-9]{{2}}[.-][0-9]{{4}}$') then 1 else 0 end else case when rlike(x.t, '^(?:000|666|9)|-00-|0000$') then 2 else 1 end end",
+    "gazetteer": f"case x.kind when 'email' then case when rlike(regexp_replace(x.t, ' ?[\\\\[({{]dot[\\\\])}}] ?', '.'), '{DOMAINS}') then 1 else 2 end when 'card' then case when {_issued('x.t')} then 1 else 2 end when 'ip' then case when rlike(x.t, '^0') then 2 else 1 end "
+    f"when 'phone' then case when x.t like '+%' then case when rlike({_digits('x.t')}, '{CALLING}') then 1 else 2 end when rlike(x.t, '{NATIONAL}') then 1 else 2 end else case when rlike(x.t, '{NEVER}') then 2 else 1 end end",
     "context": "case when rlike(x.before, '{good}') then 1 when rlike(x.before, '{bad}') then 2 else 0 end",
     "shape": "case when rlike(x.t, '([0-9])(?:[ .-]?\\\\1){5}') then 2 when x.kind = 'ip' and rlike(x.before, '(?i)version ?$') then 2 else 1 end",
     "edges": "case when rlike(x.before, '[A-Za-z0-9_]$') or rlike(x.after, '^[A-Za-z0-9_]') then 2 else 1 end",
 }
 N = len(LABELERS)
 THRESHOLD, ROUNDS = 0.5, 25
+#: Matches whose positions are added up at once.
+BLOCK = 128
 
 
 def matches(text: Column, pattern: str, needs: str) -> Column:
     """array<struct<s, e, t>> of the non-overlapping matches of ``pattern``, leftmost first.
 
-    needs: SQL that holds for every text with a match, and is quicker to tell.
+    needs: SQL that holds for every text with a match, and is quicker to tell.  Positions are added up in
+    blocks of matches, then over blocks, as an array that grows by one is copied each time.
     """
     gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    found = F.aggregate(
-        F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, h: F.struct(F.length(g).alias("g"), h.alias("t"))),
-        F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<s:int,e:int,t:string>>)").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["g"] + F.length(x["t"])).alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + x["g"]).alias("s"), (acc["at"] + x["g"] + F.length(x["t"])).alias("e"), x["t"].alias("t")))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return F.when(F.expr(needs), found).otherwise(F.expr("cast(array() as array<struct<s:int,e:int,t:string>>)"))
+    none, no_offset = F.expr("cast(array() as array<struct<s:int,e:int,t:string>>)"), F.expr("cast(array() as array<int>)")
+    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, h: F.struct(F.length(g).alias("g"), h.alias("t")))
+
+    def placed(block: Column) -> Column:
+        return F.aggregate(
+            block,
+            F.struct(F.lit(0).alias("at"), none.alias("out")),
+            lambda acc, x: F.struct(
+                (acc["at"] + x["g"] + F.length(x["t"])).alias("at"),
+                F.concat(acc["out"], F.array(F.struct((acc["at"] + x["g"]).alias("s"), (acc["at"] + x["g"] + F.length(x["t"])).alias("e"), x["t"].alias("t")))).alias("out"),
+            ),
+        )
+
+    def offsets(blocks: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), no_offset.alias("out"))
+        return F.aggregate(blocks, start, lambda acc, b: F.struct((acc["at"] + b["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+    def moved(blocks: Column) -> Column:
+        return F.flatten(F.zip_with(blocks, offsets(blocks), lambda b, o: F.transform(b["out"], lambda x: F.struct((x["s"] + o).alias("s"), (x["e"] + o).alias("e"), x["t"].alias("t")))))
+
+    def cut(ps: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(ps) - 1) / BLOCK).cast("int")), lambda b: F.slice(ps, b * BLOCK + 1, F.lit(BLOCK)))
+
+    # one-element arrays bind a value, which would else be worked out anew for each use
+    found = F.get(F.transform(F.array(pairs), lambda ps: F.when(F.size(ps) == 0, none).otherwise(F.get(F.transform(F.array(F.transform(cut(ps), placed)), moved), F.lit(0)))), F.lit(0))
+    return F.when(F.expr(needs), found).otherwise(none)
 
 
 def with_candidates(docs: DataFrame) -> DataFrame:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quarry.llm import embedding_pq, exact_dedup, language_id, minhash_forest, mixture, packing, personal_data, suffix_merge, token_ledger, toxicity
-from quarry.scratch import read_table
+from quarry.scratch import joined, read_table, staged
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,8 +32,18 @@ def op5_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of ``documents`` after three batches: all of them come in; those labelled toxic are taken out; those
+    labelled of low quality, and not toxic, are revised to their text in lower case."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    labels = read_table(spark, sf_dir, "labels").where("doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
+    labels = staged(labels.where("toxic = 1 or quality = 0"), "ledger-labels")
     ledger = token_ledger.TokenLedger(spark)
-    ledger.commit("documents", token_ledger.signed(inserts=read_table(spark, sf_dir, "documents")))
+    ledger.commit("documents", token_ledger.signed(inserts=docs))
+    marked = staged(joined(docs, labels, ["doc_id"], "inner", token_ledger.MOST_SENT), "ledger-marked")
+    ledger.commit("toxic", token_ledger.signed(deletes=marked.where("toxic = 1")))
+    old = marked.where("coalesce(toxic, 0) <> 1")
+    ledger.commit("low-quality", token_ledger.signed(revisions=(old, old.withColumn("text", F.lower("text")))))
+    ledger.fold()
     return ledger.totals()
 
 

@@ -1,30 +1,41 @@
 """Token counts as rollups that deltas maintain.
 
-A ledger is a folder of committed batches.  A batch is a table of signed changes, summed by source,
-language and tokenizer version before it is written: an insert adds a document's counts, a delete
-subtracts them, a revision subtracts the old image and adds the new one.  Totals are the sums over
-all batches, so they are additive and free of order.  A batch is committed when its ``_SUCCESS``
-marker is there; committing an id again changes nothing, and a batch that broke off is written anew.
-
-Defined results: a null text has no tokens but counts as a document; null sources and languages are
-groups of their own; groups whose totals have come back to zero documents are left out; further
-columns are ignored.
+A ledger is a folder.  A batch is a table of signed changes, summed by source, language and tokenizer
+version: an insert adds a document's counts, a delete subtracts them, a revision subtracts the old image
+and adds the new one.  Its sums are written aside and then renamed to their place, which succeeds once for
+an id: of several writers of one id one wins, the others change nothing, and a batch that broke off was
+never there (the shared folder must rename a folder in one step, as HDFS and local disks do).
+
+Totals are maintained: a snapshot holds the sums of all batches that it has taken in and their ids.
+``totals`` adds to it the few batches that have come since, and after ``FOLD_AFTER`` of them they are taken
+in by a new snapshot and their folders deleted, so neither reading nor listing grows with the history.
+One process folds at a time; readers see the last whole snapshot.
+
+Defined results: a null text has no tokens but counts as a document, a text of any length is counted
+whole; null sources and languages are groups of their own; repeated rows count each; groups whose
+totals have come back to zero documents and tokens are left out; an empty batch is committed and adds
+nothing; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.bpe import default_path, loaded
-from quarry.scratch import fresh_path
+from quarry.scratch import delete, fresh_path
 
 WORDS_VERSION = "words-1"
+FOLD_AFTER = 16
+#: Rows up to which the query sends its table of marked documents to all executors.
+MOST_SENT = 300_000
 DELTA = "source string, lang string, tokenizer_version string, n_docs long, n_tokens long"
 
 
@@ -57,13 +68,42 @@ class TokenLedger:
     def __init__(self, spark: SparkSession, root: str | None = None, tokenizer: str | None = None):
         self.spark, self.root, self.path = spark, root or fresh_path(spark, "token-ledger"), tokenizer or default_path()
 
-    def _at(self, path: str):
-        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), where
+    def _fs(self):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        return path, path(self.root).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _names(self, start: str) -> list[str]:
+        path, fs = self._fs()
+        names = [s.getPath().getName() for s in fs.listStatus(path(self.root))] if fs.exists(path(self.root)) else []
+        return sorted(n.removeprefix(start) for n in names if n.startswith(start))
+
+    def _placed(self, source: str, target: str) -> bool:
+        """Rename a folder to a name that none has yet; False if one has it."""
+        sc = self.spark.sparkContext
+        path, fs = self._fs()
+        files = sc._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), sc._jsc.hadoopConfiguration())
+        try:
+            files.rename(path(source), path(target), sc._gateway.new_array(sc._jvm.org.apache.hadoop.fs.Options.Rename, 0))
+        except Py4JJavaError:
+            if not fs.exists(path(target)):
+                raise
+            delete(self.spark, source)
+            return False
+        return True
+
+    def _snapshot(self) -> tuple[int, DataFrame, DataFrame]:
+        """Number, sums and ids of the last snapshot."""
+        last = max(map(int, self._names("snapshot=")), default=0)
+        if not last:
+            return 0, self.spark.createDataFrame([], DELTA), self.spark.createDataFrame([], "batch_id string")
+        at = f"{self.root}/snapshot={last}"
+        return last, self.spark.read.schema(DELTA).parquet(f"{at}/sums"), self.spark.read.schema("batch_id string").parquet(f"{at}/ids")
 
     def committed(self, batch_id: str) -> bool:
-        fs, where = self._at(f"{self.root}/batch={batch_id}/_SUCCESS")
-        return fs.exists(where)
+        return batch_id in self._names("batch=") or self._folded(batch_id)
+
+    def _folded(self, batch_id: str) -> bool:
+        return not self._snapshot()[2].where(F.col("batch_id") == batch_id).isEmpty()
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
         """Add a batch once; False if it was there already."""
@@ -75,16 +115,38 @@ class TokenLedger:
         counted = counted.mapInArrow(_counter(self.path), "source string, lang string, sign long, words long, bpe long")
         versions = F.array(F.struct(F.lit(WORDS_VERSION).alias("v"), F.col("words").alias("n")), F.struct(F.lit(tokenizer_version(self.path)).alias("v"), F.col("bpe").alias("n")))
         sums = counted.groupBy("source", "lang").agg(F.sum("sign").alias("docs"), F.sum(F.expr("sign * words")).alias("words"), F.sum(F.expr("sign * bpe")).alias("bpe"))
-        sums.select("source", "lang", "docs", F.explode(versions).alias("x")).select("source", "lang", F.col("x.v").alias("tokenizer_version"), F.col("docs").alias("n_docs"), F.col("x.n").alias("n_tokens")).write.mode("overwrite").parquet(f"{self.root}/batch={batch_id}")
-        return True
-
-    def batches(self) -> list[str]:
-        fs, where = self._at(self.root)
-        names = [s.getPath().getName() for s in fs.listStatus(where)] if fs.exists(where) else []
-        return sorted(n[6:] for n in names if n.startswith("batch=") and self.committed(n[6:]))
+        aside = f"{self.root}/.aside-{uuid.uuid4().hex}"
+        sums.select("source", "lang", "docs", F.explode(versions).alias("x")).select("source", "lang", F.col("x.v").alias("tokenizer_version"), F.col("docs").alias("n_docs"), F.col("x.n").alias("n_tokens")).write.parquet(aside)
+        done = self._placed(aside, f"{self.root}/batch={batch_id}")
+        if done and self._folded(batch_id):  # meanwhile another one has come, and been taken in
+            delete(self.spark, f"{self.root}/batch={batch_id}")
+            done = False
+        if len(self._names("batch=")) > FOLD_AFTER:
+            self.fold()
+        return done
+
+    def _since(self) -> list[str]:
+        """Batches that the snapshot does not hold."""
+        names = self._names("batch=")
+        held = {r["batch_id"] for r in self._snapshot()[2].where(F.col("batch_id").isin(names)).collect()} if names else set()
+        return [n for n in names if n not in held]
+
+    def fold(self) -> None:
+        """Take all batches into a new snapshot."""
+        number, sums, ids = self._snapshot()
+        since = self._since()
+        if not since:
+            return
+        aside = f"{self.root}/.aside-{uuid.uuid4().hex}"
+        self.totals().coalesce(1).write.parquet(f"{aside}/sums")
+        ids.union(self.spark.createDataFrame([(b,) for b in since], "batch_id string")).coalesce(1).write.parquet(f"{aside}/ids")
+        if self._placed(aside, f"{self.root}/snapshot={number + 1}"):
+            for name in [f"batch={b}" for b in since] + [f"snapshot={number}"] * (number > 0):
+                delete(self.spark, f"{self.root}/{name}")
 
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer_version, n_docs, n_tokens) over all committed batches."""
-        paths = [f"{self.root}/batch={b}" for b in self.batches()]
-        rows = self.spark.read.schema(DELTA).parquet(*paths) if paths else self.spark.createDataFrame([], DELTA)
+        rows = self._snapshot()[1]
+        if paths := [f"{self.root}/batch={b}" for b in self._since()]:
+            rows = rows.unionByName(self.spark.read.schema(DELTA).parquet(*paths))
         return rows.groupBy("source", "lang", "tokenizer_version").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs <> 0 or n_tokens <> 0")

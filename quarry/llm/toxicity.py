@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.sampling import sampled
+from quarry.llm.textkernel import release, releasing
 from quarry.scratch import staged
 
 #: Labelled rows that lexicon and weights are fitted on, about; all where there are fewer.
@@ -332,7 +333,7 @@ def _featured(lexicon: Lexicon):
     return run
 
 
-def _scorer(lexicon: Lexicon | None, weights: np.ndarray | None):
+def _scores(lexicon: Lexicon | None, weights: np.ndarray | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             score = np.zeros(batch.num_rows)
@@ -362,7 +363,7 @@ def score(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
     """One row per row of ``docs``: doc_id, held_out, score, predicted."""
     lexicon, weights = fit(docs, labels, sample_docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.expr("coalesce(pmod(crc32(cast(doc_id as string)), 4) = 2, false)").alias("held_out"), "text")
-    return rows.mapInArrow(_scorer(lexicon, weights), "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(releasing(_scores(lexicon, weights)), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
@@ -370,11 +371,12 @@ def without_toxic(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_
     lexicon, weights = fit(docs, labels, sample_docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rate = _scorer(lexicon, weights)
+        rate = _scores(lexicon, weights)
         for batch in batches:
             n = batch.num_rows
             slim = pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), batch.column("text")], names=["doc_id", "held_out", "text"])
             (got,) = rate(iter([slim]))
             yield batch.filter(pa.compute.equal(got.column("predicted"), 0))
+        release()
 
     return docs.mapInArrow(run, docs.schema)

@@ -12,7 +12,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quarry.llm import bpe, embedding_pq, exact_dedup, language_id, minhash_forest, mixture, packing, personal_data, sampling, suffix_merge, token_ledger, toxicity
+from quarry.llm import bpe, embedding_pq, exact_dedup, language_id, minhash_forest, mixture, packing, personal_data, queries, sampling, suffix_merge, token_ledger, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, digest string, node string, grp int"
 LONG = " ".join(f"word{i % 97}x{i}" for i in range(4000))
@@ -106,7 +106,7 @@ def test_op1_merge_sorts_by_known_prefixes(runs):
 
 def test_op2_base_spans_and_votes(docs, spark):
     got = {r["doc_id"]: r for r in personal_data.find(docs).collect()}
-    assert got[14]["spans"] == "email:3:11,ip:52:60,card:32:51,phone:12:31".replace("phone:12:31", "") .rstrip(",") or "email:3:11" in got[14]["spans"]
+    assert got[14]["spans"] == "email:3:11,ip:50:58"  # the digits of card and phone run on, so neither holds
     assert (got[14]["n_email"], got[14]["n_ip"]) == (1, 1) and got[8]["spans"] == "" == got[9]["spans"]
     hard = ["a@b.c_d@e.f", "1.2.3.4.5.6.7.8", "4111-1111-1111-1111", "+1 (988) 555-2485", "." * 80 + "@a.b", "call 555-123-4567 or bob [at] mail [dot] com"]
     found = {r["doc_id"]: r["spans"] for r in personal_data.find(spark.createDataFrame(list(enumerate(hard)), "doc_id long, text string")).collect()}
@@ -114,6 +114,66 @@ def test_op2_base_spans_and_votes(docs, spark):
     assert "email:21:44" in found[5]
 
 
+KINDS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def base_spans(text):
+    def luhn(d):
+        return sum(int(c) if k % 2 == 0 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(reversed(d))) % 10 == 0
+
+    out = []
+    for kind, pattern in KINDS.items():
+        for m in re.finditer(pattern, text):
+            d = re.sub("[^0-9]", "", m[0])
+            ok = {"email": True, "ip": all(int(x) <= 255 for x in m[0].split(".")) if kind == "ip" else False, "card": 13 <= len(d) <= 19 and luhn(d), "phone": 9 <= len(d) <= 15}[kind]
+            if ok:
+                out.append((kind, m.start(), m.end()))
+    return out
+
+
+def test_op2_base_spans_equal_python(spark):
+    rng = np.random.default_rng(21)
+    texts = [None, "", "x" * 60_000 + " a@b.c " + "1.2.3.4 " * 700 + "4111111111111111 " * 700]
+    for letters in ("0123456789 -", "019. ", "+0123 ().-", "ab@.-é😀 ", "0123456789.-+@a ()"):
+        texts += ["".join(rng.choice(list(letters), rng.integers(5, 90))) for _ in range(300)]
+    for _ in range(300):  # numbers that pass the check digit, among separators and further digits
+        d = "".join(map(str, rng.integers(0, 10, rng.integers(12, 19))))
+        d += next(c for c in "0123456789" if sum(int(x) if k % 2 == 0 else sum(divmod(2 * int(x), 10)) for k, x in enumerate(reversed(d + c))) % 10 == 0)
+        texts.append("".join(rng.choice(["", " ", "-", "é"]) + c if rng.random() < 0.3 else c for c in d) + str(rng.choice(["", " 7", ".", "+", "--1"])))
+    got = {r["doc_id"]: r for r in personal_data.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)).collect()}
+    for i, t in enumerate(texts):
+        want = base_spans(t or "")
+        assert [got[i][f"n_{k}"] for k in KINDS] == [sum(x[0] == k for x in want) for k in KINDS], t and t[:200]
+        assert got[i]["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in want).encode()).hexdigest()
+        assert set(",".join(f"{k}:{a}:{b}" for k, a, b in want).split(",")) <= set(got[i]["spans"].split(",")) or not want
+
+
+def test_op2_added_spans_precision_and_recall(spark):
+    rng = np.random.default_rng(22)
+    name = lambda: "".join(rng.choice(list("abcdefghijklmnop"), 6))
+    phone = lambda: f"{rng.integers(2, 9)}{rng.integers(0, 8)}{rng.integers(2, 9)}-{rng.integers(2, 9)}{rng.integers(22, 99)}-{rng.integers(1000, 9999)}"
+    ident = lambda: f"{rng.integers(100, 600)}-{rng.integers(10, 99)}-{rng.integers(1000, 9999)}"
+    table, truth, decoys = [], set(), set()
+    for i in range(600):
+        kind, good = ("email", "phone", "id")[i % 3], i % 2 == 0
+        if kind == "email":
+            hit = f"{name()} [at] {name()} [dot] {rng.choice(['com', 'org', 'de', 'net'])}" if good else f"{name()} [at] {name()}"
+            text = f"please mail {hit} soon" if good else f"meet {hit} tomorrow"
+        elif kind == "phone":
+            hit = phone() if good else f"{rng.integers(100, 199)}-{rng.integers(0, 2)}11-{rng.integers(1000, 9999)}"
+            text = f"call me on {hit} today" if good else f"see invoice ref {hit} page"
+        else:
+            hit = ident() if good else f"{rng.choice(['000', '666', '912'])}-00-0000"
+            text = f"her ssn is {hit} she said" if good else f"part order item {hit}x"
+        begin = text.index(hit)
+        (truth if good else decoys).add((i, f"{kind}:{begin}:{begin + len(hit)}"))
+        table.append((i, f"{text}"))
+    table += [(1000 + k, f"mail {name()}@{name()}.com or ip 10.0.0.{k}, card 4111111111111111, phone +1 212 555 {1000 + k}") for k in range(100)]
+    got = personal_data.find(spark.createDataFrame(table, "doc_id long, text string").repartition(4)).where("doc_id < 1000")
+    found = {(r["doc_id"], x) for r in got.collect() for x in r["spans"].split(",") if x}
+    assert len(found & truth) >= 0.95 * len(truth) and len(found & truth) >= 0.95 * len(found)
+
+
 def test_op3_equals_brute_force(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(40, 16))
@@ -301,6 +361,38 @@ def test_op6_is_additive_and_idempotent(docs, spark):
     assert sum(words.values()) == sum(len(shwords(t)) for i, t in TEXTS if i not in (6, 7)) + 1
 
 
+def test_op6_folds_batches_and_keeps_their_ids(docs, nothing, spark, monkeypatch):
+    monkeypatch.setattr(token_ledger, "FOLD_AFTER", 2)
+    ledger = token_ledger.TokenLedger(spark)
+    some = docs.where("doc_id in (1, 11)")
+    for k in range(4):
+        assert ledger.commit(f"b{k}", token_ledger.signed(inserts=some if k else nothing))
+    ledger.commit("b4", token_ledger.signed(deletes=some))
+    assert len(ledger._names("batch=")) <= 2 and len(ledger._names("snapshot=")) == 1
+    assert not any(ledger.commit(f"b{k}", token_ledger.signed(inserts=some)) for k in range(5))
+    assert {r["n_docs"] for r in ledger.totals().collect()} == {4}
+    # of two writers that have both begun one takes effect
+    late = token_ledger.TokenLedger(spark, ledger.root)
+    monkeypatch.setattr(late, "committed", lambda batch_id: False)
+    assert ledger.commit("race", token_ledger.signed(inserts=some)) and not late.commit("race", token_ledger.signed(inserts=some))
+    assert {r["n_docs"] for r in ledger.totals().collect()} == {6}
+
+
+def test_op6_query_equals_brute_force(spark, tmp_path):
+    table = [(i, f"Word {i} AND more" * (i % 3 + 1) if i != 5 else None, f"s{i % 2}", "en") for i in range(30)]
+    marks = [(i, int(i % 4 > 0), int(i % 5 == 0)) for i in range(0, 30, 2)]
+    spark.createDataFrame(table, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    tok, toxic, low = bpe.loaded(bpe.default_path()).whole, {i for i, _, t in marks if t}, {i for i, q, _ in marks if not q}
+    want = Counter()
+    for i, t, source, _ in table:
+        if i not in toxic:
+            t = (t or "").lower() if i in low else t or ""
+            want[source, "words-1"] += len(shwords(t))
+            want[source, "byte_bpe_50k"] += len(tok.encode(t, add_special_tokens=False).ids)
+    assert {(r["source"], r["tokenizer_version"]): r["n_tokens"] for r in queries.op6_token_rollup(spark, str(tmp_path)).collect()} == want
+
+
 def shwords(t):
     return re.findall(r"[^\x20\x09-\x0D]+", t or "")
 
@@ -395,6 +487,15 @@ def test_op9_round_trip(docs):
         assert list(s["offset"]) == [0, *np.cumsum(s["length"])[:-1]] and s["length"].sum() <= 2048
 
 
+def test_op9_pads_little(spark):
+    rng = np.random.default_rng(4)
+    d = spark.createDataFrame([(i, " ".join(rng.choice(["one", "two", "three"], int(n)))) for i, n in enumerate(rng.pareto(1.1, 1500) * 60 + 1)], "doc_id long, text string")
+    packed = packing.pack(d).cache()
+    got = packing.padding(packed).toPandas()
+    assert (got["used"] <= 2048).all() and set(got["padding"][got["used"].isin([1 << k for k in range(12)])]) <= {0}
+    assert got["padding"].sum() <= 0.02 * packed.agg({"length": "sum"}).first()[0]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 30), max_size=20))
 def test_op9_places_every_piece(histogram):
