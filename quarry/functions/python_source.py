@@ -9,7 +9,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 BRANCHES = (ast.If, ast.For, ast.While, ast.Try, ast.With, ast.BoolOp)
-NODES = "path string, node_id int, parent_id int, last_desc_id int, depth int, type string, name string, start_line int, end_line int, signature string, decorators string, docstring string, branches int"
+NODES = "path string, node_id int, parent_id int, last_desc_id int, depth int, type string, name string, start_line int, end_line int, signature string, decorators array<string>, modifiers array<string>, docstring string, lines int, max_depth int, branches int"
+
+
+def tree_depth(node: ast.AST) -> int:
+    """Levels of the syntax tree below a node."""
+    depth, level = 0, [node]
+    while level := [c for n in level for c in ast.iter_child_nodes(n)]:
+        depth += 1
+    return depth
 
 
 def node_rows(content: str) -> list[tuple]:
@@ -17,7 +25,7 @@ def node_rows(content: str) -> list[tuple]:
     try:
         tree = ast.parse(content)
     except SyntaxError as e:
-        return [(0, -1, 0, 0, "parse-error", str(e.msg), e.lineno or 1, e.lineno or 1, None, "", None, 0)]
+        return [(0, -1, 0, 0, "parse-error", str(e.msg), e.lineno or 1, e.lineno or 1, None, [], [], None, None, None, None)]
     rows: list[list] = []
 
     def visit(body: list[ast.stmt], parent: int, depth: int, inside: bool) -> None:
@@ -25,7 +33,7 @@ def node_rows(content: str) -> list[tuple]:
         for n in body:
             if isinstance(n, (ast.Import, ast.ImportFrom)):
                 if run is None:
-                    run = [len(rows), parent, len(rows), depth, "imports", "imports", n.lineno, n.end_lineno, None, "", None, 0]
+                    run = [len(rows), parent, len(rows), depth, "imports", "imports", n.lineno, n.end_lineno, None, [], [], None, None, None, None]
                     rows.append(run)
                 run[7] = n.end_lineno
                 continue
@@ -34,7 +42,7 @@ def node_rows(content: str) -> list[tuple]:
                 is_class = isinstance(n, ast.ClassDef)
                 kind = "class" if is_class else "method" if inside else "function"
                 signature = f"({', '.join(ast.unparse(b) for b in n.bases)})" if is_class and n.bases else None if is_class else f"({ast.unparse(n.args)})" + (f" -> {ast.unparse(n.returns)}" if n.returns else "")
-                row = [len(rows), parent, 0, depth, kind, n.name, n.lineno, n.end_lineno, signature, ",".join("@" + ast.unparse(x) for x in n.decorator_list), (ast.get_docstring(n) or "").split("\n")[0] or None, sum(isinstance(x, BRANCHES) for x in ast.walk(n))]
+                row = [len(rows), parent, 0, depth, kind, n.name, n.lineno, n.end_lineno, signature, ["@" + ast.unparse(x) for x in n.decorator_list], ["async"] if isinstance(n, ast.AsyncFunctionDef) else [], (ast.get_docstring(n) or "").split("\n")[0] or None, n.end_lineno - n.lineno + 1, tree_depth(n), sum(isinstance(x, BRANCHES) for x in ast.walk(n))]
                 rows.append(row)
                 if is_class:
                     visit(n.body, row[0], depth + 1, True)
@@ -60,6 +68,9 @@ def call_rows(content: str) -> list[tuple[str | None, str, int]]:
                 if name:
                     rows.append((caller, name, n.lineno))
             is_function = isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef))
+            if is_function or isinstance(n, ast.ClassDef):  # decorators stand outside of what they decorate
+                visit(ast.Expression(ast.List(n.decorator_list, ast.Load())), caller, function)
+                n.decorator_list = []
             visit(n, n.name if is_function and not function else caller, function or is_function)
 
     visit(tree, None, False)

@@ -43,3 +43,15 @@ def co_change(commits: DataFrame, top: int = TOP_PAIRS, least: int = 2) -> DataF
 def span_edits(spans: DataFrame, edits: DataFrame) -> DataFrame:
     """(path, node_id, edits): different commits on the lines of each span."""
     return spans.sparkSession.sql("SELECT s.path, s.node_id, count(DISTINCT e.commit_id) AS edits FROM {s} s LEFT JOIN {e} e ON s.path = e.path AND e.line_no BETWEEN s.start_line AND s.end_line GROUP BY s.path, s.node_id", s=spans, e=edits)
+
+
+def apply_delta(nodes: DataFrame, diff: DataFrame) -> DataFrame:
+    """nodes (path, node_key, skeleton, ...) with ``status``; unchanged ones keep their header and lose their skeleton."""
+    labels = diff.select("path", "node_key", "status")
+    return nodes.join(labels, ["path", "node_key"], "left").withColumn("skeleton", F.expr("if(status = 'unchanged', null, skeleton)"))
+
+
+def diff_summary(diff: DataFrame) -> DataFrame:
+    """(path, changed, unchanged, removed): new or changed nodes, unchanged ones, and the names of those that are gone."""
+    name = "regexp_extract(node_key, '([^:]*)$', 1)"
+    return diff.groupBy("path").agg(F.expr("count_if(status in ('new', 'changed'))").alias("changed"), F.expr("count_if(status = 'unchanged')").alias("unchanged"), F.expr(f"array_join(array_sort(collect_list(if(status = 'removed', {name}, null))), ', ')").alias("removed"))

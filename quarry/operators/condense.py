@@ -33,6 +33,21 @@ def depth_limit(lines: DataFrame, deepest: int) -> DataFrame:
     return seen.where("not (cut and marked)").selectExpr("path", "line_no", f"if(cut, '{mark}', text) as text")
 
 
+#: Statements that say something: control flow, definitions, calls, assignments.
+SIGNIFICANT = (
+    r"(?:^|[^\w.])(?:if|else|elif|for|foreach|while|do|switch|case|match|when|guard|loop|try|catch|except|finally|return|break|continue|throw|raise|yield|defer|new|await|def|fn|func|function|class|struct|enum|interface|impl|trait|lambda|let|const|local)\b"
+    r"|\w\s*\(|[^=!<>]=[^=]|[-+*/%|&^]="
+)
+
+
+def skeleton(lines: DataFrame) -> DataFrame:
+    """lines (path, line_no, text) folded: lines that say something stay, closers and blank lines go, and each stretch of others
+    becomes one mark at the first one's indentation."""
+    kept = lines.where(f"not text rlike {_literal(CLOSERS)}").selectExpr("*", f"not text rlike {_literal(SIGNIFICANT)} as folded")
+    seen = kept.selectExpr("*", "lag(folded, 1, false) over (partition by path order by line_no) as marked")
+    return seen.where("not (folded and marked)").selectExpr("path", "line_no", "case when folded then concat(repeat(' ', length(text) - length(ltrim(text))), '…') else rtrim(text) end as text")
+
+
 def _is_comment() -> str:
     rules = " ".join(f"when language in ({', '.join(repr(x) for x in langs.split())}) then text rlike {_literal(pattern)}" for pattern, langs in COMMENTS.values())
     return f"coalesce(case {rules} else false end, false)"
@@ -44,8 +59,13 @@ def _literal(pattern: str) -> str:
 
 def compact(lines: DataFrame) -> DataFrame:
     """lines (path, language, line_no, text) without blank lines and closers; a stretch of lines that are
-    comments and nothing else becomes one mark at the first one's indentation."""
-    kept = lines.where(f"not text rlike {_literal(CLOSERS)}").selectExpr("*", f"{_is_comment()} as noted")
+    comments and nothing else, those inside a block comment among them, becomes one mark at the first one's
+    indentation."""
+    opened = "over (partition by path order by line_no rows between unbounded preceding and 1 preceding)"
+    block = f"language in ({', '.join(repr(x) for x in COMMENTS['slash'][1].split())})"
+    ends = lines.selectExpr("*", f"if({block} and text rlike '^\\\\s*/[*]' and not text rlike '[*]/', line_no, null) as begins", f"if({block} and text rlike '[*]/', line_no, null) as closes")
+    inside = ends.selectExpr("*", f"coalesce(max(begins) {opened}, 0) > coalesce(max(closes) {opened}, 0) or begins is not null as in_block").drop("begins", "closes")
+    kept = inside.where(f"not text rlike {_literal(CLOSERS)}").selectExpr("*", f"({_is_comment()} or in_block) as noted")
     seen = kept.selectExpr("*", "lag(noted or trim(text) = '…', 1, false) over (partition by path order by line_no) as marked")
     return seen.where("not (noted and marked)").selectExpr("path", "line_no", "case when noted then concat(repeat(' ', length(text) - length(ltrim(text))), '…') else rtrim(text) end as text")
 

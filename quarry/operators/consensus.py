@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from math import lgamma
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SIGNIFICANT, FENCE_LEAST = 3.0, 8
+from quarry.operators import rules
+from quarry.operators.nodes import in_degrees
+
+SIGNIFICANT, FENCE_LEAST, BAGS_LEAST, PEERS, TOP = 3.0, 8, 3, 3, 20
+#: Factorials whose logarithms are listed; a series gives those beyond.
+LISTED = 32
 
 
 def bags(calls: DataFrame) -> DataFrame:
@@ -13,10 +20,24 @@ def bags(calls: DataFrame) -> DataFrame:
     return calls.where("cid is not null and callee is not null").select("cid", "callee").distinct()
 
 
+def usage(definitions: DataFrame, calls: DataFrame, source_only: bool = True) -> DataFrame:
+    """Bags of calls (caller_file, caller_name, callee_name) to names that definitions (file, name) have, without
+    names that say nothing; by default of the product's own sources alone."""
+    if source_only:
+        definitions, calls = definitions.where(rules.is_source("file")), calls.where(rules.is_source("caller_file"))
+    inside = definitions.where("name <> ''").select(F.col("name").alias("callee_name")).distinct()
+    kept = calls.where(f"caller_name <> '' and not {rules.is_noise('callee_name')}").join(inside, "callee_name", "left_semi")
+    return bags(kept.selectExpr("concat(caller_file, ':', caller_name) as cid", "callee_name as callee"))
+
+
 def base_rates(bags_: DataFrame) -> DataFrame:
     """(callee, callers, rate)."""
+    return _rates(bags_).select("callee", "callers", "rate")
+
+
+def _rates(bags_: DataFrame) -> DataFrame:
     total = bags_.agg(F.count_distinct("cid").alias("bags"))
-    return bags_.groupBy("callee").agg(F.count("*").alias("callers")).join(F.broadcast(total)).selectExpr("callee", "callers", "callers / bags as rate")  # one row
+    return bags_.groupBy("callee").agg(F.count("*").alias("callers")).join(F.broadcast(total)).selectExpr("callee", "callers", "callers / bags as rate", "bags")  # one row
 
 
 def cooccurrence(bags_: DataFrame) -> DataFrame:
@@ -30,37 +51,89 @@ def cooccurrence(bags_: DataFrame) -> DataFrame:
     )
 
 
+def _log_factorial(n: str) -> str:
+    """SQL of ln n!: listed for small n, else Stirling's series, whose error is below 1e-12 there."""
+    known = ", ".join(f"{lgamma(k + 1)!r}D" for k in range(LISTED))
+    x = f"cast({n} as double)"
+    return f"case when {n} < {LISTED} then get(array({known}), cast({n} as int)) else {x} * ln({x}) - {x} + 0.5D * ln(6.283185307179586D * {x}) + 1 / (12 * {x}) - 1 / (360 * {x} * {x} * {x}) + 1 / (1260 * power({x}, 5)) end"
+
+
 def candidates(bags_: DataFrame, share: float = 0.5) -> DataFrame:
-    """Rules anchor -> other with k of n callers, their enrichment and strength.
+    """Rules anchor -> other with k of n callers, their enrichment and strength; none from fewer than three bags.
 
-    Enrichment is -log10 P(X >= k) for X ~ Bin(n, base rate of other).  Log-factorials come from one
-    array up to the largest n, as the tail is a sum over k..n.
+    Enrichment is -log10 P(X >= k) for X ~ Bin(n, base rate of other).  Of the tail's terms those within twenty
+    deviations of its largest are summed; the rest is nothing in double precision.
     """
-    rules = cooccurrence(bags_).where(f"callers >= 3 and together > callers * {share} and together < callers")
-    rates = base_rates(bags_).select(F.col("callee").alias("other"), "rate")
-    # logs of 0! .. n!, n the largest number of callers of one anchor
-    logs = bags_.groupBy("callee").count().agg(F.coalesce(F.max("count"), F.lit(1)).alias("n")).select(F.expr("aggregate(sequence(1L, n), array(0D), (s, i) -> concat(s, array(element_at(s, -1) + ln(cast(i as double)))))").alias("lf"))
-    tail = "transform(sequence(cast(together as int), cast(callers as int)), j -> lf[cast(callers as int)] - lf[j] - lf[cast(callers as int) - j] + j * ln(rate) + (callers - j) * ln(1 - rate))"
+    pairs = cooccurrence(bags_).where(f"callers >= 3 and together > callers * {share} and together < callers")
+    rates = _rates(bags_).where(f"bags >= {BAGS_LEAST}").select(F.col("callee").alias("other"), "rate")
+    near = "cast(20 * sqrt(callers) as bigint) + 100"
+    first, last = f"greatest(together, cast(callers * rate as bigint) - ({near}))", f"least(callers, greatest(together, cast(callers * rate as bigint)) + ({near}))"
+    term = f"{_log_factorial('callers')} - ({_log_factorial('j')}) - ({_log_factorial('(callers - j)')}) + j * ln(rate) + (callers - j) * ln(1 - rate)"
     # one-element arrays bind a value, which would else be worked out anew for each term
-    summed = f"transform(transform(array({tail}), ts -> struct(ts, array_max(ts) as top)), b -> b.top + ln(aggregate(b.ts, 0D, (s, t) -> s + exp(t - b.top))))[0]"
-    scored = rules.join(rates, "other").join(F.broadcast(logs)).withColumn("enrichment", F.expr(f"case when rate >= 1 then 0D else greatest(0D, -({summed}) / ln(10D)) end"))  # logs: one row
+    summed = f"transform(transform(array(transform(sequence({first}, {last}), j -> {term})), ts -> struct(ts, array_max(ts) as top)), b -> b.top + ln(aggregate(b.ts, 0D, (s, t) -> s + exp(t - b.top))))[0]"
+    scored = pairs.join(rates, "other").withColumn("enrichment", F.expr(f"case when rate >= 1 then 0D else greatest(0D, -({summed}) / ln(10D)) end"))
     return scored.selectExpr("anchor", "other", "together", "callers", "rate", "enrichment", "enrichment * -log10((callers - together) / (callers + 1)) as strength")
 
 
-def audit(rules: DataFrame) -> DataFrame:
-    """Significant rules strictly above the outer Tukey fence, where there are enough to have one."""
-    held = rules.where(F.col("enrichment") >= SIGNIFICANT)
-    fence = held.agg(F.count("*").alias("n"), F.expr("percentile(strength, array(0.25, 0.75))").alias("q"), F.max("strength").alias("most"))
+def audit(rules_: DataFrame) -> DataFrame:
+    """Significant rules strictly above the outer Tukey fence of all candidates, where there are enough to have one."""
+    fence = rules_.agg(F.count("*").alias("n"), F.expr("percentile(strength, array(0.25, 0.75))").alias("q"), F.max("strength").alias("most"))
     fence = fence.selectExpr(f"case when n < {FENCE_LEAST} then double('-infinity') when q[1] = q[0] then most else q[1] + 3 * (q[1] - q[0]) end as fence")
-    return held.join(F.broadcast(fence)).where("strength > fence").drop("fence")  # one row
+    return rules_.where(F.col("enrichment") >= SIGNIFICANT).join(F.broadcast(fence)).where("strength > fence").drop("fence")  # one row
 
 
-def missing_sites(rules: DataFrame, bags_: DataFrame) -> DataFrame:
+def missing_sites(rules_: DataFrame, bags_: DataFrame) -> DataFrame:
     """(site, anchor, missing, strength): callers of the anchor that lack what the rule expects."""
-    sites = rules.join(bags_.withColumnRenamed("callee", "anchor"), "anchor")
+    sites = rules_.join(bags_.withColumnRenamed("callee", "anchor"), "anchor")
     return sites.join(bags_.withColumnRenamed("callee", "other"), ["cid", "other"], "left_anti").select(F.col("cid").alias("site"), "anchor", F.col("other").alias("missing"), "together", "callers", "strength")
 
 
+def conformers(rules_: DataFrame, bags_: DataFrame) -> DataFrame:
+    """(anchor, missing, cid): callers of both ends of a rule."""
+    both = rules_.select("anchor", F.col("other").alias("missing")).distinct()
+    return both.join(bags_.withColumnRenamed("callee", "anchor"), "anchor").join(bags_.withColumnRenamed("callee", "missing"), ["cid", "missing"], "left_semi").select("anchor", "missing", "cid")
+
+
+def same_role(sites: DataFrame, rules_: DataFrame, bags_: DataFrame, clusters: DataFrame | None = None, lenses: tuple[str, ...] = ("name", "cluster", "graph")) -> DataFrame:
+    """Sites whose role is that of most conformers under every lens.
+
+    Roles are the first word of the name, the cluster of the file (path, cluster; only if given), and the bands of how many
+    call it and how many it calls, the two ends of the rule left out.  Of roles as common as
+    others, that of the first conformer counts.
+    """
+    sizes = bags_.groupBy("cid").agg(F.count("*").alias("out"))
+    about = sizes.join(in_degrees(bags_), "cid").withColumn("path", F.expr("regexp_extract(cid, '^(.*):[^:]*$', 1)"))
+    about = about.join(clusters.select("path", "cluster"), "path", "left") if clusters is not None else about.withColumn("cluster", F.lit("other"))
+    name = rules.name_role("regexp_extract(cid, '([^:]*)$', 1)")
+    peers = conformers(rules_, bags_).join(about, "cid").selectExpr("anchor", "missing", "cid", f"{name} as name", "coalesce(cluster, 'other') as cluster", f"concat({rules.band('in_degree')}, '/', {rules.band('out - 2')}) as graph")
+    out = sites.join(about.withColumnRenamed("cid", "site"), "site").withColumn("cid", F.col("site"))
+    own = {"name": name, "cluster": "coalesce(cluster, 'other')", "graph": f"concat({rules.band('in_degree')}, '/', {rules.band('out - 1')})"}
+    for lens in lenses:
+        counts = peers.groupBy("anchor", "missing", lens).agg(F.count("*").alias("n"), F.min("cid").alias("first"))
+        modal = counts.groupBy("anchor", "missing").agg(F.expr(f"min_by({lens}, struct(-n, first))").alias("__modal"))
+        out = out.join(modal, ["anchor", "missing"], "left").where(f"__modal is null or {own[lens]} = __modal").drop("__modal")
+    return out.select(*sites.columns)
+
+
 def review(sites: DataFrame, suspects: DataFrame) -> DataFrame:
     """Findings at suspects (site) alone."""
     return sites.join(suspects.select("site").distinct(), "site", "left_semi")
+
+
+def findings(sites: DataFrame, rules_: DataFrame, bags_: DataFrame, top: int = TOP) -> DataFrame:
+    """The strongest findings with the first peers that conform: site, anchor, missing, together, callers, strength, peers."""
+    best = sites.orderBy(F.desc(F.round("strength", 9)), "site", "anchor", "missing").limit(top)
+    asked = best.select("anchor", "missing").distinct()
+    ranked = conformers(rules_, bags_).join(F.broadcast(asked), ["anchor", "missing"]).selectExpr("*", "row_number() over (partition by anchor, missing order by cid) as rank").where(f"rank <= {PEERS}")  # at most ``top`` rows are sent
+    peers = ranked.groupBy("anchor", "missing").agg(F.expr("transform(array_sort(collect_list(struct(rank, cid))), x -> x.cid)").alias("peers"))
+    return best.join(peers, ["anchor", "missing"], "left").select("site", "anchor", "missing", "together", "callers", "strength", "peers")
+
+
+def divergence_lines(found: DataFrame) -> DataFrame:
+    """(turn, line) of findings grouped by site, sites by their strongest: a report of at most some dozen lines."""
+    placed = found.selectExpr("*", "max(strength) over (partition by site) as most", "row_number() over (partition by site order by strength desc, anchor, missing) as k", "count(*) over (partition by site) as of_site")
+    line = "concat('  ', site, ' — calls ', anchor, ' but not ', missing, ' (', together, '/', callers, ' peers do)  [strength ', format_number(strength, 1), ']')"
+    lines = placed.selectExpr("most", "site", "k", f"{line} as line").unionByName(
+        placed.where("k = 1 and size(peers) > 0").selectExpr("most", "site", "cast(of_site + 1 as int) as k", "concat('      e.g. siblings that conform: ', array_join(peers, ', ')) as line")
+    )
+    return lines.selectExpr("cast(row_number() over (order by most desc, site, k) as int) as turn", "line")

@@ -27,9 +27,9 @@ def call_edges(definitions: DataFrame, calls: DataFrame) -> DataFrame:
 
 
 def call_nodes(definitions: DataFrame, edges: DataFrame) -> DataFrame:
-    """(fqn, in_weight, out_weight, n_callers, n_callees, centrality = 2 in + out)."""
-    into = edges.groupBy(F.col("dst").alias("fqn")).agg(F.sum("weight").alias("in_weight"), F.count_distinct("src").alias("n_callers"))
-    out = edges.groupBy(F.col("src").alias("fqn")).agg(F.sum("weight").alias("out_weight"), F.count_distinct("dst").alias("n_callees"))
+    """(fqn, in_weight, out_weight, n_callers, n_callees, centrality = 2 in + out); edges are one for each pair."""
+    into = edges.groupBy(F.col("dst").alias("fqn")).agg(F.sum("weight").alias("in_weight"), F.count("*").alias("n_callers"))
+    out = edges.groupBy(F.col("src").alias("fqn")).agg(F.sum("weight").alias("out_weight"), F.count("*").alias("n_callees"))
     nodes = definitions.select("fqn").distinct().join(into, "fqn", "left").join(out, "fqn", "left").na.fill(0)
     return nodes.withColumn("centrality", F.expr("2 * in_weight + out_weight"))
 
@@ -47,22 +47,33 @@ def contract_health(definitions: DataFrame, calls: DataFrame) -> DataFrame:
 
 
 def import_edges(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """(src, dst): each import's first candidate path that exists; no self edges.
+    """(src, dst): each import's first candidate path that exists; no self edges, and each edge once.
 
     imports: (source_file, candidates array<string> in order of preference).
     """
     return imports.sparkSession.sql(
         """
         SELECT DISTINCT source_file AS src, dst FROM (
-          SELECT i.id, i.source_file, min_by(f.path, i.pos) AS dst
-          FROM (SELECT id, source_file, posexplode(candidates) AS (pos, path) FROM (SELECT *, monotonically_increasing_id() AS id FROM {i})) i
-          JOIN {f} f ON i.path = f.path GROUP BY i.id, i.source_file)
+          SELECT i.source_file, i.candidates, min_by(f.path, i.pos) AS dst
+          FROM (SELECT source_file, candidates, posexplode(candidates) AS (pos, path) FROM (SELECT DISTINCT source_file, candidates FROM {i})) i
+          JOIN {f} f ON i.path = f.path GROUP BY i.source_file, i.candidates)
         WHERE dst <> source_file""",
         i=imports, f=files,
     )
 
 
 def file_centrality(edges: DataFrame) -> DataFrame:
-    """(path, n_imports, n_importers, centrality = 2 importers + imports)."""
-    ends = edges.selectExpr("inline(array(struct(src as path, dst as other, 1 as goes), struct(dst as path, src as other, 0 as goes)))")
-    return ends.groupBy("path").agg(F.expr("count(distinct case when goes = 1 then other end)").alias("n_imports"), F.expr("count(distinct case when goes = 0 then other end)").alias("n_importers")).withColumn("centrality", F.expr("2 * n_importers + n_imports"))
+    """(path, n_imports, n_importers, centrality = 2 importers + imports); edges are one for each pair."""
+    ends = edges.selectExpr("inline(array(struct(src as path, 1L as goes, 0L as comes), struct(dst as path, 0L as goes, 1L as comes)))")
+    return ends.groupBy("path").agg(F.sum("goes").alias("n_imports"), F.sum("comes").alias("n_importers")).withColumn("centrality", F.expr("2 * n_importers + n_imports"))
+
+
+def top_dropped(definitions: DataFrame, calls: DataFrame, top: int = 5) -> DataFrame:
+    """(caller_name, calls): callers that are no definition and no parent of one, those with most calls."""
+    known = definitions.select(F.explode(F.array("name", "parent")).alias("caller_name")).where("caller_name is not null").distinct()
+    return calls.where("caller_name is not null").join(known, "caller_name", "left_anti").groupBy("caller_name").agg(F.count("*").alias("calls")).orderBy(F.desc("calls"), "caller_name").limit(top)
+
+
+def important_files(file_nodes: DataFrame, hot_: DataFrame) -> DataFrame:
+    """(path) of files that are central, or hold one of the hot functions (fqn)."""
+    return file_nodes.where("centrality > 0").select("path").unionByName(hot_.selectExpr("split_part(fqn, ':', 1) as path")).distinct()

@@ -1,14 +1,23 @@
-"""Candidate files of an import, by language, in order of preference; all in SQL expressions.
+"""Files that imports stand for, by language; all in SQL expressions and equi joins.
 
-``graphs.import_edges`` takes the first candidate that is a file.  Modules that can't be files of the
-corpus (packages of the language, URLs) simply have none.
+Most languages give candidate paths in order of preference, of which the first that is a file counts.
+Some look a target up instead: Go a package's folder by the end of its path, C# a file by the last part
+of a namespace, Swift the file that defines a type.  Modules that can't be files of the corpus (those of
+the language itself, URLs, wildcards) have no candidates.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-_SCRIPTS = ["", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".d.ts", "/index.ts", "/index.tsx", "/index.js", "/index.jsx"]
+from quarry.operators.rules import listed
+
+_SCRIPTS = [".ts", ".tsx", ".js", ".jsx", ".mts", ".cts", ".mjs", ".cjs"]
+# Packages that are never files of the corpus.
+_GO = "fmt os io net http time sync context strings bytes encoding crypto runtime reflect database log testing path regexp sort".split()
+_CPP = "iostream string vector map set algorithm cstdio cstdlib cstring cmath memory utility stdio.h stdlib.h string.h math.h".split()
+_PHP = "Illuminate Symfony Doctrine Monolog PHPUnit Carbon GuzzleHttp Psr".split()
 
 
 def normal(path: str) -> str:
@@ -20,29 +29,38 @@ def _all(bases: list[str], ends: list[str]) -> list[str]:
     return [f"concat({b}, '{e}')" for b in bases for e in ends]
 
 
+def _unless(test: str, exprs: list[str]) -> list[str]:
+    return [f"if({test}, null, {e})" for e in exprs]
+
+
 def _rules() -> dict[str, list[str]]:
-    near, dotted, scoped = "concat(dir, '/', name)", "replace(name, '.', '/')", "replace(name, '::', '/')"
+    near, dotted = "concat(dir, '/', name)", "replace(name, '.', '/')"
     up = "concat(dir, repeat('/..', length(regexp_extract(name, '^[.]*', 0)) - 1), '/', replace(ltrim('.', name), '.', '/'))"
-    python_bases = [f"if(name like '.%', {up}, {dotted})", f"if(name like '.%', null, concat('src/', {dotted}))", f"if(name like '.%', null, concat(dir, '/', {dotted}))"]
-    crate = "regexp_replace(regexp_replace(name, '^crate::', ''), '::[{].*$|::[*]$', '')"
-    item, module = f"replace({crate}, '::', '/')", f"regexp_replace(replace({crate}, '::', '/'), '/[^/]*$', '')"
-    jvm = ["name", "regexp_replace(name, '[.][^.]*$', '')"]
-    roots = ["", "src/main/java/", "src/", "app/src/main/java/"]
+    absolute = [f"concat({dotted}, '.py')", "concat(replace(regexp_replace(name, '^[^.]*[.]?', ''), '.', '/'), '.py')", f"concat({dotted}, '/__init__.py')", f"concat('src/', {dotted}, '.py')", f"concat('src/', {dotted}, '/__init__.py')"]
+    script = f"case when name like '.%' then {near} when name like '%/%' then name end"
+    crate = "replace(regexp_replace(name, '^crate::', ''), '::', '/')"
+    jvm = "concat(replace(name, '.', '/'), '.java')"
+    slashed = r"replace(name, '\\', '/')"
+    web = "name rlike '^(?:https?:|//|data:|mailto:|#)'"
+    named = "regexp_replace(name, '#.*$', '')"
+    partial = "if(name like '%/%', regexp_replace(name, '/([^/]*)$', '/_$1'), concat('_', name))"
+    sass = [f"if({b} rlike '[.]s[ac]ss$', {b}, concat({b}, '{e}'))" for b in ("name", partial) for e in (".scss", ".sass", "")]
     return {
-        "python": _all(python_bases, [".py", "/__init__.py"]),
-        "typescript": _all([f"if(name like '.%', {near}, if(name like '/%' or name like '@/%', concat('src/', regexp_replace(name, '^@?/', '')), null))"], _SCRIPTS),
-        "rust": _all([f"concat(dir, '/', {scoped})", f"concat('src/', {item})", f"concat('src/', {module})"], [".rs", "/mod.rs"]),
-        "java": [f"concat('{r}', replace({m}, '.', '/'), '.java')" for m in jvm for r in roots],
-        "csharp": _all([dotted, f"concat('src/', {dotted})"], [".cs"]),
-        "cpp": [near, "name", "concat('include/', name)", "concat('src/', name)"],
-        "php": _all([near, r"replace(name, '\\', '/')", r"concat('src/', replace(name, '\\', '/'))", r"concat('app/', regexp_replace(replace(name, '\\', '/'), '^App/', ''))"], ["", ".php"]),
-        "ruby": _all([near, "concat('lib/', name)", "name"], ["", ".rb"]),
-        "zig": [near],
-        "sql": [near, "name"],
-        "markdown": [near],
-        "html": [f"if(name like '/%', name, {near})", "concat('static/', name)", "concat('public/', name)"],
-        "css": _all([near], ["", ".css"]),
-        "scss": _all([near, "concat(dir, '/', regexp_replace(name, '([^/]+)$', '_$1'))"], ["", ".scss", ".sass", "/_index.scss"]),
+        "python": _unless("name like '.%'", absolute) + [f"if(name like '.%', concat({up}, '{e}'), null)" for e in (".py", "/__init__.py")],
+        "typescript": _all([script], [*_SCRIPTS, *(f"/index{e}" for e in _SCRIPTS), ""]),
+        "rust": [f"if(name like 'crate::%', {e}, null)" for e in (f"if({crate} like '%/%', concat('src/', regexp_replace({crate}, '/[^/]*$', ''), '.rs'), concat('src/', {crate}, '.rs'))", f"concat('src/', {crate}, '/mod.rs')")],
+        "java": _unless("name like '%.*' or name rlike '^(?:javax?|sun|com[.]sun)[.]'", [jvm, f"concat('src/main/java/', {jvm})"]),
+        "csharp": _unless("name rlike '^(?:System|Microsoft|Windows)'", [f"concat({dotted}, '.cs')"]),
+        "cpp": _unless(f"name in ({listed(_CPP)}) or name like 'sys/%'", [near, "name", "concat('include/', name)", "concat('src/', name)"]),
+        "php": _unless(f"name rlike '^(?:{'|'.join(_PHP)})[\\\\\\\\]'", [f"concat({slashed}, '.php')", f"if({slashed} like 'App/%', concat('app/', substr({slashed}, 5), '.php'), null)", near]),
+        "ruby": [f"if(name like '%/%' or name like '.%', {e}, null)" for e in (f"concat({near}, '.rb')", "concat(name, '.rb')")] + _all([f"concat('{p}', replace(name, '::', '/'))" for p in ("lib/", "app/", "")], [".rb", "/init.rb"]),
+        "zig": _unless("name in ('std', 'builtin')", ["name", near, "concat('src/', name)"]),
+        "sql": ["name", "if(name like '%.sql', null, concat(name, '.sql'))", near],
+        "markdown": _unless(web, [named, f"concat(dir, '/', {named})"]),
+        "html": _unless(web, ["name", near]),
+        "css": _unless(web, ["name", "if(name like '%.css', null, concat(name, '.css'))", near]),
+        "scss": [*sass, *(f"concat(dir, '/', {e})" for e in sass)],
+        "config": ["name", near],
     }
 
 
@@ -51,3 +69,34 @@ def candidates(imports: DataFrame) -> DataFrame:
     whens = " ".join(f"when '{lang}' then transform(array({', '.join(exprs)}), x -> {normal('x')})" for lang, exprs in _rules().items())
     placed = imports.where("path is not null and name is not null").selectExpr("path", "language", "name", "if(path like '%/%', regexp_replace(path, '/[^/]*$', ''), '') as dir")
     return placed.selectExpr("path as source_file", f"filter(case language {whens} end, x -> x is not null and x <> '') as candidates").where("size(candidates) > 0")
+
+
+def by_folder(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """(src, dst): for Go the first file of the folder that the longest end of the import's path names."""
+    wanted = imports.where(f"language = 'go' and split_part(name, '/', 1) not in ({listed(_GO)})").select("path", "name").distinct()
+    ends = wanted.selectExpr("path", "name", "posexplode(transform(sequence(1, size(split(name, '/'))), i -> array_join(slice(split(name, '/'), i, size(split(name, '/'))), '/'))) as (pos, folder)")
+    folders = files.where("path like '%/%.go'").selectExpr("path as dst", "explode(transform(sequence(1, size(split(path, '/')) - 1), i -> array_join(slice(split(path, '/'), 1, i), '/'))) as folder")
+    first = folders.groupBy("folder").agg(F.min("dst").alias("dst"))
+    return ends.join(first, "folder").groupBy("path", "name").agg(F.expr("min_by(dst, pos)").alias("dst")).where("dst <> path").selectExpr("path as src", "dst").distinct()
+
+
+def by_file_name(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """(src, dst): for C#, where no path fits, the first file called like the last part of the namespace."""
+    wanted = imports.where("language = 'csharp' and not name rlike '^(?:System|Microsoft|Windows)'").selectExpr("path", "name", "concat(regexp_extract(name, '([^.]*)$', 1), '.cs') as file", "concat(replace(name, '.', '/'), '.cs') as whole").distinct()
+    missed = wanted.join(files.select(F.col("path").alias("whole")), "whole", "left_anti")
+    first = files.where("path like '%.cs'").selectExpr("path as dst", "regexp_extract(path, '([^/]*)$', 1) as file").groupBy("file").agg(F.min("dst").alias("dst"))
+    return missed.join(first, "file").where("dst <> path").selectExpr("path as src", "dst").distinct()
+
+
+def by_type(imports: DataFrame, definitions: DataFrame) -> DataFrame:
+    """(src, dst): for Swift the file of the first definition (file, name, line) of a type's name, by file and line."""
+    first = definitions.groupBy("name").agg(F.expr("min_by(file, struct(file, line))").alias("dst"))
+    return imports.where("language = 'swift'").select("path", "name").join(first, "name").where("dst <> path").selectExpr("path as src", "dst").distinct()
+
+
+def edges(imports: DataFrame, files: DataFrame, definitions: DataFrame | None = None) -> DataFrame:
+    """(src, dst) of all imports (path, language, name) that files (path) of the corpus answer."""
+    from quarry.operators.graphs import import_edges
+
+    out = import_edges(candidates(imports), files.select("path")).unionByName(by_folder(imports, files)).unionByName(by_file_name(imports, files))
+    return (out if definitions is None else out.unionByName(by_type(imports, definitions))).distinct()

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SKIP_DIR_SUFFIXES = (".zarr", ".parquet", ".lance")
+from quarry.operators import rules
 
 
 def prefixes(files: DataFrame) -> DataFrame:
@@ -15,6 +15,13 @@ def prefixes(files: DataFrame) -> DataFrame:
     return files.selectExpr("path", "split(path, '/') as parts").selectExpr("path", "posexplode(transform(sequence(1, greatest(1, size(parts) - 1)), i -> array_join(slice(parts, 1, i), '/'))) as (depth, prefix)", "size(parts) as n").where("n > 1").selectExpr("path", "prefix", "depth + 1 as depth")
 
 
+def extensions(files: DataFrame, top: int = 3) -> DataFrame:
+    """(top, types): each top folder's most common extensions with their counts, ``...`` where there are more."""
+    counts = files.selectExpr("if(path like '%/%', split_part(path, '/', 1), '(root)') as top", f"regexp_extract({rules.name_of('path')}, '[^.][.]([^./]*)$', 1) as ext").where("ext <> ''").groupBy("top", "ext").agg(F.count("*").alias("n"))
+    ranked = counts.selectExpr("*", "row_number() over (partition by top order by n desc, ext) as rank", "count(*) over (partition by top) as kinds").where(f"rank <= {top}")
+    return ranked.groupBy("top").agg(F.expr(f"concat(array_join(transform(array_sort(collect_list(struct(rank, ext, n))), x -> concat(x.ext, ':', x.n)), ' '), if(max(kinds) > {top}, ' ...', ''))").alias("types"))
+
+
 def rollup(files: DataFrame) -> DataFrame:
     """(top, sub, n_files, bytes) with subtotals, from files (path, size)."""
     return files.selectExpr("split_part(path, '/', 1) as top", "split_part(path, '/', 2) as sub", "size").rollup("top", "sub").agg(F.count("*").alias("n_files"), F.sum("size").alias("bytes"))
@@ -108,6 +115,22 @@ def ignored(files: DataFrame, rules: list[tuple[int, bool, str]]) -> DataFrame:
     return steps.withColumn("hit", deciders).groupBy("path").agg(F.max("hit").alias("ignored"))
 
 
+def collapsed(dirs: DataFrame) -> DataFrame:
+    """(dir, label, n_files, size) of the children of each folder, chains of only children taken as one: dirs (dir, parent, name,
+    n_files, size); sizes are summed along a chain."""
+    heads = chains(dirs).select("head", "tail", "hops")
+    steps = dirs.sparkSession.sql(
+        """
+        WITH RECURSIVE up(head, dir, at, label, n_files, size) AS (
+          SELECT h.head, h.tail, h.hops, d.name, cast(d.n_files as bigint), cast(d.size as bigint) FROM {h} h JOIN {d} d ON h.tail = d.dir
+          UNION ALL
+          SELECT u.head, d.parent, u.at - 1, concat(p.name, '/', u.label), u.n_files + p.n_files, u.size + p.size FROM up u JOIN {d} d ON u.dir = d.dir JOIN {d} p ON d.parent = p.dir WHERE u.at > 0)
+        SELECT head AS dir, label, n_files, size FROM up WHERE at = 0""",
+        h=heads, d=dirs,
+    )
+    return steps
+
+
 def last_match(files: DataFrame, rules: DataFrame) -> DataFrame:
     """files (path) by a small table of rules (ord, negated, regex): whether the last match ignores it."""
     return files.sparkSession.sql("SELECT f.path, coalesce(NOT max_by(r.negated, r.ord), false) AS ignored FROM {f} f LEFT JOIN {r} r ON f.path RLIKE r.regex GROUP BY f.path", f=files, r=rules)
@@ -116,15 +139,18 @@ def last_match(files: DataFrame, rules: DataFrame) -> DataFrame:
 def skipped(files: DataFrame, names: tuple[str, ...]) -> DataFrame:
     """Files below no directory of these names or storage suffixes."""
     listed = ", ".join(f"'{n}'" for n in names)
-    suffix = " or ".join(f"d like '%{s}'" for s in SKIP_DIR_SUFFIXES)
+    suffix = " or ".join(f"d like '%{s}'" for s in rules.SKIP_DIR_SUFFIXES)
     return files.where(f"not exists(slice(split(path, '/'), 1, greatest(0, size(split(path, '/')) - 1)), d -> d in ({listed}) or {suffix})")
 
 
 def is_test(path: str, rule: str) -> str:
-    """SQL of the three test-path rules, which differ on purpose: search, tail (also routes), source."""
+    """SQL of the test-path rules, which differ on purpose: search, tail (also routes); source is the rule for code that is no
+    product of its own, and counts folders alone."""
     parts, name = f"split({path}, '/')", f"element_at(split({path}, '/'), -1)"
     if rule == "search":
         return f"(arrays_overlap({parts}, array('test', 'tests', 'testing')) or {name} like 'test\\\\_%' or {name} like '%\\\\_test.py')"
     if rule == "tail":
         return f"(arrays_overlap({parts}, array('test', 'tests')) or {name} like 'test\\\\_%')"
+    if rule == "source":
+        return f"(not {rules.is_source(path)})"
     raise ValueError(rule)

@@ -26,11 +26,16 @@ def min_max(nodes: DataFrame, group: str, value: str) -> DataFrame:
     return nodes.selectExpr("*", f"case when {high} = {low} then 0D else ({value} - {low}) / ({high} - {low}) end as normal")
 
 
-def saliency(nodes: DataFrame, group: str, weights: tuple[float, float, float] = (0.30, 0.50, 0.20), churn: float = 0.45) -> DataFrame:
+#: Weights of information, novelty and centrality, and the share of churn, by what a reader is after.
+PROFILES = {"balanced": (0.30, 0.50, 0.20, 0.15), "active": (0.25, 0.30, 0.10, 0.45)}
+
+
+def saliency(nodes: DataFrame, group: str, mode: str = "balanced") -> DataFrame:
     """Blend of information, novelty and centrality, and of churn where that varies within the group."""
+    info, novelty, centrality, churn = PROFILES[mode]
     for v in ("info", "novelty", "centrality", "churn"):
         nodes = min_max(nodes, group, v).withColumnRenamed("normal", f"n_{v}")
-    base = f"({weights[0]} * n_info + {weights[1]} * n_novelty + {weights[2]} * n_centrality)"
+    base = f"({info} * n_info + {novelty} * n_novelty + {centrality} * n_centrality)"
     return nodes.selectExpr("*", f"case when max(churn) over (partition by {group}) > min(churn) over (partition by {group}) then {base} * {1 - churn} + {churn} * n_churn else {base} end as saliency")
 
 
@@ -45,17 +50,36 @@ def last_by(rows: DataFrame, keys: list[str], line: str) -> DataFrame:
 
 
 def upper_median(rows: DataFrame, value: str, default: int = 1000) -> DataFrame:
-    """The upper middle of the positive values, without gathering them: a rank among counts of each value."""
-    counts = rows.where(f"{value} > 0").groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"))
-    placed = counts.selectExpr("v", "sum(n) over (order by v rows unbounded preceding) as upto", "sum(n) over () as total")
-    return placed.where("upto > total div 2").agg(F.coalesce(F.min("v"), F.lit(default)).alias("median"))
-
-
-def archetypes(files: DataFrame) -> DataFrame:
-    """files (path, size, age, centrality) with an archetype: first rule that holds."""
-    bounds = files.agg(F.min("age").alias("lo"), F.max("age").alias("hi")).selectExpr("lo + (hi - lo) * 0.25 as recent", "lo + (hi - lo) * 0.5 as old")
+    """The upper middle of the positive values, without gathering them.
+
+    Values are counted by how many bits they have, then, in the class that holds the middle, one by one, so what passes
+    through one task is a row for each number of bits and the counts of one class.
+    """
+    counts = rows.where(f"{value} > 0").groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n")).withColumn("bits", F.expr("length(bin(cast(v as bigint)))"))
+    classes = counts.groupBy("bits").agg(F.sum("n").alias("n"))
+    placed = classes.selectExpr("bits", "sum(n) over (order by bits rows unbounded preceding) as upto", "n", "sum(n) over () as total")
+    middle = placed.where("upto > total div 2").agg(F.expr("min_by(struct(bits, upto - n as below, total), bits) as m")).select("m.*")
+    inside = counts.join(F.broadcast(middle), "bits")  # one row
+    ranked = inside.selectExpr("v", "below + sum(n) over (order by v rows unbounded preceding) as upto", "total")
+    return ranked.where("upto > total div 2").agg(F.coalesce(F.min("v"), F.lit(default)).alias("median"))
+
+
+def archetypes(files: DataFrame, small: int = 1000) -> DataFrame:
+    """files (path, size, age, importers) with an archetype, the first rule that holds, or none.
+
+    A file is recent in the first quarter of the span of ages and old from its middle on; it is large from the upper median,
+    2000 at least, on.
+    """
+    bounds = files.agg(F.min("age").alias("lo"), F.max("age").alias("hi")).selectExpr("lo + if(hi > lo, hi - lo, 1) * 0.25 as recent", "lo + if(hi > lo, hi - lo, 1) * 0.5 as old")
     large = upper_median(files, "size").selectExpr("greatest(median, 2000) as large")
     return files.join(F.broadcast(bounds)).join(F.broadcast(large)).selectExpr(  # one row each
         "path",
-        "case when centrality > 2 and age <= recent then 'active_core' when centrality > 2 and size < large then 'stable_utilities' when centrality > 2 then 'core_infrastructure' when age <= recent then 'active_development' when age >= old then 'potentially_stale' else 'other' end as archetype",
+        f"case when importers > 0 and age <= recent then 'active_core' when importers > 0 and age >= old and size < {small} then 'stable_utilities' when importers > 0 and age >= old then 'core_infrastructure' "
+        f"when importers = 0 and age <= recent and size >= large then 'active_development' when importers = 0 and age >= old and age > recent and size < {small} then 'potentially_stale' end as archetype",
     )
+
+
+def first_by_archetype(files: DataFrame, top: int = 4) -> DataFrame:
+    """The first files of each archetype: central kinds by importers, those in development newest first, stale ones oldest first."""
+    order = "case when archetype in ('core_infrastructure', 'active_core', 'stable_utilities') then -importers when archetype = 'active_development' then age else -age end"
+    return files.where("archetype is not null").selectExpr("*", f"row_number() over (partition by archetype order by {order}, path) as rank", "count(*) over (partition by archetype) as members").where(f"rank <= {top}")

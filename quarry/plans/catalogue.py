@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import scoring
-from quarry.operators import changes, condense, consensus, graphs, health, imports, markup, paths, ranking, text, views
+from quarry.operators import changes, condense, consensus, graphs, health, imports, markup, paths, ranking, rules, text, views
 from quarry.scratch import read_table
 from quarry.streaming import memory
 
@@ -188,7 +188,7 @@ t AS (SELECT anchor, other, together, callers, rate, unnest(generate_series(toge
 u AS (SELECT anchor, other, together, callers, rate, lgamma(callers + 1) - lgamma(j + 1) - lgamma(callers - j + 1) + j * ln(rate) + (callers - j) * ln(1 - rate) AS x FROM t WHERE rate < 1),
 s0 AS (SELECT anchor, other, together, callers, rate, greatest(0, -ln(sum(exp(x))) / ln(10)) AS enrichment FROM u GROUP BY ALL),
 s AS (SELECT *, enrichment * -log10((callers - together) / (callers + 1)) AS strength FROM s0)"""
-AUDIT = RULES + """, h AS (SELECT * FROM s WHERE enrichment >= 3), f AS (SELECT count(*) AS n, quantile_cont(strength, 0.25) AS q1, quantile_cont(strength, 0.75) AS q3, max(strength) AS most FROM h),
+AUDIT = RULES + """, h AS (SELECT * FROM s WHERE enrichment >= 3), f AS (SELECT count(*) AS n, quantile_cont(strength, 0.25) AS q1, quantile_cont(strength, 0.75) AS q3, max(strength) AS most FROM s),
 a AS (SELECT h.* FROM h, f WHERE strength > CASE WHEN n < 8 THEN '-infinity'::DOUBLE WHEN q1 = q3 THEN most ELSE q3 + 3 * (q3 - q1) END)"""
 BY_CUST, BY_STATUS = "CAST(o_custkey AS VARCHAR)", "o_custkey || ':' || o_orderstatus"
 
@@ -284,7 +284,7 @@ def relevance(spark, d):
     return paths.relevance(dirs).withColumn("relevance", F.round("relevance", 6))
 
 
-DIRS = "WITH RECURSIVE d AS (SELECT 'r' || r_regionkey AS dir, NULL AS parent, r_name AS name, 0 AS n_files FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_name, 1 FROM nation WHERE n_nationkey % 5 = 0 UNION ALL SELECT 'c' || c_nationkey, 'n' || c_nationkey, 'leaf', CAST(count(*) AS INT) FROM customer GROUP BY c_nationkey)"
+DIRS = "WITH RECURSIVE d AS (SELECT 'r' || r_regionkey AS dir, NULL AS parent, r_name AS name, 0 AS n_files FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_name, 1 FROM nation UNION ALL SELECT 'c' || c_nationkey, 'n' || c_nationkey, 'leaf', CAST(count(*) AS INT) FROM customer GROUP BY c_nationkey)"
 
 
 @query(DIRS + """, o AS (SELECT parent, min(dir) AS child FROM d WHERE parent IS NOT NULL GROUP BY 1 HAVING count(*) = 1),
@@ -292,7 +292,7 @@ w AS (SELECT dir AS head, dir, 0 AS depth FROM d UNION ALL SELECT w.head, o.chil
 SELECT head, arg_max(dir, depth) AS tail, max(depth) AS hops FROM w GROUP BY head""")
 def chain_collapse(spark, d):
     r, n, c = (read_table(spark, d, t) for t in ("region", "nation", "customer"))
-    dirs = r.selectExpr("concat('r', r_regionkey) as dir", "cast(null as string) as parent", "r_name as name", "0 as n_files").unionByName(n.where("n_nationkey % 5 = 0").selectExpr("concat('n', n_nationkey) as dir", "concat('r', n_regionkey) as parent", "n_name as name", "1 as n_files"))
+    dirs = r.selectExpr("concat('r', r_regionkey) as dir", "cast(null as string) as parent", "r_name as name", "0 as n_files").unionByName(n.selectExpr("concat('n', n_nationkey) as dir", "concat('r', n_regionkey) as parent", "n_name as name", "1 as n_files"))
     leaves = c.groupBy("c_nationkey").count().selectExpr("concat('c', c_nationkey) as dir", "concat('n', c_nationkey) as parent", "'leaf' as name", "cast(count as int) as n_files")
     return paths.chains(dirs.unionByName(leaves))
 
@@ -319,11 +319,22 @@ def skip_dirs(spark, d):
 # --- ranking ----------------------------------------------------------------------------------
 
 
-@query("""WITH f AS (SELECT doc_id AS path, n_chars AS size, doc_id AS age, doc_id % 5 AS centrality FROM documents), b AS (SELECT min(age) + (max(age) - min(age)) * 0.25 AS recent, min(age) + (max(age) - min(age)) * 0.5 AS old FROM f),
+@query("""WITH f AS (SELECT doc_id AS path, n_chars AS size, doc_id AS age, doc_id % 5 // 3 AS importers FROM documents), b AS (SELECT min(age) + (max(age) - min(age)) * 0.25 AS recent, min(age) + (max(age) - min(age)) * 0.5 AS old FROM f),
 m AS (SELECT greatest(2000, (list_sort(list(size) FILTER (size > 0)))[CAST(floor(count(*) FILTER (size > 0) / 2) AS INT) + 1]) AS large FROM f)
-SELECT path, CASE WHEN centrality > 2 AND age <= recent THEN 'active_core' WHEN centrality > 2 AND size < large THEN 'stable_utilities' WHEN centrality > 2 THEN 'core_infrastructure' WHEN age <= recent THEN 'active_development' WHEN age >= old THEN 'potentially_stale' ELSE 'other' END AS archetype FROM f, b, m""")
+SELECT path, CASE WHEN importers > 0 AND age <= recent THEN 'active_core' WHEN importers > 0 AND age >= old AND size < 1000 THEN 'stable_utilities' WHEN importers > 0 AND age >= old THEN 'core_infrastructure' WHEN importers = 0 AND age <= recent AND size >= large THEN 'active_development' WHEN importers = 0 AND age >= old AND size < 1000 THEN 'potentially_stale' END AS archetype FROM f, b, m""")
 def archetypes(spark, d):
-    return ranking.archetypes(read_table(spark, d, "documents").selectExpr("doc_id as path", "n_chars as size", "doc_id as age", "doc_id % 5 as centrality"))
+    return ranking.archetypes(_aged(spark, d))
+
+
+def _aged(spark, d):
+    return read_table(spark, d, "documents").selectExpr("doc_id as path", "n_chars as size", "doc_id as age", "doc_id % 5 div 3 as importers")
+
+
+@query("""WITH f AS (SELECT doc_id AS path, n_chars AS size, doc_id AS age, doc_id % 5 // 3 AS importers, CASE WHEN doc_id % 5 >= 3 THEN 'active_core' WHEN n_chars > 1500 THEN 'active_development' ELSE 'potentially_stale' END AS archetype FROM documents)
+SELECT path, archetype, row_number() OVER (PARTITION BY archetype ORDER BY CASE archetype WHEN 'active_core' THEN -importers WHEN 'active_development' THEN age ELSE -age END, path) AS rank FROM f QUALIFY rank <= 4""")
+def archetype_leaders(spark, d):
+    rows = _aged(spark, d).withColumn("archetype", F.expr("case when importers > 0 then 'active_core' when size > 1500 then 'active_development' else 'potentially_stale' end"))
+    return ranking.first_by_archetype(rows).select("path", "archetype", "rank")
 
 
 @query("SELECT (list_sort(list(n_chars) FILTER (n_chars > 0)))[CAST(floor(count(*) FILTER (n_chars > 0) / 2) AS INT) + 1] AS median FROM documents")
@@ -331,9 +342,11 @@ def upper_median(spark, d):
     return ranking.upper_median(read_table(spark, d, "documents"), "n_chars")
 
 
-@query("SELECT doc_id AS path, CASE WHEN source LIKE 'src1%' THEN 'entry' WHEN lang = 'en' THEN 'core' WHEN lang IN ('de', 'fr') THEN 'tests' ELSE 'other' END AS cluster FROM documents")
+@query("SELECT doc_id AS path, CASE doc_id % 6 WHEN 0 THEN 'tests' WHEN 1 THEN 'config' WHEN 2 THEN 'core_logic' WHEN 3 THEN 'plugins' WHEN 4 THEN 'entry_points' ELSE CASE WHEN contains(text, 'if __name__ ==') OR contains(text, 'def main(') THEN 'entry_points' ELSE 'other' END END AS cluster FROM documents WHERE text IS NOT NULL")
 def classify(spark, d):
-    return read_table(spark, d, "documents").selectExpr("doc_id as path", "case when source like 'src1%' then 'entry' when lang = 'en' then 'core' when lang in ('de', 'fr') then 'tests' else 'other' end as cluster")
+    names = "array('test_a.py', 'settings.py', 'row_parser.py', 'x.py', '__main__.py', 'x.py')[doc_id % 6]"
+    rows = read_table(spark, d, "documents").where("text is not null").selectExpr("doc_id", "text", f"concat('src/', if(doc_id % 6 = 3, 'plugins/', ''), {names}) as path")
+    return rows.selectExpr("doc_id as path", f"{rules.cluster("'python'", 'path', 'text')} as cluster")
 
 
 @query("SELECT o_custkey AS file, o_orderstatus AS name, max(o_orderkey) AS line FROM orders GROUP BY 1, 2")
@@ -410,10 +423,10 @@ def line_edits(spark, d):
 # --- health -----------------------------------------------------------------------------------
 
 
-@query(r"WITH p AS (SELECT page_id AS pid, regexp_extract(url, '/([A-Za-z0-9_-]+)(?:[?#].*)?$', 1) AS token FROM pages), c AS (SELECT DISTINCT unnest(regexp_extract_all(html, '[A-Za-z0-9_-]+')) AS token FROM pages) SELECT pid, token FROM p WHERE token <> '' AND token NOT IN (SELECT token FROM c)")
+@query(r"WITH p AS (SELECT page_id AS pid, regexp_extract(url, '/([A-Za-z0-9_-]+)(?:[?#].*)?$', 1) AS token FROM pages), t AS (SELECT DISTINCT token FROM p WHERE token <> ''), h AS (SELECT token FROM t WHERE EXISTS (SELECT 1 FROM pages WHERE contains(html, token))) SELECT pid, token FROM p WHERE token <> '' AND token NOT IN (SELECT token FROM h)")
 def orphan_tokens(spark, d):
     pages = read_table(spark, d, "pages")
-    return health.orphans(pages.selectExpr("page_id as pid", r"regexp_extract(url, '/([A-Za-z0-9_-]+)(?:[?#].*)?$', 1) as token"), pages.selectExpr("html as text")).select("pid", "token")
+    return health.orphans(pages.selectExpr("page_id as pid", r"regexp_extract(url, '/([A-Za-z0-9_-]+)(?:[?#].*)?$', 1) as token"), pages.selectExpr("explode(split(html, '\\\\n')) as text")).select("pid", "token")
 
 
 @query("SELECT doc_id AS name, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) AND source NOT IN ('src1', 'src2')")
@@ -422,13 +435,13 @@ def reachability_antijoin(spark, d):
     return health.unreachable(docs, read_table(spark, d, "labels").selectExpr("doc_id as name"), docs.where("source in ('src1', 'src2')"))
 
 
-@query("""WITH c AS (SELECT word AS name, count(*) AS calls FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS word FROM documents WHERE doc_id <= 200) GROUP BY 1),
+@query("""WITH c AS (SELECT word AS name, count(*) AS calls FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS word FROM documents) GROUP BY 1),
 f AS (SELECT DISTINCT word AS name, item_id AS file FROM (SELECT item_id, unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS word FROM benchmark)), n AS (SELECT *, count(*) OVER (PARTITION BY name) AS defs FROM f)
 SELECT c.name, n.file, c.calls FROM c JOIN n ON c.name = n.name WHERE n.defs <= 2 AND n.file >= 5 ORDER BY c.calls DESC, c.name, n.file LIMIT 5""")
 def leads(spark, d):
     words = F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9_]+"), F.lit(0))).alias("name")
     bench = read_table(spark, d, "benchmark")
-    return health.leads(read_table(spark, d, "documents").where("doc_id <= 200").select(words), bench.select(F.col("item_id").alias("file"), words).distinct(), bench.where("item_id < 5").select(F.col("item_id").alias("file")))
+    return health.leads(read_table(spark, d, "documents").select(words), bench.select(F.col("item_id").alias("file"), words).distinct(), bench.where("item_id < 5").select(F.col("item_id").alias("file")))
 
 
 # --- beyond SQL -------------------------------------------------------------------------------

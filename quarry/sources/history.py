@@ -1,4 +1,5 @@
-"""Version history as tables, read by calling git.
+"""Version history as tables, read by calling git; all paths are relative to the folder asked for, and what lies
+outside it is left out.
 
 A failed call or a missing repository gives an empty table: a tree without history is no error.  Log and
 status come from one call on the driver (their size is that of the history asked for); blame runs
@@ -13,9 +14,11 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TIMEOUT = 5
-MARKERS = (".git", "pyproject.toml", "package.json", "go.mod", "Cargo.toml", "pom.xml")
+#: Files that mark a project's top.
+MARKERS = ("pyproject.toml", "setup.py", "package.json", "go.mod", "Cargo.toml")
 
 
 def _git(root: str, *args: str, timeout: float = TIMEOUT) -> str:
@@ -42,7 +45,7 @@ def repo_root(path: str) -> str:
 def commits(spark: SparkSession, root: str, existing_only: bool = True) -> DataFrame:
     """(commit_id, ts, path) of every commit; by default of files that are still there."""
     rows, commit, ts = [], "", 0
-    for line in _git(root, "-c", "core.quotePath=false", "log", "--no-renames", "--name-only", "--format=%x01%H %ct", timeout=60).splitlines():
+    for line in _git(root, "-c", "core.quotePath=false", "log", "--no-renames", "--relative", "--name-only", "--format=%x01%H %ct", timeout=60).splitlines():
         if line.startswith("\x01"):
             commit, ts = line[1:].split(" ")
         elif line and (not existing_only or os.path.exists(os.path.join(root, line))):
@@ -75,7 +78,7 @@ def line_edits(root: str, paths: DataFrame, since_epoch: int = 0) -> DataFrame:
 def changed(spark: SparkSession, root: str, ref: str = "HEAD") -> DataFrame:
     """(path, status, old_path) against a revision: A, M, D, R, and ? for files that are not tracked."""
     rows = []
-    for line in _git(root, "-c", "core.quotePath=false", "diff", "--name-status", "-M", ref, "--").splitlines():
+    for line in _git(root, "-c", "core.quotePath=false", "diff", "--relative", "--name-status", "-M", ref, "--").splitlines():
         status, *names = line.split("\t")
         rows.append((names[-1], status[:1], names[0]))
     rows += [(p, "?", None) for p in _git(root, "-c", "core.quotePath=false", "ls-files", "--others", "--exclude-standard").splitlines()]
@@ -87,7 +90,14 @@ def old_files(root: str, paths: DataFrame, ref: str = "HEAD") -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            kept = [(p, _git(root, "show", f"{ref}:{p}")) for p in batch["path"] if _git(root, "ls-tree", ref, "--", p)]
+            kept = [(p, _git(root, "show", f"{ref}:./{p}")) for p in batch["path"] if _git(root, "ls-tree", ref, "--", p)]
             yield pd.DataFrame(kept, columns=["path", "content"])
 
     return paths.select("path").mapInPandas(run, "path string, content string")
+
+
+def file_churn(spark: SparkSession, root: str, path: str, days: int = 90) -> int:
+    """Commits of one file in the window that the last commit of the folder ends."""
+    from quarry.operators.changes import active_window
+
+    return active_window(commits(spark, root, existing_only=False), days).where(F.col("path") == path).select("commit_id").distinct().count()

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.scratch import fresh_path
+from quarry.scratch import delete, fresh_path
 
 TTL_MINUTES = 30
 STATE = "fingerprint string, seen_ms long"
@@ -18,11 +18,15 @@ def label_versions(scans: DataFrame, ttl_minutes: int = TTL_MINUTES) -> DataFram
     """A stream of scans (path, fingerprint, at) labelled first, unchanged or changed.
 
     State by path holds the last fingerprint; one older than the expiry counts as a first scan.  Time is
-    that of the events, so a replay gives the same labels.
+    that of the events, so a replay gives the same labels; a path that has not been seen for the expiry, by the
+    watermark, loses its state.
     """
     ttl = ttl_minutes * 60_000
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get if state.exists else None
         rows = pd.concat(list(batches)).sort_values("at")
         out = []
@@ -31,10 +35,14 @@ def label_versions(scans: DataFrame, ttl_minutes: int = TTL_MINUTES) -> DataFram
             label = "first" if last is None or now - last[1] > ttl else "unchanged" if last[0] == fingerprint else "changed"
             out.append((key[0], at, label))
             last = (fingerprint, now)
-        state.update(last)
+        if last[1] + ttl > state.getCurrentWatermarkMs():
+            state.update(last)
+            state.setTimeoutTimestamp(last[1] + ttl)
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(out, columns=["path", "at", "label"])
 
-    return scans.groupBy("path").applyInPandasWithState(run, "path long, at timestamp, label string", STATE, "append", "NoTimeout")
+    return scans.withWatermark("at", f"{ttl_minutes} minutes").groupBy("path").applyInPandasWithState(run, "path long, at timestamp, label string", STATE, "append", "EventTimeTimeout")
 
 
 def drain(stream: DataFrame, name: str) -> DataFrame:
@@ -53,18 +61,78 @@ def replay_versions(spark: SparkSession, turns: DataFrame) -> DataFrame:
 
 
 def hourly(spark: SparkSession, events: DataFrame) -> DataFrame:
-    """Tumbling event-time windows over a feed of events, folded incrementally; late rows past the
-    watermark would be dropped, and the last state is the table."""
+    """Tumbling event-time windows over a feed of events, folded incrementally.
+
+    A batch hands on the windows that it has changed, and those that the watermark has passed leave the state;
+    rows that come later than that are dropped.  The table holds the newest row of each window.
+    """
     root = fresh_path(spark, "hourly")
     events.write.parquet(f"{root}/in")
     feed = spark.readStream.schema(events.schema).parquet(f"{root}/in").withColumn("t", F.col("ts").cast("timestamp")).withWatermark("t", "1 hour")
-    counts = feed.groupBy("event_type", F.window("t", "1 hour").alias("w")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    counts = feed.groupBy("event_type", F.window("t", "1 hour").alias("w")).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{root}/out")
+        batch.write.mode("overwrite").parquet(f"{root}/out/batch={batch_id}")
+
+    counts.writeStream.outputMode("update").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).foreachBatch(save).start().awaitTermination()
+    newest = spark.read.parquet(f"{root}/out").groupBy("event_type", "w").agg(F.expr("max_by(struct(n, total), batch)").alias("s"))
+    return newest.selectExpr("event_type", "cast(w.start as timestamp_ntz) as hour", "s.n as n", "round(s.total, 4) as total")
+
+
+class Snapshot:
+    """A table that readers see as it was last committed while a refresh works out the next one.
 
-    counts.writeStream.outputMode("complete").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).foreachBatch(save).start().awaitTermination()
-    return spark.read.parquet(f"{root}/out").selectExpr("event_type", "cast(w.start as timestamp_ntz) as hour", "n", "total")
+    The refresh does nothing where the files are the same by their fingerprints, equal numbers of changes included.
+    """
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root
+
+    def _last(self) -> int:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        fs = path(self.root).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        names = [s.getPath().getName() for s in fs.listStatus(path(self.root))] if fs.exists(path(self.root)) else []
+        return max((int(n[9:]) for n in names if n.startswith("snapshot=") and fs.exists(path(f"{self.root}/{n}/rows/_SUCCESS"))), default=0)
+
+    def read(self) -> DataFrame | None:
+        """The last committed rows; None before the first refresh."""
+        last = self._last()
+        return self.spark.read.parquet(f"{self.root}/snapshot={last}/rows") if last else None
+
+    def refresh(self, files: DataFrame, compute) -> bool:
+        """Work ``compute(files)`` out anew if files (path, fingerprint) have changed; whether they have."""
+        last = self._last()
+        sign = files.agg(F.count("*").alias("n"), F.expr("coalesce(bit_xor(xxhash64(path, fingerprint)), 0)").alias("mark"))
+        now = sign.first()
+        if last and tuple(self.spark.read.parquet(f"{self.root}/snapshot={last}/sign").first()) == tuple(now):
+            return False
+        at = f"{self.root}/snapshot={last + 1}"
+        self.spark.createDataFrame([tuple(now)], "n long, mark long").write.mode("overwrite").parquet(f"{at}/sign")
+        compute(files).write.mode("overwrite").parquet(f"{at}/rows")  # its marker commits the snapshot
+        if last:
+            delete(self.spark, f"{self.root}/snapshot={last}")
+        return True
+
+
+def incremental_stream(spark: SparkSession, scans: DataFrame) -> DataFrame:
+    """scans (path, fingerprint, content) folded batch by batch into (path, fingerprint, n_lines): only files whose fingerprint
+    is new are worked out."""
+    root = fresh_path(spark, "incremental")
+    scans.write.partitionBy("turn").parquet(f"{root}/in")
+    feed = spark.readStream.schema(scans.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    empty = spark.createDataFrame([], "path long, fingerprint string, n_lines int")
+    last: list[str] = []
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        known = spark.read.parquet(last[0]) if last else empty
+        newest = batch.groupBy("path").agg(F.expr("max_by(struct(fingerprint, content), turn)").alias("s")).select("path", "s.*")
+        fresh, _ = incremental(known, newest.select("path", "fingerprint"))
+        made = newest.join(fresh, ["path", "fingerprint"]).selectExpr("path", "fingerprint", "size(split(content, '\\n')) as n_lines")
+        known.join(made.select("path"), "path", "left_anti").unionByName(made).write.mode("overwrite").parquet(f"{root}/out/{batch_id}")
+        last[:] = [f"{root}/out/{batch_id}"]
+
+    feed.writeStream.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).foreachBatch(save).start().awaitTermination()
+    return spark.read.parquet(last[0]) if last else empty
 
 
 def incremental(known: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
