@@ -1,0 +1,155 @@
+"""The user's questions on real trees, and the rules that lie behind them."""
+
+from __future__ import annotations
+
+import os
+import subprocess
+
+import pytest
+
+from quarry.functions import python_source
+from quarry.operators import budget, changes, consensus, graphs, health, imports, nodes, paths, report, rules, text, views
+from quarry.plans import corpus, tools
+from quarry.scratch import fresh_path
+from quarry.sources import history, tree
+from quarry.streaming import memory
+
+
+@pytest.fixture
+def repo(tmp_path):
+    def git(*args, when):
+        env = os.environ | {f"GIT_{who}_{what}": v for who in ("AUTHOR", "COMMITTER") for what, v in (("NAME", "a"), ("EMAIL", "a@b.c"), ("DATE", when))}
+        subprocess.run(["git", "-C", str(tmp_path), *args], check=True, capture_output=True, env=env)
+
+    (tmp_path / "pkg").mkdir()
+    (tmp_path / "pkg" / "a.py").write_text("def alpha():\n    return 1\n\n\ndef beta():\n    return 2\n\n\ndef doomed():\n    return 3\n")
+    (tmp_path / "pkg" / "old.py").write_text("def moved():\n    return alpha()\n\n\ndef still():\n    return 5\n")
+    (tmp_path / "top.py").write_text("x = 1\n")
+    git("init", "-q", when="2024-01-01T00:00:00Z")
+    git("add", "-A", when="2024-01-01T00:00:00Z")
+    git("commit", "-qm", "first", when="2024-01-01T00:00:00Z")
+    (tmp_path / "top.py").write_text("x = 2\n")
+    (tmp_path / "pkg" / "a.py").write_text("def alpha():\n    return 1\n\n\ndef beta():\n    return 20\n\n\ndef doomed():\n    return 3\n")
+    git("add", "-A", when="2024-02-01T00:00:00Z")
+    git("commit", "-qm", "second", when="2024-02-01T00:00:00Z")
+    return tmp_path
+
+
+def test_history_below_the_top_level(spark, repo):
+    below = str(repo / "pkg")
+    assert {(r["path"], r["n"]) for r in history.commits(spark, below).groupBy("path").count().withColumnRenamed("count", "n").collect()} == {("a.py", 2), ("old.py", 1)}
+    assert {(r["path"], r["n"]) for r in history.commits(spark, str(repo)).groupBy("path").count().withColumnRenamed("count", "n").collect()} == {("pkg/a.py", 2), ("pkg/old.py", 1), ("top.py", 2)}
+    assert history.file_churn(spark, below, "a.py") == 2 and history.file_churn(spark, below, "a.py", days=5) == 1
+    (repo / "pkg" / "a.py").write_text("def alpha():\n    return 1\n")
+    (repo / "pkg" / "new.py").write_text("y = 1\n")
+    got = {(r["path"], r["status"]) for r in history.changed(spark, below).collect()}
+    assert got == {("a.py", "M"), ("new.py", "?")}
+    old = history.old_files(below, spark.createDataFrame([("a.py",), ("new.py",)], "path string")).collect()
+    assert [(r["path"], "return 20" in r["content"]) for r in old] == [("a.py", True)]
+
+
+def test_scan_diff_labels_and_reviews(spark, repo):
+    (repo / "pkg" / "a.py").write_text("def alpha():\n    return 1\n\n\ndef beta():\n    return 21\n\n\ndef fresh():\n    return 4\n")
+    (repo / "pkg" / "old.py").unlink()
+    lines = {(r["path"], r["line"]) for r in tools.scan_diff(spark, str(repo)).collect()}
+    assert ("pkg/a.py", "pkg/a.py [changed: 2 new/changed, 1 unchanged]  removed: doomed") in lines
+    assert ("pkg/a.py", "  new function:fresh") in lines and ("pkg/a.py", "  changed function:beta") in lines
+    assert ("pkg/old.py", "pkg/old.py [deleted]") in lines
+    assert any(p == "(review)" and "candidate-dead: fresh" in x for p, x in lines)
+
+
+def test_scans_of_trees_and_texts(spark, repo):
+    (repo / "build").mkdir()
+    (repo / "build" / "out.py").write_text("def out():\n    pass\n")
+    (repo / "web").mkdir()
+    (repo / "web" / "app.min.js").write_text("var a")
+    (repo / ".gitignore").write_text("web/\n!web/kept.py\n")
+    (repo / "web" / "kept.py").write_text("z = 1\n")
+    names = sorted(r["path"] for r in tree.files(spark, str(repo)).collect())
+    assert names == ["pkg/a.py", "pkg/old.py", "top.py"]  # nothing below an ignored folder comes back
+    assert [r["path"] for r in tree.scanned(tree.files(spark, str(repo)), "**/*.{py,js}", "old.py\n", 1).collect()] == ["pkg/a.py"]
+    shown = [r["line"] for r in tools.scan_directory(spark, str(repo), "pkg/*").orderBy("path", "node_id", "part").collect()]
+    assert "- alpha () @1" in shown and "   def beta():" in shown
+    one = [r["line"] for r in tools.scan_file(spark, str(repo), "pkg/a.py", focus="beta").orderBy("node_id", "part").collect()]
+    assert one[0] == "focus: beta @5-6" and "  5 | def beta():" in one and "- alpha () @1" in one
+    text_ = [r["line"] for r in tools.scan_content(spark, "# A\n\n## B\nx\n", "n.md").orderBy("node_id", "part").collect()]
+    assert text_ == ["- A @1", "  - B @3"]
+    quick = [r["line"] for r in tools.preview(tree.files(spark, str(repo)), "quick").orderBy("section", "turn").collect()]
+    assert quick[0] == "━━━ FOLDERS ━━━" and quick[1].startswith("  pkg/")
+
+
+def test_budget_steps_down_from_the_least_salient(spark):
+    rows = spark.createDataFrame([("f", k, 10, 4, 2) for k in range(1, 6)], "path string, rank int, cost_full int, cost_2 int, cost_1 int")
+    got = lambda b: [r["level"] for r in budget.degraded(rows, str(b)).orderBy("rank").collect()]
+    assert got(26) == ["full", "2", "2", "2", "2"] and got(25) == ["2", "2", "2", "2", "2"]
+    assert got(19) == ["2", "2", "2", "2", "1"] and got(9) == ["1", "1", "1", "1", "0"] and got(0) == ["0"] * 5
+
+
+def test_rules_of_names_and_paths(spark):
+    def told(expr, *values):
+        return [r[0] for r in spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, v string").orderBy("k").selectExpr(f"{expr} as x").collect()]
+
+    assert told(rules.skip_dir("v"), "node_modules", "x.zarr", "src", "cache") == [True, True, False, False]
+    assert told(rules.skip_file("v"), "a.pyc", ".gitignore", "a.py", "Model.PT", ".lock") == [True, True, False, True, False]
+    assert told(rules.is_source("v"), "src/tests/a.py", "tests.py", "a/vendor/b.py") == [False, True, False]
+    assert told(paths.is_test("v", "source"), "examples/a.py", "src/a.py") == [True, False]
+    assert told(rules.glob_match("v", "src/*.py"), "src/a/b.py", "lib/a.py") == [True, False]
+    assert told(rules.band("cast(v as int)"), "0", "2", "5", "6") == ["0", "1-2", "3-5", "6+"]
+    assert told(views.since_label("cast(v as bigint)"), "59", "60", "7200", "90000", "700000") == ["just now", "1 min ago", "2 hours ago", "1 day ago", "1 week ago"]
+
+
+def test_import_targets_of_languages(spark):
+    files = ["x/Y.java", "src/main/java/a/B.java", "pkg/mod.py", "pkg/sub/__init__.py", "pkg/near.py", "web/a.ts", "web/dir/index.ts", "src/m.rs", "lib/t.rb", "app/M.php", "proj/store/db.go", "st/_p.scss", "cs/T.cs"]
+    asked = [
+        ("z.java", "java", "x.Y.*"), ("z.java", "java", "x.Y"), ("z.java", "java", "a.B"), ("pkg/u.py", "python", "pkg.mod"), ("pkg/u.py", "python", ".near"), ("q.py", "python", "pkg.sub"), ("web/p.ts", "typescript", "./a"), ("web/p.ts", "typescript", "./dir"), ("web/p.ts", "typescript", "react"),
+        ("src/l.rs", "rust", "crate::m::Item"), ("src/l.rs", "rust", "serde::X"), ("r.rb", "ruby", "t"), ("p.php", "php", "App\\M"), ("p.php", "php", "Illuminate\\M"), ("m.go", "go", "example.org/x/proj/store"), ("m.go", "go", "fmt"), ("st/a.scss", "scss", "p"), ("c.cs", "csharp", "Demo.T"), ("c.cs", "csharp", "System.T"),
+    ]
+    got = {(r["src"], r["dst"]) for r in imports.edges(spark.createDataFrame(asked, "path string, language string, name string"), spark.createDataFrame([(f,) for f in files], "path string")).collect()}
+    assert got == {
+        ("z.java", "x/Y.java"), ("z.java", "src/main/java/a/B.java"), ("pkg/u.py", "pkg/mod.py"), ("pkg/u.py", "pkg/near.py"), ("q.py", "pkg/sub/__init__.py"), ("web/p.ts", "web/a.ts"), ("web/p.ts", "web/dir/index.ts"), ("src/l.rs", "src/m.rs"),
+        ("r.rb", "lib/t.rb"), ("p.php", "app/M.php"), ("m.go", "proj/store/db.go"), ("st/a.scss", "st/_p.scss"), ("c.cs", "cs/T.cs"),
+    }
+
+
+def test_fewer_than_three_bags_say_nothing(spark):
+    bags = spark.createDataFrame([("a:f", "x"), ("a:f", "y"), ("a:g", "x")], "cid string, callee string")
+    assert consensus.candidates(bags, share=0.0).count() == 0
+
+
+def test_dropped_callers_and_health(spark):
+    defs, calls = spark.createDataFrame([("a:f", "f", "K")], "fqn string, name string, parent string"), spark.createDataFrame([("gone", "x"), ("gone", "y"), ("K", "x"), ("away", "x")], "caller_name string, callee_name string")
+    assert [tuple(r) for r in graphs.top_dropped(defs, calls).collect()] == [("gone", 2), ("away", 1)]
+    assert report.health_lines(spark.createDataFrame([], "path string, name string, start_line int"), spark.createDataFrame([], "digest string, n_lines long, members long, first_path string")).count() == 0
+    assert views.unmatched("f", "zz", spark.createDataFrame([("f", 0, -1, "A"), ("f", 1, 0, "B")], "path string, node_id int, parent_id int, name string")).first()[0].endswith("Top-level nodes: A")
+
+
+def test_snapshot_and_state_of_streams(spark):
+    snapshot = memory.Snapshot(spark, fresh_path(spark, "test-snapshot"))
+    rows = lambda *v: spark.createDataFrame(v, "path string, fingerprint string")
+    assert snapshot.read() is None and snapshot.refresh(rows(("a", "1")), lambda f: f) and not snapshot.refresh(rows(("a", "1")), lambda f: f)
+    assert snapshot.refresh(rows(("a", "2")), lambda f: f) and [r["fingerprint"] for r in snapshot.read().collect()] == ["2"]
+
+
+def test_corpus_of_486_files_is_analysed_as_one(spark, tmp_path):
+    for k in range(486):
+        p = tmp_path / f"d{k % 18}"
+        p.mkdir(exist_ok=True)
+        (p / f"m{k}.py").write_text(f"from d{(k + 1) % 18} import m{k + 1}\n\n\ndef f{k}(x):\n    if x:\n        return g{k}(x)\n    return f{(k * 7) % 486}(x)\n\n\ndef g{k}(y):\n    return y\n")
+    facts = tools.Facts(tree.files(spark, str(tmp_path)))
+    assert facts.nodes.count() == 3 * 486 and graphs.hot(facts.call_nodes).count() == 10
+
+
+def test_nodes_of_python_have_measures():
+    rows = python_source.node_rows("class A:\n    async def f(self):\n        for x in y:\n            if x:\n                g()\n")
+    assert rows[1][4:8] == ("method", "f", 2, 5) and rows[1][10] == ["async"] and rows[1][12] == 4 and rows[1][14] == 2
+
+
+def test_texts_are_looked_up_in_pieces(spark):
+    texts = spark.createDataFrame([("x" * 250 + "needle-in-hay" + "y" * 900,), ("ab",)], "text string")
+    tokens = spark.createDataFrame([("needle-in-hay",), ("ab",), ("abc",), ("zz",)], "token string")
+    assert sorted(r["token"] for r in health.holding(tokens, texts).collect()) == ["ab", "needle-in-hay"]
+
+
+def test_corpus_is_whole(spark):
+    assert corpus.files(spark).count() == len(corpus.FILES) and text.lines(corpus.files(spark, ["rb/tool.rb"])).count() == 3
+    assert nodes.SKIP_TYPES[0] == "file-info" and changes.TOP_PAIRS == 5
