@@ -30,18 +30,19 @@ def sections(lines_: DataFrame) -> DataFrame:
 def containing(points: DataFrame, spans: DataFrame) -> DataFrame:
     """Range join of points (path, line_no, ...) with spans (path, node_id, start_line, end_line, ...).
 
-    Of the spans that hold a line the last in pre-order wins; points outside all spans keep nulls.
-    Spans are dealt by the buckets of lines that they touch, which makes it an equi join.
+    Of the spans that hold a line the last in pre-order wins; points outside all spans keep nulls, and points are told apart
+    by their columns.  Spans are dealt by the buckets of lines that they touch, which makes it an equi
+    join, and either side is read once.
     """
+    own = ", ".join(f"p.{c}" for c in points.columns)
     return points.sparkSession.sql(
         f"""
-        SELECT p.*, s.node_id, s.start_line, s.end_line FROM {{p}} p LEFT JOIN (
-          SELECT q.path, q.line_no, max_by(struct(b.node_id, b.start_line, b.end_line), b.node_id) AS best
-          FROM (SELECT DISTINCT path, line_no, line_no div {BUCKET} AS bucket FROM {{p}}) q
-          JOIN (SELECT *, explode(sequence(start_line div {BUCKET}, end_line div {BUCKET})) AS bucket FROM {{s}}) b
-            ON q.path = b.path AND q.bucket = b.bucket AND q.line_no BETWEEN b.start_line AND b.end_line
-          GROUP BY q.path, q.line_no) x ON p.path = x.path AND p.line_no = x.line_no
-        LATERAL VIEW OUTER inline(array(x.best)) s AS node_id, start_line, end_line""",
+        SELECT {", ".join(points.columns)}, best.node_id, best.start_line, best.end_line FROM (
+          SELECT {own}, max_by(if(b.node_id IS NULL, NULL, struct(b.node_id, b.start_line, b.end_line)), b.node_id) AS best
+          FROM (SELECT *, line_no div {BUCKET} AS bucket FROM {{p}}) p
+          LEFT JOIN (SELECT *, explode(sequence(start_line div {BUCKET}, end_line div {BUCKET})) AS bucket FROM {{s}}) b
+            ON p.path = b.path AND p.bucket = b.bucket AND p.line_no BETWEEN b.start_line AND b.end_line
+          GROUP BY {own})""",
         p=points, s=spans,
     )
 
@@ -49,7 +50,7 @@ def containing(points: DataFrame, spans: DataFrame) -> DataFrame:
 def search(lines_: DataFrame, spans: DataFrame, pattern: str, is_test: str = "false", limit: int = 40) -> DataFrame:
     """Ranked hits grouped by the section they stand in."""
     hits = lines_.where(F.col("text").rlike("(?i)" + pattern))
-    found = containing(hits, spans)
+    found = containing(hits.select("path", "line_no"), spans)
     return lines_.sparkSession.sql(
         f"""
         SELECT path, node_id, start_line, end_line, hits, file_total FROM (

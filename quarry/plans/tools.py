@@ -6,6 +6,7 @@ for, and staged; the functions below it answer one question each, as a table of
 
 from __future__ import annotations
 
+from collections.abc import Collection
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,30 +28,49 @@ def _shaped(rows: DataFrame, tier: str) -> DataFrame:
     return rows.selectExpr(*(f"cast({n if n in have else values.get(n, 'null')} as {t}) as {n}" for n, t in fields))
 
 
-def parsed(files: DataFrame) -> DataFrame:
+def parsed(files: DataFrame, languages: Collection[str] | None = None) -> DataFrame:
     """Nodes of all files: Python by its syntax tree, Markdown and text by their lines, other languages by patterns; a Python file
-    with an error by patterns too, its names marked."""
-    python = python_source.nodes(files.where("language = 'python'"))
-    broken = python.where("type = 'parse-error'").select("path")
-    flat = pattern_tables.structures(files.where("language not in ('python', 'markdown', 'text')").unionByName(files.where("language = 'python'").join(broken, "path", "left_semi")))
-    one = flat.selectExpr("path", "type", "if(language = 'python', concat(name, ' (fallback)'), name) as name", "line_no as start_line", "line_no as end_line", "row_number() over (partition by path order by line_no, type, name) - 1 as node_id").selectExpr("*", "-1 as parent_id", "node_id as last_desc_id", "0 as depth")
-    marked = nodes.headings(text.lines(files.where("language = 'markdown'"))).withColumn("depth", F.expr("if(type = 'code-block', if(parent_id < 0, 0, 1), cast(right(type, 1) as int) - 1)"))
-    plain = nodes.outline(text.lines(files.where("language = 'text'"))).selectExpr("*", "row_number() over (partition by path order by start_line, end_line desc) - 1 as node_id", "if(section_line is null, 0, 1) as depth")
-    heads = plain.where("type = 'section'").selectExpr("path", "start_line as section_line", "node_id as parent_id")
-    below = plain.join(heads, ["path", "section_line"], "left").withColumn("parent_id", F.expr("if(type = 'section', -1, coalesce(parent_id, -1))"))
-    ends = below.groupBy("path", F.col("parent_id").alias("node_id")).agg(F.max("node_id").alias("last_desc_id"))
-    written = below.join(ends, ["path", "node_id"], "left").withColumn("last_desc_id", F.coalesce("last_desc_id", "node_id"))
-    out = _shaped(python.join(broken, "path", "left_anti"), "syntax").unionByName(_shaped(one, "pattern"))
-    return out.unionByName(_shaped(marked, "lines")).unionByName(_shaped(written, "lines"))
+    with an error by patterns too, its names marked.  languages: those that the files have, if known."""
+    has = lambda *names: languages is None or any(n in languages for n in names)
+    parts = []
+    flat = files.where("language not in ('python', 'markdown', 'text')")
+    if has("python"):
+        python = staged(python_source.nodes(files.where("language = 'python'")), "python-nodes")
+        broken = python.where("type = 'parse-error'").select("path")
+        parts.append(_shaped(python.join(broken, "path", "left_anti"), "syntax"))
+        flat = flat.unionByName(files.where("language = 'python'").join(broken, "path", "left_semi"))
+    if languages is None or any(x in pattern_tables.STRUCTURES and x != "markdown" for x in languages):
+        found = pattern_tables.structures(flat, languages)
+        one = found.selectExpr("path", "type", "if(language = 'python', concat(name, ' (fallback)'), name) as name", "line_no as start_line", "line_no as end_line", "row_number() over (partition by path order by line_no, type, name) - 1 as node_id").selectExpr("*", "-1 as parent_id", "node_id as last_desc_id", "0 as depth")
+        parts.append(_shaped(one, "pattern"))
+    if has("markdown"):
+        marked = nodes.headings(text.lines(files.where("language = 'markdown'"))).withColumn("depth", F.expr("if(type = 'code-block', if(parent_id < 0, 0, 1), cast(right(type, 1) as int) - 1)"))
+        parts.append(_shaped(marked, "lines"))
+    if has("text"):
+        plain = nodes.outline(text.lines(files.where("language = 'text'"))).selectExpr("*", "row_number() over (partition by path order by start_line, end_line desc) - 1 as node_id", "if(section_line is null, 0, 1) as depth")
+        heads = plain.where("type = 'section'").selectExpr("path", "start_line as section_line", "node_id as parent_id")
+        below = plain.join(heads, ["path", "section_line"], "left").withColumn("parent_id", F.expr("if(type = 'section', -1, coalesce(parent_id, -1))"))
+        ends = below.groupBy("path", F.col("parent_id").alias("node_id")).agg(F.max("node_id").alias("last_desc_id"))
+        parts.append(_shaped(below.join(ends, ["path", "node_id"], "left").withColumn("last_desc_id", F.coalesce("last_desc_id", "node_id")), "lines"))
+    out = parts[0] if parts else _shaped(files.where("false").selectExpr("path"), "lines")
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 class Facts:
     def __init__(self, files: DataFrame):
-        self.spark, self.files = files.sparkSession, files.where("content is not null")
+        self.spark, self.every = files.sparkSession, staged(files, "facts-files")
+        self.files = self.every.where("content is not null")
+
+    @cached_property
+    def languages(self) -> set[str]:
+        """Those that the files have: two dozen at most."""
+        return {r["language"] for r in self.files.where("language is not null").select("language").distinct().collect()}
 
     @cached_property
     def nodes(self) -> DataFrame:
-        return staged(parsed(self.files), "facts-nodes")
+        return staged(parsed(self.files, self.languages), "facts-nodes")
 
     @cached_property
     def definitions(self) -> DataFrame:
@@ -60,18 +80,24 @@ class Facts:
     @cached_property
     def calls(self) -> DataFrame:
         own = python_source.calls(self.files.where("language = 'python'"))
+        if self.languages <= {"python"}:
+            return staged(own, "facts-calls")
         other = pattern_tables.calls(self.files.where("language <> 'python'"))
         return staged(own.unionByName(other.select(own.columns)), "facts-calls")
 
     @cached_property
     def entry_points(self) -> DataFrame:
-        found = pattern_tables.entry_points(self.files).selectExpr("path", "language", "type", "name", "line_no as line", "cast(null as string) as framework")
+        found = pattern_tables.entry_points(self.files, self.languages).selectExpr("path", "language", "type", "name", "line_no as line", "cast(null as string) as framework")
+        if "config" not in self.languages:
+            return staged(found, "facts-entry-points")
         config = config_files.entry_points(self.files.where("language = 'config'")).selectExpr("path", "'config' as language", "type", "name", "line", "framework")
         return staged(found.unionByName(config), "facts-entry-points")
 
     @cached_property
     def imports(self) -> DataFrame:
-        found = pattern_tables.imports(self.files).selectExpr("path", "language", "name")
+        found = pattern_tables.imports(self.files, self.languages).selectExpr("path", "language", "name")
+        if "config" not in self.languages:
+            return staged(found, "facts-imports")
         config = config_files.imports(self.files.where("language = 'config'")).selectExpr("path", "'config' as language", "name")
         return staged(found.unionByName(config), "facts-imports")
 
@@ -206,12 +232,13 @@ def health_of(facts: Facts) -> DataFrame:
 
 def preview(files: DataFrame, depth: str = "deep", commits: DataFrame | None = None, facts: Facts | None = None) -> DataFrame:
     """(section, turn, line): folders alone for quick, files and their links for normal, calls and patterns too for deep."""
+    facts = facts or (Facts(files) if depth != "quick" else None)
+    files = facts.every if facts else files
     code = "language is not null and language not in ('generic', 'image', 'text')"
     tops = files.selectExpr("if(path like '%/%', split_part(path, '/', 1), '(root)') as name", "size", f"cast({code} as int) as code").groupBy("name").agg(F.count("*").alias("n_files"), F.sum("code").alias("n_code"), F.sum("size").alias("size"))
     parts = [("FOLDERS", report.preview_lines(tops, paths.extensions(files)))]
     if depth == "quick":
         return report.architecture_lines(parts)
-    facts = facts or Facts(files)
     ages = facts.files.selectExpr("path", "coalesce((max(mtime) over () - mtime) / 86400, 0) as age", "size")
     kinds = ranking.first_by_archetype(ranking.archetypes(ages.join(facts.file_nodes.select("path", F.col("n_importers").alias("importers")), "path")).join(ages, "path").join(facts.file_nodes.select("path", F.col("n_importers").alias("importers")), "path"))
     parts.append(("FILE ARCHETYPES", report.numbered(kinds, "archetype, rank", f"concat(archetype, ': ', path, '  ', {views.age_label('age')}, '  ', {views.size_label('size')})")))
