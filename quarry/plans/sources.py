@@ -444,6 +444,13 @@ def key_dependencies(spark, d):
     return report.key_dependencies(graphs.file_centrality(edges), edges)
 
 
+@query("WITH c AS (SELECT event_type AS path, count(DISTINCT user_id || ':' || CAST(ts AS DATE)) AS churn FROM events GROUP BY 1), f AS (SELECT DISTINCT event_type AS path FROM events UNION SELECT r_name FROM region) SELECT f.path, c.churn FROM f LEFT JOIN c USING (path)")
+def churn_labels(spark, d):
+    commits = read_table(spark, d, "events").selectExpr("concat(user_id, ':', date(ts)) as commit_id", "ts", "event_type as path")
+    files = commits.select("path").unionByName(read_table(spark, d, "region").selectExpr("r_name as path")).distinct()
+    return nodes.with_churn(files, changes.churn(commits))
+
+
 @planted
 def important_files(spark, d):
     facts = facts_of(spark)

@@ -7,6 +7,7 @@ for, and staged; the functions below it answer one question each, as a table of
 from __future__ import annotations
 
 from collections.abc import Collection
+from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -68,6 +69,23 @@ class Facts:
         """Those that the files have: two dozen at most."""
         return {r["language"] for r in self.files.where("language is not null").select("language").distinct().collect()}
 
+    def prepare(self) -> Facts:
+        """Work all tables out, those that don't need one another side by side: small trees are all waiting."""
+        self.languages  # noqa: B018 (asked for by all)
+        steps = [["definitions", "calls", "entry_points", "imports", "clusters"], ["edges", "call_nodes", "bags"], ["file_nodes", "rules"]]
+        with ThreadPoolExecutor(5) as pool:
+            for names in steps:  # a step needs no more than the steps before it
+                list(pool.map(lambda n: getattr(self, n), names))
+        return self
+
+    @cached_property
+    def bags(self) -> DataFrame:
+        return staged(consensus.usage(self.definitions.select("file", "name"), self.calls), "consensus-bags")
+
+    @cached_property
+    def rules(self) -> DataFrame:
+        return staged(consensus.candidates(self.bags), "consensus-rules")
+
     @cached_property
     def nodes(self) -> DataFrame:
         return staged(parsed(self.files, self.languages), "facts-nodes")
@@ -120,11 +138,10 @@ class Facts:
 
     @cached_property
     def clusters(self) -> DataFrame:
-        return staged(self.files.selectExpr("path", f"{rules.cluster('language', 'path', 'content')} as cluster"), "facts-clusters")
+        return staged(self.files.selectExpr("path", f"{rules.cluster('language', 'path', 'content', self.languages)} as cluster"), "facts-clusters")
 
     def findings(self, top: int = consensus.TOP, suspects: DataFrame | None = None) -> DataFrame:
-        bags = staged(consensus.usage(self.definitions.select("file", "name"), self.calls), "consensus-bags")
-        every = staged(consensus.candidates(bags), "consensus-rules")
+        bags, every = self.bags, self.rules
         if suspects is None:
             held = consensus.audit(every)
             sites = consensus.same_role(consensus.missing_sites(held, bags), held, bags, self.clusters)
@@ -233,6 +250,8 @@ def health_of(facts: Facts) -> DataFrame:
 def preview(files: DataFrame, depth: str = "deep", commits: DataFrame | None = None, facts: Facts | None = None) -> DataFrame:
     """(section, turn, line): folders alone for quick, files and their links for normal, calls and patterns too for deep."""
     facts = facts or (Facts(files) if depth != "quick" else None)
+    if facts:
+        facts.prepare()
     files = facts.every if facts else files
     code = "language is not null and language not in ('generic', 'image', 'text')"
     tops = files.selectExpr("if(path like '%/%', split_part(path, '/', 1), '(root)') as name", "size", f"cast({code} as int) as code").groupBy("name").agg(F.count("*").alias("n_files"), F.sum("code").alias("n_code"), F.sum("size").alias("size"))
@@ -247,7 +266,7 @@ def preview(files: DataFrame, depth: str = "deep", commits: DataFrame | None = N
     parts.append(("CORE FILES (by centrality)", report.numbered(report.core_files(facts.file_nodes), "centrality desc, path", "concat(path, ': imports ', n_imports, ', used by ', n_importers, ' files')")))
     parts.append(("ARCHITECTURE", report.numbered(report.clusters(facts.clusters), "cluster", "concat(cluster, ': ', n_files, ' files: ', first_files)")))
     parts.append(("KEY DEPENDENCIES", report.numbered(report.key_dependencies(facts.file_nodes, facts.edges), "path", "concat(path, ' imports ', imported, if(hidden > 0, concat(', +', hidden), ''))")))
-    hot = graphs.hot(facts.call_nodes)
+    hot = staged(graphs.hot(facts.call_nodes), "hot")
     if depth == "deep":
         parts.append(("HOT FUNCTIONS (most called)", report.numbered(hot, "round(centrality, 6) desc, fqn", "concat(split_part(fqn, ':', 2), ': called by ', n_callers, ', calls ', n_callees, ' @', split_part(fqn, ':', 1))")))
         parts.append(("PEER DIVERGENCE", consensus.divergence_lines(facts.findings(5))))
@@ -256,7 +275,9 @@ def preview(files: DataFrame, depth: str = "deep", commits: DataFrame | None = N
         recent = changes.active_window(commits)
         parts.append(("ACTIVITY", report.activity_lines(changes.churn(recent), changes.co_change(recent))))
     parts.append(("NEXT STEPS", report.recommended(ages, facts.file_nodes, hot)))
-    return report.architecture_lines(parts)
+    with ThreadPoolExecutor(6) as pool:  # each part is a few lines, and most of its time is waiting
+        made = list(pool.map(lambda p: (p[0], staged(p[1].coalesce(1), "report-part")), parts))
+    return report.architecture_lines(made)
 
 
 def with_chain(nodes_: DataFrame) -> DataFrame:
