@@ -351,6 +351,9 @@ EXPECTED: dict[str, tuple[str, list[tuple]]] = {
             ('docs/notes.txt', 4, 2, 4, 1, 'paragraph', 'paragraph (10-10)', 10, 10, None, '', None, None, None, 'lines'),
             ('docs/notes.txt', 5, 2, 5, 1, 'paragraph', 'paragraph (12-12)', 12, 12, None, '', None, None, None, 'lines'),
             ('docs/setup.md', 0, -1, 0, 0, 'heading-1', 'Setup', 1, 5, None, '', None, None, None, 'lines'),
+            ('templates/used.html', 0, -1, 0, 0, 'form', 'form', 1, 1, None, '', None, None, None, 'markup'),
+            ('templates/used.html', 1, -1, 1, 0, 'list', 'ul', 2, 2, None, '', None, None, None, 'markup'),
+            ('templates/used.html', 2, -1, 2, 0, 'table', 'table', 3, 3, None, '', None, None, None, 'markup'),
             ('tests/test_util.py', 0, -1, 0, 0, 'imports', 'imports', 1, 1, None, '', None, None, None, 'syntax'),
             ('tests/test_util.py', 1, -1, 1, 0, 'function', 'test_helper', 4, 5, '()', '', None, 2, 0, 'syntax'),
             ('vendor/lib/x.py', 0, -1, 0, 0, 'function', 'vendored', 1, 2, '()', '', None, 2, 0, 'syntax'),
@@ -623,6 +626,7 @@ EXPECTED: dict[str, tuple[str, list[tuple]]] = {
             ('style/app.scss', 2, 2),
             ('style/base.css', 1, 1),
             ('style/main.css', 3, 8),
+            ('templates/used.html', 1, 3),
             ('tests/test_util.py', 1, 5),
             ('vendor/lib/x.py', 1, 2),
             ('web/lib.ts', 1, 2),
@@ -1059,4 +1063,21 @@ EXPECTED: dict[str, tuple[str, list[tuple]]] = {
             (4, 'drift: helper calls clean but (unlike peers) not check'),
         ],
     ),
+    "page_elements": (
+        "path VARCHAR, source VARCHAR, node_id INTEGER, type VARCHAR, name VARCHAR, start_line INTEGER, end_line INTEGER, parent INTEGER",
+        [
+            ('p.html', 'html', 0, 'doctype', 'doctype html', 1, 1, None),
+            ('p.html', 'html', 1, 'section', 'main#top', 2, 11, None),
+            ('p.html', 'html', 2, 'heading', 'h1: One two', 3, 3, None),
+            ('p.html', 'html', 3, 'list', 'ul', 5, 9, 0),
+            ('p.html', 'html', 4, 'form', 'form', 12, 12, None),
+            ('p.html', 'template', 0, 'block', 'block body', 4, 10, None),
+            ('p.html', 'template', 1, 'block', 'for x in xs', 6, 8, 0),
+            ('p.html', 'template', 2, 'expression', 'x', 7, 7, 1),
+            ('templates/dead.html', 'template', 0, 'block', 'block body', 1, 1, None),
+            ('templates/used.html', 'html', 0, 'form', 'form', 1, 1, None),
+            ('templates/used.html', 'html', 1, 'list', 'ul', 2, 2, None),
+            ('templates/used.html', 'html', 2, 'table', 'table', 3, 3, None),
+        ],
+    ),
 }

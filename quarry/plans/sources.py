@@ -578,6 +578,13 @@ def template_rows(spark, d):
     return markup.template_nodes(markup.samples(spark))
 
 
+@planted
+def page_elements(spark, d):
+    """Elements and template blocks of pages, each element with the block around it."""
+    pages = spark.createDataFrame([("p.html", "<!doctype html>\n<main id='top'>\n<h1>One <b>two</b></h1>\n{% block body %}\n<ul>\n{% for x in xs %}\n<li id='{{ x }}'>a</li>\n{% endfor %}\n</ul>\n{% endblock %}\n</main>\n<form><input>")], "path string, content string")
+    return markup.with_templates(pages.unionByName(corpus.files(spark).where("language = 'html'").select("path", "content")))
+
+
 @planted
 def type_references(spark, d):
     names = spark.createDataFrame([("a.swift", "swift", "View"), ("a.swift", "swift", "Gone"), ("b.swift", "swift", "View")], "path string, language string, name string")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import config_files, pattern_tables, python_source, scoring
-from quarry.operators import budget, changes, condense, consensus, graphs, health, imports, nodes, paths, ranking, report, rules, text, views
+from quarry.operators import budget, changes, condense, consensus, graphs, health, imports, markup, nodes, paths, ranking, report, rules, text, views
 from quarry.scratch import staged
 from quarry.sources import history, tree
 
@@ -30,11 +30,11 @@ def _shaped(rows: DataFrame, tier: str) -> DataFrame:
 
 
 def parsed(files: DataFrame, languages: Collection[str] | None = None) -> DataFrame:
-    """Nodes of all files: Python by its syntax tree, Markdown and text by their lines, other languages by patterns; a Python file
+    """Nodes of all files: Python by its syntax tree, HTML by its elements, Markdown and text by their lines, other languages by patterns; a Python file
     with an error by patterns too, its names marked.  languages: those that the files have, if known."""
     has = lambda *names: languages is None or any(n in languages for n in names)
     parts = []
-    flat = files.where("language not in ('python', 'markdown', 'text')")
+    flat = files.where("language not in ('python', 'markdown', 'text', 'html')")
     if has("python"):
         python = staged(python_source.nodes(files.where("language = 'python'")), "python-nodes")
         broken = python.where("type = 'parse-error'").select("path")
@@ -44,6 +44,8 @@ def parsed(files: DataFrame, languages: Collection[str] | None = None) -> DataFr
         found = pattern_tables.structures(flat, languages)
         one = found.selectExpr("path", "type", "if(language = 'python', concat(name, ' (fallback)'), name) as name", "line_no as start_line", "line_no as end_line", "row_number() over (partition by path order by line_no, type, name) - 1 as node_id").selectExpr("*", "-1 as parent_id", "node_id as last_desc_id", "0 as depth")
         parts.append(_shaped(one, "pattern"))
+    if has("html"):
+        parts.append(_shaped(markup.elements(files.where("language = 'html'")), "markup"))
     if has("markdown"):
         marked = nodes.headings(text.lines(files.where("language = 'markdown'"))).withColumn("depth", F.expr("if(type = 'code-block', if(parent_id < 0, 0, 1), cast(right(type, 1) as int) - 1)"))
         parts.append(_shaped(marked, "lines"))
@@ -241,7 +243,7 @@ def directory_view(facts: Facts) -> DataFrame:
 
 def health_of(facts: Facts) -> DataFrame:
     """(turn, line) on definitions that nothing mentions and equal blocks."""
-    named = health.flaggable(facts.nodes.where("tier <> 'lines' and name not like '% (fallback)'"), facts.entry_points.select("name").where("name is not null"))
+    named = health.flaggable(facts.nodes.where("tier in ('syntax', 'pattern') and name not like '% (fallback)'"), facts.entry_points.select("name").where("name is not null"))
     alone = text.unreferenced(named.selectExpr("path", "name", "start_line"), text.word_counts(facts.files))
     blocks = _content(facts).where("type in ('function', 'method', 'class')").selectExpr("path", "start_line", "array_join(slice(split(content, '\\n'), start_line, end_line - start_line + 1), '\\n') as body")
     return report.health_lines(alone, text.duplicate_blocks(blocks))
