@@ -33,7 +33,7 @@ from quarry.llm.bpe import byte_names, default_path
 from quarry.llm.textkernel import releasing
 
 #: Characters that one pre-tokenisation takes at least, pre-tokens that are kept, and bytes of a kept one at most.
-PIECE, KEPT, KEPT_BYTES = 1 << 16, 1 << 17, 32
+PIECE, KEPT, KEPT_BYTES = 1 << 16, 1 << 18, 32
 #: Symbols from which the tree stands in packed arrays.
 PACKED = 4096
 #: Bytes of results that go into one batch.
