@@ -42,22 +42,28 @@ _CUT = regex.compile(r"(?<=\S) (?=\S)")
 
 
 class _Words(dict):
-    """Ids of pre-tokens as bytes; what is missing is worked out."""
+    """Ids of pre-tokens as bytes; what is missing is worked out.  When it is full, all of it becomes the older half, from
+    which what is still in use comes back."""
 
     def __init__(self, codec: Codec):
         super().__init__()
-        self.codec = codec
+        self.codec, self.older = codec, {}
 
     def __missing__(self, word: str) -> bytes:
-        raw = word.encode()
-        out = array("I", self.codec.merged([self.codec.first[b] for b in raw]))
-        if sys.byteorder == "big":
-            out.byteswap()
-        if len(raw) <= KEPT_BYTES:
-            if len(self) >= KEPT:
-                self.clear()
-            self[word] = out.tobytes()
-        return out.tobytes()
+        made = self.older.get(word)
+        if made is None:
+            raw = word.encode()
+            out = array("I", self.codec.merged([self.codec.first[b] for b in raw]))
+            if sys.byteorder == "big":
+                out.byteswap()
+            made = out.tobytes()
+            if len(raw) > KEPT_BYTES:
+                return made
+        if len(self) >= KEPT:
+            self.older = dict(self)
+            self.clear()
+        self[word] = made
+        return made
 
 
 class Codec:

@@ -95,7 +95,8 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY body) AS keep_id, count(*) OVER (P
 FROM n
 """,
     "op8_mixture": r"""
-WITH s AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+WITH s AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, sha256(coalesce(text, '')) AS digest,
+           row_number() OVER (PARTITION BY doc_id, source, coalesce(text, '')) - 1 AS number FROM documents),
 t AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM s GROUP BY source),
 w AS (SELECT source, source_size, CAST(CASE (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS DOUBLE) AS weight FROM t),
 f AS (SELECT *, 2.0::DOUBLE * source_size AS most, 1.5::DOUBLE * CAST(sum(source_size) OVER () AS DOUBLE) AS total, sum(weight) OVER () AS weights FROM w),
@@ -105,10 +106,10 @@ g AS (SELECT *, row_number() OVER (ORDER BY most / weight, source NULLS LAST) AS
 o AS (SELECT *, (total - most_before) / (weights - weight_before) AS own FROM g),
 l AS (SELECT own FROM o WHERE own * weight <= most ORDER BY rank LIMIT 1),
 r AS (SELECT source, source_size, least(most, coalesce((SELECT own FROM l) * weight, most)) AS target FROM o),
-c AS (SELECT s.doc_id, s.size, r.source_size, r.target, CASE WHEN r.source_size > 0 THEN r.target / r.source_size ELSE 0 END AS rate
+c AS (SELECT s.doc_id, s.size, s.digest, s.number, r.source_size, r.target, CASE WHEN r.source_size > 0 THEN r.target / r.source_size ELSE 0 END AS rate
       FROM s JOIN r ON s.source IS NOT DISTINCT FROM r.source)
 SELECT doc_id, size, source_size, target,
-       size * (CAST(floor(rate) AS BIGINT) + CASE WHEN CAST(('0x' || substr(sha256(coalesce(CAST(doc_id AS VARCHAR), '') || ':mix-1'), 1, 13))::BIGINT AS DOUBLE) / 4503599627370496.0::DOUBLE < rate - floor(rate) THEN 1 ELSE 0 END) AS taken
+       size * (CAST(floor(rate) AS BIGINT) + CASE WHEN CAST(('0x' || substr(sha256(concat_ws(':', coalesce(CAST(doc_id AS VARCHAR), ''), digest, number, 'mix-1')), 1, 13))::BIGINT AS DOUBLE) / 4503599627370496.0::DOUBLE < rate - floor(rate) THEN 1 ELSE 0 END) AS taken
 FROM c
 """,
     "op12_filter_audit": r"""

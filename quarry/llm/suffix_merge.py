@@ -22,8 +22,10 @@ brings every pair of equal windows together with a small share of all suffixes.
 
 More than ``FAN_IN`` runs are merged in several rounds: sets of runs first, where a string that many runs hold
 becomes one row, then what these leave.  A bucket of a round gets as many rows of one string as it has
-sets of different context.  Groups and buckets grow with the input, and a group sends a block to each
-bucket that it has anchors for; larger groups (``group_bytes``) make fewer blocks and need more memory.
+sets of different context.  A group sends a row to each bucket that it has anchors for, so groups grow with the
+input: ``MOST_GROUPS`` of them, of ``GROUP_MOST`` bytes at most; a task takes several where there are more groups
+or buckets than ``MOST_TASKS``.  A task needs some ten times the bytes of a group.  Anchors that only repeat the
+one before, as in padding, are folded into one row with a reach, so a long periodic text has few.
 
 Defined results: null text is empty; a document under 50 bytes is left whole; a text of any length is
 taken whole, in a group of its own if need be; repeated rows with one doc_id do not cover one another;
@@ -43,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.textkernel import MIX, U64, mix64
-from quarry.scratch import staged
+from quarry.scratch import input_bytes, staged
 
 LENGTH, GRAM = 50, 24
 SPAN = LENGTH - GRAM  # an anchor lies 0..SPAN bytes after its window's start
@@ -51,6 +53,8 @@ WORDS = 7  # of 8 bytes: LENGTH bytes of suffix, padded
 FINGER_BITS = 48
 #: Bytes of text in a group, fingerprint buckets for each so many groups, runs that are merged at once.
 GROUP_BYTES, GROUPS_A_BUCKET, FAN_IN = 4 << 20, 4, 512
+#: Groups grow with the input, so that there are about so many, up to this size; and tasks of a shuffle at most.
+MOST_GROUPS, GROUP_MOST, MOST_TASKS = 20_000, 256 << 20, 16_384
 CHUNK = 1 << 17
 NO_ID = np.iinfo(np.int64).max
 RUNS = "bucket long, src long, grp long, n long, tail long, meta binary, text binary"
@@ -88,10 +92,27 @@ def words_at(raw: np.ndarray) -> np.ndarray:
     return out
 
 
-def window_anchors(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchors of all windows: position, first window, last window, gram hash.
+def _folded(part: np.ndarray, a: np.ndarray, first: np.ndarray, last: np.ndarray, gram: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Heads of runs of anchors whose windows hold the same bytes as those of the anchor before, at most a window on, in one
+    document; and how far each run's last anchor is from its head."""
+    step = np.diff(a)
+    same = (gram[1:] == gram[:-1]) & (step <= LENGTH) & (a[1:] - first[1:] == a[:-1] - first[:-1]) & (last[1:] - a[1:] == last[:-1] - a[:-1]) & (doc[1:] == doc[:-1])
+    maybe, column = np.flatnonzero(same), np.arange(SPAN + LENGTH)[None]
+    for i in range(0, len(maybe), 1 << 14):
+        k = maybe[i : i + (1 << 14)]
+        inside = column < (last[k] + LENGTH - first[k])[:, None]
+        here, there = (part[np.minimum(first[x][:, None] + column, len(part) - 1)] for x in (k, k + 1))
+        same[k] = ((here == there) | ~inside).all(axis=1)
+    head = np.flatnonzero(np.concatenate([[True], ~same]))
+    return head, a[np.concatenate([head[1:], [len(a)]]) - 1] - a[head]
 
-    ``ends`` holds for each byte the end of its document.  A chunk border may part an anchor's windows.
+
+def window_anchors(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors of all windows: position, first window, last window, gram hash, reach.
+
+    Anchors that only repeat the one before, as in a text of one letter, are folded into it: ``reach`` is
+    how far they go on.  All is done in chunks, so that what a text needs beyond its bytes are its distinct
+    anchors.  ``offsets`` bound the documents.  A chunk border may part an anchor's windows.
     """
     found: list[tuple[np.ndarray, ...]] = []
     for c in range(0, max(0, len(raw) - LENGTH + 1), CHUNK):
@@ -105,16 +126,20 @@ def window_anchors(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nd
         for d in (1, 2, 4, 8, SPAN + 1 - 16):
             less = v[d:] < v[:-d]
             v, at = np.where(less, v[d:], v[:-d]), np.where(less, at[d:], at[:-d])
-        start = np.flatnonzero(np.arange(c + LENGTH, c + LENGTH + n) <= ends[c : c + n])
+        doc = np.searchsorted(offsets, np.arange(c, c + n), "right")
+        start = np.flatnonzero(np.arange(c + LENGTH, c + LENGTH + n) <= offsets[doc])
         if not len(start):
             continue
-        a = at[start]
+        a = at[start].astype(np.int64)
         head = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (start[1:] != start[:-1] + 1)]))
         tail = np.concatenate([head[1:], [len(start)]]) - 1
-        found.append((a[head].astype(np.int64) + c, start[head] + c, start[tail] + c, h[a[head]]))
+        a, first, last = a[head], start[head], start[tail]
+        kept, reach = _folded(part, a, first, last, h[a], doc[first])
+        a, first, last = a[kept], first[kept], last[kept]
+        found.append((a + c, first + c, last + c, h[a], reach))
     if not found:
         z = np.zeros(0, np.int64)
-        return z, z, z, np.zeros(0, U64)
+        return z, z, z, np.zeros(0, U64), z
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
@@ -129,9 +154,8 @@ class Group:
         self.keys = np.array([i for (i, _), _ in rows], np.int64)
         self.offsets = np.concatenate([[0], np.cumsum([len(t) for _, t in rows])]).astype(np.int64)
         self.raw = np.frombuffer(b"".join(t for _, t in rows), np.uint8)
-        sizes = np.diff(self.offsets)
         with np.errstate(over="ignore"):
-            self.at, self.first, self.last, grams = window_anchors(self.raw, np.repeat(self.offsets[1:], sizes))
+            self.at, self.first, self.last, grams, self.reach = window_anchors(self.raw, self.offsets)
             # anchors have small hashes; mixed once more they fill all buckets alike
             self.finger = mix64(grams ^ MIX[4]) >> U64(64 - FINGER_BITS)
         self.key = self.keys[np.searchsorted(self.offsets, self.at, "right") - 1] if len(self.at) else np.zeros(0, np.int64)
@@ -241,7 +265,7 @@ def _words(x: np.ndarray) -> np.ndarray:
 
 
 def _front_coded(own: Group, pick: np.ndarray, grp: int, buckets: int) -> list[tuple]:
-    at, first, last, key, finger = own.at[pick], own.first[pick], own.last[pick], own.key[pick], own.finger[pick]
+    at, first, last, key, finger, reach = (x[pick] for x in (own.at, own.first, own.last, own.key, own.finger, own.reach))
     lsize, rsize = at - first, last + LENGTH - at
     suffix, left = _suffixes(own.raw, at, rsize), _lefts(own.raw, at, lsize)
     every = np.concatenate([_words(suffix), _words(left), lsize[:, None].astype(U64), rsize[:, None].astype(U64)], axis=1)
@@ -251,25 +275,25 @@ def _front_coded(own: Group, pick: np.ndarray, grp: int, buckets: int) -> list[t
     settled = order[key[order] > least]
     rows = []
     if len(settled):
-        rows.append((grp % buckets, grp, grp, len(settled), 0, _squeeze(first[settled].astype(np.int32), (last[settled] + LENGTH).astype(np.int32)), None))
+        rows.append((grp % buckets, grp, grp, len(settled), 0, _squeeze(first[settled].astype(np.int32), (last[settled] + LENGTH + reach[settled]).astype(np.int32)), None))
     order = order[key[order] == least]
     home = bucket_of(finger[order], buckets)
     by = np.argsort(home, kind="stable")
     order, home = order[by], home[by]
     for i, j in _stretches(home):
         o = order[i:j]
-        rows.append(_encoded(int(home[i]), grp, suffix[o], left[o], lsize[o], rsize[o], at[o], own.key[pick][o], np.full(len(o), grp, np.int64)))
+        rows.append(_encoded(int(home[i]), grp, suffix[o], left[o], lsize[o], rsize[o], at[o], reach[o], key[o], np.full(len(o), grp, np.int64)))
     return rows
 
 
-def _encoded(bucket: int, src: int, s: np.ndarray, l: np.ndarray, ls: np.ndarray, rs: np.ndarray, at: np.ndarray, key: np.ndarray, grp: np.ndarray) -> tuple:  # noqa: E741
+def _encoded(bucket: int, src: int, s: np.ndarray, l: np.ndarray, ls: np.ndarray, rs: np.ndarray, at: np.ndarray, reach: np.ndarray, key: np.ndarray, grp: np.ndarray) -> tuple:  # noqa: E741
     """A run in order of its suffixes, front-coded, as a row of RUNS."""
     same = s[1:] == s[:-1]
     common = np.concatenate([[0], np.where(same.all(axis=1), 8 * WORDS, same.argmin(axis=1))])
     column = np.arange(8 * WORDS)[None]
     tail = s[(column >= common[:, None]) & (column < rs[:, None])]
     side = l[np.arange(SPAN)[None] >= SPAN - ls[:, None]]
-    meta = _squeeze(common.astype(np.uint8), ls.astype(np.uint8), rs.astype(np.uint8), at.astype(np.int32), key, grp)
+    meta = _squeeze(common.astype(np.uint8), ls.astype(np.uint8), rs.astype(np.uint8), at.astype(np.int32), reach.astype(np.int32), key, grp)
     return bucket, src, None, len(s), len(tail), meta, zstandard.ZstdCompressor(level=3).compress(tail.tobytes() + side.tobytes())
 
 
@@ -277,7 +301,7 @@ class Run:
     """A decoded run: suffixes, left contexts and the offset-value code of each row to the one before."""
 
     def __init__(self, n: int, tail: int, meta: bytes, text: bytes):
-        self.common, self.lsize, self.rsize, self.at, self.key, self.grp = _expand(meta, n, "u1", "u1", "u1", "i4", "i8", "i8")
+        self.common, self.lsize, self.rsize, self.at, self.reach, self.key, self.grp = _expand(meta, n, "u1", "u1", "u1", "i4", "i4", "i8", "i8")
         raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(text), np.uint8)
         column = np.arange(8 * WORDS)[None]
         own = column >= self.common[:, None]
@@ -369,7 +393,7 @@ class Merged:
         order = np.empty(len(out), np.int64)  # of the runs' rows, one run after the other
         order[np.argsort(np.array(out, np.int64), kind="stable")] = np.arange(len(out))
         self.suffix, self.left = (np.concatenate([getattr(r, x) for r in runs])[order] for x in ("suffix", "left"))
-        self.at, self.key, self.grp, self.lsize, self.rsize = (np.concatenate([getattr(r, x) for r in runs])[order].astype(np.int64) for x in ("at", "key", "grp", "lsize", "rsize"))
+        self.at, self.reach, self.key, self.grp, self.lsize, self.rsize = (np.concatenate([getattr(r, x) for r in runs])[order].astype(np.int64) for x in ("at", "reach", "key", "grp", "lsize", "rsize"))
         # a code of k words to come: the words before are common, and of the next one the leading bytes
         known = np.array([WORDS - (m >> 64) if m else WORDS for m in marks], np.int64)
         known[:1] = 0
@@ -386,7 +410,7 @@ class Merged:
         """Keep ``rows``, in order; a common prefix is the least of those passed over."""
         self.common = np.minimum.reduceat(self.common[: rows[-1] + 1], np.concatenate([[0], rows[:-1] + 1])) if len(rows) else self.common[:0]
         self.common[:1] = 0
-        for x in ("suffix", "left", "at", "key", "grp", "lsize", "rsize"):
+        for x in ("suffix", "left", "at", "reach", "key", "grp", "lsize", "rsize"):
             setattr(self, x, getattr(self, x)[rows])
 
 
@@ -430,7 +454,7 @@ def _covered(m: Merged, final: bool) -> list[tuple[np.ndarray, np.ndarray, np.nd
     whole = ((np.cumsum(m.common < 8 * WORDS) * (len(order) + 1) + _classes(order, common, SPAN)) * (SPAN + 1) + m.lsize) * 128 + m.rsize
     least = _least(whole, m.key)
     gone = np.flatnonzero(m.key > least)
-    found.append((m.grp[gone], m.at[gone] - m.lsize[gone], m.at[gone] + m.rsize[gone]))
+    found.append((m.grp[gone], m.at[gone] - m.lsize[gone], m.at[gone] + m.rsize[gone] + m.reach[gone]))
     m.take(np.flatnonzero(m.key == least))
     if final and len(m.key):
         order, common = _left_sides(m.left)
@@ -439,7 +463,7 @@ def _covered(m: Merged, final: bool) -> list[tuple[np.ndarray, np.ndarray, np.nd
             if len(ok):
                 label = (np.cumsum(m.common < LENGTH - o) * (len(order) + 1) + _classes(order, common, o))[ok]
                 hit = ok[m.key[ok] > _least(label, m.key[ok])]
-                found.append((m.grp[hit], m.at[hit] - o, m.at[hit] - o + LENGTH))
+                found.append((m.grp[hit], m.at[hit] - o, m.at[hit] - o + LENGTH + m.reach[hit]))
     return found
 
 
@@ -474,7 +498,7 @@ def _merger(final: bool):
                     b, e = _union(begin[i:j], end[i:j])
                     rows.append((bucket, src, int(grp[i]), len(b), 0, _squeeze(b.astype(np.int32), e.astype(np.int32)), None))
             if not final and len(m.key):
-                rows.append(_encoded(bucket, src, m.suffix, m.left, m.lsize, m.rsize, m.at, m.key, m.grp))
+                rows.append(_encoded(bucket, src, m.suffix, m.left, m.lsize, m.rsize, m.at, m.reach, m.key, m.grp))
         return _table(rows, RUNS)
 
     return run
@@ -486,12 +510,13 @@ def _remains(left: pa.Table, right: pa.Table) -> pa.Table:
         texts = [zstandard.ZstdDecompressor().decompress(x) for x in left.column("packed").to_pylist()]
         order = sorted(((NO_ID if i is None else i, i is None), t) for i, t in zip(left.column("doc_id").to_pylist(), texts, strict=True))
         raw = np.frombuffer(b"".join(t for _, t in order), np.uint8)
-        change = np.zeros(len(raw) + 1, np.int32)
-        for n, blob in zip(right.column("n").to_pylist(), right.column("spans").to_pylist(), strict=True):
-            begin, finish = _expand(blob, n, "i4", "i4")
-            np.add.at(change, begin, 1)
-            np.add.at(change, finish, -1)
-        gone = np.cumsum(change[:-1]) > 0
+        gone = np.zeros(len(raw), bool)
+        spans = [_expand(blob, n, "i4", "i4") for n, blob in zip(right.column("n").to_pylist(), right.column("spans").to_pylist(), strict=True)]
+        if spans:
+            begin, finish = (np.concatenate(x) for x in zip(*spans, strict=True))
+            order_ = np.argsort(begin, kind="stable")
+            for b, e in zip(*(x.tolist() for x in _union(begin[order_], finish[order_])), strict=True):
+                gone[b:e] = True
         i = 0
         for (key, missing), t in order:
             g = gone[i : i + len(t)]
@@ -503,19 +528,22 @@ def _remains(left: pa.Table, right: pa.Table) -> pa.Table:
     return _table(rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def remove_repeats(docs: DataFrame, group_bytes: int = GROUP_BYTES, fan_in: int = FAN_IN) -> DataFrame:
+def remove_repeats(docs: DataFrame, group_bytes: int | None = None, fan_in: int = FAN_IN) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    if group_bytes is None:
+        group_bytes = min(GROUP_MOST, max(GROUP_BYTES, 2 * input_bytes(docs) // MOST_GROUPS)) if input_bytes(docs) < 1 << 55 else GROUP_BYTES
+    dealt = lambda df, parts, *keys: df.repartition(max(1, min(parts, MOST_TASKS)), *keys)
     # staged, so that a group holds the same texts whenever it is read
     packed = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_packer(group_bytes), "grp long, doc_id long, size long, packed binary"), "suffix-groups", codec="uncompressed")
     size, count = packed.agg(F.sum("size"), F.count_distinct("grp")).first()
     buckets = max(1, -(-(size or 0) // group_bytes))
     fingers = max(1, buckets // GROUPS_A_BUCKET)
-    groups = packed.drop("size").repartition(max(1, count), "grp").groupBy("grp")
+    groups = dealt(packed.drop("size"), count, "grp").groupBy("grp")
     prints = groups.applyInArrow(_fingerprints(fingers), "bucket long, grp long, n long, blob binary")
-    known = prints.repartition(fingers, "bucket").groupBy("bucket").applyInArrow(_repeated, "grp long, bucket long, n long, bits binary")
+    known = dealt(prints, fingers, "bucket").groupBy("bucket").applyInArrow(_repeated, "grp long, bucket long, n long, bits binary")
     runs = groups.cogroup(known.groupBy("grp")).applyInArrow(_runs(fingers, buckets), RUNS)
     while count > fan_in:
         count = -(-count // fan_in)
-        runs = runs.withColumn("src", F.expr(f"pmod(xxhash64(src), {count})")).repartition(buckets, "bucket", "src").groupBy("bucket", "src").applyInArrow(_merger(False), RUNS)
-    spans = runs.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_merger(True), RUNS).select("grp", "n", F.col("meta").alias("spans"))
+        runs = dealt(runs.withColumn("src", F.expr(f"pmod(xxhash64(src), {count})")), buckets, "bucket", "src").groupBy("bucket", "src").applyInArrow(_merger(False), RUNS)
+    spans = dealt(runs, buckets, "bucket").groupBy("bucket").applyInArrow(_merger(True), RUNS).select("grp", "n", F.col("meta").alias("spans"))
     return groups.cogroup(spans.groupBy("grp")).applyInArrow(_remains, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -8,8 +8,11 @@ never there (the shared folder must rename a folder in one step, as HDFS and loc
 
 Totals are maintained: a snapshot holds the sums of all batches that it has taken in and their ids.
 ``totals`` adds to it the few batches that have come since, and after ``FOLD_AFTER`` of them they are taken
-in by a new snapshot and their folders deleted, so neither reading nor listing grows with the history.
-One process folds at a time; readers see the last whole snapshot.
+in by a new snapshot, so neither reading nor listing grows with the history.  A fold and a reading each look at
+the folder once, and work with the snapshot and the batches seen then, so a commit meanwhile is in neither
+the sums nor the ids.  What a fold has taken in stays until the next fold, so totals that were asked for before a
+fold can be read after it.  A batch carries its writer's mark, and so do the ids, which tells a writer whether
+the batch that was taken in under its id was its own.  One process folds at a time.
 
 Defined results: a null text has no tokens but counts as a document, a text of any length is counted
 whole; null sources and languages are groups of their own; repeated rows count each; groups whose
@@ -36,6 +39,7 @@ WORDS_VERSION = "words-1"
 FOLD_AFTER = 16
 #: Rows up to which the query sends its table of marked documents to all executors.
 MOST_SENT = 300_000
+IDS = "batch_id string, writer string"
 DELTA = "source string, lang string, tokenizer_version string, n_docs long, n_tokens long"
 
 
@@ -91,19 +95,30 @@ class TokenLedger:
             return False
         return True
 
-    def _snapshot(self) -> tuple[int, DataFrame, DataFrame]:
-        """Number, sums and ids of the last snapshot."""
-        last = max(map(int, self._names("snapshot=")), default=0)
-        if not last:
-            return 0, self.spark.createDataFrame([], DELTA), self.spark.createDataFrame([], "batch_id string")
+    def _seen(self) -> tuple[int, DataFrame, DataFrame, list[str], list[str]]:
+        """From one look at the folder: the last snapshot's number, sums and ids, the batches that it does not hold, and what else
+        was there of batches and snapshots before it."""
+        names = self._names("")
+        last = max((int(n.removeprefix("snapshot=")) for n in names if n.startswith("snapshot=")), default=0)
         at = f"{self.root}/snapshot={last}"
-        return last, self.spark.read.schema(DELTA).parquet(f"{at}/sums"), self.spark.read.schema("batch_id string").parquet(f"{at}/ids")
+        sums = self.spark.read.schema(DELTA).parquet(f"{at}/sums") if last else self.spark.createDataFrame([], DELTA)
+        ids = self.spark.read.schema(IDS).parquet(f"{at}/ids") if last else self.spark.createDataFrame([], IDS)
+        batches = [n.removeprefix("batch=") for n in names if n.startswith("batch=")]
+        held = {r["batch_id"] for r in ids.where(F.col("batch_id").isin(batches)).collect()} if last and batches else set()
+        past = [f"batch={b}" for b in batches if b in held] + [n for n in names if n.startswith("snapshot=") and n != f"snapshot={last}"]
+        return last, sums, ids, [b for b in batches if b not in held], past
+
+    def _writer(self, batch_id: str) -> str:
+        path, fs = self._fs()
+        return next(s.getPath().getName() for s in fs.listStatus(path(f"{self.root}/batch={batch_id}")) if s.getPath().getName().startswith("by-"))
 
     def committed(self, batch_id: str) -> bool:
-        return batch_id in self._names("batch=") or self._folded(batch_id)
+        return batch_id in self._names("batch=") or self._folded(batch_id) is not None
 
-    def _folded(self, batch_id: str) -> bool:
-        return not self._snapshot()[2].where(F.col("batch_id") == batch_id).isEmpty()
+    def _folded(self, batch_id: str) -> str | None:
+        """The writer of the batch of this id that the last snapshot holds."""
+        found = self._seen()[2].where(F.col("batch_id") == batch_id).first()
+        return found and found["writer"]
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
         """Add a batch once; False if it was there already."""
@@ -115,38 +130,38 @@ class TokenLedger:
         counted = counted.mapInArrow(_counter(self.path), "source string, lang string, sign long, words long, bpe long")
         versions = F.array(F.struct(F.lit(WORDS_VERSION).alias("v"), F.col("words").alias("n")), F.struct(F.lit(tokenizer_version(self.path)).alias("v"), F.col("bpe").alias("n")))
         sums = counted.groupBy("source", "lang").agg(F.sum("sign").alias("docs"), F.sum(F.expr("sign * words")).alias("words"), F.sum(F.expr("sign * bpe")).alias("bpe"))
-        aside = f"{self.root}/.aside-{uuid.uuid4().hex}"
-        sums.select("source", "lang", "docs", F.explode(versions).alias("x")).select("source", "lang", F.col("x.v").alias("tokenizer_version"), F.col("docs").alias("n_docs"), F.col("x.n").alias("n_tokens")).write.parquet(aside)
+        mark = uuid.uuid4().hex
+        aside = f"{self.root}/.aside-{mark}"
+        sums.select("source", "lang", "docs", F.explode(versions).alias("x")).select("source", "lang", F.col("x.v").alias("tokenizer_version"), F.col("docs").alias("n_docs"), F.col("x.n").alias("n_tokens")).write.parquet(f"{aside}/sums")
+        path, fs = self._fs()
+        fs.mkdirs(path(f"{aside}/by-{mark}"))
         done = self._placed(aside, f"{self.root}/batch={batch_id}")
-        if done and self._folded(batch_id):  # meanwhile another one has come, and been taken in
+        if done and self._folded(batch_id) not in (None, f"by-{mark}"):  # meanwhile another one has come, been taken in and deleted
             delete(self.spark, f"{self.root}/batch={batch_id}")
             done = False
-        if len(self._names("batch=")) > FOLD_AFTER:
+        if len(self._seen()[3]) > FOLD_AFTER:
             self.fold()
         return done
 
-    def _since(self) -> list[str]:
-        """Batches that the snapshot does not hold."""
-        names = self._names("batch=")
-        held = {r["batch_id"] for r in self._snapshot()[2].where(F.col("batch_id").isin(names)).collect()} if names else set()
-        return [n for n in names if n not in held]
+    def _sums(self, sums: DataFrame, batches: list[str]) -> DataFrame:
+        if batches:
+            sums = sums.unionByName(self.spark.read.schema(DELTA).parquet(*(f"{self.root}/batch={b}/sums" for b in batches)))
+        return sums.groupBy("source", "lang", "tokenizer_version").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs <> 0 or n_tokens <> 0")
 
     def fold(self) -> None:
-        """Take all batches into a new snapshot."""
-        number, sums, ids = self._snapshot()
-        since = self._since()
+        """Take all batches seen now into a new snapshot; delete what the last one had replaced."""
+        number, sums, ids, since, past = self._seen()
         if not since:
             return
         aside = f"{self.root}/.aside-{uuid.uuid4().hex}"
-        self.totals().coalesce(1).write.parquet(f"{aside}/sums")
-        ids.union(self.spark.createDataFrame([(b,) for b in since], "batch_id string")).coalesce(1).write.parquet(f"{aside}/ids")
+        self._sums(sums, since).coalesce(1).write.parquet(f"{aside}/sums")
+        taken = self.spark.createDataFrame([(b, self._writer(b)) for b in since], IDS)
+        ids.unionByName(taken).coalesce(1).write.parquet(f"{aside}/ids")
         if self._placed(aside, f"{self.root}/snapshot={number + 1}"):
-            for name in [f"batch={b}" for b in since] + [f"snapshot={number}"] * (number > 0):
+            for name in past:
                 delete(self.spark, f"{self.root}/{name}")
 
     def totals(self) -> DataFrame:
-        """(source, lang, tokenizer_version, n_docs, n_tokens) over all committed batches."""
-        rows = self._snapshot()[1]
-        if paths := [f"{self.root}/batch={b}" for b in self._since()]:
-            rows = rows.unionByName(self.spark.read.schema(DELTA).parquet(*paths))
-        return rows.groupBy("source", "lang", "tokenizer_version").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs <> 0 or n_tokens <> 0")
+        """(source, lang, tokenizer_version, n_docs, n_tokens) over all batches committed when this is called."""
+        _, sums, _, since, _ = self._seen()
+        return self._sums(sums, since)

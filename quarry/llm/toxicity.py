@@ -11,18 +11,22 @@ a logistic model over hits (exact, by beginning, misspelled), their density and
 
 Lexicon and weights are fitted on at most about ``SAMPLE_DOCS`` labelled documents outside the held-out
 quarter.  Their texts stay on the executors, which count terms, note the candidate terms that each toxic
-document holds, and work out features; the driver gets numbers alone, whose amount the parameters below
-bound.  A term is learned from three toxic documents or more, so with fewer than some hundred toxic labels
+document holds, and work out features; the driver gets the terms of the sample that can matter and numbers.
+Nothing but the sample bounds them: every term is weighed, words of any length among them, and terms are taken as
+long as they gain, which is to say as ``least`` toxic documents hold them and fewer than ``COVER`` better terms.
+A term is learned from three toxic documents or more, so with fewer than some hundred toxic labels
 rare terms, and the documents that hold no others, are missed.
 
-Defined results: null and empty texts get the model's score for no hits; a text of any length is scored
-whole; with nothing to learn from every score is 0; several labels of one doc_id count as toxic if any
+Defined results: null and empty texts, and all others without a hit, get the model's score for no hits, but no
+more than ``NO_HIT``, which is under the threshold: without evidence a text is not called toxic, however common
+toxic labels are; a text of any length is scored whole; with nothing to learn from, or no term learned, every score is 0; several labels of one doc_id count as toxic if any
 is; repeated rows score alike; terms that cover as many documents are taken longest beginning first, then
 by code point; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 import sys
@@ -39,19 +43,16 @@ from quarry.scratch import staged
 
 #: Labelled rows that lexicon and weights are fitted on, about; all where there are fewer.
 SAMPLE_DOCS = 8_000
-THRESHOLD = 0.3
+THRESHOLD, NO_HIT = 0.3, 0.29
 WORD = re.compile(r"[^\W_]+")
 BEGINNINGS = (4, 5, 6)
-LEXICON_SIZE, COVER = 400, 4
+COVER = 4
 WINDOW = 60
 QUOTES = re.compile("[\"“”„«»‘’]")
 REPORTING = re.compile(r"\b(?:said|says|quote[ds]?|called|wrote|reported|sagte|dit|dijo)\b")
 ADDRESS = re.compile(r"\b(?:you|your|youre|du|ihr|dich|tu|vous|toi|usted|tú)\b")
 FEATURES = 7
 CACHE_WORDS = 200_000
-#: What the driver takes at most while it learns: terms to choose from, words that begin like a term, and
-#: words that clean documents hold though they are like a term; the most frequent ones first.
-CANDIDATES, FORMS, KNOWN = 5_000, 20_000, 50_000
 FLUSH_TERMS = 200_000
 
 
@@ -205,8 +206,8 @@ class Lexicon:
 
 
 def bag_of(text: str | None) -> set[str]:
-    """The words of a text of four letters or more, and their beginnings, marked by a star."""
-    words = {w for w in WORD.findall((text or "").lower()) if len(w) >= 4}
+    """The words of a text, and the beginnings of longer ones, marked by a star."""
+    words = set(WORD.findall((text or "").lower()))
     return words | {w[:n] + "*" for w in words for n in BEGINNINGS if len(w) > n}
 
 
@@ -230,48 +231,65 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _holders(terms: list[str]):
-    """Which of ``terms`` each text holds, as bits."""
+    """The numbers of those of ``terms`` that each text holds."""
     number = {t: k for k, t in enumerate(terms)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits = []
-            for text in batch.column(0):
-                mask = np.zeros(len(terms), bool)
-                mask[[number[t] for t in bag_of(text.as_py()) if t in number]] = True
-                bits.append(np.packbits(mask).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(bits, pa.binary())], names=["bits"])
+            held = [sorted(number[t] for t in bag_of(text.as_py()) if t in number) for text in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(held, pa.list_(pa.int32()))], names=["held"])
 
     return run
 
 
-def cover(terms: list[str], toxic: np.ndarray, clean: np.ndarray, held: np.ndarray, times: np.ndarray, n_toxic: int, n_clean: int, least: float) -> tuple[dict[str, float], dict[str, float]]:
+def cover(terms: list[str], toxic: np.ndarray, clean: np.ndarray, held: list[np.ndarray], n_toxic: int, n_clean: int, least: float) -> tuple[dict[str, float], dict[str, float]]:
     """Words and beginnings with their weights: greedily the term that most toxic documents with fewer than
-    COVER terms hold.
+    COVER terms hold, until none gains ``least`` of them.
 
-    held: for each pattern of held terms (documents by terms) a row, times: how many documents have it.
+    held: for each toxic document the numbers of the terms that it holds.
     """
     row = {t: k for k, t in enumerate(terms)}
-    where = {t: np.flatnonzero(held[:, k]) for t, k in row.items()}
+    which, doc = np.concatenate([[], *held]).astype(np.int64), np.repeat(np.arange(len(held)), [len(h) for h in held])
+    doc = doc[np.argsort(which, kind="stable")]
+    ends = np.searchsorted(np.sort(which), np.arange(len(terms) + 1))
+    where = {t: doc[ends[k] : ends[k + 1]] for t, k in row.items()}
     open_, words, starts = np.full(len(held), COVER), {}, {}
-    while where and len(words) + len(starts) < LEXICON_SIZE:
-        live = np.where(open_ > 0, times, 0)
-        gain = {t: int(live[at].sum()) for t, at in where.items()}
-        where = {t: at for t, at in where.items() if gain[t] >= least}  # gains only fall
-        term = max(gain, key=lambda t: (gain[t], t.endswith("*"), -len(t), t))
-        if gain[term] < least:
-            break
+    gain_of = lambda t: int(np.count_nonzero(open_[where[t]] > 0))
+    family: dict[str, list[str]] = {}  # words and beginnings by their beginnings
+    for t in terms:
+        for n in BEGINNINGS:
+            if len(t.rstrip("*")) >= n:
+                family.setdefault(t[:n], []).append(t)
+    # gains only fall, so a term whose gain still stands is the best one
+    queue = [(-len(at), not t.endswith("*"), len(t), t) for t, at in where.items()]
+    heapq.heapify(queue)
+    while queue:
+        was, *_, term = heapq.heappop(queue)
+        if term not in where:
+            continue
+        gain = gain_of(term)
+        if gain < least:
+            continue
+        if -was > gain:
+            heapq.heappush(queue, (-gain, not term.endswith("*"), len(term), term))
+            continue
         if term.endswith("*"):  # one word that accounts for nearly all of it says more than its beginning
-            whole = [t for t in gain if t.startswith(term[:-1]) and not t.endswith("*") and gain[t] >= 0.8 * gain[term]]
-            term = max(whole, key=lambda t: (gain[t], t)) if whole else term
+            whole = [(g, t) for t in family[term[:-1]] if t in where and not t.endswith("*") and (g := gain_of(t)) >= 0.8 * gain]
+            if whole:
+                heapq.heappush(queue, (-gain, False, len(term), term))  # what else it covers is seen later
+                term = max(whole)[1]
         at, k = where.pop(term), row[term]
         weight = math.log((toxic[k] + 0.5) / n_toxic) - math.log((clean[k] + 0.5) / n_clean)
         (starts if term.endswith("*") else words)[term.rstrip("*")] = max(weight, 0.1)
         open_[at] -= 1
         if term.endswith("*"):  # what the beginning covers is no news any more
-            where = {t: x for t, x in where.items() if not t.startswith(term[:-1])}
+            for t in family[term[:-1]]:
+                where.pop(t, None)
         else:  # beginnings that hold little else are no news either
-            where = {t: x for t, x in where.items() if not (t.endswith("*") and term.startswith(t[:-1]) and toxic[row[t]] <= 1.25 * toxic[k])}
+            for n in BEGINNINGS:
+                b = term[:n] + "*"
+                if len(term) > n and b in where and toxic[row[b]] <= 1.25 * toxic[k]:
+                    where.pop(b)
     return words, starts
 
 
@@ -287,7 +305,8 @@ def _alike(lexicon: Lexicon):
 
 
 def learn_lexicon(sample: DataFrame) -> Lexicon | None:
-    """The lexicon of a staged sample (text, toxic); None where one kind is missing."""
+    """The lexicon of a staged sample (text, toxic); None where one kind is missing or no term tells them apart."""
+    spark = sample.sparkSession
     sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     if not n_toxic or not n_clean:
@@ -295,19 +314,21 @@ def learn_lexicon(sample: DataFrame) -> Lexicon | None:
     least = max(3, 0.004 * n_toxic)
     counts = staged(sample.mapInArrow(_term_counts, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "toxicity-terms")
     rare = F.col("clean") * n_toxic <= F.col("toxic") * (0.02 * n_clean)
-    often = counts.where((F.col("toxic") >= least) & rare).orderBy(F.desc("toxic"), "term").limit(CANDIDATES).toArrow().sort_by("term")
+    often = counts.where((F.col("toxic") >= least) & rare).toArrow().sort_by("term")
     terms, toxic, clean = often.column("term").to_pylist(), often.column("toxic").to_numpy(), often.column("clean").to_numpy()
-    patterns = sample.where("toxic = 1").select("text").mapInArrow(_holders(terms), "bits binary").groupBy("bits").agg(F.count("*").alias("n")).toArrow().sort_by("bits")
-    held = np.stack([np.unpackbits(np.frombuffer(b, np.uint8), count=len(terms)) for b in patterns.column("bits").to_pylist()]).astype(bool) if len(terms) else np.zeros((0, 0), bool)
-    words, starts = cover(terms, toxic, clean, held, patterns.column("n").to_numpy(), n_toxic, n_clean, least)
-    begun = F.lit(False)
-    for n in BEGINNINGS:
-        begun |= (F.length("term") > n) & F.substring("term", 1, n).isin([t for t in starts if len(t) == n])
+    held = [np.array(r["held"], np.int64) for r in sample.where("toxic = 1").select("text").mapInArrow(_holders(terms), "held array<int>").orderBy("held").collect()]
+    words, starts = cover(terms, toxic, clean, held, n_toxic, n_clean, least)
+    if not words and not starts:
+        return None
     plain = counts.where("term not like '%*'")
-    found = plain.where((F.col("toxic") > 0) & begun).orderBy(F.desc("toxic"), "term").limit(FORMS).select("term").collect() if starts else []
-    forms = {r["term"]: next(starts[r["term"][:n]] for n in BEGINNINGS if r["term"][:n] in starts) for r in found}
+    forms: dict[str, float] = {}
+    if starts:
+        begun = spark.createDataFrame([(t, w) for t, w in starts.items()], "start string, weight double")
+        longer = plain.where("toxic > 0").select("term", F.explode(F.array(*(F.substring("term", 1, n) for n in BEGINNINGS))).alias("start")).where("length(term) > length(start)")
+        found = longer.join(begun, "start").groupBy("term").agg(F.expr("min_by(weight, length(start))").alias("weight")).collect()
+        forms = {r["term"]: r["weight"] for r in sorted(found)}
     # a word that clean documents hold, by the rule for terms, is no misspelling
-    known = plain.where(~rare).mapInArrow(_alike(Lexicon(words, starts, forms)), counts.schema).orderBy(F.desc("clean"), "term").limit(KNOWN).select("term").collect()
+    known = plain.where(~rare).mapInArrow(_alike(Lexicon(words, starts, forms)), counts.schema).select("term").collect()
     return Lexicon(words, starts, forms, frozenset(r["term"] for r in known))
 
 
@@ -340,6 +361,7 @@ def _scores(lexicon: Lexicon | None, weights: np.ndarray | None):
             if lexicon is not None:
                 x = np.array([[*lexicon.features(t.as_py()), 1.0] for t in batch.column(2)]).reshape(-1, FEATURES + 1)
                 score = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
+                score = np.where(x[:, :-1].any(axis=1), score, np.minimum(score, NO_HIT))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     return run

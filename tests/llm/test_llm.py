@@ -59,6 +59,41 @@ def test_op1_equals_brute_force(docs):
     assert rows(suffix_merge.remove_repeats(docs, group_bytes=300, fan_in=2)) == sorted(want, key=repr)
 
 
+def test_op1_folds_periodic_texts(spark):
+    """Padding, alternating letters and longer periods, against brute force; a period that other bytes break."""
+    table = [(1, "a" * 400), (2, "x" + "a" * 900 + "y" + "ab" * 300), (3, "ba" * 200 + "q" * 49 + "a" * 60), (4, "0123456789" * 40), (5, "z" + "0123456789" * 80 + "z" + "0123456789" * 30), (6, "".join(f"{k % 37:02d}" for k in range(900))), (7, "-" * 70 + "".join(f"{k % 37:02d}" for k in range(200))), (8, "ab" * 30), (2, "a" * 100)]
+    first: dict[str, int] = {}
+    for i, t in sorted(table):
+        for p in range(len(t) - 49):
+            first.setdefault(t[p : p + 50], i)
+    want = []
+    for i, t in table:
+        gone = {x for p in range(len(t) - 49) if first[t[p : p + 50]] != i for x in range(p, p + 50)}
+        want.append((i, len(t), len(gone), sum(x - 1 not in gone for x in gone), hashlib.sha256("".join(c for k, c in enumerate(t) if k not in gone).encode()).hexdigest()))
+    d = spark.createDataFrame(table, "doc_id long, text string").repartition(2)
+    for group_bytes, fan_in in ((4 << 20, 512), (700, 3)):
+        assert rows(suffix_merge.remove_repeats(d, group_bytes, fan_in)) == sorted(want, key=repr)
+
+
+def test_op1_long_padding_in_little_memory():
+    """20 MB of one letter, and as much of a period of 300, with a passage that others share: a row for each distinct anchor."""
+    import tracemalloc
+
+    import pyarrow as pa
+    import zstandard
+
+    text = b"".join([b"q" * (10 << 20), bytes(range(33, 90)), b"." * (10 << 20)])
+    press = zstandard.ZstdCompressor()
+    table = pa.table({"grp": [1, 1], "doc_id": [1, 2], "packed": [press.compress(text), press.compress(b"q" * 500)]})
+    tracemalloc.start()
+    own = suffix_merge.Group(table)
+    with np.errstate(over="ignore"):
+        made = suffix_merge._front_coded(own, np.arange(len(own.at)), 1, 4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(own.at) < 1000 and made and peak < 300 << 20
+
+
 def test_op1_shared_passages_in_many_contexts(spark):
     rng = np.random.default_rng(8)
     word = lambda n: "".join(rng.choice(list("ab"), n))
@@ -211,7 +246,7 @@ def test_op3_finds_links_of_a_dense_group_over_many_lists(spark, monkeypatch):
 
 def test_op4_learns_words_and_misspellings(spark):
     terms = ["idiot", "disgusting", "pathetic", "worthless"]
-    docs = [(i, f"plain text number {i} about things" if i % 5 else f"you {terms[i % 4]} and {terms[(i // 5) % 4]} about things {i}") for i in range(400)]
+    docs = [(i, f"you plain text of number {i} about things" if i % 5 else f"you {terms[i % 4]} and {terms[(i // 5) % 4]} about things {i}") for i in range(400)]
     labels = [(i, 1, int(i % 5 == 0)) for i in range(400)]
     d = spark.createDataFrame([*docs, (900, "you idi0t, what a disgustin thing"), (901, ""), (902, None), (903, "nice thing")], "doc_id long, text string")
     got = {r["doc_id"]: r for r in toxicity.score(d, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
@@ -239,9 +274,93 @@ def test_op4_automaton_is_the_edit_distance(word):
     assert toxicity.Automaton(terms).look(word) == (want and (want[1], want[0]))
 
 
+def test_op4_short_terms_and_nothing_to_tell_by(spark):
+    """Terms of one to three letters are learned like others; where no term is, or a text holds none, it is not called toxic."""
+    rng = np.random.default_rng(6)
+    plain = lambda: " ".join(f"word{rng.integers(300)}" for _ in range(30))
+    docs = [(i, plain() + (" you zug 死" if i % 3 == 0 else "")) for i in range(400)]
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(400)], "doc_id long, quality int, toxic int")
+    d = spark.createDataFrame([*docs, (900, "zug"), (901, plain()), (902, None), (903, "")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in toxicity.score(d, labels).collect()}
+    assert all(got[i]["predicted"] == int(i % 3 == 0) for i in range(400))
+    assert got[900]["predicted"] == 1 and not any(got[i]["predicted"] or got[i]["score"] >= 0.3 for i in (901, 902, 903))
+    same = spark.createDataFrame([(i, "one and the same text") for i in range(400)], "doc_id long, text string")
+    assert not any(r["predicted"] or r["score"] for r in toxicity.score(same, labels).collect()) and toxicity.without_toxic(same, labels).count() == 400
+
+
+def test_op4_scores_equal_brute_force(spark):
+    """Hits by trying every term and edit distance, windows and the logistic sum written out; long and repeated rows among them."""
+    import math
+
+    rng = np.random.default_rng(9)
+    vocab = [f"{a}{b}{c}" for a in ("ma", "lo", "ti") for b in ("ren", "sop", "duk") for c in ("a", "o", "i")]
+    text = lambda n: " ".join(rng.choice(vocab, n))
+    bad = ["stupid", "moron", "worthless", "idi"]
+    docs = []
+    for i in range(300):
+        words = text(40).split()
+        if i % 4 == 0:
+            words[int(rng.integers(40))] = bad[i // 4 % 4]
+            words[int(rng.integers(40))] = "you " + bad[i // 8 % 4]
+        docs.append((i, " ".join(words)))
+    odd = ["st\u00fcpid m0ron", "he said \"stupid\" and wrote 'moron'", "you st upid", "stupids worthles wrthless worthlesssx", "STUPID you moron", "idi idj", text(20_000) + " worthless", ""]
+    docs += [(1000 + k, t) for k, t in enumerate(odd)] + [(1000, odd[0])] * 2
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(300)], "doc_id long, quality int, toxic int")
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    lexicon, weights = toxicity.fit(d, labels)
+    assert set(lexicon.words) >= set(bad)
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for k, x in enumerate(a, 1):
+            row, left = [k], row
+            for m, y in enumerate(b, 1):
+                row.append(min(left[m] + 1, row[-1] + 1, left[m - 1] + (x != y)))
+        return row[-1]
+
+    def near(word):
+        terms = [(min(distance(term, word[:n]) for n in range(len(word) + 1)) if term not in lexicon.words else distance(term, word), term) for term in lexicon.misspelled]
+        return min(((e, t) for e, t in terms if e <= toxicity.budget(t)), default=None)
+
+    def hit(word):
+        if word in lexicon.words:
+            return 0, lexicon.words[word]
+        for n in toxicity.BEGINNINGS:
+            if len(word) >= 4 and word[:n] in lexicon.beginnings:
+                return 1, lexicon.beginnings[word[:n]]
+        found = near(word) if len(word) >= 4 and word not in lexicon.known else None
+        return found and (2, lexicon.misspelled[found[1]])
+
+    known: dict = {}
+
+    def want(t):
+        low = (t or "").lower()
+        found = [(m.start(), m.end(), known.setdefault(m[0], hit(m[0])), m[0]) for m in re.finditer(r"[^\W_]+", low)]
+        spots = [f for f in found if f[2]]
+        if not spots:
+            return min(1 / (1 + math.exp(-weights[-1])), toxicity.NO_HIT)
+        sums, kinds, quoted, abusive, last = [0.0] * 3, [set(), set(), set()], 0.0, 0.0, -1000
+        for a, b, (kind, weight), word in spots:
+            sums[kind] += weight
+            kinds[kind].add(word)
+            before, after = low[max(0, a - 60) : a], low[b : b + 60]
+            signs = bool(toxicity.QUOTES.search(before[-20:])) + bool(toxicity.QUOTES.search(after[:20])) + bool(toxicity.REPORTING.search(before))
+            quoted += weight if signs >= 2 else 0
+            abusive += weight if toxicity.ADDRESS.search(before[-25:]) or a - last < 60 else 0
+            last = b
+        x = [math.log1p(s) + 0.5 * min(len(k), 6) for s, k in zip(sums, kinds, strict=True)] + [math.log1p(100 * len(spots) / len(found)), math.log1p(quoted), math.log1p(abusive), float(len({w for *_, w in spots}) >= 2), 1.0]
+        return 1 / (1 + math.exp(-max(-30, min(30, float(np.dot(x, weights))))))
+
+    texts = dict(docs)
+    got = toxicity.score(d, labels).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        assert r["score"] == pytest.approx(want(texts[r["doc_id"]]), abs=1e-9) and r["predicted"] == int(r["score"] >= 0.3)
+
+
 def test_op4_meets_misspellings_of_beginnings(spark):
     forms = ["idiot", "idiots", "idiotic", "idiotism"]
-    docs = [(i, f"plain text number {i} about things" if i % 5 else f"you {forms[i // 5 % 4]} of things {i}") for i in range(400)]
+    docs = [(i, f"you plain text of number {i} about things" if i % 5 else f"you {forms[i // 5 % 4]} of things {i}") for i in range(400)]
     labels = [(i, 1, int(i % 5 == 0)) for i in range(400)]
     odd = [(900, "you idi0t of things"), (901, "you idi0tisch of things"), (902, "you idjotic of things"), (903, "you idle of things"), (904, "you riot of things")]
     lexicon, _ = toxicity.fit(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
@@ -337,6 +456,20 @@ def test_op5_large_clusters_go_by_blocks(spark):
         assert all(want[i] == want[got[i]] for i in want)
 
 
+@pytest.mark.parametrize("block", [4000, 1500])
+def test_op5_chain_is_one_component_whatever_the_block(spark, block):
+    """300 texts, each linked to the next alone, at about 0.81; and two families that share most words but no link."""
+    chain = [(i, " ".join(f"c{w}" for w in range(14 * i, 14 * i + 140))) for i in range(300)]
+    rng = np.random.default_rng(4)
+    near = [(1000 + i, " ".join(f"b{w}" if rng.random() > 0.04 else f"x{i}y{w}" for w in range(150))) for i in range(60)]
+    d = spark.createDataFrame(chain + near, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["component_id"] for r in minhash_forest.near_duplicates(d, block=block).collect()}
+    sets = [{tuple(t.split()[k : k + 4]) for k in range(len(t.split()) - 3)} for _, t in chain + near]
+    want = components(sets)
+    ids = [i for i, _ in chain + near]
+    assert {i: ids[want[k]] for k, i in enumerate(ids)} == got and len(set(want[:300])) == 1
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.sets(st.integers(0, 14), min_size=1), min_size=1, max_size=14))
 def test_op5_confirm_is_exact(sets):
@@ -368,7 +501,7 @@ def test_op6_folds_batches_and_keeps_their_ids(docs, nothing, spark, monkeypatch
     for k in range(4):
         assert ledger.commit(f"b{k}", token_ledger.signed(inserts=some if k else nothing))
     ledger.commit("b4", token_ledger.signed(deletes=some))
-    assert len(ledger._names("batch=")) <= 2 and len(ledger._names("snapshot=")) == 1
+    assert len(ledger._seen()[3]) <= 2 and len(ledger._names("batch=")) <= 5 and len(ledger._names("snapshot=")) == 1
     assert not any(ledger.commit(f"b{k}", token_ledger.signed(inserts=some)) for k in range(5))
     assert {r["n_docs"] for r in ledger.totals().collect()} == {4}
     # of two writers that have both begun one takes effect
@@ -378,6 +511,27 @@ def test_op6_folds_batches_and_keeps_their_ids(docs, nothing, spark, monkeypatch
     assert {r["n_docs"] for r in ledger.totals().collect()} == {6}
 
 
+def test_op6_counts_a_batch_once_whatever_comes_between(docs, spark, monkeypatch):
+    ledger, one = token_ledger.TokenLedger(spark), docs.where("doc_id = 1")
+    ledger.commit("first", token_ledger.signed(inserts=one))
+    held = ledger.totals()  # asked for before a fold, read after it
+    plain = ledger._sums
+
+    def meanwhile(sums, batches):
+        if not ledger.committed("between"):
+            ledger.commit("between", token_ledger.signed(inserts=one))
+        return plain(sums, batches)
+
+    monkeypatch.setattr(ledger, "_sums", meanwhile)
+    ledger.fold()
+    monkeypatch.undo()
+    assert {r["n_docs"] for r in held.collect()} == {1} and {r["n_docs"] for r in ledger.totals().collect()} == {2}
+    ledger.fold()
+    ledger.fold()
+    assert {r["n_docs"] for r in ledger.totals().collect()} == {2} and not ledger.commit("between", token_ledger.signed(inserts=one))
+    assert len(ledger._names("snapshot=")) == 2 and ledger._names("batch=") == ["between"]
+
+
 def test_op6_query_equals_brute_force(spark, tmp_path):
     table = [(i, f"Word {i} AND more" * (i % 3 + 1) if i != 5 else None, f"s{i % 2}", "en") for i in range(30)]
     marks = [(i, int(i % 4 > 0), int(i % 5 == 0)) for i in range(0, 30, 2)]
@@ -460,6 +614,24 @@ def test_op8_emits_what_it_reports(docs):
             assert r["taken"] == got[r["doc_id"]] * r["size"] and r["taken"] <= 2 * r["size"]
 
 
+def test_op8_equal_and_nameless_rows_draw_each(spark):
+    """Sources whose rows have no id, one id, or are copies come near their targets like any other."""
+    rows = [(None, f"w{i} " * 5, "a") for i in range(400)] + [(7, f"v{i} " * 5, "b") for i in range(400)] + [(None, "same five words of text", "c")] * 400 + [(i, f"u{i} " * 5, None) for i in range(400)]
+    d = spark.createDataFrame([(*r, k % 3) for k, r in enumerate(rows)], "doc_id long, text string, source string, other int").repartition(5)
+    got = mixture.report(d, share=1.25).toPandas()
+    for target, part in got.groupby("target"):
+        sources = max(1, round(part["size"].sum() / 2000))
+        assert abs(part["taken"].sum() / sources - target) < 0.08 * 2000 and (part["taken"] <= 2 * part["size"]).all()
+    assert len(got) == 1600 and got["taken"].sum() == 5 * mixture.emit(d, share=1.25).count()
+
+
+def test_op8_blocks_of_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(mixture, "BLOCK", 7)
+    d = spark.createDataFrame([(1, "a b", "x", k % 2) for k in range(60)] + [(2, "c d", "x", 0)], "doc_id long, text string, source string, other int")
+    got = mixture.report(d)
+    assert got.count() == 61 and got.agg({"taken": "sum"}).first()[0] == 2 * mixture.emit(d).count()
+
+
 def test_op8_takes_clashing_names(spark):
     names = ["doc_id", "text", "source", "target", "rate", "source_size", "size", "copies", "row", "name", "weight"]
     d = spark.createDataFrame([(i, "one two three", f"s{i % 2}", 1, 2, 3, 4, 5, 6, 7, 8) for i in range(20)], ", ".join(f"{n} {'string' if n in ('text', 'source') else 'long'}" for n in names))
@@ -630,7 +802,7 @@ def test_pipeline_run_equals_brute_force(spark, tmp_path):
     tok, want = bpe.loaded(bpe.default_path()).whole, Counter()
     for i, text, _, source, _ in kept:
         rate = target[source] / size[source]
-        draw = int(hashlib.sha256(f"{i}:mix-1".encode()).hexdigest()[:13], 16) / 2**52
+        draw = int(hashlib.sha256(f"{i}:{hashlib.sha256((text or '').encode()).hexdigest()}:0:mix-1".encode()).hexdigest()[:13], 16) / 2**52
         ids = np.array(tok.encode(text, add_special_tokens=False).ids + [1], "<u4")
         want[i, 0, len(ids), zlib.crc32(ids.tobytes()), len(ids)] += int(rate) + (draw < rate - int(rate))
     got = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
