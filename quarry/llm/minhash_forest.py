@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.graph import components, spanning
-from quarry.llm.textkernel import MIX, U64, mix64, releasing, shingle_sets, steps, text_arrays
+from quarry.llm.textkernel import MIX, U64, mix64, release, releasing, shingle_sets, steps, text_arrays
 from quarry.scratch import joined, staged
 
 #: Trees, the values of a slice, and the prefixes under which rows are neighbours: the first one, and those
@@ -55,6 +55,8 @@ CROWDED = 256
 BETWEEN, SHALLOW = [x for x in range(0, VALUES, 4) if x % DEPTH], 8
 #: Shingles whose sets one task confirms at once, and the orders in which larger clusters are cut.
 BLOCK_SHINGLES, ORDERS, HUB_ROUNDS = 1 << 21, 4, 8
+#: Sets of a group after which a worker gives memory back.
+LARGE = 256
 #: Rows up to which a table is sent to all executors.
 MOST_SENT = 300_000
 WIDTH, NUM, DEN = 4, 80, 100
@@ -171,7 +173,7 @@ def _tied(least: int):
             yield within(region[a:b], nodes.slice(a, b - a), sig[a:b])
             i = j
 
-    return run
+    return releasing(run)
 
 
 def cut(rows: DataFrame, depths: tuple[int, ...], weight: str, limit: int, name: str) -> tuple[DataFrame, DataFrame | None]:
@@ -315,6 +317,8 @@ def _confirmer(width: int, num: int, den: int):
         group = group.take(pa.compute.sort_indices(group, [("node", "ascending")]))
         nodes = group.column("node").combine_chunks()
         found, hubs = confirm_with_hubs(_unpack(group.column("packed").combine_chunks(), width), num, den)
+        if len(found) > LARGE:
+            release()
         return pa.table({"node": nodes, "comp": nodes.take(pa.array(found)), "hub": pa.array(hubs)}).cast(pa.schema([("node", pa.binary()), ("comp", pa.binary()), ("hub", pa.bool_())]))
 
     return run
