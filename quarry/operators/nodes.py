@@ -11,6 +11,11 @@ from quarry.operators.rules import listed
 
 #: Types that are never candidates for display.
 SKIP_TYPES = ("file-info", "imports", "error", "parse-error", "section", "paragraph", "heading", *(f"heading-{n}" for n in range(1, 7)), "code-block", "comment")
+#: Methods that protocols outside the corpus ask for.
+PROTOCOLS = {
+    "Codable": "encode init", "Encodable": "encode", "Decodable": "init", "Equatable": "==", "Comparable": "< <= > >=", "Hashable": "hash", "Sequence": "makeIterator", "IteratorProtocol": "next",
+    "RawRepresentable": "init", "ExpressibleByStringLiteral": "init",
+}
 CONTAINERS = ("class", "struct", "enum", "protocol", "actor", "extension")
 MEMBERS = ("method", "function", "initializer", "deinitializer")
 

@@ -452,39 +452,6 @@ def new_information(spark, d):
     return scoring.new_information(text.lines(doc_files(spark, d)).groupBy("path").agg(F.expr("transform(array_sort(collect_list(struct(line_no, text))), x -> x.text)").alias("blocks")))
 
 
-@query()
-def python_nodes(spark, d):
-    from quarry.functions import python_source
-
-    return python_source.nodes(python_source.samples(spark))
-
-
-@query()
-def python_calls(spark, d):
-    from quarry.functions import python_source
-
-    return python_source.calls(python_source.samples(spark))
-
-
-@query()
-def skeleton_python(spark, d):
-    from quarry.functions import python_source
-
-    return python_source.skeletons(python_source.samples(spark))
-
-
-@query()
-def template_nodes(spark, d):
-    return markup.template_nodes(markup.samples(spark))
-
-
-@query()
-def image_meta(spark, d):
-    from quarry.functions import images
-
-    return images.meta(images.samples(spark))
-
-
 @query()
 def stream_memory_ttl(spark, d):
     return memory.replay_versions(spark, read_table(spark, d, "conversations"))

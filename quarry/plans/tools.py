@@ -13,8 +13,9 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions import config_files, pattern_tables, python_source, scoring
-from quarry.operators import budget, changes, condense, consensus, graphs, health, imports, markup, nodes, paths, ranking, report, rules, text, views
+from quarry.functions import brackets, config_files, pattern_tables, python_source, scoring
+from quarry.operators import budget, changes, condense, consensus, declarations, graphs, health, imports, markup, nodes, paths, ranking, report, rules, text, views
+from quarry.operators.rules import listed
 from quarry.scratch import staged
 from quarry.sources import history, tree
 
@@ -29,17 +30,22 @@ def _shaped(rows: DataFrame, tier: str) -> DataFrame:
     return rows.selectExpr(*(f"cast({n if n in have else values.get(n, 'null')} as {t}) as {n}" for n, t in fields))
 
 
-def parsed(files: DataFrame, languages: Collection[str] | None = None) -> DataFrame:
-    """Nodes of all files: Python by its syntax tree, HTML by its elements, Markdown and text by their lines, other languages by patterns; a Python file
-    with an error by patterns too, its names marked.  languages: those that the files have, if known."""
+def parsed(files: DataFrame, languages: Collection[str] | None = None, declared: DataFrame | None = None, broken: DataFrame | None = None) -> DataFrame:
+    """Nodes of all files: Python by its syntax tree, brace languages by their brackets (``declared``), HTML by its elements, Markdown and text
+    by their lines, other languages by patterns; a Python file with an error and a file whose brackets don't match (``broken``) by patterns too,
+    the former's names marked.  languages: those that the files have, if known."""
     has = lambda *names: languages is None or any(n in languages for n in names)
     parts = []
     flat = files.where("language not in ('python', 'markdown', 'text', 'html')")
     if has("python"):
         python = staged(python_source.nodes(files.where("language = 'python'")), "python-nodes")
-        broken = python.where("type = 'parse-error'").select("path")
-        parts.append(_shaped(python.join(broken, "path", "left_anti"), "syntax"))
-        flat = flat.unionByName(files.where("language = 'python'").join(broken, "path", "left_semi"))
+        failed = python.where("type = 'parse-error'").select("path")
+        parts.append(_shaped(python.join(failed, "path", "left_anti"), "syntax"))
+        flat = flat.unionByName(files.where("language = 'python'").join(failed, "path", "left_semi"))
+    if declared is not None:
+        parts.append(_shaped(declared.join(broken.where("fallback").select("path"), "path", "left_anti"), "tokens"))
+        held = flat.where(f"language in ({listed(brackets.LANGUAGES)})").join(broken.where("fallback").select("path"), "path", "left_semi")
+        flat = flat.where(f"language not in ({listed(brackets.LANGUAGES)})").unionByName(held)
     if languages is None or any(x in pattern_tables.STRUCTURES and x != "markdown" for x in languages):
         found = pattern_tables.structures(flat, languages)
         one = found.selectExpr("path", "type", "if(language = 'python', concat(name, ' (fallback)'), name) as name", "line_no as start_line", "line_no as end_line", "row_number() over (partition by path order by line_no, type, name) - 1 as node_id").selectExpr("*", "-1 as parent_id", "node_id as last_desc_id", "0 as depth")
@@ -88,13 +94,36 @@ class Facts:
     def rules(self) -> DataFrame:
         return staged(consensus.candidates(self.bags), "consensus-rules")
 
+    @cached_property
+    def braced(self) -> bool:
+        return bool(self.languages & set(brackets.LANGUAGES))
+
+    @cached_property
+    def bracketed(self) -> DataFrame:
+        return staged(brackets.parsed(self.files), "facts-segments")
+
+    @cached_property
+    def broken(self) -> DataFrame:
+        return staged(declarations.broken(self.bracketed), "facts-broken")
+
+    @cached_property
+    def segments(self) -> DataFrame:
+        """What the brackets of brace languages enclose; files whose brackets don't match are left to the patterns."""
+        return self.bracketed.join(self.broken.where("fallback").select("path"), "path", "left_anti")
+
+    @cached_property
+    def declared(self) -> DataFrame:
+        return staged(declarations.nodes(self.segments), "facts-declared")
+
     @cached_property
     def nodes(self) -> DataFrame:
-        return staged(parsed(self.files, self.languages), "facts-nodes")
+        return staged(parsed(self.files, self.languages, *((self.declared, self.broken) if self.braced else ())), "facts-nodes")
 
     @cached_property
     def definitions(self) -> DataFrame:
-        rows = nodes.definitions(self.nodes).join(self.files.select(F.col("path").alias("file"), "language"), "file")
+        rows = nodes.definitions(self.nodes.where("tier <> 'tokens'")).join(self.files.select(F.col("path").alias("file"), "language"), "file")
+        if self.braced:
+            rows = rows.unionByName(declarations.definitions(self.declared).select(rows.columns))
         return staged(rows.withColumn("fqn", F.expr("concat(file, ':', concat_ws('.', parent, name))")), "facts-definitions")
 
     @cached_property
@@ -102,8 +131,11 @@ class Facts:
         own = python_source.calls(self.files.where("language = 'python'"))
         if self.languages <= {"python"}:
             return staged(own, "facts-calls")
-        other = pattern_tables.calls(self.files.where("language <> 'python'"))
-        return staged(own.unionByName(other.select(own.columns)), "facts-calls")
+        left = self.files.where("language <> 'python'")
+        if self.braced:
+            own = own.unionByName(declarations.calls(self.segments, self.declared).select(own.columns))
+            left = left.where(f"language not in ({listed(brackets.LANGUAGES)})").unionByName(left.join(self.broken.where("fallback").select("path"), "path", "left_semi").select(left.columns))
+        return staged(own.unionByName(pattern_tables.calls(left).select(own.columns)), "facts-calls")
 
     @cached_property
     def entry_points(self) -> DataFrame:
@@ -153,10 +185,11 @@ class Facts:
         return consensus.findings(sites, held, bags, top)
 
     def dead(self) -> DataFrame:
-        """Of the languages whose definitions are parsed; patterns don't tell what stands inside what."""
-        own = self.definitions.where("language = 'python' and name not like '% (fallback)'")
+        """Of the languages that claim it and whose definitions are parsed; patterns don't tell what stands inside what."""
+        own = self.definitions.join(self.nodes.where("tier in ('syntax', 'tokens')").select(F.col("path").alias("file")).distinct(), "file", "left_semi").where("name not like '% (fallback)'")
         words, called = text.word_counts(self.files), text.word_counts(self.files, r"\b([A-Za-z0-9_]+)\s*\(", 1)
-        asked = nodes.witnesses(self.definitions, self.spark.createDataFrame([], "protocol string, member string"))
+        known = self.spark.createDataFrame([(p, m) for p, ms in nodes.PROTOCOLS.items() for m in ms.split()], "protocol string, member string")
+        asked = nodes.witnesses(self.definitions.where("language = 'swift'"), known)
         return health.dead(own, self.call_nodes, self.entry_points.select("name"), words, called, asked)
 
     def orphans(self) -> DataFrame:
@@ -243,7 +276,7 @@ def directory_view(facts: Facts) -> DataFrame:
 
 def health_of(facts: Facts) -> DataFrame:
     """(turn, line) on definitions that nothing mentions and equal blocks."""
-    named = health.flaggable(facts.nodes.where("tier in ('syntax', 'pattern') and name not like '% (fallback)'"), facts.entry_points.select("name").where("name is not null"))
+    named = health.flaggable(facts.nodes.where("tier in ('syntax', 'tokens', 'pattern') and name not like '% (fallback)'"), facts.entry_points.select("name").where("name is not null"))
     alone = text.unreferenced(named.selectExpr("path", "name", "start_line"), text.word_counts(facts.files))
     blocks = _content(facts).where("type in ('function', 'method', 'class')").selectExpr("path", "start_line", "array_join(slice(split(content, '\\n'), start_line, end_line - start_line + 1), '\\n') as body")
     return report.health_lines(alone, text.duplicate_blocks(blocks))

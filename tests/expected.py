@@ -1,4 +1,4 @@
-"""Rows that the queries over the corpus have given, checked by hand against its files; columns are "name type"."""
+"""Answers to the questions of ``corpus_queries``, checked by hand against the files of ``corpus``; columns are "name type"."""
 
 from __future__ import annotations
 
@@ -323,6 +323,7 @@ EXPECTED: dict[str, tuple[str, list[tuple]]] = {
     "parsed_nodes": (
         "path VARCHAR, node_id INTEGER, parent_id INTEGER, last_desc_id INTEGER, depth INTEGER, type VARCHAR, name VARCHAR, start_line INTEGER, end_line INTEGER, signature VARCHAR, decorators VARCHAR, docstring VARCHAR, lines INTEGER, branches INTEGER, tier VARCHAR",
         [
+            ('app/Models/User.php', 0, -1, 0, 0, 'class', 'User', 2, 3, '', '', None, 2, None, 'tokens'),
             ('app/broken.py', 0, -1, 0, 0, 'class', 'Half (fallback)', 1, 1, None, '', None, None, None, 'pattern'),
             ('app/broken.py', 1, -1, 1, 0, 'function', 'f (fallback)', 2, 2, None, '', None, None, None, 'pattern'),
             ('app/main.py', 0, -1, 0, 0, 'imports', 'imports', 1, 3, None, '', None, None, None, 'syntax'),
@@ -338,6 +339,13 @@ EXPECTED: dict[str, tuple[str, list[tuple]]] = {
             ('app/util.py', 1, -1, 1, 0, 'function', 'clean', 7, 8, '(v)', '', None, 2, 0, 'syntax'),
             ('app/util.py', 2, -1, 2, 0, 'function', 'leftover', 11, 12, '(v)', '', None, 2, 0, 'syntax'),
             ('app/util.py', 3, -1, 3, 0, 'function', '_private', 15, 16, '(v)', '', None, 2, 0, 'syntax'),
+            ('c/main.c', 0, -1, 0, 0, 'function', 'main', 3, 5, '(void) : int', '', None, 3, None, 'tokens'),
+            ('c/util.h', 0, -1, 0, 0, 'struct', 'point', 1, 3, '', '', None, 3, None, 'tokens'),
+            ('cs/Program.cs', 0, -1, 2, 0, 'namespace', 'Demo', 3, 8, '', '', None, 6, None, 'tokens'),
+            ('cs/Program.cs', 1, 0, 2, 1, 'class', 'Program', 4, 7, '', '', None, 4, None, 'tokens'),
+            ('cs/Program.cs', 2, 1, 2, 2, 'method', 'Main', 5, 6, '(string[] args) : void', '', None, 2, None, 'tokens'),
+            ('cs/lib/Tools.cs', 0, -1, 1, 0, 'namespace', 'Demo.Tools', 1, 3, '', '', None, 3, None, 'tokens'),
+            ('cs/lib/Tools.cs', 1, 0, 1, 1, 'enum', 'Kind', 2, 2, '', '', None, 1, None, 'tokens'),
             ('docs/guide.md', 0, -1, 4, 0, 'heading-1', 'Guide', 1, 18, None, '', None, None, None, 'lines'),
             ('docs/guide.md', 1, 0, 2, 1, 'heading-2', 'Install', 5, 10, None, '', None, None, None, 'lines'),
             ('docs/guide.md', 2, 1, 2, 1, 'code-block', 'code block (bash)', 7, 10, None, '', None, None, None, 'lines'),
@@ -351,12 +359,37 @@ EXPECTED: dict[str, tuple[str, list[tuple]]] = {
             ('docs/notes.txt', 4, 2, 4, 1, 'paragraph', 'paragraph (10-10)', 10, 10, None, '', None, None, None, 'lines'),
             ('docs/notes.txt', 5, 2, 5, 1, 'paragraph', 'paragraph (12-12)', 12, 12, None, '', None, None, None, 'lines'),
             ('docs/setup.md', 0, -1, 0, 0, 'heading-1', 'Setup', 1, 5, None, '', None, None, None, 'lines'),
+            ('ios/App.swift', 0, -1, 1, 0, 'struct', 'Demo', 3, 6, ': App', '', None, 4, None, 'tokens'),
+            ('ios/App.swift', 1, 0, 1, 1, 'method', 'body', 4, 5, '()', '', None, 2, None, 'tokens'),
+            ('node_modules/a.js', 0, -1, 0, 0, 'function', 'a', 1, 1, '()', '', None, 1, None, 'tokens'),
+            ('php/index.php', 0, -1, 1, 0, 'class', 'HomeController', 3, 6, '', '', None, 4, None, 'tokens'),
+            ('php/index.php', 1, 0, 1, 1, 'method', 'show', 4, 5, '()', '', None, 2, None, 'tokens'),
+            ('src/lib.rs', 0, -1, 0, 0, 'struct', 'Index', 3, 3, '', '', None, 1, None, 'tokens'),
+            ('src/lib.rs', 1, -1, 2, 0, 'impl', 'Search for Index', 5, 7, '', '', None, 3, None, 'tokens'),
+            ('src/lib.rs', 2, 1, 2, 1, 'function', 'find', 6, 6, '(&self)', '', None, 1, None, 'tokens'),
+            ('src/lib.rs', 3, -1, 3, 0, 'function', 'works', 10, 10, '()', '#[test]', None, 1, None, 'tokens'),
+            ('src/main/java/org/demo/App.java', 0, -1, 1, 0, 'class', 'App', 5, 8, '', '', None, 4, None, 'tokens'),
+            ('src/main/java/org/demo/App.java', 1, 0, 1, 1, 'method', 'main', 6, 7, '(String[] args) : void', '', None, 2, None, 'tokens'),
+            ('src/main/java/org/demo/Part.java', 0, -1, 0, 0, 'interface', 'Part', 2, 3, '', '', None, 2, None, 'tokens'),
+            ('src/model.rs', 0, -1, 0, 0, 'enum', 'Item', 1, 1, '', '', None, 1, None, 'tokens'),
+            ('srv/main.go', 0, -1, 0, 0, 'struct', 'Server', 5, 6, '', '', None, 2, None, 'tokens'),
+            ('srv/main.go', 1, -1, 1, 0, 'method', 'Run', 8, 9, '(s *Server) ()', '', None, 2, None, 'tokens'),
+            ('srv/main.go', 2, -1, 2, 0, 'function', 'main', 11, 13, '()', '', None, 3, None, 'tokens'),
+            ('srv/store/db.go', 0, -1, 0, 0, 'interface', 'Rows', 3, 4, '', '', None, 2, None, 'tokens'),
+            ('srv/store/db.go', 1, -1, 1, 0, 'function', 'Open', 6, 7, '()', '', None, 2, None, 'tokens'),
             ('templates/used.html', 0, -1, 0, 0, 'form', 'form', 1, 1, None, '', None, None, None, 'markup'),
             ('templates/used.html', 1, -1, 1, 0, 'list', 'ul', 2, 2, None, '', None, None, None, 'markup'),
             ('templates/used.html', 2, -1, 2, 0, 'table', 'table', 3, 3, None, '', None, None, None, 'markup'),
             ('tests/test_util.py', 0, -1, 0, 0, 'imports', 'imports', 1, 1, None, '', None, None, None, 'syntax'),
             ('tests/test_util.py', 1, -1, 1, 0, 'function', 'test_helper', 4, 5, '()', '', None, 2, 0, 'syntax'),
             ('vendor/lib/x.py', 0, -1, 0, 0, 'function', 'vendored', 1, 2, '()', '', None, 2, 0, 'syntax'),
+            ('web/lib.ts', 0, -1, 0, 0, 'function', 'paint', 1, 1, '(x)', '', None, 1, None, 'tokens'),
+            ('web/lib.ts', 1, -1, 1, 0, 'interface', 'Shape', 2, 3, '', '', None, 2, None, 'tokens'),
+            ('web/page.ts', 0, -1, 0, 0, 'class', 'Widget', 2, 3, '', '', None, 2, None, 'tokens'),
+            ('web/page.ts', 1, -1, 1, 0, 'function', 'draw', 4, 6, '(x)', '', None, 3, None, 'tokens'),
+            ('zig/lib.zig', 0, -1, 0, 0, 'struct', 'Point', 1, 2, '', '', None, 2, None, 'tokens'),
+            ('zig/main.zig', 0, -1, 0, 0, 'function', 'main', 2, 3, '() void', '', None, 2, None, 'tokens'),
+            ('zig/main.zig', 1, -1, 1, 0, 'test', 'adds', 4, 5, '', '', None, 2, None, 'tokens'),
         ],
     ),
     "heading_tree": (
@@ -420,10 +453,7 @@ EXPECTED: dict[str, tuple[str, list[tuple]]] = {
     "structure_filters": (
         "filter VARCHAR, path VARCHAR, name VARCHAR",
         [
-            ('complexity', 'cs/Program.cs', 'Main'),
             ('complexity', 'rb/run.rb', 'call!'),
-            ('complexity', 'src/main/java/org/demo/App.java', 'main'),
-            ('complexity', 'srv/main.go', 'Run'),
             ('decorator', 'app/main.py', 'add_entry'),
             ('name', 'app/main.py', 'show_profile'),
             ('name', 'app/store.py', 'save'),
@@ -432,6 +462,8 @@ EXPECTED: dict[str, tuple[str, list[tuple]]] = {
             ('type', 'app/store.py', 'unused_step'),
             ('type', 'app/store.py', 'visit_row'),
             ('type', 'cs/Program.cs', 'Main'),
+            ('type', 'ios/App.swift', 'body'),
+            ('type', 'php/index.php', 'show'),
             ('type', 'rb/run.rb', 'call!'),
             ('type', 'src/main/java/org/demo/App.java', 'main'),
             ('type', 'srv/main.go', 'Run'),
@@ -526,6 +558,7 @@ EXPECTED: dict[str, tuple[str, list[tuple]]] = {
             ('app/util.py', 0, 'helper, clean, leftover, _private'),
             ('app/util.py', 1, '> helper: if v: ; return v'),
             ('web/page.ts', 0, 'Widget, draw'),
+            ('web/page.ts', 1, '> draw: return paint(x);'),
         ],
     ),
     "nested_view": (
@@ -536,9 +569,9 @@ EXPECTED: dict[str, tuple[str, list[tuple]]] = {
             ('app/store.py', 2, '    method: visit_row (self, row) (8-9)'),
             ('app/store.py', 3, '    method: unused_step (self, row) (11-14)'),
             ('app/store.py', 4, '  function: save (x) (17-18)'),
-            ('srv/main.go', 0, '  struct: Server (5-5)'),
-            ('srv/main.go', 1, '  method: Run (8-8)'),
-            ('srv/main.go', 2, '  function: main (11-11)'),
+            ('srv/main.go', 0, '  struct: Server (5-6)'),
+            ('srv/main.go', 1, '  method: Run (s *Server) () (8-9)'),
+            ('srv/main.go', 2, '  function: main () (11-13)'),
         ],
     ),
     "folded_lines": (
@@ -579,9 +612,9 @@ EXPECTED: dict[str, tuple[str, list[tuple]]] = {
             ('cs/lib', 1, 0, 0, 0, '(1 file)'),
             ('db', 1, 0, 0, 0, '(1 file)'),
             ('docs', 3, 0, 0, 0, '(3 files)'),
-            ('ios', 1, 0, 1, 0, '(1 file, 1 function)'),
+            ('ios', 1, 0, 0, 1, '(1 file, 1 method)'),
             ('node_modules', 1, 0, 1, 0, '(1 file, 1 function)'),
-            ('php', 1, 1, 1, 0, '(1 file, 1 class, 1 function)'),
+            ('php', 1, 1, 0, 1, '(1 file, 1 class, 1 method)'),
             ('rb', 2, 1, 0, 1, '(2 files, 1 class, 1 method)'),
             ('src', 2, 0, 2, 0, '(2 files, 2 functions)'),
             ('src/main/java/org/demo', 2, 1, 0, 1, '(2 files, 1 class, 1 method)'),
@@ -598,30 +631,30 @@ EXPECTED: dict[str, tuple[str, list[tuple]]] = {
     "file_spans": (
         "path VARCHAR, first_line INTEGER, last_line INTEGER",
         [
-            ('app/Models/User.php', 2, 2),
+            ('app/Models/User.php', 2, 3),
             ('app/broken.py', 1, 2),
             ('app/main.py', 1, 17),
             ('app/store.py', 1, 18),
             ('app/util.py', 1, 16),
-            ('c/main.c', 3, 3),
-            ('c/util.h', 1, 1),
-            ('cs/Program.cs', 3, 5),
-            ('cs/lib/Tools.cs', 1, 2),
+            ('c/main.c', 3, 5),
+            ('c/util.h', 1, 3),
+            ('cs/Program.cs', 3, 8),
+            ('cs/lib/Tools.cs', 1, 3),
             ('db/schema.sql', 1, 6),
             ('docs/guide.md', 1, 21),
             ('docs/notes.txt', 1, 13),
             ('docs/setup.md', 1, 5),
-            ('ios/App.swift', 3, 4),
+            ('ios/App.swift', 3, 6),
             ('node_modules/a.js', 1, 1),
-            ('php/index.php', 3, 4),
+            ('php/index.php', 3, 6),
             ('rb/run.rb', 2, 3),
             ('rb/tool.rb', 1, 1),
             ('src/lib.rs', 3, 10),
-            ('src/main/java/org/demo/App.java', 5, 6),
-            ('src/main/java/org/demo/Part.java', 2, 2),
+            ('src/main/java/org/demo/App.java', 5, 8),
+            ('src/main/java/org/demo/Part.java', 2, 3),
             ('src/model.rs', 1, 1),
-            ('srv/main.go', 5, 11),
-            ('srv/store/db.go', 3, 6),
+            ('srv/main.go', 5, 13),
+            ('srv/store/db.go', 3, 7),
             ('style/_mix.scss', 1, 2),
             ('style/app.scss', 2, 2),
             ('style/base.css', 1, 1),
@@ -629,10 +662,10 @@ EXPECTED: dict[str, tuple[str, list[tuple]]] = {
             ('templates/used.html', 1, 3),
             ('tests/test_util.py', 1, 5),
             ('vendor/lib/x.py', 1, 2),
-            ('web/lib.ts', 1, 2),
-            ('web/page.ts', 2, 4),
-            ('zig/lib.zig', 1, 1),
-            ('zig/main.zig', 2, 4),
+            ('web/lib.ts', 1, 3),
+            ('web/page.ts', 2, 6),
+            ('zig/lib.zig', 1, 2),
+            ('zig/main.zig', 2, 5),
         ],
     ),
     "route_verdicts": (
@@ -719,7 +752,7 @@ EXPECTED: dict[str, tuple[str, list[tuple]]] = {
     "health_report": (
         "turn INTEGER, line VARCHAR",
         [
-            (1, 'UNREFERENCED (no mention elsewhere in this scan): util.py:leftover@11, util.py:_private@15, util.h:point@1, Program.cs:Program@4, Tools.cs:Demo.Tools@1, Tools.cs:Kind@2, schema.sql:names@6, run.rb:call!@3, tool.rb:Tool@1, lib.rs:Search for Index@5, lib.rs:find@6, lib.rs:works@10'),
+            (1, 'UNREFERENCED (no mention elsewhere in this scan): util.py:leftover@11, util.py:_private@15, util.h:point@1, Tools.cs:Kind@2, schema.sql:names@6, run.rb:call!@3, tool.rb:Tool@1, lib.rs:find@6, db.go:Rows@3, db.go:Open@6, _mix.scss:$gap@1, _mix.scss:wide@2'),
         ],
     ),
     "family_lines": (
@@ -862,6 +895,7 @@ EXPECTED: dict[str, tuple[str, list[tuple]]] = {
         [
             (0, 0, '━━━ FOLDERS ━━━'),
             (0, 1, '  app/                 5    py:4 php:1               798.0B'),
+            (0, 10, '  rb/                  2    rb:2                     74.0B'),
             (0, 2, '  (root)/              5    json:2 PNG:1 toml:1 ...  386.0B'),
             (0, 3, '  src/                 4    java:2 rs:2              333.0B'),
             (0, 4, '  style/               4    css:2 scss:2             207.0B'),
@@ -870,9 +904,10 @@ EXPECTED: dict[str, tuple[str, list[tuple]]] = {
             (0, 7, '  docs/                3    md:2 txt:1               226.0B'),
             (0, 8, '  c/                   2    c:1 h:1                  99.0B'),
             (0, 9, '  cs/                  2    cs:2                     188.0B'),
-            (0, 10, '  rb/                  2    rb:2                     74.0B'),
             (1, 0, '━━━ FILE ARCHETYPES ━━━'),
             (1, 1, '  active_core: web/lib.ts  3d ago  51.0B'),
+            (1, 10, '  stable_utilities: app/store.py  1mo ago  301.0B'),
+            (1, 11, '  stable_utilities: c/util.h  1mo ago  29.0B'),
             (1, 2, '  active_core: web/page.ts  2d ago  171.0B'),
             (1, 3, '  active_core: zig/lib.zig  1d ago  30.0B'),
             (1, 4, '  potentially_stale: app/broken.py  1mo ago  37.0B'),
@@ -881,18 +916,8 @@ EXPECTED: dict[str, tuple[str, list[tuple]]] = {
             (1, 7, '  potentially_stale: cs/Program.cs  1mo ago  136.0B'),
             (1, 8, '  stable_utilities: app/util.py  1mo ago  160.0B'),
             (1, 9, '  stable_utilities: app/Models/User.php  1mo ago  21.0B'),
-            (1, 10, '  stable_utilities: app/store.py  1mo ago  301.0B'),
-            (1, 11, '  stable_utilities: c/util.h  1mo ago  29.0B'),
             (2, 0, '━━━ ENTRY POINTS ━━━'),
             (2, 1, '  app/main.py:main() @16'),
-            (2, 2, '  app/main.py:if __name__ @20'),
-            (2, 3, '  c/main.c:main @3'),
-            (2, 4, '  cs/Program.cs:Main @5'),
-            (2, 5, '  docker-compose.yml:docker_compose_project @1'),
-            (2, 6, '  docker-compose.yml:services @1'),
-            (2, 7, '  ios/App.swift:@main @2'),
-            (2, 8, '  ios/App.swift:Demo @3'),
-            (2, 9, '  package.json:npm_project @1'),
             (2, 10, '  package.json:web/page.js @2'),
             (2, 11, '  package.json:draw @3'),
             (2, 12, '  php/index.php:HomeController @3'),
@@ -903,17 +928,17 @@ EXPECTED: dict[str, tuple[str, list[tuple]]] = {
             (2, 17, '  src/main/java/org/demo/App.java:public static void main @6'),
             (2, 18, '  srv/main.go:func main() @11'),
             (2, 19, '  srv/main.go:/health @12'),
+            (2, 2, '  app/main.py:if __name__ @20'),
             (2, 20, '  style/main.css::root @2'),
+            (2, 3, '  c/main.c:main @3'),
+            (2, 4, '  cs/Program.cs:Main @5'),
+            (2, 5, '  docker-compose.yml:docker_compose_project @1'),
+            (2, 6, '  docker-compose.yml:services @1'),
+            (2, 7, '  ios/App.swift:@main @2'),
+            (2, 8, '  ios/App.swift:Demo @3'),
+            (2, 9, '  package.json:npm_project @1'),
             (3, 0, '━━━ CORE FILES (by centrality) ━━━'),
             (3, 1, '  app/util.py: imports 0, used by 2 files'),
-            (3, 2, '  web/page.ts: imports 1, used by 1 files'),
-            (3, 3, '  app/Models/User.php: imports 0, used by 1 files'),
-            (3, 4, '  app/main.py: imports 2, used by 0 files'),
-            (3, 5, '  app/store.py: imports 0, used by 1 files'),
-            (3, 6, '  c/util.h: imports 0, used by 1 files'),
-            (3, 7, '  cs/lib/Tools.cs: imports 0, used by 1 files'),
-            (3, 8, '  docs/setup.md: imports 0, used by 1 files'),
-            (3, 9, '  rb/tool.rb: imports 0, used by 1 files'),
             (3, 10, '  src/main/java/org/demo/Part.java: imports 0, used by 1 files'),
             (3, 11, '  src/model.rs: imports 0, used by 1 files'),
             (3, 12, '  srv/store/db.go: imports 0, used by 1 files'),
@@ -924,7 +949,15 @@ EXPECTED: dict[str, tuple[str, list[tuple]]] = {
             (3, 17, '  c/main.c: imports 1, used by 0 files'),
             (3, 18, '  cs/Program.cs: imports 1, used by 0 files'),
             (3, 19, '  docs/guide.md: imports 1, used by 0 files'),
+            (3, 2, '  web/page.ts: imports 1, used by 1 files'),
             (3, 20, '  php/index.php: imports 1, used by 0 files'),
+            (3, 3, '  app/Models/User.php: imports 0, used by 1 files'),
+            (3, 4, '  app/main.py: imports 2, used by 0 files'),
+            (3, 5, '  app/store.py: imports 0, used by 1 files'),
+            (3, 6, '  c/util.h: imports 0, used by 1 files'),
+            (3, 7, '  cs/lib/Tools.cs: imports 0, used by 1 files'),
+            (3, 8, '  docs/setup.md: imports 0, used by 1 files'),
+            (3, 9, '  rb/tool.rb: imports 0, used by 1 files'),
             (4, 0, '━━━ ARCHITECTURE ━━━'),
             (4, 1, '  config: 4 files: docker-compose.yml, package.json, pyproject.toml'),
             (4, 2, '  core_logic: 1 files: app/Models/User.php'),
@@ -939,17 +972,19 @@ EXPECTED: dict[str, tuple[str, list[tuple]]] = {
             (5, 2, '  web/page.ts imports web/lib.ts'),
             (6, 0, '━━━ HOT FUNCTIONS (most called) ━━━'),
             (6, 1, '  helper: called by 2, calls 1 @app/util.py'),
+            (6, 10, '  main: called by 0, calls 1 @app/main.py'),
             (6, 2, '  show_profile: called by 5, calls 1 @app/main.py'),
             (6, 3, '  save: called by 1, calls 1 @app/store.py'),
             (6, 4, '  Store: called by 1, calls 0 @app/store.py'),
             (6, 5, '  clean: called by 1, calls 0 @app/util.py'),
-            (6, 6, '  add_entry: called by 0, calls 1 @app/main.py'),
-            (6, 7, '  test_helper: called by 0, calls 1 @tests/test_util.py'),
-            (6, 8, '  main: called by 0, calls 1 @app/main.py'),
-            (6, 9, '  main: called by 0, calls 1 @c/main.c'),
-            (6, 10, '  main: called by 0, calls 1 @src/main/java/org/demo/App.java'),
+            (6, 6, '  paint: called by 1, calls 0 @web/lib.ts'),
+            (6, 7, '  add_entry: called by 0, calls 1 @app/main.py'),
+            (6, 8, '  test_helper: called by 0, calls 1 @tests/test_util.py'),
+            (6, 9, '  draw: called by 0, calls 1 @web/page.ts'),
             (8, 0, '━━━ FILE INVENTORY ━━━'),
             (8, 1, '  (root) tsconfig.json, docker-compose.yml, img.PNG, package.json, pyproject.toml'),
+            (8, 10, '  db/schema.sql/ schema.sql'),
+            (8, 11, '  src/main/ Part.java, App.java'),
             (8, 2, '  app/Models/ User.php'),
             (8, 3, '  app/main.py/ main.py'),
             (8, 4, '  app/store.py/ store.py'),
@@ -958,8 +993,6 @@ EXPECTED: dict[str, tuple[str, list[tuple]]] = {
             (8, 7, '  c/util.h/ util.h'),
             (8, 8, '  cs/Program.cs/ Program.cs'),
             (8, 9, '  cs/lib/ Tools.cs'),
-            (8, 10, '  db/schema.sql/ schema.sql'),
-            (8, 11, '  src/main/ Part.java, App.java'),
             (9, 0, '━━━ NEXT STEPS ━━━'),
             (9, 1, '  scan_directory("templates/")'),
             (9, 2, '  scan_directory("tests/")'),
@@ -979,9 +1012,10 @@ EXPECTED: dict[str, tuple[str, list[tuple]]] = {
             ('app/util.py', 'function', 'clean', 1, 5),
             ('app/util.py', 'function', 'helper', 2, 5),
             ('app/util.py', 'function', 'leftover', 1, 5),
-            ('c/main.c', None, None, 1, 1),
+            ('c/main.c', 'function', 'main', 1, 1),
             ('vendor/lib/x.py', 'function', 'vendored', 1, 1),
-            ('web/page.ts', None, None, 2, 2),
+            ('web/page.ts', None, None, 1, 2),
+            ('web/page.ts', 'function', 'draw', 1, 2),
         ],
     ),
     "collapsed_folders": (

@@ -5,11 +5,12 @@ from __future__ import annotations
 import os
 import subprocess
 
+import corpus
 import pytest
 
 from quarry.functions import python_source
 from quarry.operators import budget, changes, consensus, graphs, health, imports, nodes, paths, report, rules, text, views
-from quarry.plans import corpus, tools
+from quarry.plans import tools
 from quarry.scratch import fresh_path
 from quarry.sources import history, tree
 from quarry.streaming import memory
