@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.operators.rules import listed
+from quarry.operators.rules import listed, pattern
 
 _SCRIPTS = [".ts", ".tsx", ".js", ".jsx", ".mts", ".cts", ".mjs", ".cjs"]
 # Packages that are never files of the corpus.
@@ -88,6 +88,66 @@ def by_file_name(imports: DataFrame, files: DataFrame) -> DataFrame:
     return missed.join(first, "file").where("dst <> path").selectExpr("path as src", "dst").distinct()
 
 
+# Types of Swift that every program has, and words that look like types.
+SWIFT_TYPES = (
+    "Int Int8 Int16 Int32 Int64 UInt UInt8 UInt16 UInt32 UInt64 Float Double Bool String Character Void Never Any AnyObject AnyClass Array Dictionary Set Optional Date Data URL UUID Error NSObject NSError NSCoding "
+    "View Text Image Button VStack HStack ZStack List NavigationView NavigationStack NavigationLink Color Font CGFloat CGPoint CGSize CGRect UIView UIViewController UIColor UIImage UITableView UICollectionView UIButton UILabel "
+    "Codable Decodable Encodable Hashable Equatable Comparable Identifiable CustomStringConvertible ObservableObject Published Self self Type some"
+).split()
+_SWIFT_TYPE = r"(\[?\w+\]?(?:<[^>]+>)?(?:\?|!)?)"
+# where types are named: the pattern, its group, and what parts several of them
+_REFERENCES = [
+    (rf"(?:var|let)\s+\w+\s*:\s*{_SWIFT_TYPE}", 1, None), (rf"\(\s*(?:\w+\s+)?\w+\s*:\s*{_SWIFT_TYPE}", 1, None), (rf"->\s*{_SWIFT_TYPE}", 1, None), (r"\b([A-Z]\w+)\s*\(", 1, None),
+    (r"(?:struct|class|enum|actor|extension)\s+\w+(?:<[^>]+>)?\s*:\s*([^{]+)\{", 1, ","), (r"\bas[?!]?\s+([A-Z]\w+)", 1, None), (r"<([^>]+)>", 1, "[,:]"),
+]
+
+
+def type_references(files: DataFrame) -> DataFrame:
+    """(path, language, name) of the types that Swift files name, without those that every program has."""
+    found = []
+    for expression, group, parts in _REFERENCES:
+        held = f"regexp_extract_all(content, {pattern(expression)}, {group})"
+        cut = {None: "regexp_replace({}, '[\\\\[\\\\]<>?!].*', '')", ",": "regexp_replace({}, '<.*', '')", "[,:]": "{}"}[parts]
+        held = held if parts is None else f"flatten(transform({held}, t -> split(t, '{parts}')))"
+        found.append(f"transform({held}, x -> trim({cut.format('x')}))")
+    names = f"array_distinct(filter(flatten(array({', '.join(found)})), x -> x rlike '^\\\\p{{Lu}}'))"
+    rows = files.where("language = 'swift' and content is not null").selectExpr("path", "language", f"explode({names}) as name")
+    return rows.where(f"name not in ({listed(SWIFT_TYPES)})")
+
+
+_GO_BLOCK, _PHP_GROUP = r"^import\s*\(([^)]*)\)", r"^\s*use\s+(?:function\s+|const\s+)?([\w\\]+?)\\?\s*\{([^}]+)\}\s*;"
+#: A use tree is read from left to right: an opening bracket begins a level below what stands before it.
+_EMIT = "if(s.pending = '', s.out, array_append(s.out, struct(s.levels[0] as base, s.pending as name)))"
+_FOLD = f"""aggregate(regexp_extract_all(tree, '[{{}},]|[^{{}},]+', 0), cast(struct(array('') as levels, '' as pending, array() as out) as struct<levels:array<string>,pending:string,out:array<struct<base:string,name:string>>>), (s, t) -> case
+  when t = '{{' then struct(concat(array(concat(s.levels[0], s.pending)), s.levels) as levels, '' as pending, s.out as out)
+  when t = ',' then struct(s.levels as levels, '' as pending, {_EMIT} as out)
+  when t = '}}' then struct(slice(s.levels, 2, size(s.levels)) as levels, '' as pending, {_EMIT} as out)
+  else struct(s.levels as levels, btrim(t, ' \\n\\t\\r') as pending, s.out as out) end, s -> {_EMIT})"""
+
+
+def _pieces(files: DataFrame, language: str, begins: str) -> DataFrame:
+    """(path, language, line_no, piece): the file from each beginning to the next, with its line."""
+    parts = files.where(F.col("language") == language).selectExpr("path", "language", f"posexplode(split(content, {pattern(begins)})) as (at, piece)")
+    before = "over (partition by path order by at rows between unbounded preceding and 1 preceding)"
+    return parts.selectExpr("path", "language", f"cast(1 + coalesce(sum(length(piece) - length(replace(piece, '\\n', ''))) {before}, 0) as int) as line_no", "piece")
+
+
+def grouped(files: DataFrame) -> DataFrame:
+    """(path, language, line_no, type, name, names) of import blocks of Go, use trees of Rust and groups of PHP; names are those taken
+    from the module (Go: its alias), the line is that of the block's beginning."""
+    go = _pieces(files, "go", r"(?m)(?=^import\s*\()").selectExpr("path", "language", "line_no", f"explode(split(regexp_extract(piece, {pattern(_GO_BLOCK)}, 1), '\\n')) as line").where("not line rlike '^\\\\s*//'")
+    go = go.selectExpr("path", "language", "line_no", "'import' as type", "regexp_extract(line, '\"([^\"]+)\"', 1) as name", "filter(array(regexp_extract(line, '(\\\\w+)\\\\s+\"', 1)), x -> x <> '') as names").where("name <> ''")
+    php = _pieces(files, "php", r"(?m)(?=^[ \t]*use\s)").selectExpr("path", "language", "line_no", f"regexp_extract(piece, {pattern(_PHP_GROUP)}, 1) as base", f"regexp_extract(piece, {pattern(_PHP_GROUP)}, 2) as items").where("base <> ''")
+    php = php.selectExpr("path", "language", "line_no", "base", "explode(filter(transform(split(items, ','), x -> btrim(split(x, ' as ')[0], ' \\n\\t\\r')), x -> x <> '')) as item").selectExpr("path", "language", "line_no", "'use_grouped' as type", "concat(base, '\\\\', item) as name", "cast(array() as array<string>) as names")
+    trees = _pieces(files, "rust", r"(?m)(?=^[ \t]*(?:pub(?:\([^)]*\))?\s+)?use\s)").selectExpr("path", "language", "line_no", "regexp_extract(piece, '^\\\\s*(?:pub(?:[(][^)]*[)])?\\\\s+)?use\\\\s+([^;]+);', 1) as tree").where("tree <> ''")
+    leaves = trees.selectExpr("path", "language", "line_no", f"{_FOLD} as leaves")
+    bases = leaves.selectExpr("path", "language", "line_no", "leaves", "explode(array_distinct(transform(leaves, x -> if(x.base = '', x.name, x.base)))) as base")
+    root = "case when base like 'super::%' or base like 'self::%' then 'relative' when base like 'crate::%' then 'crate' when base like '::%' then 'absolute' when base like 'std::%' then 'std' else 'use' end"
+    rust = bases.selectExpr("path", "language", "line_no", f"case when base like '%::' then 'use' when base like '% as %' then 'use_as' else {root} end as type", "trim(split(regexp_replace(base, '::$', ''), ' as ')[0]) as name",
+                            "if(base like '%::', transform(filter(leaves, x -> x.base = base), x -> btrim(split(x.name, ' as ')[0], ' \\n\\t\\r')), filter(array(trim(get(split(base, ' as '), 1))), x -> x is not null)) as names")
+    return go.unionByName(php).unionByName(rust)
+
+
 def by_type(imports: DataFrame, definitions: DataFrame) -> DataFrame:
     """(src, dst): for Swift the file of the first definition (file, name, line) of a type's name, by file and line."""
     first = definitions.groupBy("name").agg(F.expr("min_by(file, struct(file, line))").alias("dst"))

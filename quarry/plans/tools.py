@@ -13,8 +13,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions import brackets, config_files, pattern_tables, python_source, scoring
-from quarry.operators import budget, changes, condense, consensus, declarations, graphs, health, imports, markup, nodes, paths, ranking, report, rules, text, views
+from quarry.functions import brackets, config_files, pattern_tables, python_source, scoring, sql_text
+from quarry.operators import budget, changes, condense, consensus, declarations, entries, graphs, health, imports, markup, nodes, paths, ranking, report, rules, text, views
 from quarry.operators.rules import listed
 from quarry.scratch import staged
 from quarry.sources import history, tree
@@ -36,7 +36,7 @@ def parsed(files: DataFrame, languages: Collection[str] | None = None, declared:
     the former's names marked.  languages: those that the files have, if known."""
     has = lambda *names: languages is None or any(n in languages for n in names)
     parts = []
-    flat = files.where("language not in ('python', 'markdown', 'text', 'html')")
+    flat = files.where("language not in ('python', 'markdown', 'text', 'html', 'sql')")
     if has("python"):
         python = staged(python_source.nodes(files.where("language = 'python'")), "python-nodes")
         failed = python.where("type = 'parse-error'").select("path")
@@ -50,6 +50,9 @@ def parsed(files: DataFrame, languages: Collection[str] | None = None, declared:
         found = pattern_tables.structures(flat, languages)
         one = found.selectExpr("path", "type", "if(language = 'python', concat(name, ' (fallback)'), name) as name", "line_no as start_line", "line_no as end_line", "row_number() over (partition by path order by line_no, type, name) - 1 as node_id").selectExpr("*", "-1 as parent_id", "node_id as last_desc_id", "0 as depth")
         parts.append(_shaped(one, "pattern"))
+    if has("sql"):
+        made = sql_text.structures(files.where("language = 'sql'"))
+        parts.append(_shaped(made.selectExpr("path", "type", "name", "start_line", "end_line", "array_join(columns, ', ') as signature", "row_number() over (partition by path order by start_line, name) - 1 as node_id").selectExpr("*", "-1 as parent_id", "node_id as last_desc_id", "0 as depth"), "statements"))
     if has("html"):
         parts.append(_shaped(markup.elements(files.where("language = 'html'")), "markup"))
     if has("markdown"):
@@ -140,6 +143,8 @@ class Facts:
     @cached_property
     def entry_points(self) -> DataFrame:
         found = pattern_tables.entry_points(self.files, self.languages).selectExpr("path", "language", "type", "name", "line_no as line", "cast(null as string) as framework")
+        if self.languages & set(entries.MARKS):
+            found = found.unionByName(entries.marked(self.files))
         if "config" not in self.languages:
             return staged(found, "facts-entry-points")
         config = config_files.entry_points(self.files.where("language = 'config'")).selectExpr("path", "'config' as language", "type", "name", "line", "framework")
@@ -148,6 +153,10 @@ class Facts:
     @cached_property
     def imports(self) -> DataFrame:
         found = pattern_tables.imports(self.files, self.languages).selectExpr("path", "language", "name")
+        if self.languages & {"go", "php", "rust"}:
+            found = found.unionByName(imports.grouped(self.files).select("path", "language", "name"))
+        if "swift" in self.languages:
+            found = found.unionByName(imports.type_references(self.files))
         if "config" not in self.languages:
             return staged(found, "facts-imports")
         config = config_files.imports(self.files.where("language = 'config'")).selectExpr("path", "'config' as language", "name")
@@ -276,7 +285,7 @@ def directory_view(facts: Facts) -> DataFrame:
 
 def health_of(facts: Facts) -> DataFrame:
     """(turn, line) on definitions that nothing mentions and equal blocks."""
-    named = health.flaggable(facts.nodes.where("tier in ('syntax', 'tokens', 'pattern') and name not like '% (fallback)'"), facts.entry_points.select("name").where("name is not null"))
+    named = health.flaggable(facts.nodes.where("tier in ('syntax', 'tokens', 'statements', 'pattern') and name not like '% (fallback)'"), facts.entry_points.select("name").where("name is not null"))
     alone = text.unreferenced(named.selectExpr("path", "name", "start_line"), text.word_counts(facts.files))
     blocks = _content(facts).where("type in ('function', 'method', 'class')").selectExpr("path", "start_line", "array_join(slice(split(content, '\\n'), start_line, end_line - start_line + 1), '\\n') as body")
     return report.health_lines(alone, text.duplicate_blocks(blocks))
@@ -293,7 +302,8 @@ def preview(files: DataFrame, depth: str = "deep", commits: DataFrame | None = N
     parts = [("FOLDERS", report.preview_lines(tops, paths.extensions(files)))]
     if depth == "quick":
         return report.architecture_lines(parts)
-    ages = facts.files.selectExpr("path", "coalesce((max(mtime) over () - mtime) / 86400, 0) as age", "size")
+    newest = facts.files.agg(F.max("mtime").alias("newest"))  # one row
+    ages = facts.files.crossJoin(F.broadcast(newest)).selectExpr("path", "coalesce((newest - mtime) / 86400, 0) as age", "size")
     kinds = ranking.first_by_archetype(ranking.archetypes(ages.join(facts.file_nodes.select("path", F.col("n_importers").alias("importers")), "path")).join(ages, "path").join(facts.file_nodes.select("path", F.col("n_importers").alias("importers")), "path"))
     parts.append(("FILE ARCHETYPES", report.numbered(kinds, "archetype, rank", f"concat(archetype, ': ', path, '  ', {views.age_label('age')}, '  ', {views.size_label('size')})")))
     entries = ranking.last_by(facts.entry_points, ["path", "name"], "line").orderBy("path", "line", "name").limit(20)

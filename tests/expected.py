@@ -156,7 +156,6 @@ EXPECTED: dict[str, tuple[str, list[tuple]]] = {
             ('ios/App.swift', 'swift', 1, 'import', 'SwiftUI'),
             ('php/index.php', 'php', 2, 'use', 'App\\Models\\User'),
             ('rb/run.rb', 'ruby', 1, 'require_relative', './tool'),
-            ('src/lib.rs', 'rust', 1, 'use', 'crate::model::Item'),
             ('src/main/java/org/demo/App.java', 'java', 2, 'import', 'org.demo.Part'),
             ('src/main/java/org/demo/App.java', 'java', 3, 'import', 'java.util.List'),
             ('src/main/java/org/demo/App.java', 'java', 4, 'import', 'org.demo.*'),
@@ -178,7 +177,7 @@ EXPECTED: dict[str, tuple[str, list[tuple]]] = {
             ('docker-compose.yml', 'project_config', 'docker_compose_project', 1, 'docker_compose_project @1'),
             ('docker-compose.yml', 'services_section', 'services', 1, 'services @1'),
             ('ios/App.swift', 'app', 'Demo', 3, 'Demo @3'),
-            ('ios/App.swift', 'main_attribute', '@main', 2, '@main @2'),
+            ('ios/App.swift', 'main_type', 'Demo', 2, 'Demo @2'),
             ('package.json', 'bin_script', 'draw', 3, 'draw @3'),
             ('package.json', 'main_entry', 'web/page.js', 2, 'web/page.js @2'),
             ('package.json', 'project_config', 'npm_project', 1, 'npm_project @1'),
@@ -186,7 +185,7 @@ EXPECTED: dict[str, tuple[str, list[tuple]]] = {
             ('php/index.php', 'route', '/home', 7, '/home @7'),
             ('pyproject.toml', 'project_config', 'python_project', 1, 'python_project @1'),
             ('pyproject.toml', 'scripts_section', 'project_scripts', 1, 'project_scripts @1'),
-            ('src/lib.rs', 'test', 'test', 9, 'test @9'),
+            ('src/lib.rs', 'test', 'works', 9, 'works @9'),
             ('src/main/java/org/demo/App.java', 'main_function', 'main', 6, 'public static void main @6'),
             ('srv/main.go', 'http_handler', '/health', 12, '/health @12'),
             ('srv/main.go', 'main_function', 'main', 11, 'func main() @11'),
@@ -257,6 +256,7 @@ EXPECTED: dict[str, tuple[str, list[tuple]]] = {
             ('c/main.c', 'c/util.h'),
             ('cs/Program.cs', 'cs/lib/Tools.cs'),
             ('docs/guide.md', 'docs/setup.md'),
+            ('ios/App.swift', 'src/main/java/org/demo/App.java'),
             ('php/index.php', 'app/Models/User.php'),
             ('rb/run.rb', 'rb/tool.rb'),
             ('src/lib.rs', 'src/model.rs'),
@@ -346,6 +346,8 @@ EXPECTED: dict[str, tuple[str, list[tuple]]] = {
             ('cs/Program.cs', 2, 1, 2, 2, 'method', 'Main', 5, 6, '(string[] args) : void', '', None, 2, None, 'tokens'),
             ('cs/lib/Tools.cs', 0, -1, 1, 0, 'namespace', 'Demo.Tools', 1, 3, '', '', None, 3, None, 'tokens'),
             ('cs/lib/Tools.cs', 1, 0, 1, 1, 'enum', 'Kind', 2, 2, '', '', None, 1, None, 'tokens'),
+            ('db/schema.sql', 0, -1, 0, 0, 'table', 'users', 1, 5, 'id bigint, name varchar(40)', '', None, None, None, 'statements'),
+            ('db/schema.sql', 1, -1, 1, 0, 'view', 'names', 6, 6, '', '', None, None, None, 'statements'),
             ('docs/guide.md', 0, -1, 4, 0, 'heading-1', 'Guide', 1, 18, None, '', None, None, None, 'lines'),
             ('docs/guide.md', 1, 0, 2, 1, 'heading-2', 'Install', 5, 10, None, '', None, None, None, 'lines'),
             ('docs/guide.md', 2, 1, 2, 1, 'code-block', 'code block (bash)', 7, 10, None, '', None, None, None, 'lines'),
@@ -805,6 +807,7 @@ EXPECTED: dict[str, tuple[str, list[tuple]]] = {
             ('cs/lib/Tools.cs',),
             ('docs/guide.md',),
             ('docs/setup.md',),
+            ('ios/App.swift',),
             ('php/index.php',),
             ('rb/run.rb',),
             ('rb/tool.rb',),
@@ -839,7 +842,7 @@ EXPECTED: dict[str, tuple[str, list[tuple]]] = {
             ('cs/Program.cs/', 'Program.cs', 0),
             ('cs/lib/', 'Tools.cs', 0),
             ('db/schema.sql/', 'schema.sql', 0),
-            ('src/main/', 'Part.java, App.java', 0),
+            ('src/main/', 'App.java, Part.java', 0),
         ],
     ),
     "cluster_totals": (
@@ -918,46 +921,46 @@ EXPECTED: dict[str, tuple[str, list[tuple]]] = {
             (1, 9, '  stable_utilities: app/Models/User.php  1mo ago  21.0B'),
             (2, 0, '━━━ ENTRY POINTS ━━━'),
             (2, 1, '  app/main.py:main() @16'),
-            (2, 10, '  package.json:web/page.js @2'),
-            (2, 11, '  package.json:draw @3'),
-            (2, 12, '  php/index.php:HomeController @3'),
-            (2, 13, '  php/index.php:/home @7'),
-            (2, 14, '  pyproject.toml:project_scripts @1'),
-            (2, 15, '  pyproject.toml:python_project @1'),
-            (2, 16, '  src/lib.rs:test @9'),
-            (2, 17, '  src/main/java/org/demo/App.java:public static void main @6'),
-            (2, 18, '  srv/main.go:func main() @11'),
-            (2, 19, '  srv/main.go:/health @12'),
+            (2, 10, '  package.json:draw @3'),
+            (2, 11, '  php/index.php:HomeController @3'),
+            (2, 12, '  php/index.php:/home @7'),
+            (2, 13, '  pyproject.toml:project_scripts @1'),
+            (2, 14, '  pyproject.toml:python_project @1'),
+            (2, 15, '  src/lib.rs:works @9'),
+            (2, 16, '  src/main/java/org/demo/App.java:public static void main @6'),
+            (2, 17, '  srv/main.go:func main() @11'),
+            (2, 18, '  srv/main.go:/health @12'),
+            (2, 19, '  style/main.css::root @2'),
             (2, 2, '  app/main.py:if __name__ @20'),
-            (2, 20, '  style/main.css::root @2'),
+            (2, 20, '  tsconfig.json:typescript_project @1'),
             (2, 3, '  c/main.c:main @3'),
             (2, 4, '  cs/Program.cs:Main @5'),
             (2, 5, '  docker-compose.yml:docker_compose_project @1'),
             (2, 6, '  docker-compose.yml:services @1'),
-            (2, 7, '  ios/App.swift:@main @2'),
-            (2, 8, '  ios/App.swift:Demo @3'),
-            (2, 9, '  package.json:npm_project @1'),
+            (2, 7, '  ios/App.swift:Demo @3'),
+            (2, 8, '  package.json:npm_project @1'),
+            (2, 9, '  package.json:web/page.js @2'),
             (3, 0, '━━━ CORE FILES (by centrality) ━━━'),
             (3, 1, '  app/util.py: imports 0, used by 2 files'),
-            (3, 10, '  src/main/java/org/demo/Part.java: imports 0, used by 1 files'),
-            (3, 11, '  src/model.rs: imports 0, used by 1 files'),
-            (3, 12, '  srv/store/db.go: imports 0, used by 1 files'),
-            (3, 13, '  style/_mix.scss: imports 0, used by 1 files'),
-            (3, 14, '  style/base.css: imports 0, used by 1 files'),
-            (3, 15, '  web/lib.ts: imports 0, used by 1 files'),
-            (3, 16, '  zig/lib.zig: imports 0, used by 1 files'),
-            (3, 17, '  c/main.c: imports 1, used by 0 files'),
-            (3, 18, '  cs/Program.cs: imports 1, used by 0 files'),
-            (3, 19, '  docs/guide.md: imports 1, used by 0 files'),
-            (3, 2, '  web/page.ts: imports 1, used by 1 files'),
-            (3, 20, '  php/index.php: imports 1, used by 0 files'),
-            (3, 3, '  app/Models/User.php: imports 0, used by 1 files'),
-            (3, 4, '  app/main.py: imports 2, used by 0 files'),
-            (3, 5, '  app/store.py: imports 0, used by 1 files'),
-            (3, 6, '  c/util.h: imports 0, used by 1 files'),
-            (3, 7, '  cs/lib/Tools.cs: imports 0, used by 1 files'),
-            (3, 8, '  docs/setup.md: imports 0, used by 1 files'),
-            (3, 9, '  rb/tool.rb: imports 0, used by 1 files'),
+            (3, 10, '  rb/tool.rb: imports 0, used by 1 files'),
+            (3, 11, '  src/main/java/org/demo/Part.java: imports 0, used by 1 files'),
+            (3, 12, '  src/model.rs: imports 0, used by 1 files'),
+            (3, 13, '  srv/store/db.go: imports 0, used by 1 files'),
+            (3, 14, '  style/_mix.scss: imports 0, used by 1 files'),
+            (3, 15, '  style/base.css: imports 0, used by 1 files'),
+            (3, 16, '  web/lib.ts: imports 0, used by 1 files'),
+            (3, 17, '  zig/lib.zig: imports 0, used by 1 files'),
+            (3, 18, '  c/main.c: imports 1, used by 0 files'),
+            (3, 19, '  cs/Program.cs: imports 1, used by 0 files'),
+            (3, 2, '  src/main/java/org/demo/App.java: imports 1, used by 1 files'),
+            (3, 20, '  docs/guide.md: imports 1, used by 0 files'),
+            (3, 3, '  web/page.ts: imports 1, used by 1 files'),
+            (3, 4, '  app/Models/User.php: imports 0, used by 1 files'),
+            (3, 5, '  app/main.py: imports 2, used by 0 files'),
+            (3, 6, '  app/store.py: imports 0, used by 1 files'),
+            (3, 7, '  c/util.h: imports 0, used by 1 files'),
+            (3, 8, '  cs/lib/Tools.cs: imports 0, used by 1 files'),
+            (3, 9, '  docs/setup.md: imports 0, used by 1 files'),
             (4, 0, '━━━ ARCHITECTURE ━━━'),
             (4, 1, '  config: 4 files: docker-compose.yml, package.json, pyproject.toml'),
             (4, 2, '  core_logic: 1 files: app/Models/User.php'),
@@ -969,7 +972,8 @@ EXPECTED: dict[str, tuple[str, list[tuple]]] = {
             (4, 8, '  utilities: 2 files: style/_mix.scss, style/base.css'),
             (5, 0, '━━━ KEY DEPENDENCIES ━━━'),
             (5, 1, '  app/main.py imports app/store.py, app/util.py'),
-            (5, 2, '  web/page.ts imports web/lib.ts'),
+            (5, 2, '  src/main/java/org/demo/App.java imports src/main/java/org/demo/Part.java'),
+            (5, 3, '  web/page.ts imports web/lib.ts'),
             (6, 0, '━━━ HOT FUNCTIONS (most called) ━━━'),
             (6, 1, '  helper: called by 2, calls 1 @app/util.py'),
             (6, 10, '  main: called by 0, calls 1 @app/main.py'),
@@ -984,7 +988,7 @@ EXPECTED: dict[str, tuple[str, list[tuple]]] = {
             (8, 0, '━━━ FILE INVENTORY ━━━'),
             (8, 1, '  (root) tsconfig.json, docker-compose.yml, img.PNG, package.json, pyproject.toml'),
             (8, 10, '  db/schema.sql/ schema.sql'),
-            (8, 11, '  src/main/ Part.java, App.java'),
+            (8, 11, '  src/main/ App.java, Part.java'),
             (8, 2, '  app/Models/ User.php'),
             (8, 3, '  app/main.py/ main.py'),
             (8, 4, '  app/store.py/ store.py'),

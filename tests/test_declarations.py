@@ -110,3 +110,34 @@ def test_blanking_keeps_length_and_lines(language):
     got = brackets.blanked(text, language)
     assert len(got) == len(text) and [k for k, c in enumerate(got) if c == "\n"] == [k for k, c in enumerate(text) if c == "\n"]
     assert got.count("{") <= 3 and "g" in got
+
+
+def test_marks_name_what_follows(spark):
+    from quarry.operators import entries
+
+    sources = {"A.java": '@Controller class Here {}\n@RestController\n@RequestMapping("/x")\n// class Not\nfinal class Later {}\n@WebServlet(name = "s", urlPatterns = {"/u"})\n', "b.rs": "#[actix_web::test] async fn a() {}\n#[cfg(test)]\nmod tests {}\n#[bench]\n\n  fn b() {}\n", "c.cs": "[HttpGet]\n[Authorize]\npublic IActionResult Get(int x) {}\n [HttpPut]\n", "d.swift": "@main\nfunc x() {}\n"}
+    got = {tuple(r) for r in entries.marked(table(spark, sources)).drop("language").collect()}
+    assert got == {
+        ("A.java", "controller", "Here", 1, "Spring"), ("A.java", "rest_controller", "Not", 2, "Spring"), ("A.java", "servlet", "Unknown:/u", 6, "Servlet"),
+        ("b.rs", "async_test", "a", 1, "actix_web"), ("b.rs", "benchmark", "b", 4, None), ("c.cs", "http_handler", "Get", 1, "ASP.NET"), ("c.cs", "http_handler", "ActionMethod", 4, "ASP.NET"),
+    }
+    assert entries.marked(table(spark, {"x.py": "@main\n"})).count() == 0
+
+
+def test_groups_of_imports(spark):
+    from quarry.operators import imports
+
+    sources = {"a.rs": "use a::{b, c::{self, d as e, f::{g}}, h};\nuse {x, y::z};\npub(crate) use super::k::{l};\n", "b.go": 'package b\nimport (\n)\nimport (\n\t. "m/n" // c\n)\n', "c.php": "<?php\nuse function A\\{f, g as h};\n  use B\\C;\n", "d.rs": ""}
+    got = {(r["path"], r["line_no"], r["type"], r["name"], " ".join(r["names"])) for r in imports.grouped(table(spark, sources)).collect()}
+    assert got == {("a.rs", 1, "use", "a", "b h"), ("a.rs", 1, "use", "a::c", "self d"), ("a.rs", 1, "use", "a::c::f", "g"), ("a.rs", 2, "use", "x", ""), ("a.rs", 2, "use", "y::z", ""), ("a.rs", 3, "use", "super::k", "l"), ("b.go", 4, "import", "m/n", ""), ("c.php", 2, "use_grouped", "A\\f", ""), ("c.php", 2, "use_grouped", "A\\g", "")}
+
+
+def test_sql_statements_and_dialects(spark):
+    from quarry.functions import sql_text
+
+    text = "-- a; b\nCREATE TABLE `t` (\n a int(11) UNSIGNED, 'x;y' varchar(3),\n  CONSTRAINT k UNIQUE (a)\n) ENGINE=InnoDB;;\n/* c; */ SELECT 1; DO $x$ BEGIN; END $x$;\nCREATE OR REPLACE FUNCTION f(a int) RETURNS int AS $$ SELECT ';' $$;\ncreate index i on t (a)"
+    files = table(spark, {"a.sql": text, "b.sql": "", "c.sql": "pragma x; create table u (a int) without rowid"})
+    got = {(r["path"], r["turn"], r["start_line"], r["end_line"]) for r in sql_text.statements(files).collect()}
+    assert got == {("a.sql", 1, 2, 5), ("a.sql", 2, 6, 6), ("a.sql", 3, 6, 6), ("a.sql", 4, 7, 7), ("a.sql", 5, 8, 8), ("c.sql", 1, 1, 1), ("c.sql", 2, 1, 1)}
+    made = {(r["path"], r["dialect"], r["type"], r["name"], tuple(r["columns"])) for r in sql_text.structures(files).collect()}
+    assert made == {("a.sql", "mysql", "table", "t", ("a int(11)", "'x;y' varchar(3)")), ("a.sql", "mysql", "function", "f", ()), ("a.sql", "mysql", "index", "i", ()), ("c.sql", "sqlite", "table", "u", ("a int",))}
