@@ -26,6 +26,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.scratch import staged
+
 #: Most texts are told apart by a cheap look first.
 DIGIT = "rlike(body, '[0-9]')"
 # The plain patterns are email [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+,
@@ -175,7 +177,7 @@ def fit(cands: DataFrame) -> dict[str, float]:
 def find(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, span_list."""
     body = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.expr("coalesce(text, '')").alias("body"))
-    cands = with_candidates(body)
+    cands = staged(with_candidates(body), "personal-candidates")  # read twice, to fit and to score; some per cent of the text
     weights = fit(cands)
     table = F.create_map(*[F.lit(x) for f, w in sorted(weights.items()) if f for x in (f, float(w))]) if len(weights) > 1 else F.expr("map('', 0D)")
     score = F.expr(f"transform(cands, c -> struct(c.kind as kind, c.s as s, c.e as e, c.base as base, 1 / (1 + exp(-({weights['']}D + aggregate(c.feats, 0D, (z, f) -> z + coalesce(w[f], 0D))))) as score))")
