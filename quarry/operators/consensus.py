@@ -68,10 +68,12 @@ def candidates(bags_: DataFrame, share: float = 0.5) -> DataFrame:
     rates = _rates(bags_).where(f"bags >= {BAGS_LEAST}").select(F.col("callee").alias("other"), "rate")
     near = "cast(20 * sqrt(callers) as bigint) + 100"
     first, last = f"greatest(together, cast(callers * rate as bigint) - ({near}))", f"least(callers, greatest(together, cast(callers * rate as bigint)) + ({near}))"
-    term = f"{_log_factorial('callers')} - ({_log_factorial('j')}) - ({_log_factorial('(callers - j)')}) + j * ln(rate) + (callers - j) * ln(1 - rate)"
-    # one-element arrays bind a value, which would else be worked out anew for each term
-    summed = f"transform(transform(array(transform(sequence({first}, {last}), j -> {term})), ts -> struct(ts, array_max(ts) as top)), b -> b.top + ln(aggregate(b.ts, 0D, (s, t) -> s + exp(t - b.top))))[0]"
-    scored = pairs.join(rates, "other").withColumn("enrichment", F.expr(f"case when rate >= 1 then 0D else greatest(0D, -({summed}) / ln(10D)) end"))
+    # the first term by logarithms, each further one by its ratio to the one before
+    head = f"{_log_factorial('callers')} - ({_log_factorial('first')}) - ({_log_factorial('(callers - first)')}) + first * ln(rate) + (callers - first) * ln(1 - rate)"
+    ratio = "a.t * (callers - j + 1) / j * odds"
+    tail = f"aggregate(if(first < last, sequence(first + 1, last), cast(array() as array<bigint>)), struct(1D as t, 1D as s), (a, j) -> struct({ratio} as t, a.s + {ratio} as s), a -> a.s)"
+    pairs = pairs.join(rates, "other").selectExpr("*", f"cast({first} as bigint) as first", f"cast({last} as bigint) as last", "if(rate < 1, rate / (1 - rate), 0D) as odds")
+    scored = pairs.withColumn("enrichment", F.expr(f"case when rate >= 1 then 0D else greatest(0D, -({head} + ln({tail})) / ln(10D)) end"))
     return scored.selectExpr("anchor", "other", "together", "callers", "rate", "enrichment", "enrichment * -log10((callers - together) / (callers + 1)) as strength")
 
 

@@ -47,6 +47,11 @@ def containing(points: DataFrame, spans: DataFrame) -> DataFrame:
     )
 
 
+def with_hits(files: DataFrame, pattern: str) -> DataFrame:
+    """Files of which some line can match: the others need neither lines nor sections."""
+    return files.where(F.col("content").rlike("(?im)" + pattern))
+
+
 def search(lines_: DataFrame, spans: DataFrame, pattern: str, is_test: str = "false", limit: int = 40) -> DataFrame:
     """Ranked hits grouped by the section they stand in."""
     hits = lines_.where(F.col("text").rlike("(?i)" + pattern))

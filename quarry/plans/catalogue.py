@@ -84,8 +84,9 @@ g AS (SELECT m.path, m.node_id, n.start_line, n.end_line, count(*) AS hits FROM
 SELECT path, node_id, start_line, end_line, hits, CAST(sum(hits) OVER (PARTITION BY path) AS BIGINT) AS file_total FROM g ORDER BY path % 7 = 0, file_total DESC, path, hits DESC, start_line LIMIT 40"""
 )
 def search_ranked(spark, d):
-    ls = text.lines(doc_files(spark, d))
-    return text.search(ls, text.sections(ls).withColumnRenamed("section_no", "node_id"), "disgusting|license|www", is_test="path % 7 = 0")
+    wanted = "disgusting|license|www"
+    ls = text.lines(text.with_hits(doc_files(spark, d), wanted))
+    return text.search(ls, text.sections(ls).withColumnRenamed("section_no", "node_id"), wanted, is_test="path % 7 = 0")
 
 
 @query("SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS word FROM documents) GROUP BY word")
@@ -452,9 +453,11 @@ def new_information(spark, d):
     return scoring.new_information(text.lines(doc_files(spark, d)).groupBy("path").agg(F.expr("transform(array_sort(collect_list(struct(line_no, text))), x -> x.text)").alias("blocks")))
 
 
-@query()
+@query("""WITH s AS (SELECT conv_id AS path, md5(text) AS mark, CAST('2023-11-14 22:13:20' AS TIMESTAMP) + to_seconds(turn * 600) AS moment FROM conversations WHERE conv_id IS NOT NULL),
+l AS (SELECT *, lag(mark) OVER w AS last_mark, lag(moment) OVER w AS last_at FROM s WINDOW w AS (PARTITION BY path ORDER BY moment))
+SELECT path, moment AS at, CASE WHEN last_at IS NULL OR moment - last_at > INTERVAL 30 MINUTE THEN 'first' WHEN mark IS NOT DISTINCT FROM last_mark THEN 'unchanged' ELSE 'changed' END AS label FROM l""")
 def stream_memory_ttl(spark, d):
-    return memory.replay_versions(spark, read_table(spark, d, "conversations"))
+    return memory.replay_versions(spark, read_table(spark, d, "conversations")).withColumn("at", F.expr("cast(at as timestamp_ntz)"))
 
 
 @query("SELECT event_type, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS hour, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")

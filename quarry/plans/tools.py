@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Collection
 from concurrent.futures import ThreadPoolExecutor
+from contextvars import copy_context
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -70,6 +71,11 @@ def parsed(files: DataFrame, languages: Collection[str] | None = None, declared:
     return out
 
 
+def _each(pool: ThreadPoolExecutor, work, items: list) -> list:
+    """The work on all items, in the context of the caller, so that what it stages belongs to the caller's scope."""
+    return [f.result() for f in [pool.submit(copy_context().run, work, x) for x in items]]
+
+
 class Facts:
     def __init__(self, files: DataFrame):
         self.spark, self.every = files.sparkSession, staged(files, "facts-files")
@@ -86,7 +92,7 @@ class Facts:
         steps = [["definitions", "calls", "entry_points", "imports", "clusters"], ["edges", "call_nodes", "bags"], ["file_nodes", "rules"]]
         with ThreadPoolExecutor(5) as pool:
             for names in steps:  # a step needs no more than the steps before it
-                list(pool.map(lambda n: getattr(self, n), names))
+                _each(pool, lambda n: getattr(self, n), names)
         return self
 
     @cached_property
@@ -321,7 +327,7 @@ def preview(files: DataFrame, depth: str = "deep", commits: DataFrame | None = N
         parts.append(("ACTIVITY", report.activity_lines(changes.churn(recent), changes.co_change(recent))))
     parts.append(("NEXT STEPS", report.recommended(ages, facts.file_nodes, hot)))
     with ThreadPoolExecutor(6) as pool:  # each part is a few lines, and most of its time is waiting
-        made = list(pool.map(lambda p: (p[0], staged(p[1].coalesce(1), "report-part")), parts))
+        made = _each(pool, lambda p: (p[0], staged(p[1].coalesce(1), "report-part")), parts)
     return report.architecture_lines(made)
 
 
@@ -374,7 +380,7 @@ def search_structures(facts: Facts, content_pattern: str | None = None, **filter
     if content_pattern is None:
         return nodes.filtered(facts.nodes, **filters).select("path", "node_id", "type", "name", "start_line", "end_line")
     anchors = facts.nodes.where("type not in ('imports', 'file-info', 'error', 'parse-error')").selectExpr("path", "node_id", "cast(start_line as bigint) as start_line", "cast(end_line as bigint) as end_line")
-    hits = text.search(text.lines(facts.files), anchors, content_pattern, is_test=paths.is_test("path", "search"))
+    hits = text.search(text.lines(text.with_hits(facts.files, content_pattern)), anchors, content_pattern, is_test=paths.is_test("path", "search"))
     named = hits.join(facts.nodes.select("path", "node_id", "type", "name"), ["path", "node_id"], "left")
     if filters.get("type_filter"):
         named = named.where(F.col("type").contains(filters["type_filter"]))

@@ -10,23 +10,25 @@ and those made inside a ``scope`` are deleted at its end.
 from __future__ import annotations
 
 import getpass
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Paths made by each open scope.
-_scopes: list[list[str]] = []
+#: Paths made in the scope that is open here: each thread, and each task of an event loop, has its own.
+_scope: ContextVar[list[str] | None] = ContextVar("scope", default=None)
 
 
 def shared_root(spark: SparkSession) -> str:
     """The shared folder, as a URL that Spark can read and write."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):  # local-cluster has executors of its own
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = f"file://{tempfile.gettempdir()}/quarry-{getpass.getuser()}"
         spark.sparkContext.setCheckpointDir(root)
@@ -36,7 +38,7 @@ def shared_root(spark: SparkSession) -> str:
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path under the shared folder that no other run uses."""
     path = f"{_own_root(spark)}/{name}-{uuid.uuid4().hex}"
-    for made in _scopes[-1:]:
+    if (made := _scope.get()) is not None:
         made.append(path)
     return path
 
@@ -57,12 +59,15 @@ def clear(spark: SparkSession) -> None:
 
 @contextmanager
 def scope(spark: SparkSession) -> Iterator[None]:
-    """Tables staged inside are deleted at the end, when what was made from them has been written."""
-    _scopes.append([])
+    """Tables staged inside, by this thread or by threads that run in a copy of its context, are deleted at the end, when what
+    was made from them has been written."""
+    made: list[str] = []
+    token = _scope.set(made)
     try:
         yield
     finally:
-        for path in _scopes.pop():
+        _scope.reset(token)
+        for path in made:
             delete(spark, path)
 
 

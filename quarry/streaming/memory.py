@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -79,60 +81,112 @@ def hourly(spark: SparkSession, events: DataFrame) -> DataFrame:
     return newest.selectExpr("event_type", "cast(w.start as timestamp_ntz) as hour", "s.n as n", "round(s.total, 4) as total")
 
 
-class Snapshot:
-    """A table that readers see as it was last committed while a refresh works out the next one.
+class Generations:
+    """Numbered tables in a folder, each whole once its marker is there; the last one is found by listing, so also after a restart.
 
-    The refresh does nothing where the files are the same by their fingerprints, equal numbers of changes included.
+    Readers name the generation that they use for as long as they do (``pinned``); ``sweep`` deletes those that are neither the last,
+    nor the one before it, whose readers may have just begun, nor pinned.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root
 
-    def _last(self) -> int:
+    def _fs(self):
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        fs = path(self.root).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return path, path(self.root).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _names(self, start: str) -> list[str]:
+        path, fs = self._fs()
         names = [s.getPath().getName() for s in fs.listStatus(path(self.root))] if fs.exists(path(self.root)) else []
-        return max((int(n[9:]) for n in names if n.startswith("snapshot=") and fs.exists(path(f"{self.root}/{n}/rows/_SUCCESS"))), default=0)
+        return [n.removeprefix(start) for n in names if n.startswith(start)]
+
+    def all(self) -> list[int]:
+        path, fs = self._fs()
+        return sorted(int(n) for n in self._names("generation=") if fs.exists(path(f"{self.root}/generation={n}/rows/_SUCCESS")))
+
+    def at(self, number: int, part: str = "rows") -> str:
+        return f"{self.root}/generation={number}/{part}"
+
+    def last(self) -> int:
+        return max(self.all(), default=-1)
+
+    @contextmanager
+    def pinned(self) -> Iterator[DataFrame | None]:
+        """The last generation's rows, which stay readable inside; None before the first."""
+        path, fs = self._fs()
+        number = self.last()
+        if number < 0:
+            yield None
+            return
+        pin = path(f"{self.root}/pin={number}-{uuid.uuid4().hex}")
+        fs.mkdirs(pin)
+        try:
+            yield self.spark.read.parquet(self.at(number))
+        finally:
+            fs.delete(pin, True)
+
+    def sweep(self) -> None:
+        used = {int(n.split("-")[0]) for n in self._names("pin=")}
+        for number in self.all()[:-2]:
+            if number not in used:
+                delete(self.spark, f"{self.root}/generation={number}")
+
+
+class Snapshot(Generations):
+    """A table that readers see as it was last committed while a refresh works out the next one.
+
+    The refresh does nothing where the files are the same by their fingerprints, equal numbers of changes included.  What was read
+    before a refresh can be read until the one after it, and longer by readers that pin it.
+    """
 
     def read(self) -> DataFrame | None:
         """The last committed rows; None before the first refresh."""
-        last = self._last()
-        return self.spark.read.parquet(f"{self.root}/snapshot={last}/rows") if last else None
+        number = self.last()
+        return self.spark.read.parquet(self.at(number)) if number >= 0 else None
 
     def refresh(self, files: DataFrame, compute) -> bool:
         """Work ``compute(files)`` out anew if files (path, fingerprint) have changed; whether they have."""
-        last = self._last()
+        number = self.last()
         sign = files.agg(F.count("*").alias("n"), F.expr("coalesce(bit_xor(xxhash64(path, fingerprint)), 0)").alias("mark"))
         now = sign.first()
-        if last and tuple(self.spark.read.parquet(f"{self.root}/snapshot={last}/sign").first()) == tuple(now):
+        if number >= 0 and tuple(self.spark.read.parquet(self.at(number, "sign")).first()) == tuple(now):
             return False
-        at = f"{self.root}/snapshot={last + 1}"
-        self.spark.createDataFrame([tuple(now)], "n long, mark long").write.mode("overwrite").parquet(f"{at}/sign")
-        compute(files).write.mode("overwrite").parquet(f"{at}/rows")  # its marker commits the snapshot
-        if last:
-            delete(self.spark, f"{self.root}/snapshot={last}")
+        self.spark.createDataFrame([tuple(now)], "n long, mark long").write.mode("overwrite").parquet(self.at(number + 1, "sign"))
+        compute(files).write.mode("overwrite").parquet(self.at(number + 1))  # its marker commits the generation
+        self.sweep()
         return True
 
+    def follow(self, feed: DataFrame, files, compute, seconds: int | None = None):
+        """Refresh whenever a stream of changes brings something: ``files()`` gives the table as it then is.  Every ``seconds``, or once over
+        all that is there; the query that runs."""
+        write = feed.writeStream.foreachBatch(lambda batch, _: self.refresh(files(), compute) and None).option("checkpointLocation", f"{self.root}/checkpoint")
+        return (write.trigger(processingTime=f"{seconds} seconds") if seconds else write.trigger(availableNow=True)).start()
 
-def incremental_stream(spark: SparkSession, scans: DataFrame) -> DataFrame:
-    """scans (path, fingerprint, content) folded batch by batch into (path, fingerprint, n_lines): only files whose fingerprint
-    is new are worked out."""
-    root = fresh_path(spark, "incremental")
-    scans.write.partitionBy("turn").parquet(f"{root}/in")
-    feed = spark.readStream.schema(scans.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+
+def fold_scans(spark: SparkSession, feed: DataFrame, root: str) -> DataFrame:
+    """A stream of scans (path, fingerprint, content, turn) folded batch by batch into (path, fingerprint, n_lines): only files whose
+    fingerprint is new are worked out.  The tables lie in ``root``, where a restart finds the last one."""
+    tables = Generations(spark, f"{root}/out")
     empty = spark.createDataFrame([], "path long, fingerprint string, n_lines int")
-    last: list[str] = []
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        known = spark.read.parquet(last[0]) if last else empty
+        past = [n for n in tables.all() if n < batch_id]  # a batch that is run again finds what it found before
+        known = spark.read.parquet(tables.at(past[-1])) if past else empty
         newest = batch.groupBy("path").agg(F.expr("max_by(struct(fingerprint, content), turn)").alias("s")).select("path", "s.*")
         fresh, _ = incremental(known, newest.select("path", "fingerprint"))
         made = newest.join(fresh, ["path", "fingerprint"]).selectExpr("path", "fingerprint", "size(split(content, '\\n')) as n_lines")
-        known.join(made.select("path"), "path", "left_anti").unionByName(made).write.mode("overwrite").parquet(f"{root}/out/{batch_id}")
-        last[:] = [f"{root}/out/{batch_id}"]
+        known.join(made.select("path"), "path", "left_anti").unionByName(made).write.mode("overwrite").parquet(tables.at(batch_id))
+        tables.sweep()
 
     feed.writeStream.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).foreachBatch(save).start().awaitTermination()
-    return spark.read.parquet(last[0]) if last else empty
+    return spark.read.parquet(tables.at(tables.last())) if tables.last() >= 0 else empty
+
+
+def incremental_stream(spark: SparkSession, scans: DataFrame) -> DataFrame:
+    """``fold_scans`` over a table of scans, turn by turn."""
+    root = fresh_path(spark, "incremental")
+    scans.write.partitionBy("turn").parquet(f"{root}/in")
+    return fold_scans(spark, spark.readStream.schema(scans.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in"), root)
 
 
 def incremental(known: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -131,6 +131,69 @@ def test_snapshot_and_state_of_streams(spark):
     assert snapshot.refresh(rows(("a", "2")), lambda f: f) and [r["fingerprint"] for r in snapshot.read().collect()] == ["2"]
 
 
+def test_held_snapshots_stay_readable(spark):
+    snapshot = memory.Snapshot(spark, fresh_path(spark, "test-held"))
+    rows = lambda v: spark.createDataFrame([("a", v)], "path string, fingerprint string")
+    with snapshot.pinned() as nothing:
+        assert nothing is None
+    snapshot.refresh(rows("1"), lambda f: f)
+    before = snapshot.read()
+    with snapshot.pinned() as held:
+        for v in "2345":
+            assert snapshot.refresh(rows(v), lambda f: f)
+            if v == "2":
+                assert before.first()["fingerprint"] == "1"
+        assert held.first()["fingerprint"] == "1" and snapshot.all() == [0, 3, 4]
+    assert snapshot.refresh(rows("6"), lambda f: f) and snapshot.all() == [4, 5]
+
+
+def test_a_stream_of_changes_refreshes_the_snapshot(spark, tmp_path):
+    snapshot = memory.Snapshot(spark, fresh_path(spark, "test-follow"))
+    for k in range(2):
+        spark.createDataFrame([(f"p{k}", str(k))], "path string, fingerprint string").write.mode("append").parquet(str(tmp_path / "in"))
+        feed = spark.readStream.schema("path string, fingerprint string").parquet(str(tmp_path / "in"))
+        snapshot.follow(feed, lambda: spark.read.parquet(str(tmp_path / "in")), lambda f: f).awaitTermination()
+        assert snapshot.read().count() == k + 1
+
+
+def test_folded_scans_survive_a_restart(spark, tmp_path):
+    """A second run over the same folder goes on from the tables of the first."""
+    root, scans = fresh_path(spark, "test-restart"), str(tmp_path / "scans")
+    schema = "path long, fingerprint string, content string, turn int"
+    for turn, rows in enumerate(([(1, "a", "x"), (2, "b", "y\nz")], [(1, "c", "x\ny\nz")])):
+        spark.createDataFrame([(*r, turn) for r in rows], schema).coalesce(1).write.mode("append").parquet(scans)
+        got = memory.fold_scans(spark, spark.readStream.schema(schema).parquet(scans), root)
+    assert {tuple(r) for r in got.collect()} == {(1, "c", 3), (2, "b", 2)}
+
+
+def test_scopes_of_threads_are_apart(spark):
+    """What one thread stages is not deleted with another thread's scope."""
+    from threading import Event, Thread
+
+    from quarry.scratch import scope, staged
+
+    inside, done, kept = Event(), Event(), {}
+
+    def other():
+        inside.wait()
+        kept["table"] = staged(spark.range(3), "test-thread")
+        done.set()
+
+    thread = Thread(target=other)
+    thread.start()
+    with scope(spark):
+        own = staged(spark.range(2), "test-scope")
+        with scope(spark):
+            staged(spark.range(1), "test-inner")
+        assert own.count() == 2
+        inside.set()
+        done.wait()
+    thread.join()
+    assert kept["table"].count() == 3
+    with pytest.raises(Exception):  # noqa: B017 (its files are gone)
+        spark.read.parquet(own.inputFiles()[0]).count()
+
+
 def test_corpus_of_486_files_is_analysed_as_one(spark, tmp_path):
     for k in range(486):
         p = tmp_path / f"d{k % 18}"
