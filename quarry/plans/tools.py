@@ -19,7 +19,10 @@ from quarry.operators import budget, changes, condense, consensus, declarations,
 from quarry.operators.rules import listed
 from quarry.scratch import staged
 from quarry.sources import history, tree
+from quarry.streaming.memory import ScanMemory
 
+#: Names of unchanged files that a directory scan lists.
+NAMES = 40
 NODE = "path string, node_id int, parent_id int, last_desc_id int, depth int, type string, name string, start_line int, end_line int, signature string, decorators array<string>, modifiers array<string>, docstring string, lines int, max_depth int, branches int, tier string"
 
 
@@ -244,23 +247,74 @@ def salient(facts: Facts, mode: str = "balanced", edits: DataFrame | None = None
 
 
 def scan(facts: Facts, mode: str = "balanced", tokens: int | None = None, edits: DataFrame | None = None, status: DataFrame | None = None) -> DataFrame:
-    """(path, node_id, part, line): the tree of every file with the skeletons of its salient nodes."""
+    """(path, node_id, part, line): the tree of every file with the skeletons of its salient nodes; nodes whose status (path, node_id, status) is
+    unchanged keep their header alone."""
     best = salient(facts, mode, edits, tokens)
     varied = best.selectExpr("*", "if(max(edits) over (partition by path) > min(edits) over (partition by path), edits, 0) as shown").drop("edits").withColumnRenamed("shown", "edits")
     rows = facts.nodes.join(varied.select("path", "node_id", "edits", "saliency", "skeleton"), ["path", "node_id"], "left")
-    return views.tree_lines(rows.join(status, ["path", "node_id"], "left") if status is not None else rows)
+    if status is not None:
+        rows = rows.join(status, ["path", "node_id"], "left").withColumn("skeleton", F.expr("if(status = 'unchanged', null, skeleton)"))
+    return views.tree_lines(rows)
+
+
+#: What a depth stands for, in tokens.
+DEPTHS = {"quick": 300, "normal": 1500, "deep": None}
+AGE = "if({0} < 60, concat(cast({0} as int), ' sec'), concat(cast({0} / 60 as int), ' min'))"
+
+
+def _files_of(facts: Facts) -> DataFrame:
+    return facts.files.selectExpr("path", "concat(mtime, ':', size, ':', xxhash64(content)) as fingerprint")
+
+
+def remembered(facts: Facts, memory: ScanMemory, now: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(path, age) of files as they were shown before, (path, node_id, status) of the nodes of changed ones, and (path, line) on what has changed;
+    what is shown now is recorded."""
+    every = staged(_files_of(facts), "memory-files")
+    same = staged(memory.unchanged(every, now), "memory-same")
+    fresh = staged(every.join(same, "path", "left_anti"), "memory-fresh")
+    chains = staged(_chains(facts).join(fresh.select("path"), "path", "left_semi"), "memory-chains")
+    keys = staged(changes.node_keys(chains), "memory-keys")
+    diff = staged(memory.changes(keys, now), "memory-diff")
+    named = chains.selectExpr("path", "node_id", "concat('/', array_join(transform(chain, c -> concat(c.type, ':', c.name)), '/')) as node_key")
+    status = named.join(diff, ["path", "node_key"]).select("path", "node_id", "status")
+    notes = changes.diff_summary(diff).selectExpr("path", "concat('(delta since last scan: ', changed, ' changed/new, ', unchanged, ' unchanged; code detail only for changed', if(removed = '', '', concat('; removed: ', removed)), '; delta=False for everything)') as line")
+    memory.record(fresh, keys, now)
+    return same, staged(status, "memory-status"), staged(notes, "memory-notes")
 
 
 def scan_content(spark: SparkSession, content: str, filename: str, **settings) -> DataFrame:
     return scan(Facts(tree.content(spark, content, filename)), **settings)
 
 
-def scan_file(spark: SparkSession, root: str, path: str, focus: str | None = None, **settings) -> DataFrame:
-    """The tree of one file; with a focus its header, and what stands beside and on the way to the node."""
+def scan_file(spark: SparkSession, root: str, path: str, focus: str | None = None, depth: str | None = None, tokens: int | None = None, memory: ScanMemory | None = None, now: float = 0.0, whole: DataFrame | None = None, **settings) -> DataFrame:
+    """(path, node_id, part, line): the tree of one file; with a focus its header, and what stands beside and on the way to the node.
+
+    depth stands for a number of tokens where none is given.  With a memory, a file as it was shown before is one line, and of a changed one
+    unchanged nodes have no code; a focus asks for content and leaves the memory alone.  whole: the files of the corpus, if the loose ends of this
+    file are to be told behind its tree.
+    """
     facts = Facts(tree.one_file(spark, root, path))
-    if focus is None:
-        return scan(facts, edits=history.line_edits(root, facts.files.select("path")), **settings)
-    return focused(facts, focus)
+    if focus is not None:
+        return focused(facts, focus)
+    settings["tokens"] = tokens if tokens is not None else DEPTHS.get(depth)
+    edits = history.line_edits(root, facts.files.select("path"))
+    if memory is None:
+        return _with_tail(scan(facts, edits=edits, **settings), facts, whole)
+    same, status, notes = remembered(facts, memory, now)
+    known = same.selectExpr("path", "-1 as node_id", "0 as part", f"concat(path, ': unchanged since last scan (', {AGE.format('age')}, ' ago); structure is identical to the previous response (delta=False for full output)') as line")
+    if not known.isEmpty():
+        return known
+    return _with_tail(notes.selectExpr("path", "-1 as node_id", "0 as part", "line").unionByName(scan(facts, edits=edits, status=status, **settings)), facts, whole)
+
+
+def _with_tail(lines: DataFrame, facts: Facts, whole: DataFrame | None) -> DataFrame:
+    """lines, and behind them what the corpus leaves loose in these files."""
+    if whole is None:
+        return lines
+    corpus = Facts(whole)
+    drift = corpus.findings().select("site", "anchor", "missing")
+    tail = report.tail_lines(staged(corpus.orphans(), "orphans"), staged(corpus.dead(), "dead"), staged(drift, "drift"), facts.files.select("path"))
+    return lines.unionByName(tail.selectExpr("'(tail)' as path", f"{1 << 30} as node_id", "turn as part", "line"))
 
 
 def focused(facts: Facts, focus: str) -> DataFrame:
@@ -276,9 +330,25 @@ def focused(facts: Facts, focus: str) -> DataFrame:
     return heads.unionByName(body).unionByName(lines)
 
 
-def scan_directory(spark: SparkSession, root: str, glob: str = "**/*", exclude: str = "", max_files: int | None = None, **settings) -> DataFrame:
-    """(path, node_id, part, line) of the files that a directory scan takes."""
-    return scan(Facts(tree.scanned(tree.files(spark, root), glob, exclude, max_files)), **settings)
+def scan_directory(spark: SparkSession, root: str, glob: str = "**/*", exclude: str = "", max_files: int | None = None, depth: str | None = None, memory: ScanMemory | None = None, now: float = 0.0, commits: DataFrame | None = None) -> DataFrame:
+    """(section, path, part, line) of the files that a directory scan takes: notes first, then each file's nodes in a line with its churn and a
+    glimpse, the files that are as they were shown before in one line, and the health of them all.  There is no depth: asking for one gives a note."""
+    facts = Facts(tree.scanned(tree.files(spark, root), glob, exclude, max_files))
+    shown = directory_view(facts)
+    if commits is not None:
+        of = changes.churn(changes.active_window(commits)).selectExpr("path", "concat(' ', churn, 'x/90d') as label")
+        shown = shown.join(of, "path", "left").withColumn("line", F.expr("if(part = 0, concat(line, coalesce(label, '')), line)")).drop("label")
+    notes = [(0, "", 0, "Note: scan_directory has no depth setting, so 'depth' was ignored; narrow it by pattern, or ask scan_file or preview for depth")] if depth is not None else []
+    out = spark.createDataFrame(notes, "section int, path string, part int, line string")
+    if memory is not None:
+        same, _, _ = remembered(facts, memory, now)
+        shown = shown.join(same.select("path"), "path", "left_anti")
+        # the first names, as a corpus may have any number
+        first = same.selectExpr(f"{rules.name_of('path')} as name").orderBy("name").limit(NAMES).agg(F.expr("array_join(array_sort(collect_list(name)), ', ')").alias("names"))
+        told = same.agg(F.count("*").alias("n")).crossJoin(first).where("n > 0")  # one row each
+        out = out.unionByName(told.selectExpr("2 as section", "'' as path", "0 as part", f"concat('unchanged since last scan (', n, ' files): ', names, if(n > {NAMES}, concat(', +', n - {NAMES}), ''), ' (delta=False for everything)') as line"))
+    health_ = health_of(facts).selectExpr("3 as section", "'' as path", "turn as part", "line")
+    return out.unionByName(shown.selectExpr("1 as section", "path", "part", "line")).unionByName(health_)
 
 
 def directory_view(facts: Facts) -> DataFrame:
@@ -342,9 +412,14 @@ def with_chain(nodes_: DataFrame) -> DataFrame:
     return nodes_.join(chains, ["path", "node_id"])
 
 
-def _keys(facts: Facts) -> DataFrame:
+def _chains(facts: Facts) -> DataFrame:
+    """(path, node_id, chain, lines) of the named nodes."""
     rows = with_chain(facts.nodes.where("name <> ''")).join(facts.files.select("path", "content"), "path")
-    return changes.node_keys(rows.selectExpr("path", "node_id", "chain", "slice(split(content, '\\n'), start_line, end_line - start_line + 1) as lines"))
+    return rows.selectExpr("path", "node_id", "chain", "slice(split(content, '\\n'), start_line, end_line - start_line + 1) as lines")
+
+
+def _keys(facts: Facts) -> DataFrame:
+    return changes.node_keys(_chains(facts))
 
 
 def node_changes(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.operators.changes import node_diff
 from quarry.scratch import delete, fresh_path
 
 TTL_MINUTES = 30
@@ -163,6 +164,43 @@ class Snapshot(Generations):
         return (write.trigger(processingTime=f"{seconds} seconds") if seconds else write.trigger(availableNow=True)).start()
 
 
+class ScanMemory(Generations):
+    """What a user has been shown: files by fingerprint and their nodes by digest, for ``ttl`` seconds.
+
+    Whoever scans again gets what has changed since; a file that was not scanned, or too long ago, is seen for the first time, whatever
+    it was.  ``now`` is the caller's clock, in seconds.
+    """
+
+    ROWS = "path string, fingerprint string, at double, node_key string, digest string"
+
+    def __init__(self, spark: SparkSession, root: str, ttl: float = 60 * TTL_MINUTES):
+        super().__init__(spark, root)
+        self.ttl = ttl
+
+    def known(self, now: float) -> DataFrame:
+        number = self.last()
+        rows = self.spark.read.schema(self.ROWS).parquet(self.at(number)) if number >= 0 else self.spark.createDataFrame([], self.ROWS)
+        return rows.where(F.col("at") >= now - self.ttl)
+
+    def unchanged(self, files: DataFrame, now: float) -> DataFrame:
+        """(path, age) of files (path, fingerprint) that are as they were shown."""
+        return self.known(now).select("path", "fingerprint", "at").distinct().join(files, ["path", "fingerprint"]).selectExpr("path", f"{now}D - at as age")
+
+    def changes(self, keys: DataFrame, now: float) -> DataFrame:
+        """(path, node_key, status) of the nodes (path, node_key, digest) of files that were shown before, and of nodes that are gone."""
+        shown = self.known(now)
+        seen = shown.join(keys.select("path").distinct(), "path", "left_semi")
+        old = seen.where("node_key is not null").select("path", "node_key", "digest")
+        return node_diff(old, keys.join(seen.select("path").distinct(), "path", "left_semi"))
+
+    def record(self, files: DataFrame, keys: DataFrame, now: float) -> None:
+        """Files (path, fingerprint) with the keys of their nodes have been shown."""
+        new = files.join(keys, "path", "left").selectExpr("path", "fingerprint", f"{now}D as at", "node_key", "digest")
+        kept = self.known(now).join(files.select("path"), "path", "left_anti")
+        kept.unionByName(new).write.mode("overwrite").parquet(self.at(self.last() + 1))
+        self.sweep()
+
+
 def fold_scans(spark: SparkSession, feed: DataFrame, root: str) -> DataFrame:
     """A stream of scans (path, fingerprint, content, turn) folded batch by batch into (path, fingerprint, n_lines): only files whose
     fingerprint is new are worked out.  The tables lie in ``root``, where a restart finds the last one."""

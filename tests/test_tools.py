@@ -147,6 +147,42 @@ def test_held_snapshots_stay_readable(spark):
     assert snapshot.refresh(rows("6"), lambda f: f) and snapshot.all() == [4, 5]
 
 
+def test_scan_memory_shows_what_has_changed(spark, repo):
+    """The first scan is whole; the same file again is one line; of a changed one only changed nodes have code; what has expired is new."""
+    memory_, root = memory.ScanMemory(spark, fresh_path(spark, "test-scan-memory"), ttl=100), str(repo / "pkg")
+    show = lambda now, **more: [r["line"] for r in tools.scan_file(spark, root, "a.py", memory=memory_, now=now, **more).orderBy("node_id", "part").collect()]
+    first = show(1000.0)
+    assert not any("delta" in x for x in first) and any("return 2" in x for x in first) and any("return 1" in x for x in first)
+    assert show(1070.0) == ["a.py: unchanged since last scan (1 min ago); structure is identical to the previous response (delta=False for full output)"]
+    (repo / "pkg" / "a.py").write_text("def alpha():\n    return 1\n\n\ndef beta():\n    return 77\n\n\ndef fresh():\n    return 4\n")
+    again = show(1090.0)
+    assert again[0] == "(delta since last scan: 2 changed/new, 1 unchanged; code detail only for changed; removed: doomed; delta=False for everything)"
+    assert any("return 77" in x for x in again) and not any("return 1" in x for x in again) and any("- alpha" in x for x in again)
+    assert any("- beta" in x and "[changed]" in x for x in again) and any("- fresh" in x and "[new]" in x for x in again)
+    assert show(1300.0)[0].startswith("- alpha") and not any("delta" in x for x in show(1500.0))
+    assert any("return 1" in x for x in show(1510.0, focus="alpha")) and len(show(1520.0)) == 1
+
+
+def test_directory_scan_with_memory_churn_and_health(spark, repo):
+    memory_ = memory.ScanMemory(spark, fresh_path(spark, "test-dir-memory"))
+    show = lambda now: [tuple(r) for r in tools.scan_directory(spark, str(repo), "**/*.py", memory=memory_, now=now, depth="deep", commits=history.commits(spark, str(repo))).orderBy("section", "path", "part").collect()]
+    first = show(10.0)
+    assert first[0][3].startswith("Note: scan_directory has no depth") and any(s == 1 and p == "pkg/a.py" and x.endswith(" 2x/90d") for s, p, _, x in first)
+    assert any(s == 3 and "UNREFERENCED" in x for s, _, _, x in first)
+    (repo / "top.py").write_text("def added():\n    return alpha()\n")
+    second = show(20.0)
+    assert {p for s, p, _, _ in second if s == 1} == {"top.py"}
+    assert [x for s, _, _, x in second if s == 2] == ["unchanged since last scan (2 files): a.py, old.py (delta=False for everything)"]
+    assert any(s == 3 for s, *_ in second)
+
+
+def test_depth_stands_for_tokens_and_the_tail_for_loose_ends(spark, repo):
+    quick, deep = (tools.scan_file(spark, str(repo / "pkg"), "a.py", depth=d).count() for d in ("quick", "deep"))
+    assert quick <= deep
+    lines = [r["line"] for r in tools.scan_file(spark, str(repo), "pkg/a.py", whole=tree.files(spark, str(repo))).where("path = '(tail)'").collect()]
+    assert any("doomed" in x for x in lines)
+
+
 def test_a_stream_of_changes_refreshes_the_snapshot(spark, tmp_path):
     snapshot = memory.Snapshot(spark, fresh_path(spark, "test-follow"))
     for k in range(2):
