@@ -50,6 +50,16 @@ def entropy(block: bytes) -> float:
     return -sum(n / len(block) * math.log2(n / len(block)) for n in counts)
 
 
+def byte_entropy(files: DataFrame) -> DataFrame:
+    """(path, entropy) of files (path, content): Shannon entropy of their bytes, 0 without any."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"path": b["path"], "entropy": [entropy((x or "").encode()) for x in b["content"]]})
+
+    return files.select("path", "content").mapInPandas(run, f"path {dict(files.dtypes)['path']}, entropy double")
+
+
 def node_scores(files: DataFrame) -> DataFrame:
     """files (path, content, spans array<struct<node_id, name, start_line, end_line>>) as (path, node_id, info, novelty, centrality):
     entropy of a node's bytes, what it adds to its surroundings, and how often its name is called in the file."""

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.operators import budget, changes, graphs, nodes, paths, ranking, report, views
-from quarry.plans.catalogue import _import_edges, call_facts, query, usage
+from quarry.functions import scoring
+from quarry.functions.pattern_tables import language_of
+from quarry.operators import budget, changes, consensus, graphs, imports, nodes, paths, ranking, report, rules, views
+from quarry.plans.catalogue import AUDIT, _import_edges, call_facts, query, usage
 from quarry.scratch import fresh_path, read_table
 from quarry.streaming import memory
 
@@ -145,3 +147,92 @@ def listed_folders(spark, d):
 
     dirs = tree.summary(read_table(spark, d, "part").selectExpr("concat(p_brand, '/', p_partkey) as path", "cast(p_size as bigint) as size"))
     return dirs.agg(F.count("*").alias("dirs"))
+
+
+@query("""WITH b AS (SELECT doc_id AS path, unnest(regexp_extract_all(hex(encode(text)), '..')) AS x FROM documents), c AS (SELECT path, x, count(*) AS n FROM b GROUP BY 1, 2), t AS (SELECT path, sum(n) AS total FROM c GROUP BY 1),
+e AS (SELECT path, -sum(n / total * log2(n / total)) AS entropy FROM c JOIN t USING (path) GROUP BY 1) SELECT doc_id AS path, round(coalesce(entropy, 0), 6) + 0.0 AS entropy FROM documents LEFT JOIN e ON doc_id = path""")
+def byte_entropy(spark, d):
+    return scoring.byte_entropy(read_table(spark, d, "documents").selectExpr("doc_id as path", "text as content")).withColumn("entropy", F.expr("round(entropy, 6) + 0D"))
+
+
+# --- peers that agree, and sites that don't --------------------------------------------------------------------------
+
+# an order is a function, its brands are what it calls; those that load open and close, and some forget to
+PEERS = """WITH o AS (SELECT o_orderkey, 'f' || (o_orderkey % 7) || '.py:' || CASE WHEN o_custkey % 2 = 0 THEN 'load_' ELSE 'scan_' END || o_orderkey AS cid, o_custkey % 2 = 0 AS loads FROM orders),
+b AS (SELECT DISTINCT cid, p_brand AS callee FROM lineitem JOIN o ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey UNION SELECT cid, 'open_it' FROM o WHERE loads OR o_orderkey % 101 = 0 UNION SELECT cid, 'close_it' FROM o WHERE loads AND o_orderkey % 97 <> 0),
+n AS (SELECT callee, count(*) AS callers, count(*) / (SELECT count(DISTINCT cid) FROM b) AS rate FROM b GROUP BY callee),
+p AS (SELECT x.callee AS anchor, y.callee AS other, count(*) AS together FROM b x JOIN b y ON x.cid = y.cid AND x.callee <> y.callee GROUP BY 1, 2),
+q AS (SELECT p.*, na.callers, no.rate FROM p JOIN n na ON anchor = na.callee JOIN n no ON other = no.callee)"""
+
+
+# tails too small for a number are summed beside their largest term
+FENCED = AUDIT.replace("-ln(sum(exp(x))) / ln(10)) AS enrichment FROM u", "-(max(x) + ln(sum(exp(x - m)))) / ln(10)) AS enrichment FROM (SELECT *, max(x) OVER (PARTITION BY anchor, other) AS m FROM u)")
+
+
+def _peers(spark, d):
+    orders = read_table(spark, d, "orders").selectExpr("o_orderkey", "concat('f', o_orderkey % 7, '.py:', if(o_custkey % 2 = 0, 'load_', 'scan_'), o_orderkey) as cid", "o_custkey % 2 = 0 as loads")
+    items = read_table(spark, d, "lineitem").select("l_orderkey", "l_partkey").join(read_table(spark, d, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+    brands = items.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).selectExpr("cid", "p_brand as callee")
+    return consensus.bags(brands.unionByName(orders.where("loads or o_orderkey % 101 = 0").selectExpr("cid", "'open_it' as callee")).unionByName(orders.where("loads and o_orderkey % 97 <> 0").selectExpr("cid", "'close_it' as callee")))
+
+
+@query(PEERS + FENCED + " SELECT anchor, other, together, callers, round(strength, 4) AS strength FROM a")
+def divergence_fence(spark, d):
+    """Rules above the fence of all candidates: one, between what loaders open and close."""
+    return consensus.audit(consensus.candidates(_peers(spark, d))).select("anchor", "other", "together", "callers", F.round("strength", 4).alias("strength"))
+
+
+@query(PEERS + FENCED + """, z AS (SELECT cid, regexp_extract(cid, ':([a-z]+)_', 1) AS name, CASE WHEN cid LIKE 'f3.py%' THEN 'tests' ELSE 'core_logic' END AS cluster, count(*) AS size FROM b GROUP BY cid),
+w AS (SELECT a.anchor, a.other AS missing, z.*, '0/' || CASE WHEN size = 2 THEN '0' WHEN size <= 4 THEN '1-2' WHEN size <= 7 THEN '3-5' ELSE '6+' END AS graph FROM a JOIN b x ON x.callee = a.anchor JOIN b y ON y.callee = a.other AND y.cid = x.cid JOIN z ON z.cid = x.cid),
+mn AS (SELECT anchor, missing, name FROM w GROUP BY 1, 2, 3 QUALIFY row_number() OVER (PARTITION BY anchor, missing ORDER BY count(*) DESC, min(cid)) = 1),
+mc AS (SELECT anchor, missing, cluster FROM w GROUP BY 1, 2, 3 QUALIFY row_number() OVER (PARTITION BY anchor, missing ORDER BY count(*) DESC, min(cid)) = 1),
+mg AS (SELECT anchor, missing, graph FROM w GROUP BY 1, 2, 3 QUALIFY row_number() OVER (PARTITION BY anchor, missing ORDER BY count(*) DESC, min(cid)) = 1),
+s1 AS (SELECT z.*, a.anchor, a.other AS missing, '0/' || CASE WHEN size = 1 THEN '0' WHEN size <= 3 THEN '1-2' WHEN size <= 6 THEN '3-5' ELSE '6+' END AS graph FROM a JOIN b ON b.callee = a.anchor JOIN z ON z.cid = b.cid WHERE b.cid NOT IN (SELECT cid FROM b WHERE callee = a.other))
+SELECT cid AS site, anchor, missing FROM s1 JOIN mn USING (anchor, missing, name) JOIN mc USING (anchor, missing, cluster) JOIN mg USING (anchor, missing, graph)""")
+def divergence_findings(spark, d):
+    """Loaders that open and don't close, told apart from scanners, from tests, and from functions of another size, by three lenses."""
+    bags = _peers(spark, d)
+    held = consensus.audit(consensus.candidates(bags))
+    clusters = bags.selectExpr("regexp_extract(cid, '^(.*):', 1) as path").distinct().selectExpr("path", "if(path = 'f3.py', 'tests', 'core_logic') as cluster")
+    return consensus.same_role(consensus.missing_sites(held, bags), held, bags, clusters).select("site", "anchor", "missing")
+
+
+# --- files that imports stand for ---------------------------------------------------------------------------------------
+
+# language, importing file, what it imports, the file that answers
+LINKS = [
+    ("python", "p{k}/a.py", "pkg{k}.mod", "pkg{k}/mod.py"), ("typescript", "w{k}/a.ts", "./lib", "w{k}/lib.ts"), ("java", "j{k}/App.java", "org.d{k}.Part", "src/main/java/org/d{k}/Part.java"), ("csharp", "n{k}/P.cs", "D{k}.Tools", "D{k}/Tools.cs"),
+    ("php", "h{k}/i.php", "App\\M{k}", "app/M{k}.php"), ("ruby", "r{k}/run.rb", "./tool", "r{k}/tool.rb"), ("rust", "src/u{k}.rs", "crate::m{k}::Item", "src/m{k}.rs"), ("zig", "z{k}/main.zig", "lib{k}.zig", "z{k}/lib{k}.zig"),
+    ("go", "g{k}/main.go", "ex.org/proj/g{k}/store", "g{k}/store/db.go"), ("cpp", "c{k}/m.c", "util.h", "c{k}/util.h"), ("sql", "q{k}/a.sql", "x{k}", "q{k}/x{k}"), ("scss", "s{k}/a.scss", "mix", "s{k}/_mix.scss"), ("python", "o{k}/a.py", "os", None), ("java", "l{k}/A.java", "java.util.List", None),
+]
+
+
+def _links(column: int, number: str, quote) -> str:
+    return f"replace(CASE {number} % {len(LINKS)} " + " ".join(f"WHEN {i} THEN {'NULL' if row[column] is None else quote(row[column])}" for i, row in enumerate(LINKS)) + f" END, '{{k}}', CAST({number} AS STRING))"
+
+
+@query(f"SELECT {_links(1, 'p_partkey', repr).replace('STRING', 'VARCHAR').replace(chr(92) * 2, chr(92))} AS src, {_links(3, 'p_partkey', repr).replace('STRING', 'VARCHAR')} AS dst FROM part WHERE {_links(3, 'p_partkey', repr).replace('STRING', 'VARCHAR')} IS NOT NULL")
+def import_links(spark, d):
+    """Imports of eleven languages with the file that each stands for; what belongs to the language itself stands for none."""
+    quoted = lambda x: rules.listed([x])
+    rows = read_table(spark, d, "part").selectExpr(f"{_links(0, 'p_partkey', quoted)} as language", f"{_links(1, 'p_partkey', quoted)} as path", f"{_links(2, 'p_partkey', quoted)} as name", f"{_links(3, 'p_partkey', quoted)} as target")
+    every = rows.select("path").unionByName(rows.selectExpr("target as path").where("path is not null")).distinct()
+    return imports.edges(rows.select("path", "language", "name"), every)
+
+
+# path ({k}: the part), and what the file is for by its name and folder
+CLUSTERS = [
+    ("a{k}/main.py", "entry_points"), ("a{k}/test_x.py", "tests"), ("a{k}/settings.py", "config"), ("x/plugins/p{k}.py", "plugins"), ("x/utils/u{k}.py", "utilities"), ("x{k}/parser.py", "core_logic"), ("x{k}/plain.py", "other"),
+    ("w{k}/app.tsx", "entry_points"), ("w{k}/env.ts", "config"), ("w/types/t{k}.ts", "utilities"), ("w/components/c{k}.tsx", "core_logic"), ("g/handlers/h{k}.go", "core_logic"), ("g{k}/settings.go", "config"), ("j/services/S{k}.java", "core_logic"), ("j/x{k}/AppConfig.java", "config"),
+    ("n{k}/Startup.cs", "entry_points"), ("n/x/Y{k}Service.cs", "core_logic"), ("n/x/Z{k}Extensions.cs", "utilities"), ("r/x{k}/mod.rs", "infrastructure"), ("r{k}/lib.rs", "entry_points"), ("c/third_party/t{k}.c", "infrastructure"), ("c/api/t{k}.c", "core_logic"), ("h/views/v{k}.php", "presentation"),
+    ("h/models/m{k}.php", "core_logic"), ("b/spec/s{k}.rb", "tests"), ("b/lib/s{k}.rb", "core"), ("i/x/V{k}ViewModel.swift", "core_logic"), ("z{k}/build.zig", "config"), ("q/v{k}_add.sql", "migrations"), ("q/x/seed{k}.sql", "seeds"), ("d/README{k}.md", "entry_points"), ("docs/d{k}.md", "documentation"),
+    ("s/_p{k}.scss", "utilities"), ("y{k}.yaml", "config"), ("t{k}/index.html", "entry_points"), ("t/reset{k}.css", "utilities"), ("t/card{k}.css", "core_logic"),
+]
+
+
+@query(f"WITH p AS (SELECT p_partkey AS k, p_partkey % {len(CLUSTERS)} AS i FROM part) SELECT replace(CASE i " + " ".join(f"WHEN {i} THEN '{p}'" for i, (p, _) in enumerate(CLUSTERS)) + " END, '{k}', CAST(k AS VARCHAR)) AS path, CASE i " + " ".join(f"WHEN {i} THEN '{c}'" for i, (_, c) in enumerate(CLUSTERS)) + " END AS cluster FROM p")
+def path_clusters(spark, d):
+    """What files of sixteen languages are for, by their names and folders."""
+    path = f"replace(case p_partkey % {len(CLUSTERS)} " + " ".join(f"when {i} then '{p}'" for i, (p, _) in enumerate(CLUSTERS)) + " end, '{k}', cast(p_partkey as string))"
+    rows = read_table(spark, d, "part").selectExpr(f"{path} as path").selectExpr("path", f"{language_of()} as language", "'' as content")
+    return rows.selectExpr("path", f"{rules.cluster('language', 'path', 'content')} as cluster")
