@@ -31,52 +31,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.centres import kmeans, nearest
 from quarry.llm.graph import components, spanning
 from quarry.llm.sampling import sampled
 from quarry.scratch import staged
 
 COSINE = 0.93
 SUBSPACES, CODES = 8, 64
-#: Coarse lists at most (what a worker holds of them is 8 bytes for each and dimension), and classes that
-#: centres and codebooks are fitted on: so many at least, and so many for each list.
-LISTS, SAMPLE, SAMPLE_A_LIST = 1 << 14, 16_384, 16
+#: Bytes of the coarse centres at most, which every worker holds, and of the classes that centres and codebooks are fitted on (double
+#: precision); of these so many at least if they fit, and so many for each list.
+CENTRE_BYTES, SAMPLE_BYTES, SAMPLE, SAMPLE_A_LIST = 64 << 20, 96 << 20, 16_384, 16
+SEED, ROUNDS = 5, 12
 BLOCK = 1024
 
 
-def _kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
-    rng = np.random.default_rng(5)
-    centres = x[rng.choice(len(x), min(k, len(x)), replace=False)].copy()
-    for _ in range(rounds):
-        near = _nearest(x, centres, 1)[:, 0]
-        sums = np.zeros_like(centres)
-        np.add.at(sums, near, x)
-        n = np.bincount(near, minlength=len(centres))
-        centres[n > 0] = sums[n > 0] / n[n > 0, None]
-    return centres
-
-
-def _nearest(x: np.ndarray, centres: np.ndarray, k: int) -> np.ndarray:
-    """Numbers of the ``k`` nearest centres of each row, nearest first."""
-    out = []
-    for i in range(0, len(x), 4096):
-        d = (centres**2).sum(axis=1) - 2 * x[i : i + 4096] @ centres.T
-        out.append(np.argsort(d, axis=1, kind="stable")[:, :k])
-    return np.concatenate(out) if out else np.zeros((0, k), np.int64)
-
-
 class Quantiser:
-    """Centres and codebooks; its size is fixed by LISTS, SUBSPACES, CODES and the dimension."""
+    """Centres and codebooks; their size is bounded by CENTRE_BYTES, SUBSPACES, CODES and the dimension."""
 
     def __init__(self, sample: np.ndarray, lists: int):
-        self.centres = _kmeans(sample, lists)
-        rest = sample - self.centres[_nearest(sample, self.centres, 1)[:, 0]]
+        self.centres = kmeans(sample, lists, SEED, ROUNDS)
+        rest = sample - self.centres[nearest(sample, self.centres)]
         self.cuts = np.array_split(np.arange(sample.shape[1]), min(SUBSPACES, sample.shape[1]))
-        self.books = [_kmeans(rest[:, c], CODES) for c in self.cuts]
+        self.books = [kmeans(rest[:, c], CODES, SEED, ROUNDS) for c in self.cuts]
 
     def encode(self, x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes of the residuals to the lists ``at``, and each one's coding error."""
         rest = x - self.centres[at]
-        codes = np.stack([_nearest(rest[:, c], b, 1)[:, 0] for c, b in zip(self.cuts, self.books, strict=True)], axis=1)
+        codes = np.stack([nearest(rest[:, c], b) for c, b in zip(self.cuts, self.books, strict=True)], axis=1)
         coded = np.concatenate([b[codes[:, k]] for k, b in enumerate(self.books)], axis=1)
         return codes.astype(np.uint8), np.sqrt(((rest - coded) ** 2).sum(axis=1))
 
@@ -130,7 +111,7 @@ def _filer(handle, cosine: float):
             for dim in np.unique(dims):
                 batch = whole.filter(pa.array(dims == dim))
                 x = _fitted(_normal(batch.column("embedding")), q.centres.shape[1])
-                cell = _nearest(x, q.centres, 1)[:, 0]
+                cell = nearest(x, q.centres)
                 codes, error = q.encode(x, cell)
                 yield pa.RecordBatch.from_arrays(
                     [*batch.columns, pa.array(cell, pa.int64()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), pa.array(q.reached(x, cell, reach), pa.list_(pa.int64()))],
@@ -210,8 +191,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     if not n:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     common = classes.groupBy("dim").count().orderBy(F.desc("count"), "dim").first()
-    lists = min(LISTS, max(1, int(np.sqrt(n))))
-    fitting = sampled(classes.where(F.col("dim") == common["dim"]), "rep", "quantiser", max(SAMPLE, SAMPLE_A_LIST * lists), common["count"]).orderBy("rep").select("embedding").toArrow()
+    lists = max(1, min(int(np.sqrt(n)), CENTRE_BYTES // (8 * common["dim"])))
+    wanted = max(1, min(max(SAMPLE, SAMPLE_A_LIST * lists), SAMPLE_BYTES // (8 * common["dim"])))
+    fitting = sampled(classes.where(F.col("dim") == common["dim"]), "rep", "quantiser", wanted, common["count"]).orderBy("rep").select("embedding").toArrow()
     handle = spark.sparkContext.broadcast(Quantiser(_normal(fitting.column("embedding")), lists))
     label = f"label {dict(rows.dtypes)['label']}"
     filed = staged(classes.select("rep", "label", "dim", "weight", "embedding").mapInArrow(_filer(handle, cosine), f"rep binary, {label}, dim int, weight long, embedding {kind}, cell long, codes binary, error double, probes array<long>"), "pq-filed")

@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.centres import kmeans, nearest
 from quarry.llm.sampling import sampled
 from quarry.scratch import staged
 
@@ -52,22 +53,6 @@ def _whole(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.floor(256 * column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1))
 
 
-def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    """The nearest centre of each row."""
-    square = (centres**2).sum(axis=1)
-    return np.concatenate([(square - 2 * x[i : i + 4096] @ centres.T).argmin(axis=1) for i in range(0, len(x), 4096)]) if len(x) else np.zeros(0, np.int64)
-
-
-def _kmeans(x: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
-    centres = x[np.random.default_rng(13).choice(len(x), min(k, len(x)), replace=False)].copy()
-    for _ in range(rounds):
-        near = nearest(x, centres)
-        sums, n = np.zeros_like(centres), np.bincount(near, minlength=len(centres))
-        np.add.at(sums, near, x)
-        centres[n > 0] = sums[n > 0] / n[n > 0, None]
-    return centres
-
-
 class Lists:
     """Centres, numbers and radii of the lists of each dimension."""
 
@@ -199,7 +184,7 @@ def mine(vectors: DataFrame, every: int = EVERY, positives: int = POSITIVES, neg
     lists = max(1, min(int(np.sqrt(n)), CENTRE_BYTES // (8 * width)))
     wanted = max(1, min(max(4096, SAMPLE_A_LIST * lists), SAMPLE_BYTES // (8 * width)))
     fitting = sampled(classes.where(F.col("dim") == common["dim"]), "rep", "negatives", wanted, common["count"]).orderBy("rep").select("embedding").toArrow()
-    centres = _kmeans(_whole(fitting.column("embedding")), lists) if common["dim"] and len(fitting) else np.zeros((1, common["dim"]))
+    centres = kmeans(_whole(fitting.column("embedding")), lists, 13, 10) if common["dim"] and len(fitting) else np.zeros((1, common["dim"]))
     near = spark.sparkContext.broadcast(centres)
     filed = staged(classes.select("rep", "label", "dim", "embedding", "ids").mapInArrow(_filer(near, common["dim"]), f"rep binary, label long, dim int, embedding {kind}, ids array<long>, cell long, far double"), "negatives-filed")
     held = staged(filed.groupBy("dim", "cell").agg(F.max("far").alias("radius"), F.expr(f"cast(ceil(count(*) / {BLOCK}) as int)").alias("db")), "negatives-lists")
