@@ -11,6 +11,8 @@ from quarry.operators import rules
 from quarry.operators.nodes import in_degrees
 
 SIGNIFICANT, FENCE_LEAST, BAGS_LEAST, PEERS, TOP = 3.0, 8, 3, 3, 20
+#: Callees from which a bag is dealt in blocks.
+HUB = 1000
 #: Factorials whose logarithms are listed; a series gives those beyond.
 LISTED = 32
 
@@ -41,12 +43,18 @@ def _rates(bags_: DataFrame) -> DataFrame:
 
 
 def cooccurrence(bags_: DataFrame) -> DataFrame:
-    """(anchor, other, together, callers): ordered pairs that callers of the anchor mostly share."""
+    """(anchor, other, together, callers): ordered pairs that callers of the anchor mostly share.
+
+    A bag of many callees, whose pairs are the square of it, is dealt by blocks of ``HUB`` anchors, each of which meets the whole bag.
+    """
     return bags_.sparkSession.sql(
-        """
+        f"""
+        WITH b AS (SELECT * FROM {{b}}), s AS (SELECT cid, count(*) div {HUB} AS last FROM b GROUP BY cid HAVING count(*) >= {HUB}),
+        a AS (SELECT b.cid, callee, if(last IS NULL, 0L, pmod(xxhash64(callee), last + 1)) AS block FROM b LEFT JOIN s ON b.cid = s.cid),
+        o AS (SELECT b.cid, callee, explode(sequence(0L, coalesce(last, 0L))) AS block FROM b LEFT JOIN s ON b.cid = s.cid)
         SELECT p.anchor, p.other, p.together, n.callers FROM (
-          SELECT a.callee AS anchor, b.callee AS other, count(*) AS together FROM {b} a JOIN {b} b ON a.cid = b.cid AND a.callee <> b.callee GROUP BY a.callee, b.callee) p
-        JOIN (SELECT callee, count(*) AS callers FROM {b} GROUP BY callee) n ON p.anchor = n.callee""",
+          SELECT a.callee AS anchor, o.callee AS other, count(*) AS together FROM a JOIN o ON a.cid = o.cid AND a.block = o.block AND a.callee <> o.callee GROUP BY a.callee, o.callee) p
+        JOIN (SELECT callee, count(*) AS callers FROM b GROUP BY callee) n ON p.anchor = n.callee""",
         b=bags_,
     )
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarry.operators import rules
 from quarry.operators.paths import is_test
 from quarry.operators.rules import listed, name_of, pattern
+from quarry.scratch import staged
 
 #: Letters of a token by which it is looked up before the exact test.
 GRAM = 4
@@ -78,19 +79,23 @@ def template_references(files: DataFrame) -> DataFrame:
 def holding(tokens: DataFrame, texts: DataFrame) -> DataFrame:
     """(token) of those that some text contains.
 
-    Tokens meet texts by their first letters, four or as many as they have, so that only those that share them are
-    compared in full.
+    A token meets texts by the rarest of its grams of four letters (or as many as it has), as counted over the texts, so that a
+    beginning that many tokens share brings nothing together; a gram that no text has settles its tokens at once.
     """
-    tokens = tokens.select("token").where("token <> ''").distinct().withColumn("n", F.least(F.length("token"), F.lit(GRAM))).withColumn("gram", F.expr("left(token, n)"))
+    tokens = tokens.select("token").where("token <> ''").distinct().withColumn("n", F.least(F.length("token"), F.lit(GRAM)))
     about = tokens.agg(F.collect_set("n").alias("sizes"), F.max(F.length("token")).alias("longest")).first()  # five numbers at most
     if not about["sizes"]:
         return tokens.select("token")
+    of_token = tokens.select("token", F.explode(F.expr("array_distinct(transform(sequence(1, length(token) - n + 1), i -> substr(token, i, n)))")).alias("gram"))
     # long texts go in pieces that overlap by a token, as each look into a text counts its letters from the start
     pieces = texts.select("text").distinct().select(F.explode(F.expr(f"transform(sequence(1, greatest(length(text), 1), {PIECE}), p -> substr(text, p, {PIECE} + {about['longest']} - 1))")).alias("text")).distinct()
     grams = pieces.select("text", F.explode(F.array(*map(F.lit, sorted(about["sizes"])))).alias("n")).where("length(text) >= n")
-    # one row for each different gram of a piece
+    # one row for each different gram of a piece that some token has
     grams = grams.select("text", F.explode(F.expr("array_distinct(transform(sequence(1, length(text) - n + 1), i -> substr(text, i, n)))")).alias("gram"))
-    return tokens.join(grams.join(tokens.select("gram").distinct(), "gram", "left_semi"), "gram").where("contains(text, token)").select("token").distinct()
+    met = staged(grams.join(of_token.select("gram").distinct(), "gram", "left_semi"), "token-grams")
+    counted = of_token.join(met.groupBy("gram").agg(F.count("*").alias("held")), "gram", "left").groupBy("token").agg(F.expr("min_by(struct(gram, coalesce(held, 0) as held), struct(coalesce(held, 0), gram))").alias("rarest"))
+    wanted = counted.where("rarest.held > 0").selectExpr("token", "rarest.gram as gram")
+    return wanted.join(met, "gram").where("contains(text, token)").select("token").distinct()
 
 
 def resolved(producers: DataFrame, texts: DataFrame, names: DataFrame | None = None, token: str = "token", external: str = "false") -> DataFrame:

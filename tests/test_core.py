@@ -108,3 +108,17 @@ def test_incremental_keeps_and_renews(spark):
     known, files = spark.createDataFrame([("a", "1"), ("b", "1"), ("c", "1")], "path string, fingerprint string"), spark.createDataFrame([("a", "1"), ("b", "2")], "path string, fingerprint string")
     fresh, kept = memory.incremental(known, files)
     assert [r["path"] for r in fresh.collect()] == ["b"] and [r["path"] for r in kept.collect()] == ["a"]
+
+
+def test_cooccurrence_of_hubs(spark, monkeypatch):
+    rows = [(f"c{i}", f"f{j}") for i in range(4) for j in range(30 if i == 0 else 3 + i)]
+    bags = spark.createDataFrame(rows, "cid string, callee string")
+    want = {tuple(r) for r in consensus.cooccurrence(bags).collect()}
+    monkeypatch.setattr(consensus, "HUB", 4)
+    assert {tuple(r) for r in consensus.cooccurrence(bags).collect()} == want and len(want) == 30 * 29
+
+
+def test_tokens_meet_texts_by_their_rarest_gram(spark):
+    texts = spark.createDataFrame([(f"/api/v{i}/users/list",) for i in range(50)] + [("/api/v1/zebra",), ("ab",), ("",)], "text string")
+    tokens = spark.createDataFrame([("/api/v1/zebra",), ("/api/v1/quagga",), ("/api/v7/users",), ("ab",), ("b",), ("xyz",), ("api/v49/users/list",), ("/api/v50",), ("",)], "token string")
+    assert sorted(r["token"] for r in health.holding(tokens, texts).collect()) == ["/api/v1/zebra", "/api/v7/users", "ab", "api/v49/users/list", "b"]
