@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import ast
+import copy
+import io
+import tokenize
 from collections.abc import Iterator
 
 import pandas as pd
@@ -77,32 +80,133 @@ def call_rows(content: str) -> list[tuple[str | None, str, int]]:
     return rows
 
 
-def skeleton(content: str, width: int = 60) -> list[str]:
-    """Headers, returns, raises and calls; the rest of each body folded to one mark."""
+#: Letters up to which an expression is shown as it is, and how much of a long string stays.
+SHOWN, STRING_SHOWN, STRING_LEFT = 60, 16, 13
+#: What an expression must hold for its assignment to be shown.
+TELLING = (ast.Call, ast.BinOp, ast.BoolOp, ast.Compare, ast.IfExp, ast.ListComp, ast.SetComp, ast.DictComp, ast.GeneratorExp)
+
+
+class _Shorter(ast.NodeTransformer):
+    """Lambdas as one sign and long strings by their beginning; with ``calls`` also what calls inside of calls are given."""
+
+    def __init__(self, calls: bool):
+        self.calls, self.inside = calls, 0
+
+    def visit(self, node: ast.AST) -> ast.AST:
+        if isinstance(node, ast.Lambda):
+            return ast.Name("λ")
+        if isinstance(node, ast.Constant) and isinstance(node.value, str) and len(node.value) > STRING_SHOWN:
+            return ast.Constant(node.value[:STRING_LEFT] + "…")
+        if not (self.calls and isinstance(node, ast.Call)):
+            return self.generic_visit(node)
+        if self.inside:
+            return ast.Call(self.visit(node.func), [ast.Name("…")] if node.args or node.keywords else [], [])
+        func = self.visit(node.func)
+        self.inside += 1
+        given = [self.visit(x) for x in node.args], [ast.keyword(k.arg, self.visit(k.value)) for k in node.keywords]
+        self.inside -= 1
+        return ast.Call(func, *given)
+
+
+def shown(expr: ast.AST) -> str:
+    """An expression in one line: whole if it is short, else with long strings, lambdas and nested arguments left out, and only then cut."""
+    text = ""
+    for shorter, most in ((None, SHOWN), (_Shorter(False), SHOWN), (_Shorter(True), 2 * SHOWN)):
+        if shorter:
+            expr = shorter.visit(copy.deepcopy(expr))
+        text = " ".join(ast.unparse(expr).split())
+        if len(text) <= most:
+            return text
+    return text[: SHOWN - 1] + "…"
+
+
+def _parts(n: ast.stmt) -> Iterator[tuple[str, int | None, list[ast.stmt], int]]:
+    """What a compound statement says: (text, line, statements below, how deep below); nothing for others."""
+    match n:
+        case ast.FunctionDef() | ast.AsyncFunctionDef() | ast.ClassDef():
+            documented = bool(n.body) and isinstance(n.body[0], ast.Expr) and isinstance(n.body[0].value, ast.Constant)
+            yield f"class {n.name}:" if isinstance(n, ast.ClassDef) else f"def {n.name}(…):", n.lineno, n.body[documented:], 1
+        case ast.If():
+            word, rest = "if", [n]
+            while len(rest) == 1 and isinstance(rest[0], ast.If):
+                (test,) = rest
+                yield f"{word} {shown(test.test)}:", test.lineno, test.body, 1
+                word, rest = "elif", test.orelse
+            if rest:
+                yield "else:", None, rest, 1
+        case ast.For() | ast.AsyncFor():
+            yield f"for {shown(n.target)} in {shown(n.iter)}:", n.lineno, n.body, 1
+        case ast.While():
+            yield f"while {shown(n.test)}:", n.lineno, n.body, 1
+        case ast.With() | ast.AsyncWith():
+            held = (shown(i.context_expr) + (f" as {shown(i.optional_vars)}" if i.optional_vars else "") for i in n.items)
+            yield f"with {', '.join(held)}:", n.lineno, n.body, 1
+        case ast.Try():
+            yield "try:", n.lineno, n.body, 1
+            for h in n.handlers:
+                yield "except" + (f" {shown(h.type)}" if h.type else "") + (f" as {h.name}" if h.name else "") + ":", h.lineno, h.body, 1
+            if n.finalbody:
+                yield "finally:", None, n.finalbody, 1
+        case ast.Match():
+            yield f"match {shown(n.subject)}:", n.lineno, [], 1
+            for c in n.cases:
+                yield f" case {shown(c.pattern)}:", None, c.body, 2
+
+
+def _said(n: ast.stmt) -> str | None:
+    """A simple statement that says something; None for one that is folded."""
+    match n:
+        case ast.Return(value=value) | ast.Raise(exc=value):
+            word = "return" if isinstance(n, ast.Return) else "raise"
+            return f"{word} {shown(value)}" if value else word
+        case ast.Assert():
+            return f"assert {shown(n.test)}"
+        case ast.Break() | ast.Continue():
+            return ast.unparse(n)
+        case ast.AugAssign():
+            sign = ast.unparse(ast.AugAssign(ast.Name("x"), n.op, ast.Name("y")))[2:-2]
+            return f"{shown(n.target)} {sign} {shown(n.value)}"
+        case ast.Assign() | ast.AnnAssign() if n.value is not None and any(isinstance(x, TELLING) for x in ast.walk(n.value)):
+            return f"{', '.join(map(shown, getattr(n, 'targets', None) or [n.target]))} = {shown(n.value)}"
+        case ast.Expr(value=ast.Call() | ast.Await() | ast.Yield() | ast.YieldFrom()):
+            return shown(n.value)
+    return None
+
+
+def _notes(content: str) -> dict[int, str]:
+    """Comments that stand behind code, by line; those on lines of their own are left out."""
+    try:
+        return {t.start[0]: t.string.rstrip() for t in tokenize.generate_tokens(io.StringIO(content).readline) if t.type == tokenize.COMMENT and t.line[: t.start[1]].strip()}
+    except (tokenize.TokenError, IndentationError):
+        return {}
+
+
+def skeleton(content: str) -> list[str]:
+    """What a program does, a space for each level: definitions, branches, loops, calls, telling assignments, each with the comment behind
+    it; stretches of the rest folded to one mark."""
     try:
         tree = ast.parse(content)
     except SyntaxError:
         return []
     out: list[str] = []
+    notes = _notes(content)
 
-    def line(depth: int, s: str) -> None:
-        out.append("    " * depth + (s if len(s) <= width else s[: width - 1] + "…"))
+    def put(depth: int, text: str, line: int | None) -> None:
+        note = notes.pop(line, None) if line else None
+        out.append(" " * depth + text + (f"  {note}" if note else ""))
 
     def visit(body: list[ast.stmt], depth: int) -> None:
-        folded = False
         for n in body:
-            inner = [x for x in ("body", "orelse", "finalbody") if isinstance(getattr(n, x, None), list)]
-            if inner:
-                line(depth, ast.unparse(n).split("\n")[len(getattr(n, "decorator_list", []))])
-                for x in inner:
-                    visit(getattr(n, x), depth + 1)
-            elif isinstance(n, (ast.Return, ast.Raise, ast.Import, ast.ImportFrom)) or isinstance(n, ast.Expr) and isinstance(n.value, ast.Call):
-                line(depth, ast.unparse(n))
-            elif not folded:
-                line(depth, "…")
-                folded = True
+            parts = list(_parts(n))
+            for text, line, below, deeper in parts:
+                put(depth, text, line)
+                visit(below, depth + deeper)
+            if parts:
                 continue
-            folded = False
+            if (text := _said(n)) is not None:
+                put(depth, text, n.lineno)
+            elif out[-1:] != [" " * depth + "…"]:
+                out.append(" " * depth + "…")
 
     visit(tree.body, 0)
     return out

@@ -259,6 +259,14 @@ def python_calls(spark, d):
     return python_source.calls(_python_files(spark, d))
 
 
+@query(f"""{PYTHON}, h AS (SELECT path, a, k, [' def fn' || k || '(…):'] || flatten(list_transform(range(deep), lambda i: ['  if a > 0:', '   a += 1'])) || CASE WHEN calls THEN ['  self.fn' || (k + 1) || '(1)'] ELSE CAST([] AS VARCHAR[]) END || ['  return a'] AS said FROM g),
+l AS (SELECT path, -1 AS k, 1 AS i, '…' AS text FROM h GROUP BY path UNION ALL SELECT path, -1, 2, 'class C' || min(a) || ':' FROM h GROUP BY path UNION ALL SELECT path, k, unnest(range(1, len(said) + 1)) AS i, unnest(said) FROM h)
+SELECT path, CAST(row_number() OVER (PARTITION BY path ORDER BY k, i) AS INT) AS line_no, text FROM l""")
+def python_condensed(spark, d):
+    """What Python files do, line by line: headers, branches, calls; documentation, imports and comments of their own left out."""
+    return python_source.skeletons(_python_files(spark, d))
+
+
 # --- routes and templates ------------------------------------------------------------------------------------------
 
 # a part's route, by k % 6: told by a page, told by a helper's name, external, without a telling word, told by nobody, declared by a call

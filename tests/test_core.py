@@ -122,3 +122,12 @@ def test_tokens_meet_texts_by_their_rarest_gram(spark):
     texts = spark.createDataFrame([(f"/api/v{i}/users/list",) for i in range(50)] + [("/api/v1/zebra",), ("ab",), ("",)], "text string")
     tokens = spark.createDataFrame([("/api/v1/zebra",), ("/api/v1/quagga",), ("/api/v7/users",), ("ab",), ("b",), ("xyz",), ("api/v49/users/list",), ("/api/v50",), ("",)], "token string")
     assert sorted(r["token"] for r in health.holding(tokens, texts).collect()) == ["/api/v1/zebra", "/api/v7/users", "ab", "api/v49/users/list", "b"]
+
+
+def test_condensed_python():
+    source = 'import os\nclass A(B):\n    """Doc."""\n    x: int = 3\n    @deco\n    async def f(self, a):\n        "doc"\n        y = 1\n        z = a + 1  # sum\n        y //= 2\n        if a:  # first\n            return g(a)  # never\n        elif b > 2:\n            pass\n        else:\n            x.y(1)\n        with open(p) as q, r: w()\n        try:\n            t()\n        except (E, F) as e:\n            raise\n        finally:\n            u()\n        match v:\n            case 1: yield z\n        assert a, "m"\n        foo(bar(1, 2, baz=3), lambda k: k + 1, "a very long string that goes on", qux(), more_arguments_here, 12345)\n        # alone\n        return\n'
+    assert python_source.skeleton(source) == [
+        "…", "class A:", " …", " def f(…):", "  …", "  z = a + 1  # sum", "  y //= 2", "  if a:  # first", "   return g(a)  # never", "  elif b > 2:", "   …", "  else:", "   x.y(1)", "  with open(p) as q, r:", "   w()", "  try:", "   t()",
+        "  except (E, F) as e:", "   raise", "  finally:", "   u()", "  match v:", "   case 1:", "    (yield z)", "  assert a", "  foo(bar(…), λ, 'a very long s…', qux(), more_arguments_here, 12345)", "  return",
+    ]
+    assert python_source.skeleton("def f(:") == [] and python_source.skeleton("") == [] and python_source.skeleton("x = [" + "a.b, " * 60 + "f()]")[0].endswith("…")
