@@ -230,6 +230,16 @@ def calls(files: DataFrame) -> DataFrame:
     return _mapped(files, call_rows, "caller_file string, caller_name string, callee_name string, line int")
 
 
+def bodies(files: DataFrame) -> DataFrame:
+    """(path, line_no, text): what stands below the header of the definition that each row's content is, as indented as it comes."""
+
+    def body(content: str) -> Iterator[tuple[int, str]]:
+        lines = skeleton("if 1:\n" + content) if content[:1] in (" ", "\t") else [" " + x for x in ["", *skeleton(content)]]
+        return enumerate((x[2:] for x in lines[2:]), 1)
+
+    return _mapped(files, body, "path string, line_no int, text string")
+
+
 def skeletons(files: DataFrame) -> DataFrame:
     return _mapped(files, lambda c: enumerate(skeleton(c), 1), "path string, line_no int, text string")
 

@@ -237,7 +237,12 @@ def salient(facts: Facts, mode: str = "balanced", edits: DataFrame | None = None
     commits = changes.span_edits(chosen.select("path", "node_id", "start_line", "end_line"), edits) if edits is not None else chosen.select("path", "node_id", F.lit(0).alias("edits"))
     scored = ranking.saliency(scores.join(commits.withColumnRenamed("edits", "churn"), ["path", "node_id"]), "path", mode)
     ranked = scored.selectExpr("path", "node_id", "saliency", "churn as edits", "cast(row_number() over (partition by path order by round(saliency, 9) desc, node_id) as int) as rank")
-    whole = staged(condense.skeleton(_span_lines(chosen.join(facts.files.select("path", "content"), "path"))), "node-skeletons")
+    sources = chosen.join(facts.files.select("path", "content", "language"), "path")
+    whole = condense.skeleton(_span_lines(sources.where("tier <> 'syntax'")))
+    if "python" in facts.languages:  # by the syntax tree, without the header, which the node's own line shows
+        own = sources.where("tier = 'syntax'").selectExpr("concat(path, '#', node_id) as path", "array_join(slice(split(content, '\\n'), start_line, end_line - start_line + 1), '\\n') as content")
+        whole = whole.unionByName(python_source.bodies(own).selectExpr("path", "cast(line_no as bigint) as line_no", "text"))
+    whole = staged(whole, "node-skeletons")
     full, two, one = _gathered(whole, "full"), _gathered(condense.depth_limit(whole, 2), "two"), _gathered(condense.depth_limit(whole, 1), "one")
     shown = full.join(two, "path").join(one, "path").selectExpr("substring_index(path, '#', -1) as id", "substring_index(path, '#', 1) as path", "full", "two", "one").selectExpr("path", "cast(id as int) as node_id", "full", "two", "one")
     priced = ranked.join(shown, ["path", "node_id"]).selectExpr("*", f"{budget.tokens('full')} as cost_full", f"{budget.tokens('two')} as cost_2", f"{budget.tokens('one')} as cost_1")

@@ -518,19 +518,15 @@ EXPECTED: dict[str, tuple[str, list[tuple]]] = {
             ('app/store.py', 0, 0, '- Store (Base) @1 D8 # Keeps rows.'),
             ('app/store.py', 1, 0, '  - size (self) @5'),
             ('app/store.py', 1, 1, '     @property'),
-            ('app/store.py', 1, 2, '         def size(self):'),
-            ('app/store.py', 1, 3, '             return len(self.rows)'),
+            ('app/store.py', 1, 2, '     return len(self.rows)'),
             ('app/store.py', 2, 0, '  - visit_row (self, row) @8'),
-            ('app/store.py', 2, 1, '         def visit_row(self, row):'),
-            ('app/store.py', 2, 2, '             return row'),
+            ('app/store.py', 2, 1, '     return row'),
             ('app/store.py', 3, 0, '  - unused_step (self, row) @11 D7'),
-            ('app/store.py', 3, 1, '         def unused_step(self, row):'),
-            ('app/store.py', 3, 2, '             for x in row:'),
-            ('app/store.py', 3, 3, '                 self.rows.append(x)'),
-            ('app/store.py', 3, 4, '             return row'),
+            ('app/store.py', 3, 1, '     for x in row:'),
+            ('app/store.py', 3, 2, '      self.rows.append(x)'),
+            ('app/store.py', 3, 3, '     return row'),
             ('app/store.py', 4, 0, '- save (x) @17'),
-            ('app/store.py', 4, 1, '   def save(x):'),
-            ('app/store.py', 4, 2, '       return Store().size'),
+            ('app/store.py', 4, 1, '   return Store().size'),
             ('docs/guide.md', 0, 0, '- Guide @1'),
             ('docs/guide.md', 1, 0, '  - Install @5'),
             ('docs/guide.md', 2, 0, '  - code block (bash) @7'),
@@ -547,18 +543,20 @@ EXPECTED: dict[str, tuple[str, list[tuple]]] = {
             (1, 1, '     @property'),
             (2, 0, '  - visit_row (self, row) @8'),
             (3, 0, '  - unused_step (self, row) @11 D7'),
-            (3, 1, '         def unused_step(self, row):'),
+            (3, 1, '     for x in row:'),
             (3, 2, '      …'),
+            (3, 3, '     return row'),
             (4, 0, '- save (x) @17'),
+            (4, 1, '   return Store().size'),
         ],
     ),
     "directory_lines": (
         "path VARCHAR, part INTEGER, line VARCHAR",
         [
             ('app/store.py', 0, 'Store, save'),
-            ('app/store.py', 1, '> unused_step: for x in row: ; return row'),
+            ('app/store.py', 1, '> unused_step: for x in row: ; self.rows.append(x) ; return row'),
             ('app/util.py', 0, 'helper, clean, leftover, _private'),
-            ('app/util.py', 1, '> helper: if v: ; return v'),
+            ('app/util.py', 1, '> helper: if v: ; return clean(v) ; return v'),
             ('web/page.ts', 0, 'Widget, draw'),
             ('web/page.ts', 1, '> draw: return paint(x);'),
         ],
