@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators.rules import listed
+from quarry.scratch import dealt
 
 #: Types that are never candidates for display.
 SKIP_TYPES = ("file-info", "imports", "error", "parse-error", "section", "paragraph", "heading", *(f"heading-{n}" for n in range(1, 7)), "code-block", "comment")
@@ -98,7 +99,8 @@ def witnesses(definitions_: DataFrame, known_protocols: DataFrame) -> DataFrame:
     methods = definitions_.where(f"parent is not null and type in ({listed(MEMBERS)})").select("file", "name", "parent")
     asked = methods.select(F.col("parent").alias("protocol"), F.col("name").alias("member")).unionByName(known_protocols.select("protocol", "member")).distinct()
     known = types.select(F.col("name").alias("protocol")).unionByName(known_protocols.select("protocol")).distinct().withColumn("known", F.lit(True))
-    placed = methods.join(claims, "parent").join(known, "protocol", "left").join(asked.withColumn("asks", F.lit(True)).withColumnRenamed("member", "name"), ["protocol", "name"], "left")
+    claimed = dealt(methods).join(dealt(claims), "parent").join(dealt(known), "protocol", "left")
+    placed = claimed.join(dealt(asked.withColumn("asks", F.lit(True)).withColumnRenamed("member", "name")), ["protocol", "name"], "left")
     return placed.where("known is null or asks").selectExpr("file", "concat(parent, '.', name) as qualified").distinct()
 
 

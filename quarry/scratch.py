@@ -106,6 +106,46 @@ def partitions_for(df: DataFrame, bytes_each: int, column: str) -> int:
     return max(least, -(-size // bytes_each))
 
 
+#: Files that a task parses.
+FILES_A_TASK = 2000
+
+
+def spread(files: DataFrame, key: str) -> DataFrame:
+    """Rows that are costly to work on, dealt by ``key`` so that a task gets about ``FILES_A_TASK``, however few splits
+    their table has."""
+    parts = -(-files.count() // FILES_A_TASK)
+    return files.repartition(parts, key) if parts > 1 else files
+
+
+#: Bytes of files up to which a table made from them may be sent to all executors (compressed, they hold some forty times as much), and
+#: bytes of files whose rows a task gets.
+SENT, BYTES_A_TASK = 256 << 10, 8 << 20
+
+
+def scanned(df: DataFrame) -> int:
+    """Bytes of the tables that ``df`` is made from, each as often as it is read, without a job."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` for joins that deal both sides by their keys, unless it is made from very little.
+
+    The optimizer takes the bytes of compressed files for those of rows, and would send tables through the driver that hold
+    many times as much.  With ``keys`` the rows are dealt by them at once, to as many tasks as the tables' bytes ask for.
+    """
+    size = scanned(df)
+    if size <= SENT:
+        return df
+    parts = tasks_for(df)
+    return (df.repartition(parts, *keys) if keys and parts > 1 else df).hint("merge")
+
+
+def tasks_for(df: DataFrame) -> int:
+    """Tasks among which the rows of ``df`` are dealt: one for ``BYTES_A_TASK`` of its tables, and no fewer than the session's."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-scanned(df) // BYTES_A_TASK))
+
+
 def joined(large: DataFrame, small: DataFrame, on: list[str], how: str, most: int) -> DataFrame:
     """A join that leaves ``large`` where it lies if ``small``, a staged table, is counted to ``most`` rows at
     most; beyond that both sides are dealt by the key."""
