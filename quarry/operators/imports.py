@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators.rules import listed, pattern
+from quarry.scratch import dealt, spread
 
 _SCRIPTS = [".ts", ".tsx", ".js", ".jsx", ".mts", ".cts", ".mjs", ".cjs"]
 # Packages that are never files of the corpus.
@@ -68,7 +69,7 @@ def candidates(imports: DataFrame) -> DataFrame:
     """(source_file, candidates) of imports (path, language, name); null or unknown languages give none."""
     whens = " ".join(f"when '{lang}' then transform(array({', '.join(exprs)}), x -> {normal('x')})" for lang, exprs in _rules().items())
     placed = imports.where("path is not null and name is not null").selectExpr("path", "language", "name", "if(path like '%/%', regexp_replace(path, '/[^/]*$', ''), '') as dir")
-    return placed.selectExpr("path as source_file", f"filter(case language {whens} end, x -> x is not null and x <> '') as candidates").where("size(candidates) > 0")
+    return spread(placed, "path").selectExpr("path as source_file", f"filter(case language {whens} end, x -> x is not null and x <> '') as candidates").where("size(candidates) > 0")
 
 
 def by_folder(imports: DataFrame, files: DataFrame) -> DataFrame:
@@ -77,15 +78,15 @@ def by_folder(imports: DataFrame, files: DataFrame) -> DataFrame:
     ends = wanted.selectExpr("path", "name", "posexplode(transform(sequence(1, size(split(name, '/'))), i -> array_join(slice(split(name, '/'), i, size(split(name, '/'))), '/'))) as (pos, folder)")
     folders = files.where("path like '%/%.go'").selectExpr("path as dst", "explode(transform(sequence(1, size(split(path, '/')) - 1), i -> array_join(slice(split(path, '/'), 1, i), '/'))) as folder")
     first = folders.groupBy("folder").agg(F.min("dst").alias("dst"))
-    return ends.join(first, "folder").groupBy("path", "name").agg(F.expr("min_by(dst, pos)").alias("dst")).where("dst <> path").selectExpr("path as src", "dst").distinct()
+    return dealt(ends).join(dealt(first), "folder").groupBy("path", "name").agg(F.expr("min_by(dst, pos)").alias("dst")).where("dst <> path").selectExpr("path as src", "dst").distinct()
 
 
 def by_file_name(imports: DataFrame, files: DataFrame) -> DataFrame:
     """(src, dst): for C#, where no path fits, the first file called like the last part of the namespace."""
     wanted = imports.where("language = 'csharp' and not name rlike '^(?:System|Microsoft|Windows)'").selectExpr("path", "name", "concat(regexp_extract(name, '([^.]*)$', 1), '.cs') as file", "concat(replace(name, '.', '/'), '.cs') as whole").distinct()
-    missed = wanted.join(files.select(F.col("path").alias("whole")), "whole", "left_anti")
+    missed = dealt(wanted).join(dealt(files.select(F.col("path").alias("whole"))), "whole", "left_anti")
     first = files.where("path like '%.cs'").selectExpr("path as dst", "regexp_extract(path, '([^/]*)$', 1) as file").groupBy("file").agg(F.min("dst").alias("dst"))
-    return missed.join(first, "file").where("dst <> path").selectExpr("path as src", "dst").distinct()
+    return dealt(missed).join(dealt(first), "file").where("dst <> path").selectExpr("path as src", "dst").distinct()
 
 
 # Types of Swift that every program has, and words that look like types.
@@ -151,7 +152,7 @@ def grouped(files: DataFrame) -> DataFrame:
 def by_type(imports: DataFrame, definitions: DataFrame) -> DataFrame:
     """(src, dst): for Swift the file of the first definition (file, name, line) of a type's name, by file and line."""
     first = definitions.groupBy("name").agg(F.expr("min_by(file, struct(file, line))").alias("dst"))
-    return imports.where("language = 'swift'").select("path", "name").join(first, "name").where("dst <> path").selectExpr("path as src", "dst").distinct()
+    return dealt(imports.where("language = 'swift'").select("path", "name")).join(dealt(first), "name").where("dst <> path").selectExpr("path as src", "dst").distinct()
 
 
 def edges(imports: DataFrame, files: DataFrame, definitions: DataFrame | None = None) -> DataFrame:
