@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators import rules
 from quarry.operators.nodes import in_degrees
+from quarry.scratch import dealt
 
 SIGNIFICANT, FENCE_LEAST, BAGS_LEAST, PEERS, TOP = 3.0, 8, 3, 3, 20
 #: Callees from which a bag is dealt in blocks.
@@ -19,7 +20,7 @@ LISTED = 32
 
 def bags(calls: DataFrame) -> DataFrame:
     """Distinct (cid, callee); module-level calls have no caller and are left out."""
-    return calls.where("cid is not null and callee is not null").select("cid", "callee").distinct()
+    return calls.where("cid is not null and callee is not null").select("cid", "callee").transform(dealt, "cid", "callee").distinct()
 
 
 def usage(definitions: DataFrame, calls: DataFrame, source_only: bool = True) -> DataFrame:

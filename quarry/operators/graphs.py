@@ -5,24 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.scratch import dealt, staged, tasks_for
+
 
 def call_edges(definitions: DataFrame, calls: DataFrame) -> DataFrame:
     """(src, dst, weight) from definitions (fqn, name) and calls (caller_name, callee_name).
 
     Calls are told apart by their two names alone.  A name stands for all definitions of that name, so
     m callers and k callees share one call's weight; calls of a definition to itself are left out
-    after that.
+    after that.  Definitions of names that are called are looked up apart: where these are few, they are sent to the
+    calls, so that a name which everybody calls does not bring its calls together.
     """
+    tasks = tasks_for(calls)
+    pairs = dealt(calls.where("caller_name is not null and callee_name is not null").select("caller_name", "callee_name"), "caller_name", "callee_name").distinct()
+    pairs = staged(pairs, "call-pairs")
+    named = staged(definitions.select("fqn", "name").where("name is not null").distinct(), "call-names")
     return calls.sparkSession.sql(
-        """
-        WITH c AS (SELECT DISTINCT caller_name, callee_name FROM {c} WHERE caller_name IS NOT NULL),
-        i AS (SELECT DISTINCT fqn, name FROM {d}),
-        m AS (SELECT name, count(*) AS n FROM i GROUP BY name)
-        SELECT a.fqn AS src, b.fqn AS dst, sum(1D / (ma.n * mb.n)) AS weight
-        FROM c JOIN m ma ON c.caller_name = ma.name JOIN m mb ON c.callee_name = mb.name
-               JOIN i a ON c.caller_name = a.name JOIN i b ON c.callee_name = b.name
-        WHERE a.fqn <> b.fqn GROUP BY a.fqn, b.fqn""",
-        c=calls, d=definitions,
+        f"""
+        WITH c AS (SELECT /*+ REPARTITION({tasks}, caller_name) */ * FROM {{c}}), i AS (SELECT * FROM {{i}}),
+        m AS (SELECT i.*, count(*) OVER (PARTITION BY name) AS n FROM i),
+        a AS (SELECT m.* FROM m), b AS (SELECT m.* FROM m LEFT SEMI JOIN (SELECT DISTINCT callee_name FROM {{c}}) x ON m.name = x.callee_name),
+        e AS (SELECT /*+ MERGE(a) */ c.callee_name, a.fqn AS src, a.n FROM c JOIN a ON c.caller_name = a.name),
+        f AS (SELECT /*+ REPARTITION({tasks}, src, dst) */ e.src, b.fqn AS dst, 1D / (e.n * b.n) AS weight FROM e JOIN b ON e.callee_name = b.name WHERE e.src <> b.fqn)
+        SELECT src, dst, sum(weight) AS weight FROM f GROUP BY src, dst""",
+        c=pairs, i=named,
     )
 
 
@@ -51,21 +57,18 @@ def import_edges(imports: DataFrame, files: DataFrame) -> DataFrame:
 
     imports: (source_file, candidates array<string> in order of preference).
     """
-    return imports.sparkSession.sql(
-        """
-        SELECT DISTINCT source_file AS src, dst FROM (
-          SELECT i.source_file, i.candidates, min_by(f.path, i.pos) AS dst
-          FROM (SELECT source_file, candidates, posexplode(candidates) AS (pos, path) FROM (SELECT DISTINCT source_file, candidates FROM {i})) i
-          JOIN {f} f ON i.path = f.path GROUP BY i.source_file, i.candidates)
-        WHERE dst <> source_file""",
-        i=imports, f=files,
-    )
+    # what candidates stand for does not hang on the file that names them
+    asked = dealt(imports.select("candidates"), "candidates").distinct()
+    tried = dealt(asked.selectExpr("candidates", "posexplode(candidates) as (pos, path)"), "path").join(dealt(files.select("path")), "path")
+    found = dealt(tried.select("candidates", "pos", "path"), "candidates").groupBy("candidates").agg(F.expr("min_by(path, pos)").alias("dst"))
+    edges = dealt(imports.select("source_file", "candidates"), "candidates").join(dealt(found), "candidates").where("dst <> source_file")
+    return dealt(edges.selectExpr("source_file as src", "dst"), "src", "dst").distinct()
 
 
 def file_centrality(edges: DataFrame) -> DataFrame:
     """(path, n_imports, n_importers, centrality = 2 importers + imports); edges are one for each pair."""
     ends = edges.selectExpr("inline(array(struct(src as path, 1L as goes, 0L as comes), struct(dst as path, 0L as goes, 1L as comes)))")
-    return ends.groupBy("path").agg(F.sum("goes").alias("n_imports"), F.sum("comes").alias("n_importers")).withColumn("centrality", F.expr("2 * n_importers + n_imports"))
+    return dealt(ends, "path").groupBy("path").agg(F.sum("goes").alias("n_imports"), F.sum("comes").alias("n_importers")).withColumn("centrality", F.expr("2 * n_importers + n_imports"))
 
 
 def top_dropped(definitions: DataFrame, calls: DataFrame, top: int = 5) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import scoring
 from quarry.operators import changes, condense, consensus, graphs, health, imports, markup, paths, ranking, rules, text, views
-from quarry.scratch import read_table
+from quarry.scratch import dealt, read_table
 from quarry.streaming import memory
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,7 +40,8 @@ def page_paths(spark: SparkSession, d: str) -> DataFrame:
 def part_calls(spark: SparkSession, d: str) -> DataFrame:
     """(custkey, status, brand, type) of each line item."""
     o, li, p = (read_table(spark, d, t) for t in ("orders", "lineitem", "part"))
-    return li.select("l_orderkey", "l_partkey").join(o.select("o_orderkey", "o_custkey", "o_orderstatus"), F.col("l_orderkey") == F.col("o_orderkey")).join(p.select("p_partkey", "p_brand", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
+    ordered = dealt(li.select("l_orderkey", "l_partkey"), "l_orderkey").join(dealt(o.select("o_orderkey", "o_custkey", "o_orderstatus")), F.col("l_orderkey") == F.col("o_orderkey"))
+    return dealt(ordered, "l_partkey").join(dealt(p.select("p_partkey", "p_brand", "p_type")), F.col("l_partkey") == F.col("p_partkey"))
 
 
 def call_facts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

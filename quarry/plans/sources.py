@@ -8,7 +8,7 @@ from quarry.functions import scoring
 from quarry.functions.pattern_tables import language_of
 from quarry.operators import budget, changes, consensus, graphs, imports, nodes, paths, ranking, report, rules, views
 from quarry.plans.catalogue import AUDIT, _import_edges, call_facts, query, usage
-from quarry.scratch import fresh_path, read_table
+from quarry.scratch import dealt, fresh_path, read_table
 from quarry.streaming import memory
 
 
@@ -38,7 +38,7 @@ s{4 - k} AS (SELECT path, rank, q, members, CASE WHEN level = {k} AND total > 60
 
 @query(LEVELS + _step(3) + _step(2) + _step(1) + " SELECT path, rank, CASE level WHEN 3 THEN 'full' ELSE CAST(level AS VARCHAR) END AS level FROM s3")
 def budget_levels(spark, d):
-    rows = read_table(spark, d, "lineitem").selectExpr("l_orderkey as path", "row_number() over (partition by l_orderkey order by l_extendedprice desc, l_linenumber, l_partkey, l_suppkey) as rank", "cast(floor(l_quantity) as bigint) as cost_full")
+    rows = dealt(read_table(spark, d, "lineitem"), "l_orderkey").selectExpr("l_orderkey as path", "row_number() over (partition by l_orderkey order by l_extendedprice desc, l_linenumber, l_partkey, l_suppkey) as rank", "cast(floor(l_quantity) as bigint) as cost_full")
     return budget.degraded(rows.selectExpr("*", "cost_full div 2 as cost_2", "cost_full div 4 as cost_1"), "60").selectExpr("path", "cast(rank as bigint) as rank", "level")
 
 
