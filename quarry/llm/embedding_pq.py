@@ -8,8 +8,9 @@ when that distance is within the link distance plus the stored vector's own codi
 codes themselves lose nothing (triangle inequality).  Candidates are ranked by their exact cosine in
 double precision.  Centres and codebooks are fitted on a bounded sample; every class is filed.
 
-Lists that hold much are cut into blocks, and the probing classes too, so that a task holds a block of
-each.  A task does not hand on pairs: it counts the links of each class on either side, and hands on a
+Neighbouring lists make a bucket, and a class is sent once to each bucket that it probes a list of, so that the copies
+of a class grow with the classes of a label and not with the lists.  Buckets that hold much are cut into blocks, and the probing
+classes too, so that a task holds a block of each.  A task does not hand on pairs: it counts the links of each class on either side, and hands on a
 spanning set of them, so what it gives is no more than what it was given.
 
 Centres and codebooks live in the space of the most common dimension; a vector of another dimension is
@@ -42,7 +43,8 @@ SUBSPACES, CODES = 8, 64
 #: precision); of these so many at least if they fit, and so many for each list.
 CENTRE_BYTES, SAMPLE_BYTES, SAMPLE, SAMPLE_A_LIST = 64 << 20, 96 << 20, 16_384, 16
 SEED, ROUNDS = 5, 12
-BLOCK = 1024
+#: Classes of a label that a bucket and a block hold, about, bytes of a block's vectors, and buckets at least.
+BLOCK, BLOCK_BYTES, BUCKETS = 8192, 32 << 20, 4
 
 
 class Quantiser:
@@ -68,15 +70,15 @@ class Quantiser:
         row farther than ``reach`` from that side has nothing there.  This holds from both ends of a link;
         the end in the list of the lower number asks.
         """
-        out, numbers = [], np.arange(len(self.centres))
-        square = (self.centres**2).sum(axis=1)
-        for i in range(0, len(x), 1024):
-            own = at[i : i + 1024]
-            d = square - 2 * x[i : i + 1024] @ self.centres.T
-            wide = np.sqrt(np.maximum(0.0, square[own][:, None] + square - 2 * self.centres[own] @ self.centres.T))
-            can = (d - d[np.arange(len(own)), own][:, None] <= 2 * wide * reach + 1e-6) & (numbers >= own[:, None])
-            out += [np.flatnonzero(row) for row in can]
-        return out
+        cells = np.arange(len(self.centres))
+        return [np.flatnonzero(row) for i in range(0, len(x), 1024) for row in self.reaches(x[i : i + 1024], at[i : i + 1024], cells, reach)]
+
+    def reaches(self, x: np.ndarray, at: np.ndarray, cells: np.ndarray, reach: float) -> np.ndarray:
+        """For each row and each of the lists ``cells`` whether the row asks there."""
+        square, centres, own = (self.centres**2).sum(axis=1), self.centres[cells], self.centres[at]
+        d = square[cells] - 2 * x @ centres.T - (square[at] - 2 * (x * own).sum(axis=1))[:, None]
+        wide = np.sqrt(np.maximum(0.0, square[at][:, None] + square[cells] - 2 * own @ centres.T))
+        return (d <= 2 * wide * reach + 1e-6) & (cells >= at[:, None])
 
     def tables(self, x: np.ndarray, at: int) -> np.ndarray:
         """For each row and subspace the squared distance to every code of list ``at``."""
@@ -100,8 +102,8 @@ def _fitted(x: np.ndarray, width: int) -> np.ndarray:
     return x[:, :width] if x.shape[1] >= width else np.pad(x, ((0, 0), (0, width - x.shape[1])))
 
 
-def _filer(handle, cosine: float):
-    """A class with its list, its codes and the lists that it probes."""
+def _filer(handle, cosine: float, buckets: int):
+    """A class with its list, its codes, its bucket and the buckets in which it probes a list."""
     reach = np.sqrt(2 - 2 * cosine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,46 +115,54 @@ def _filer(handle, cosine: float):
                 x = _fitted(_normal(batch.column("embedding")), q.centres.shape[1])
                 cell = nearest(x, q.centres)
                 codes, error = q.encode(x, cell)
+                probes = [np.unique(lists * buckets // len(q.centres)) for lists in q.reached(x, cell, reach)]
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, pa.array(cell, pa.int64()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), pa.array(q.reached(x, cell, reach), pa.list_(pa.int64()))],
-                    names=[*batch.schema.names, "cell", "codes", "error", "probes"],
+                    [*batch.columns, pa.array(cell, pa.int64()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), pa.array(cell * buckets // len(q.centres), pa.int64()), pa.array(probes, pa.list_(pa.int64()))],
+                    names=[*batch.schema.names, "cell", "codes", "error", "bucket", "probes"],
                 )
 
     return run
 
 
 def _searcher(handle, cosine: float):
-    """For a block of a list and a block of classes that probe it: (u, v, n) where v is null: n vectors that u
+    """For a block of a bucket and a block of classes that probe some of its lists: (u, v, n) where v is null: n vectors that u
     links with here; else a link of the spanning set."""
     reach = np.sqrt(2 - 2 * cosine)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         u, v, n = [], [], []
         if left.num_rows and right.num_rows:
-            q, at = handle.value, left.column("cell")[0].as_py()
+            q, cell, home = handle.value, left.column("cell").to_numpy(), right.column("home").to_numpy()
             stored, asked = _normal(left.column("embedding")), _normal(right.column("embedding"))
             short = _fitted(asked, q.centres.shape[1])
             sid, aid = (t.column("rep").to_pylist() for t in (left, right))
             held = {r: k for k, r in enumerate(sid)}
             own = np.array([held.get(r, -1) for r in aid])  # the same class on both sides
-            inside = right.column("home").to_numpy() == at  # such pairs are met from either end
             ws, wa = (t.column("weight").to_numpy() for t in (left, right))
             codes = np.stack([np.frombuffer(c, np.uint8) for c in left.column("codes").to_pylist()])
             limit = (reach + left.column("error").to_numpy() + 1e-6) ** 2
             links_a, links_s = np.zeros(len(asked), np.int64), np.zeros(len(stored), np.int64)
             ties: list[tuple[np.ndarray, np.ndarray]] = []
-            for i in range(0, len(asked), 256):
-                tables = q.tables(short[i : i + 256], at)
-                d = sum(tables[:, k, codes[:, k]] for k in range(codes.shape[1]))
-                a, s = np.nonzero((d <= limit[None]) & (own[i : i + 256, None] != np.arange(len(stored))[None]))
-                exact = np.concatenate([(asked[i + a[j : j + 65536]] * stored[s[j : j + 65536]]).sum(axis=1) >= cosine for j in range(0, len(a), 65536)]) if len(a) else np.zeros(0, bool)
-                a, s = i + a[exact], s[exact]
-                np.add.at(links_a, a, ws[s])
-                np.add.at(links_s, s[~inside[a]], wa[a[~inside[a]]])
-                if len(a):  # the first link of each row, then what these leave apart
-                    ties.append((a, s))
-                    if sum(len(x) for x, _ in ties) > 4 * (len(asked) + len(stored)):
-                        ties = [_thinned(len(asked), len(stored), ties)]
+            lists = np.unique(cell)
+            asks = np.concatenate([q.reaches(short[i : i + 1024], home[i : i + 1024], lists, reach) for i in range(0, len(short), 1024)])
+            for k_at, at in enumerate(lists):
+                here, who = np.flatnonzero(cell == at), np.flatnonzero(asks[:, k_at])
+                step = int(np.clip((1 << 18) // len(here), 256, 2048))
+                for i in range(0, len(who), step):
+                    part = who[i : i + step]
+                    tables = q.tables(short[part], at)
+                    d = sum(tables[:, k, codes[here, k]] for k in range(codes.shape[1]))
+                    a, s = np.nonzero((d <= limit[here][None]) & (own[part, None] != here[None]))
+                    a, s = part[a], here[s]
+                    exact = np.concatenate([(asked[a[j : j + 65536]] * stored[s[j : j + 65536]]).sum(axis=1) >= cosine for j in range(0, len(a), 65536)]) if len(a) else np.zeros(0, bool)
+                    a, s = a[exact], s[exact]
+                    inside = home[a] == at  # such pairs are met from either end
+                    np.add.at(links_a, a, ws[s])
+                    np.add.at(links_s, s[~inside], wa[a[~inside]])
+                    if len(a):  # the first link of each row, then what these leave apart
+                        ties.append((a, s))
+                        if sum(len(x) for x, _ in ties) > 4 * (len(asked) + len(stored)):
+                            ties = [_thinned(len(asked), len(stored), ties)]
             for ids, links in ((aid, links_a), (sid, links_s)):
                 for k in np.flatnonzero(links):
                     u.append(ids[k])
@@ -196,11 +206,14 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     fitting = sampled(classes.where(F.col("dim") == common["dim"]), "rep", "quantiser", wanted, common["count"]).orderBy("rep").select("embedding").toArrow()
     handle = spark.sparkContext.broadcast(Quantiser(_normal(fitting.column("embedding")), lists))
     label = f"label {dict(rows.dtypes)['label']}"
-    filed = staged(classes.select("rep", "label", "dim", "weight", "embedding").mapInArrow(_filer(handle, cosine), f"rep binary, {label}, dim int, weight long, embedding {kind}, cell long, codes binary, error double, probes array<long>"), "pq-filed")
-    asking = filed.selectExpr("rep", "label", "dim", "weight", "embedding", "cell as home", "explode(probes) as cell")
-    place = ["label", "dim", "cell"]
-    held = filed.groupBy(*place).agg(F.expr(f"cast(ceil(count(*) / {BLOCK}) as int)").alias("db"))
-    blocks = held.join(asking.groupBy(*place).agg(F.expr(f"cast(ceil(count(*) / {4 * BLOCK}) as int)").alias("qb")), place)
+    block = f"greatest(1, least({BLOCK}, {BLOCK_BYTES} div (8 * dim)))"
+    most = classes.groupBy("label").count().agg(F.max("count")).first()[0]
+    buckets = min(lists, max(BUCKETS, -(-most // max(1, min(BLOCK, BLOCK_BYTES // (8 * common["dim"]))))))
+    filed = staged(classes.select("rep", "label", "dim", "weight", "embedding").mapInArrow(_filer(handle, cosine, buckets), f"rep binary, {label}, dim int, weight long, embedding {kind}, cell long, codes binary, error double, bucket long, probes array<long>"), "pq-filed")
+    asking = filed.selectExpr("rep", "label", "dim", "weight", "embedding", "cell as home", "explode(probes) as bucket")
+    place = ["label", "dim", "bucket"]
+    held = filed.groupBy(*place).agg(F.expr(f"cast(ceil(count(*) / {block}) as int)").alias("db"))
+    blocks = held.join(asking.groupBy(*place).agg(F.expr(f"cast(ceil(count(*) / (2 * {block})) as int)").alias("qb")), place)
     own = "cast(pmod(xxhash64(rep), {}) as int)"
     stored = filed.drop("probes").join(blocks, place).select("*", F.expr(own.format("db")).alias("d"), F.explode(F.expr("sequence(0, qb - 1)")).alias("q"))
     asked = asking.join(blocks, place).select("*", F.expr(own.format("qb")).alias("q"), F.explode(F.expr("sequence(0, db - 1)")).alias("d"))
