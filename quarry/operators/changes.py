@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.scratch import dealt
+
 MAX_FILES_IN_COMMIT, TOP_PAIRS = 20, 5
 
 
 def node_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """(path, node_key, status) from two tables (path, node_key, digest)."""
     o, n = old.withColumnRenamed("digest", "before"), new.withColumnRenamed("digest", "after")
-    return o.join(n, ["path", "node_key"], "full").selectExpr("path", "node_key", "case when before is null then 'new' when after is null then 'removed' when before = after then 'unchanged' else 'changed' end as status")
+    return dealt(o).join(dealt(n), ["path", "node_key"], "full").selectExpr("path", "node_key", "case when before is null then 'new' when after is null then 'removed' when before = after then 'unchanged' else 'changed' end as status")
 
 
 def node_keys(nodes: DataFrame) -> DataFrame:

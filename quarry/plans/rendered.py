@@ -15,7 +15,7 @@ from quarry.functions.pattern_tables import _quoted, language_of
 from quarry.operators import declarations, entries, health, imports, nodes, rules, text, views
 from quarry.plans import tools
 from quarry.plans.catalogue import query
-from quarry.scratch import read_table, staged
+from quarry.scratch import dealt, read_table, staged
 
 # language, extension, lines before the functions, header of a function (private, public; {n} its name), a call of {n}, comment mark, last line,
 # type of the container and of the functions, its name, modifiers (private, public)
@@ -51,7 +51,7 @@ def files(spark, d) -> DataFrame:
     parts = read_table(spark, d, "part").selectExpr("p_partkey as k", "p_size")
     n = len(LANGUAGES)
     after = parts.selectExpr(f"k - {n} as k", "p_size % 3 = 0 as callee_hidden")
-    rows = parts.join(after, "k", "left").selectExpr("k", f"cast(k % {n} as int) as l", f"k div {n * TO_FILE} as a", "p_size % 3 = 0 as hidden", "p_size % 4 as deep", "p_size % 2 = 0 as calls", "callee_hidden")
+    rows = dealt(parts).join(dealt(after), "k", "left").selectExpr("k", f"cast(k % {n} as int) as l", f"k div {n * TO_FILE} as a", "p_size % 3 = 0 as hidden", "p_size % 4 as deep", "p_size % 2 = 0 as calls", "callee_hidden")
     spelled = lambda hidden, key: f"concat(if(l = 2 and not {hidden}, 'Fn', 'fn'), {key})"
     quoted = lambda c: "case l " + " ".join(f"when {i} then {_quoted(row[c])}" for i, row in enumerate(LANGUAGES)) + " end"
     body = f"""array_join(flatten(array(array(replace(if(hidden, {quoted(3)}, {quoted(4)}), '{{n}}', {spelled('hidden', 'k')}), concat('    ', {quoted(6)}, ' }} fn0( "')),

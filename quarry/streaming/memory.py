@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators.changes import node_diff
-from quarry.scratch import delete, fresh_path
+from quarry.scratch import dealt, delete, fresh_path
 
 TTL_MINUTES = 30
 STATE = "fingerprint string, seen_ms long"
@@ -212,8 +212,8 @@ def fold_scans(spark: SparkSession, feed: DataFrame, root: str) -> DataFrame:
         known = spark.read.parquet(tables.at(past[-1])) if past else empty
         newest = batch.groupBy("path").agg(F.expr("max_by(struct(fingerprint, content), turn)").alias("s")).select("path", "s.*")
         fresh, _ = incremental(known, newest.select("path", "fingerprint"))
-        made = newest.join(fresh, ["path", "fingerprint"]).selectExpr("path", "fingerprint", "size(split(content, '\\n')) as n_lines")
-        known.join(made.select("path"), "path", "left_anti").unionByName(made).write.mode("overwrite").parquet(tables.at(batch_id))
+        made = dealt(newest).join(dealt(fresh), ["path", "fingerprint"]).selectExpr("path", "fingerprint", "size(split(content, '\\n')) as n_lines")
+        dealt(known).join(dealt(made.select("path")), "path", "left_anti").unionByName(made).write.mode("overwrite").parquet(tables.at(batch_id))
         tables.sweep()
 
     feed.writeStream.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).foreachBatch(save).start().awaitTermination()
@@ -229,5 +229,5 @@ def incremental_stream(spark: SparkSession, scans: DataFrame) -> DataFrame:
 
 def incremental(known: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Files (path, fingerprint) to be parsed anew, and known rows that still hold."""
-    fresh = files.join(known.select("path", "fingerprint"), ["path", "fingerprint"], "left_anti")
-    return fresh, known.join(files.select("path", "fingerprint"), ["path", "fingerprint"], "left_semi")
+    fresh = dealt(files).join(dealt(known.select("path", "fingerprint")), ["path", "fingerprint"], "left_anti")
+    return fresh, dealt(known).join(dealt(files.select("path", "fingerprint")), ["path", "fingerprint"], "left_semi")
