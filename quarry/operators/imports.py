@@ -112,7 +112,8 @@ def type_references(files: DataFrame) -> DataFrame:
         held = held if parts is None else f"flatten(transform({held}, t -> split(t, '{parts}')))"
         found.append(f"transform({held}, x -> trim({cut.format('x')}))")
     names = f"array_distinct(filter(flatten(array({', '.join(found)})), x -> x rlike '^\\\\p{{Lu}}'))"
-    rows = files.where("language = 'swift' and content is not null").selectExpr("path", "language", f"explode({names}) as name")
+    swift = spread(files.where("language = 'swift' and content is not null").select("path", "language", "content"), "path")
+    rows = swift.selectExpr("path", "language", f"explode({names}) as name")
     return rows.where(f"name not in ({listed(SWIFT_TYPES)})")
 
 
