@@ -15,10 +15,11 @@ under the whole slice holds sets that are nearly equal; it is dealt in blocks, i
 much as a link asks for are tied, by a spanning set.  Boilerplate that fills a region thus ties nothing.
 
 *Confirmation* is on the full sets, exactly and without all pairs (``confirm``).  What hangs together by ties
-is a cluster, and a task confirms clusters of at most ``BLOCK_SHINGLES`` shingles.  A larger one goes by
-blocks of that size: it is cut in several of the forest's orders, as above, each block is confirmed, and
+is a cluster, and a task confirms clusters of at most ``BLOCK_SHINGLES`` shingles.  Of a larger one, texts that share too
+little with all others to link with any are set apart, and the rest goes by blocks of that size: it is cut in several of the forest's orders, as above, each block is confirmed, and
 the hubs of all blocks, which stand for what they cover, are confirmed with one another in further rounds.
-What is then still apart in a cluster is settled exactly (``_across``): the shingles of its texts are counted, and
+What is then still apart in a cluster is settled exactly (``_across``): where it is little beside the main component, it
+meets all of that, block by block; elsewhere the shingles of its texts are counted, and
 a text's rarest ones, as many as every partner must share one of, are its prefix.  Texts that share one are compared
 wherever they are not yet known to be connected, in blocks of the same size; so the size of a cluster changes
 the work, not the result.
@@ -235,18 +236,51 @@ def confirm(sets: list[np.ndarray], num: int = NUM, den: int = DEN) -> np.ndarra
     return confirm_with_hubs(sets, num, den)[0]
 
 
-def confirm_with_hubs(sets: list[np.ndarray], num: int = NUM, den: int = DEN) -> tuple[np.ndarray, np.ndarray]:
-    """As ``confirm``, and which sets are hubs.
+def _possible(size: np.ndarray, ids: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which sets may link with another: of what they share with any, a set of some size that is there could hold enough.
 
-    Hubs are taken in order; a hub is compared with all sets in one vectorised pass, and every set
-    that links with it is covered.  A set that no hub covers becomes a hub itself.  So each link has
-    two covered ends.  Jaccard distance is a metric: a link between the covers of hubs g and h needs
-    both ends within twice the link distance of the other hub, and only such sets are compared, and
-    only while g and h are apart.
+    A link of sets of sizes s and t has (num + den) * common >= num * (s + t), and t is at least s * num / den.  What is left out
+    makes others' shingles rarer, so this goes on until nothing changes.
     """
-    n = len(sets)
+    owner, alive = np.repeat(np.arange(len(size)), size), np.ones(len(size), bool)
+    while True:
+        held = np.bincount(ids[alive[owner]], minlength=int(ids.max()) + 1)
+        shared = np.bincount(owner[held[ids] > 1], minlength=len(size))
+        sizes, times = np.unique(size[alive], return_counts=True)
+        # the least size that a partner can have; where it is the set's own, another must have it too
+        at = np.searchsorted(sizes, -(-size * num // den))
+        alone = (at < len(sizes)) & (sizes[np.minimum(at, len(sizes) - 1)] == size) & (times[np.minimum(at, len(sizes) - 1)] == 1)
+        at = at + alone
+        least = np.append(sizes, np.iinfo(np.int64).max // (2 * den))[np.minimum(at, len(sizes))]
+        left = alive & ((num + den) * shared >= num * (size + least))
+        if left.sum() == alive.sum() or not left.any():
+            return left
+        alive = left
+
+
+def confirm_with_hubs(sets: list[np.ndarray], num: int = NUM, den: int = DEN) -> tuple[np.ndarray, np.ndarray]:
+    """As ``confirm``, and which sets are hubs; one that can link with nothing is its own."""
     size = np.array([len(s) for s in sets], np.int64)
     _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    able = _possible(size, ids, num, den)
+    comp, hubs = np.arange(len(sets)), ~able
+    if able.any():
+        among = np.flatnonzero(able)
+        found, own = _covered(size[able], ids[np.repeat(able, size)], num, den)
+        comp[among], hubs[among] = among[found], own
+    return comp, hubs
+
+
+def _covered(size: np.ndarray, ids: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Components and hubs of sets of numbers, by their sizes and their members one set after the other.
+
+    Hubs are taken in order, those first whose members most sets hold, so that the middle of a crowd covers it; a hub is
+    compared with all sets in one vectorised pass, and every set that links with it is covered.  A set that no hub covers
+    becomes a hub itself.  So each link has two covered ends.  Jaccard distance is a metric: a link between the covers of hubs
+    g and h needs both ends within twice the link distance of the other hub, and only such sets are compared, and only while
+    g and h are apart.
+    """
+    n = len(size)
     at = np.concatenate([[0], np.cumsum(size)])
     mark = np.zeros(int(ids.max()) + 1, bool)
     root = list(range(n))
@@ -262,41 +296,40 @@ def confirm_with_hubs(sets: list[np.ndarray], num: int = NUM, den: int = DEN) ->
         if x != y:
             root[max(x, y)] = min(x, y)
 
-    def common(i: int, among: np.ndarray | None = None) -> np.ndarray:
+    def common(i: int, members: np.ndarray, starts: np.ndarray) -> np.ndarray:
         mark[own := ids[at[i] : at[i + 1]]] = True
-        if among is None:
-            got = np.add.reduceat(mark[ids], at[:-1], dtype=np.int64)
-        else:
-            got = np.array([np.count_nonzero(mark[ids[at[k] : at[k + 1]]]) for k in among], np.int64)
+        got = np.add.reduceat(mark[members], starts, dtype=np.int64)
         mark[own] = False
         return got
 
     far = 2 * (1 - num / den) + 1e-9
     cover = np.full(n, -1, np.int64)
     near: dict[int, np.ndarray] = {}
-    order = np.argsort(-size, kind="stable")
-    for i in order:
+    crowd = np.add.reduceat(np.bincount(ids)[ids], at[:-1]) / size
+    for i in np.lexsort((-size, -crowd)):
         i = int(i)
         if cover[i] >= 0:
             continue
-        c = common(i)
+        c = common(i, ids, at[:-1])
         hit = linked(c, size, size[i], num, den)
         for k in np.flatnonzero(hit):
             union(i, int(k))
         cover[hit & (cover < 0)] = i
         near[i] = np.flatnonzero(1 - c / (size + size[i] - c) <= far)
     for g, wide in near.items():
-        for h in {int(x) for x in cover[wide]} - {g}:
-            if find(g) == find(h):
+        for h in {int(x) for x in cover[wide]}:
+            if h <= g or find(g) == find(h):  # the pair (h, g) asks for the same
                 continue
-            left = near[h][cover[near[h]] == g]
-            right = wide[cover[wide] == h]
-            for u in left:
-                if find(g) == find(h) or not len(right):
-                    break
-                got = linked(common(int(u), right), size[right], size[u], num, den)
-                if got.any():
+            few, many = near[h][cover[near[h]] == g], wide[cover[wide] == h]
+            if not len(few):
+                continue
+            if len(few) > len(many):
+                few, many = many, few
+            members, starts = np.concatenate([ids[at[k] : at[k + 1]] for k in many]), np.concatenate([[0], np.cumsum(size[many])])[:-1]
+            for u in few:
+                if linked(common(int(u), members, starts), size[many], size[u], num, den).any():
                     union(g, h)
+                    break
     hubs = np.zeros(n, bool)
     hubs[list(near)] = True
     return np.array([find(x) for x in range(n)]), hubs
@@ -327,6 +360,9 @@ def _confirmer(width: int, num: int, den: int):
 def _confirmed_in_blocks(rows: DataFrame, texts: DataFrame, width: int, num: int, den: int, block: int) -> DataFrame:
     """(node, comp) of clusters that no task holds: rows (cluster, node, n_shingles, sig), texts (node, packed)."""
     confirmer, made = _confirmer(width, num, den), "node binary, comp binary, hub boolean"
+    nodes = rows.select("node").distinct()
+    shingles = staged(rows.select("cluster", "node").join(texts, "node").select("cluster", "node", "packed").mapInArrow(_shingler(width), "cluster binary, node binary, shingle long"), "forest-shingles")
+    rows = _able(rows, shingles, num, den)
     named = rows.withColumn("base", F.xxhash64("cluster"))
     links, hubs = None, None
     for order in range(ORDERS):
@@ -347,14 +383,13 @@ def _confirmed_in_blocks(rows: DataFrame, texts: DataFrame, width: int, num: int
         if fewer.count() > 0.9 * hubs.count():  # hubs that cover nothing
             break
         hubs = fewer
-    nodes = rows.select("node").distinct()
 
     def connected(pairs: DataFrame) -> DataFrame:
         comps = components(pairs.where("node <> comp").select(F.col("comp").alias("u"), F.col("node").alias("v")).distinct(), "forest-large")
         return staged(nodes.join(comps, "node", "left").select("node", F.coalesce("comp", "node").alias("comp")), "forest-connected")
 
     comps = connected(links)
-    more = _across(rows, comps, texts, width, num, den, block)
+    more = _across(rows, comps, texts, shingles, width, num, den, block)
     return comps if more is None else connected(comps.unionByName(more))
 
 
@@ -369,7 +404,18 @@ def _shingler(width: int):
     return releasing(run)
 
 
-def _across(rows: DataFrame, comps: DataFrame, texts: DataFrame, width: int, num: int, den: int, block: int) -> DataFrame | None:
+def _able(rows: DataFrame, shingles: DataFrame, num: int, den: int) -> DataFrame:
+    """Those of rows (cluster, node, n_shingles, ...) that may link with another of their cluster, as in ``_possible``, once."""
+    shared = shingles.groupBy("cluster", "shingle").agg(F.count("*").alias("held")).where("held > 1").drop("held").join(shingles, ["cluster", "shingle"]).groupBy("cluster", "node").agg(F.count("*").alias("shared"))
+    # the different sizes in a cluster, squared, are no more than twice its shingles
+    sizes = staged(rows.groupBy("cluster", "n_shingles").agg(F.count("*").alias("times")), "forest-sizes")
+    other = sizes.selectExpr("cluster", "n_shingles as other", "times")
+    least = sizes.drop("times").join(other, "cluster").where(f"{den} * other >= {num} * n_shingles and (other <> n_shingles or times > 1)").groupBy("cluster", "n_shingles").agg(F.min("other").alias("least"))
+    able = rows.join(shared, ["cluster", "node"]).join(least, ["cluster", "n_shingles"]).where(f"{num + den} * shared >= {num} * (n_shingles + least)")
+    return staged(able.select(*rows.columns), "forest-able", codec="lz4")
+
+
+def _across(rows: DataFrame, comps: DataFrame, texts: DataFrame, shingles: DataFrame, width: int, num: int, den: int, block: int) -> DataFrame | None:
     """Links (node, comp) between components (node, comp) of one cluster: rows (cluster, node, n_shingles); None where no
     cluster has two.  Two sets that link share a shingle of their prefixes, the size - ceil(size * num / den) + 1 that come first
     in an order common to both, here the rarest first."""
@@ -378,7 +424,14 @@ def _across(rows: DataFrame, comps: DataFrame, texts: DataFrame, width: int, num
     open_ = staged(named.join(parted, "cluster"), "forest-open")
     if open_.isEmpty():
         return None
-    shingles = staged(open_.select("cluster", "node").join(texts, "node").select("cluster", "node", "packed").mapInArrow(_shingler(width), "cluster binary, node binary, shingle long"), "forest-shingles")
+    confirmer, made = _confirmer(width, num, den), "node binary, comp binary, hub boolean"
+    # where little stands apart from a cluster's main component, it meets the rest block by block
+    main = open_.groupBy("cluster", "comp").agg(F.sum("n_shingles").alias("w")).groupBy("cluster").agg(F.expr("max_by(comp, struct(w, comp))").alias("main"), F.max("w").alias("most"), F.sum("w").alias("w"))
+    probed = staged(main.where(f"w - most <= {block} div 2").selectExpr("cluster", "main", f"cast(ceil(2 * most / {block}) as int) as parts"), "forest-probed")
+    met = open_.join(probed, "cluster").selectExpr("cluster", "node", "explode(if(comp = main, array(cast(pmod(xxhash64(node), parts) as int)), sequence(0, parts - 1))) as part")
+    beside = met.selectExpr("xxhash64(cluster, part) as region", "node").join(texts, "node").groupBy("region").applyInArrow(confirmer, made)
+    open_ = open_.join(probed.select("cluster"), "cluster", "left_anti")
+    shingles = shingles.join(open_.select("cluster", "node"), ["cluster", "node"], "left_semi")
     counts = shingles.groupBy("cluster", "shingle").agg(F.count("*").alias("held"))
     placed = shingles.join(counts, ["cluster", "shingle"]).join(open_.select("node", "comp", "n_shingles"), "node")
     prefix = placed.withColumn("place", F.expr("row_number() over (partition by node order by held, shingle)")).where(f"place <= n_shingles - (n_shingles * {num} + {den} - 1) div {den} + 1 and held > 1")
@@ -391,7 +444,7 @@ def _across(rows: DataFrame, comps: DataFrame, texts: DataFrame, width: int, num
     # larger groups go by pairs of blocks, each pair a task
     dealt = members.where(F.col("w") > block).withColumn("own", F.expr("cast(pmod(xxhash64(node), parts) as int)")).withColumn("other", F.expr("explode(sequence(0, parts - 1))"))
     pairs = dealt.selectExpr("xxhash64(region, least(own, other), greatest(own, other)) as region", "node")
-    found = small.unionByName(pairs).join(texts, "node").groupBy("region").applyInArrow(_confirmer(width, num, den), "node binary, comp binary, hub boolean")
+    found = small.unionByName(pairs).join(texts, "node").groupBy("region").applyInArrow(confirmer, made).unionByName(beside)
     return staged(found.where("node <> comp").select("node", "comp").distinct(), "forest-across")
 
 
