@@ -10,8 +10,9 @@ from quarry.operators.paths import is_test
 from quarry.operators.rules import listed, name_of, pattern
 from quarry.scratch import staged
 
-#: Letters of a token by which it is looked up before the exact test.
-GRAM = 4
+#: Letters of a token by which it is looked up before the exact test: as many of these as it has.  Short grams are few, so that
+#: more and more texts share one as tables grow.
+GRAMS = (1, 2, 3, 4, 8, 16)
 #: Letters of a text that are looked through at once.
 PIECE = 256
 # How frameworks declare routes, on a decorator and by a call, and how texts refer to them.
@@ -77,15 +78,21 @@ def template_references(files: DataFrame) -> DataFrame:
 
 
 def holding(tokens: DataFrame, texts: DataFrame) -> DataFrame:
-    """(token) of those that some text contains.
+    """(token) of those that some text contains."""
+    return _meeting(tokens, texts).where("contains(text, token)").select("token").distinct()
 
-    A token meets texts by the rarest of its grams of four letters (or as many as it has), as counted over the texts, so that a
+
+def _meeting(tokens: DataFrame, texts: DataFrame) -> DataFrame:
+    """(token, text) of pieces of texts that may contain the token; every token that a text contains meets one that does.
+
+    A token meets texts by the rarest of its longest grams (``GRAMS``), as counted over the texts, so that a
     beginning that many tokens share brings nothing together; a gram that no text has settles its tokens at once.
     """
-    tokens = tokens.select("token").where("token <> ''").distinct().withColumn("n", F.least(F.length("token"), F.lit(GRAM)))
-    about = tokens.agg(F.collect_set("n").alias("sizes"), F.max(F.length("token")).alias("longest")).first()  # five numbers at most
+    size = "case " + " ".join(f"when length(token) >= {n} then {n}" for n in reversed(GRAMS)) + " end"
+    tokens = tokens.select("token").where("token <> ''").distinct().withColumn("n", F.expr(size))
+    about = tokens.agg(F.collect_set("n").alias("sizes"), F.max(F.length("token")).alias("longest")).first()  # seven numbers at most
     if not about["sizes"]:
-        return tokens.select("token")
+        return tokens.selectExpr("token", "cast(null as string) as text")
     of_token = tokens.select("token", F.explode(F.expr("array_distinct(transform(sequence(1, length(token) - n + 1), i -> substr(token, i, n)))")).alias("gram"))
     # long texts go in pieces that overlap by a token, as each look into a text counts its letters from the start
     pieces = texts.select("text").distinct().select(F.explode(F.expr(f"transform(sequence(1, greatest(length(text), 1), {PIECE}), p -> substr(text, p, {PIECE} + {about['longest']} - 1))")).alias("text")).distinct()
@@ -95,7 +102,7 @@ def holding(tokens: DataFrame, texts: DataFrame) -> DataFrame:
     met = staged(grams.join(of_token.select("gram").distinct(), "gram", "left_semi"), "token-grams")
     counted = of_token.join(met.groupBy("gram").agg(F.count("*").alias("held")), "gram", "left").groupBy("token").agg(F.expr("min_by(struct(gram, coalesce(held, 0) as held), struct(coalesce(held, 0), gram))").alias("rarest"))
     wanted = counted.where("rarest.held > 0").selectExpr("token", "rarest.gram as gram")
-    return wanted.join(met, "gram").where("contains(text, token)").select("token").distinct()
+    return wanted.join(met, "gram").select("token", "text")
 
 
 def resolved(producers: DataFrame, texts: DataFrame, names: DataFrame | None = None, token: str = "token", external: str = "false") -> DataFrame:
