@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from quarry.functions import brackets
 from quarry.functions.pattern_tables import CALL_KEYWORDS
 from quarry.operators.rules import listed, pattern
-from quarry.scratch import dealt, staged
+from quarry.scratch import dealt, portioned, staged
 
 CONTAINERS = ("class", "interface", "struct", "record", "enum", "trait", "impl", "protocol", "extension", "actor", "union", "namespace")
 #: Containers whose members need no body.
@@ -93,20 +93,21 @@ def classified(segments: DataFrame) -> DataFrame:
         part = rows.where(F.col("language") == language).withColumn("found", F.expr(f"filter(array({', '.join(tried)}), x -> x is not null)")).where("size(found) > 0")
         found = part if found is None else found.unionByName(part)
     found = staged(found, "declaring")
+    rows = found.count()
     # what stands right around it decides which of the patterns hold
     outer = dealt(found).where("kind = 'block'").selectExpr("path", "item as up", "found[0].type as outer", "found[0].name as outer_name", "found[0].place as outer_place")
     inside = f"coalesce(outer in ({listed(CONTAINERS)}), false)"
     kinship = "(x.type <> 'constructor' or regexp_replace(x.name, '^~', '') = regexp_replace(outer_name, '<.*$', ''))"
     allowed = f"filter(found, x -> case x.place when 'member' then {inside} and outer <> 'namespace' and {kinship} when 'free' then not {inside} or outer = 'namespace' else true end)"
-    placed = found.join(outer, ["path", "up"], "left").selectExpr("*", f"get({allowed}, 0) as won").where("won is not null")
+    placed = portioned(found, rows, "path", "up").join(outer, ["path", "up"], "left").selectExpr("*", f"get({allowed}, 0) as won").where("won is not null")
     bodied = f"kind = 'block' or outer in ({listed(ABSTRACT)}) or won.type in ('struct', 'record') or plain rlike '=>' or plain rlike '\\\\b(?:abstract|native|extern)\\\\b'"
     kept = placed.where(bodied).selectExpr("path", "language", "kind", "item", "up", "ups", f"if(won.type = 'function' and {inside} and outer <> 'namespace' and language <> 'rust' and language <> 'zig', 'method', won.type) as type", "won.name as name", "won.tail as tail", "plain", "raw", "comment", "start_line", "end_line")
     return kept
 
 
-def _ancestors(rows: DataFrame, nodes: DataFrame, keys: list[str]) -> DataFrame:
-    """rows (path, ups, ...) for each of the nodes (path, item, ...) around them."""
-    around = dealt(nodes).selectExpr("path", "item as around", *(f"{k} as around_{k}" for k in keys))
+def _ancestors(rows: DataFrame, nodes: DataFrame, keys: list[str], number: int) -> DataFrame:
+    """rows (path, ups, ...), some ``number``, for each of the nodes (path, item, ...) around them."""
+    around = portioned(nodes, number, "path", "item").selectExpr("path", "item as around", *(f"{k} as around_{k}" for k in keys))
     return rows.withColumn("around", F.explode("ups")).join(around, ["path", "around"])
 
 
@@ -126,7 +127,9 @@ _DOC = r"nullif(trim(regexp_extract(regexp_replace(if(language in ('cpp', 'cshar
 
 def nodes(segments: DataFrame) -> DataFrame:
     """Nodes in pre-order with their segment ``item``; of C++ members the last access label before them is a modifier."""
-    found = dealt(staged(classified(segments), "declared"))
+    found = staged(classified(segments), "declared")
+    rows = found.count()
+    found = portioned(found, rows, "path", "item")
     labels = segments.where("kind = 'label'").selectExpr("path", "up", "item", "regexp_extract(header, '(\\\\w+)', 1) as label", "false as real").unionByName(found.where("language = 'cpp'").selectExpr("path", "up", "item", "cast(null as string) as label", "true as real"))
     access = labels.selectExpr("*", "last(label, true) over (partition by path, up order by item) as access").where("real and access is not null").select("path", "item", "access")
     outer = found.selectExpr("path", "item as up", "type as outer")
@@ -134,10 +137,11 @@ def nodes(segments: DataFrame) -> DataFrame:
     # members of a C++ class are private where no label stands before them
     given = "case when language = 'cpp' and outer in ('class', 'struct') then array(coalesce(access, if(outer = 'class', 'private', 'public'))) else array() end"
     shown = shown.withColumn("modifiers", F.expr(f"array_union({_modifiers()}, {given})")).withColumn("signature", F.expr(_signature())).withColumn("decorators", F.expr(_DECORATORS)).withColumn("docstring", F.expr(_DOC))
-    numbered = staged(shown.selectExpr("*", "cast(row_number() over (partition by path order by item) - 1 as int) as node_id"), "declared-nodes")
-    pairs = staged(_ancestors(numbered.select("path", "item", "ups", "node_id"), numbered, ["node_id"]), "declared-pairs")
-    above = pairs.groupBy("path", "node_id").agg(F.max("around_node_id").alias("parent_id"), F.count("*").cast("int").alias("depth"))
-    below = pairs.groupBy("path", F.col("around_node_id").alias("node_id")).agg(F.max("node_id").alias("last"))
+    numbered = staged(portioned(shown, rows, "path").selectExpr("*", "cast(row_number() over (partition by path order by item) - 1 as int) as node_id"), "declared-nodes")
+    pairs = staged(_ancestors(numbered.select("path", "item", "ups", "node_id"), numbered, ["node_id"], rows), "declared-pairs")
+    rows = max(rows, pairs.count())
+    above = portioned(pairs, rows, "path", "node_id").groupBy("path", "node_id").agg(F.max("around_node_id").alias("parent_id"), F.count("*").cast("int").alias("depth"))
+    below = portioned(pairs.selectExpr("path", "around_node_id as node_id", "node_id as within"), rows, "path", "node_id").groupBy("path", "node_id").agg(F.max("within").alias("last"))
     out = numbered.join(dealt(above), ["path", "node_id"], "left").join(dealt(below), ["path", "node_id"], "left")
     return out.selectExpr("path", "language", "item", "ups", "node_id", "coalesce(parent_id, -1) as parent_id", "coalesce(last, node_id) as last_desc_id", "coalesce(depth, 0) as depth", "type", "name", "start_line", "end_line", "signature", "decorators", "modifiers", "docstring", "end_line - start_line + 1 as lines")
 
@@ -146,7 +150,8 @@ def definitions(declared: DataFrame) -> DataFrame:
     """(file, language, item, type, name, line, signature, parent, enclosing_kind, modifiers, decorators) of what can be called and of
     types; the parent is the nearest container but a namespace."""
     outer = declared.where(f"type in ({listed(CONTAINERS)}) and type <> 'namespace'").select("path", "item", "name", "type")
-    near = _ancestors(declared.select("path", "item", "ups"), outer, ["name", "type"]).groupBy("path", "item").agg(F.expr("max_by(struct(around_name as parent, around_type as kind), around)").alias("near"))
+    rows = declared.count()
+    near = portioned(_ancestors(declared.select("path", "item", "ups"), outer, ["name", "type"], rows), rows, "path", "item").groupBy("path", "item").agg(F.expr("max_by(struct(around_name as parent, around_type as kind), around)").alias("near"))
     wanted = declared.where(f"type in ({listed((*CONTAINERS, *CALLABLE))}) and type not in ('namespace', 'test')")
     return wanted.join(dealt(near), ["path", "item"], "left").selectExpr("path as file", "language", "item", "type", "name", "start_line as line", "signature", "near.parent as parent", "near.kind as enclosing_kind", "modifiers", "decorators")
 
@@ -160,12 +165,13 @@ def calls(segments: DataFrame, declared: DataFrame) -> DataFrame:
     words = " ".join(f"when '{k}' then array({listed(CALL_KEYWORDS[k].split())})" for k in DECLARATIONS)
     sites = segments.where(f"kind = 'call' and not array_contains(case language {words} end, header)").selectExpr("path", "ups", "head", "header as callee", "start_line as line", "monotonically_increasing_id() as site")
     sites = staged(sites, "call-sites")
+    rows = sites.count()
     own = declared.selectExpr("path", "item as head", "regexp_extract(name, '(\\\\w+)$', 1) as callee", "true as named")
-    real = sites.join(dealt(own.distinct()), ["path", "head", "callee"], "left").where("named is null")
+    real = portioned(sites, rows, "path", "head", "callee").join(dealt(own.distinct()), ["path", "head", "callee"], "left").where("named is null")
     callers = declared.where(f"type in ({listed(CALLABLE)})").select("path", "item", "name")
-    inside = _ancestors(real, callers, ["name"]).groupBy("site").agg(F.expr("max_by(struct(path, around_name as caller, callee, line), around)").alias("c")).select("c.*")
+    inside = portioned(_ancestors(real, callers, ["name"], rows), rows, "site").groupBy("site").agg(F.expr("max_by(struct(path, around_name as caller, callee, line), around)").alias("c")).select("c.*")
     here = declared.where(f"type in ({listed((*CONTAINERS, *CALLABLE))})").selectExpr("path", "name as callee", "true as here").distinct()
-    return inside.join(dealt(here), ["path", "callee"], "left").selectExpr("path as caller_file", "caller as caller_name", "callee as callee_name", "line", "here is null as is_cross_file")
+    return portioned(inside, rows, "path", "callee").join(dealt(here), ["path", "callee"], "left").selectExpr("path as caller_file", "caller as caller_name", "callee as callee_name", "line", "here is null as is_cross_file")
 
 
 def broken(segments: DataFrame) -> DataFrame:

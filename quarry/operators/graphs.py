@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.scratch import dealt, staged, tasks_for
+from quarry.scratch import dealt, portioned, staged, tasks_for
 
 
 def call_edges(definitions: DataFrame, calls: DataFrame) -> DataFrame:
@@ -14,29 +14,33 @@ def call_edges(definitions: DataFrame, calls: DataFrame) -> DataFrame:
     Calls are told apart by their two names alone.  A name stands for all definitions of that name, so
     m callers and k callees share one call's weight; calls of a definition to itself are left out
     after that.  Definitions of names that are called are looked up apart: where these are few, they are sent to the
-    calls, so that a name which everybody calls does not bring its calls together.
+    calls, so that a name which everybody calls does not bring its calls together.  Edges are dealt by ``src``, as many tasks as
+    their number, which is worked out before, asks for.
     """
-    tasks = tasks_for(calls)
     pairs = dealt(calls.where("caller_name is not null and callee_name is not null").select("caller_name", "callee_name"), "caller_name", "callee_name").distinct()
     pairs = staged(pairs, "call-pairs")
     named = staged(definitions.select("fqn", "name").where("name is not null").distinct(), "call-names")
-    return calls.sparkSession.sql(
-        f"""
-        WITH c AS (SELECT /*+ REPARTITION({tasks}, caller_name) */ * FROM {{c}}), i AS (SELECT * FROM {{i}}),
+    tasks = tasks_for(calls, max(pairs.count(), named.count()))
+    found = f"""
+        WITH c AS (SELECT /*+ REPARTITION({tasks}, caller_name) */ * FROM {{c}}), i AS (SELECT /*+ REPARTITION({tasks}, name) */ * FROM {{i}}),
+        t AS (SELECT name, count(*) AS n FROM i GROUP BY name), u AS (SELECT t.* FROM t LEFT SEMI JOIN (SELECT DISTINCT callee_name FROM {{c}}) x ON t.name = x.callee_name),
+        k AS (SELECT /*+ MERGE(t) */ c.callee_name, t.n FROM c JOIN t ON c.caller_name = t.name),
         m AS (SELECT i.*, count(*) OVER (PARTITION BY name) AS n FROM i),
         a AS (SELECT m.* FROM m), b AS (SELECT m.* FROM m LEFT SEMI JOIN (SELECT DISTINCT callee_name FROM {{c}}) x ON m.name = x.callee_name),
         e AS (SELECT /*+ MERGE(a) */ c.callee_name, a.fqn AS src, a.n FROM c JOIN a ON c.caller_name = a.name),
-        f AS (SELECT /*+ REPARTITION({tasks}, src, dst) */ e.src, b.fqn AS dst, 1D / (e.n * b.n) AS weight FROM e JOIN b ON e.callee_name = b.name WHERE e.src <> b.fqn)
-        SELECT src, dst, sum(weight) AS weight FROM f GROUP BY src, dst""",
-        c=pairs, i=named,
-    )
+        f AS (SELECT e.src, b.fqn AS dst, 1D / (e.n * b.n) AS weight FROM e JOIN b ON e.callee_name = b.name WHERE e.src <> b.fqn)"""
+    spark, given = calls.sparkSession, {"c": pairs, "i": named}
+    met = spark.sql(f"{found} SELECT sum(k.n * u.n) AS n FROM k JOIN u ON k.callee_name = u.name", **given).first()["n"] or 0
+    # three narrow columns: eight edges take the memory of a wider row
+    tasks = max(tasks, tasks_for(pairs, met // 8))
+    return spark.sql(f"{found} SELECT src, dst, sum(weight) AS weight FROM (SELECT /*+ REPARTITION({tasks}, src) */ * FROM f) GROUP BY src, dst", **given)
 
 
 def call_nodes(definitions: DataFrame, edges: DataFrame) -> DataFrame:
     """(fqn, in_weight, out_weight, n_callers, n_callees, centrality = 2 in + out); edges are one for each pair."""
     into = edges.groupBy(F.col("dst").alias("fqn")).agg(F.sum("weight").alias("in_weight"), F.count("*").alias("n_callers"))
     out = edges.groupBy(F.col("src").alias("fqn")).agg(F.sum("weight").alias("out_weight"), F.count("*").alias("n_callees"))
-    nodes = definitions.select("fqn").distinct().join(into, "fqn", "left").join(out, "fqn", "left").na.fill(0)
+    nodes = portioned(definitions.select("fqn"), definitions.count(), "fqn").distinct().join(into, "fqn", "left").join(out, "fqn", "left").na.fill(0)
     return nodes.withColumn("centrality", F.expr("2 * in_weight + out_weight"))
 
 

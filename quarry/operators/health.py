@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quarry.operators import rules
 from quarry.operators.paths import is_test
 from quarry.operators.rules import listed, name_of, pattern
-from quarry.scratch import staged
+from quarry.scratch import portioned, staged
 
 #: Letters of a token by which it is looked up before the exact test: as many of these as it has.  Short grams are few, so that
 #: more and more texts share one as tables grow.
@@ -145,12 +145,13 @@ def dead(definitions: DataFrame, call_nodes: DataFrame, entry_points: DataFrame,
     be reached by dispatch, decorated definitions, and what the language's own rule lets be reached.
     """
     qualified = "concat_ws('.', parent, name)"
+    rows = definitions.count()
     own = definitions.where(f"type in ('function', 'method') and language in ({listed(rules.CLAIMS_DEAD)})").withColumn("qualified", F.expr(qualified)).withColumn("fqn", F.expr("concat(file, ':', qualified)"))
-    alone = own.join(call_nodes.where("n_callers = 0").select("fqn"), "fqn", "left_semi").where(f"not {is_test('file', 'tail')} and coalesce(size(decorators), 0) <= 0")
+    alone = portioned(own, rows, "fqn").join(call_nodes.where("n_callers = 0").select("fqn"), "fqn", "left_semi").where(f"not {is_test('file', 'tail')} and coalesce(size(decorators), 0) <= 0")
     alone = alone.where(f"not {rules.reachable_off_graph('language', 'name', 'type', 'modifiers', 'enclosing_kind', 'parent')}")
     bare = word_counts.join(call_counts.withColumnRenamed("n", "calls"), "word", "left").where("n - coalesce(calls, 0) >= 1").select(F.col("word").alias("name"))
     roots = entry_points.select("name").unionByName(bare).distinct()
-    return alone.join(roots, "name", "left_anti").join(reachable.select("file", "qualified"), ["file", "qualified"], "left_anti").select("file", "qualified")
+    return portioned(alone, rows, "name").join(roots, "name", "left_anti").join(reachable.select("file", "qualified"), ["file", "qualified"], "left_anti").select("file", "qualified")
 
 
 def flaggable(nodes: DataFrame, roots: DataFrame) -> DataFrame:

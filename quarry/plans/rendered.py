@@ -15,7 +15,7 @@ from quarry.functions.pattern_tables import _quoted, language_of
 from quarry.operators import declarations, entries, health, imports, nodes, rules, text, views
 from quarry.plans import tools
 from quarry.plans.catalogue import query
-from quarry.scratch import dealt, read_table, staged
+from quarry.scratch import dealt, portioned, read_table, staged
 
 # language, extension, lines before the functions, header of a function (private, public; {n} its name), a call of {n}, comment mark, last line,
 # type of the container and of the functions, its name, modifiers (private, public)
@@ -49,16 +49,16 @@ f AS (SELECT r.*, 1 + CASE WHEN l = 2 THEN 3 ELSE 2 END + coalesce(sum(n) OVER (
 def files(spark, d) -> DataFrame:
     """(path, content, language, size, mtime, is_binary) of the written files."""
     parts = read_table(spark, d, "part").selectExpr("p_partkey as k", "p_size")
-    n = len(LANGUAGES)
+    n, count = len(LANGUAGES), parts.count()
     after = parts.selectExpr(f"k - {n} as k", "p_size % 3 = 0 as callee_hidden")
-    rows = dealt(parts).join(dealt(after), "k", "left").selectExpr("k", f"cast(k % {n} as int) as l", f"k div {n * TO_FILE} as a", "p_size % 3 = 0 as hidden", "p_size % 4 as deep", "p_size % 2 = 0 as calls", "callee_hidden")
+    rows = portioned(parts, count, "k").join(dealt(after), "k", "left").selectExpr("k", f"cast(k % {n} as int) as l", f"k div {n * TO_FILE} as a", "p_size % 3 = 0 as hidden", "p_size % 4 as deep", "p_size % 2 = 0 as calls", "callee_hidden")
     spelled = lambda hidden, key: f"concat(if(l = 2 and not {hidden}, 'Fn', 'fn'), {key})"
     quoted = lambda c: "case l " + " ".join(f"when {i} then {_quoted(row[c])}" for i, row in enumerate(LANGUAGES)) + " end"
     body = f"""array_join(flatten(array(array(replace(if(hidden, {quoted(3)}, {quoted(4)}), '{{n}}', {spelled('hidden', 'k')}), concat('    ', {quoted(6)}, ' }} fn0( "')),
         transform(filter(sequence(1, deep), i -> deep > 0 and i <= deep), i -> '    if (a > 0) {{ x = "}}("; }}'), if(calls, array(concat('    ', replace({quoted(5)}, '{{n}}', {spelled('coalesce(callee_hidden, true)', f'k + {n}')}))), cast(array() as array<string>)), array('  }}'))), '\\n')"""
     written = rows.selectExpr("k", "l", "a", f"{body} as body", f"replace(replace({quoted(2)}, '{{a}}', a), '|', '\\n') as head", f"{quoted(7)} as foot", f"{quoted(0)} as language", f"concat('f', a, '/m', l, '.', {quoted(1)}) as path")
     # ten functions to a file at most
-    text = written.groupBy("path", "language", "head", "foot").agg(F.expr("array_join(transform(array_sort(collect_list(struct(k, body))), x -> x.body), '\\n')").alias("bodies"))
+    text = portioned(written, count, "path").groupBy("path", "language", "head", "foot").agg(F.expr("array_join(transform(array_sort(collect_list(struct(k, body))), x -> x.body), '\\n')").alias("bodies"))
     return text.selectExpr("path", "concat_ws('\\n', head, bodies, if(foot = '', null, foot)) as content", "language").selectExpr("path", "content", "language", "cast(octet_length(content) as bigint) as size", "0D as mtime", "false as is_binary")
 
 

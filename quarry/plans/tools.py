@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from quarry.functions import brackets, config_files, pattern_tables, python_source, scoring, sql_text
 from quarry.operators import budget, changes, condense, consensus, declarations, entries, graphs, health, imports, markup, nodes, paths, ranking, report, rules, text, views
 from quarry.operators.rules import listed
-from quarry.scratch import staged
+from quarry.scratch import spread, staged
 from quarry.sources import history, tree
 from quarry.streaming.memory import ScanMemory
 
@@ -205,7 +205,8 @@ class Facts:
     def dead(self) -> DataFrame:
         """Of the languages that claim it and whose definitions are parsed; patterns don't tell what stands inside what."""
         own = self.definitions.join(self.nodes.where("tier in ('syntax', 'tokens')").select(F.col("path").alias("file")).distinct(), "file", "left_semi").where("name not like '% (fallback)'")
-        words, called = text.word_counts(self.files), text.word_counts(self.files, r"\b([A-Za-z0-9_]+)\s*\(", 1)
+        files = spread(self.files, "path")  # a split of compressed texts holds too many words
+        words, called = text.word_counts(files), text.word_counts(files, r"\b([A-Za-z0-9_]+)\s*\(", 1)
         known = self.spark.createDataFrame([(p, m) for p, ms in nodes.PROTOCOLS.items() for m in ms.split()], "protocol string, member string")
         asked = nodes.witnesses(self.definitions.where("language = 'swift'"), known)
         return health.dead(own, self.call_nodes, self.entry_points.select("name"), words, called, asked)

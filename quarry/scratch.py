@@ -120,6 +120,8 @@ def spread(files: DataFrame, key: str) -> DataFrame:
 #: Bytes of files up to which a table made from them may be sent to all executors (compressed, they hold some forty times as much), and
 #: bytes of files whose rows a task gets.
 SENT, BYTES_A_TASK = 256 << 10, 8 << 20
+#: Rows, where they are counted, that a task gets.
+ROWS_A_TASK = 1 << 17
 
 
 def scanned(df: DataFrame) -> int:
@@ -141,9 +143,22 @@ def dealt(df: DataFrame, *keys: str) -> DataFrame:
     return (df.repartition(parts, *keys) if keys and parts > 1 else df).hint("merge")
 
 
-def tasks_for(df: DataFrame) -> int:
-    """Tasks among which the rows of ``df`` are dealt: one for ``BYTES_A_TASK`` of its tables, and no fewer than the session's."""
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-scanned(df) // BYTES_A_TASK))
+def tasks_for(df: DataFrame, rows: int = 0) -> int:
+    """Tasks among which the rows of ``df`` are dealt: one for ``BYTES_A_TASK`` of its tables or ``ROWS_A_TASK`` of its ``rows``, where
+    they were counted, and no fewer than the session's."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-scanned(df) // BYTES_A_TASK), -(-rows // ROWS_A_TASK))
+
+
+def portioned(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df`` of some ``rows`` dealt by ``keys``, a task for each ``ROWS_A_TASK`` and no fewer than the session's; what one task can
+    hold is left to ``dealt``.
+
+    Staged tables of names and paths take so few bytes that these don't tell how much memory their rows need, and what Spark shuffles
+    of its own accord goes to as many tasks as the session names, however many rows there are.
+    """
+    if rows <= ROWS_A_TASK:
+        return dealt(df)
+    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS_A_TASK)), *keys).hint("merge")
 
 
 def joined(large: DataFrame, small: DataFrame, on: list[str], how: str, most: int) -> DataFrame:
