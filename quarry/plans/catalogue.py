@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import scoring
 from quarry.operators import changes, condense, consensus, graphs, health, imports, markup, paths, ranking, rules, text, views
-from quarry.scratch import dealt, read_table
+from quarry.scratch import dealt, portioned, read_table
 from quarry.streaming import memory
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -159,10 +159,12 @@ IMPORTS = "WITH e AS (SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey
 
 
 def _import_edges(spark, d):
-    li = read_table(spark, d, "lineitem").select("l_suppkey", "l_partkey").distinct()
+    # dealt before it is made distinct: a split has nearly as many pairs as rows, and would hold them all
+    li = dealt(read_table(spark, d, "lineitem").select("l_suppkey", "l_partkey"), "l_suppkey", "l_partkey").distinct()
     imports = li.selectExpr("concat('s', l_suppkey) as source_file", "array(concat('p', l_partkey), concat('q', l_partkey + 1)) as candidates")
-    files = read_table(spark, d, "part").selectExpr("explode(array(case when p_partkey % 3 <> 0 then concat('p', p_partkey) end, concat('q', p_partkey + 1))) as path").where("path is not null").distinct()
-    return graphs.import_edges(imports, files)
+    parts = read_table(spark, d, "part")
+    files = parts.selectExpr("explode(array(case when p_partkey % 3 <> 0 then concat('p', p_partkey) end, concat('q', p_partkey + 1))) as path").where("path is not null")
+    return graphs.import_edges(imports, portioned(files, 2 * parts.count(), "path").distinct())
 
 
 @query(IMPORTS + " SELECT * FROM e")
