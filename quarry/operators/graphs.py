@@ -31,8 +31,8 @@ def call_edges(definitions: DataFrame, calls: DataFrame) -> DataFrame:
         f AS (SELECT e.src, b.fqn AS dst, 1D / (e.n * b.n) AS weight FROM e JOIN b ON e.callee_name = b.name WHERE e.src <> b.fqn)"""
     spark, given = calls.sparkSession, {"c": pairs, "i": named}
     met = spark.sql(f"{found} SELECT sum(k.n * u.n) AS n FROM k JOIN u ON k.callee_name = u.name", **given).first()["n"] or 0
-    # three narrow columns: eight edges take the memory of a wider row
-    tasks = max(tasks, tasks_for(pairs, met // 8))
+    # three narrow columns: four edges take the memory of a wider row
+    tasks = max(tasks, tasks_for(pairs, met // 4))
     return spark.sql(f"{found} SELECT src, dst, sum(weight) AS weight FROM (SELECT /*+ REPARTITION({tasks}, src) */ * FROM f) GROUP BY src, dst", **given)
 
 
